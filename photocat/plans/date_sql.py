@@ -21,7 +21,7 @@ def parsed(name: str, source: str, columns: str, value: str, as_of: str = AS_OF)
         f"'{_back(y)}|{_back(a)}|{_back(b)}|{kind}|{_back(w)}')"
         for p, (y, a, b, w), kind in SHAPES
     )
-    return f"""{name}_h AS (SELECT {columns}, CASE {cases} END AS head FROM {source}),
+    return f"""{name}_h AS MATERIALIZED (SELECT {columns}, CASE {cases} END AS head FROM {source}),
 {name}_p AS (SELECT *, try_cast(split_part(head, '|', 1) AS int) AS y0, split_part(head, '|', 2) AS p1,
    try_cast(nullif(split_part(head, '|', 2), '') AS int) AS a, try_cast(nullif(split_part(head, '|', 3), '') AS int) AS b,
    split_part(head, '|', 4) AS kind, lower(substr(split_part(head, '|', 5), 1, 3)) AS wd FROM {name}_h),
@@ -35,7 +35,7 @@ def parsed(name: str, source: str, columns: str, value: str, as_of: str = AS_OF)
    AND (kind = 'iso' OR m2 IS NOT NULL)
    AND coalesce(m2, 1) BETWEEN 1 AND 12 AND coalesce(d2, 1) >= 1
    AND (d2 IS NULL OR try_cast(printf('%04d-%02d-%02d', y0, m2, d2) AS date) IS NOT NULL) AS good FROM {name}_r),
-{name} AS (SELECT {columns}, CASE WHEN ok THEN y0 END AS y, CASE WHEN ok THEN m2 END AS m, CASE WHEN ok THEN d2 END AS d
+{name} AS MATERIALIZED (SELECT {columns}, CASE WHEN ok THEN y0 END AS y, CASE WHEN ok THEN m2 END AS m, CASE WHEN ok THEN d2 END AS d
    FROM (SELECT *, coalesce(good, false) AND (wd = '' OR wd = substr('{fixed.WEEKDAY_STEMS}',
            3 * (isodow(try_cast(printf('%04d-%02d-%02d', y0, m2, d2) AS date)) - 1) + 1, 3)) AS ok FROM {name}_s) AS t)"""
 
