@@ -6,7 +6,7 @@ the name. All matches ride on photo_id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photocat.functions import boxes, text
@@ -254,7 +254,8 @@ def cluster_rows(faces: DataFrame, factor: float = 0.6, above: int | None = HOT_
 
 def cluster_rows_k(faces: DataFrame, k: int, above: int | None = HOT_ROWS) -> DataFrame:
     """Add ``row_no`` for exactly min(k, faces) rows: cuts at the k-1 largest steps, the earlier
-    step first among equals. The k-1 largest are kept by a bounded per-photo aggregate."""
+    step first among equals. The rank filter is a group limit: each task keeps only its own k-1
+    largest steps of a photo before the shuffle."""
     if not 1 <= k <= 9:
         return cluster_rows(faces, above=above)
     df, down = _front_to_back(faces)
@@ -262,11 +263,13 @@ def cluster_rows_k(faces: DataFrame, k: int, above: int | None = HOT_ROWS) -> Da
     df = df.withColumn("_gap", F.col("_prev") - F.col("cy"))
     if k == 1:
         return df.withColumn("row_no", F.lit(1).cast("long")).drop("_down", "_pos", "_prev", "_gap")
-    # the k-1 largest steps of each photo: max_by with a count keeps k-1 values per task
+    largest = Window.partitionBy("photo_id").orderBy(F.desc("_gap"), "_pos")
     top = (
         df.where("_gap IS NOT NULL")
+        .select("photo_id", "_pos", F.row_number().over(largest).alias("_r"))
+        .where(F.col("_r") < k)
         .groupBy("photo_id")
-        .agg(F.expr(f"max_by(_pos, struct(_gap, -_pos), {k - 1})").alias("_cuts"))
+        .agg(F.collect_list("_pos").alias("_cuts"))
     )
     df = df.join(top, "photo_id", "left")
     before = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<bigint>")), lambda c: c <= F.col("_pos")))
@@ -473,11 +476,11 @@ def match_names(queries: DataFrame, people: DataFrame, k: int = 6) -> DataFrame:
     index = index.select("key", "best", "word", F.explode(F.array_distinct(F.array(one, two))).alias("start"))
     q = queries.select("query_id", F.lower(F.trim("typed")).alias("q")).where("q <> ''").withColumn("start", F.substring("q", 1, 2))
     hits = q.join(index, "start").where(F.col("word").startswith(F.col("q")) & (F.col("key") != F.col("q")))
-    # min_by with a count keeps k names per query and task, whatever a short prefix matches
-    best = hits.groupBy("query_id").agg(
-        F.expr(f"min_by(best.name, struct(best.pool, best.pos), {2 * k})").alias("names")
-    )
-    return best.select("query_id", F.posexplode(F.slice(F.array_distinct("names"), 1, k)).alias("rank", "name"))
+    hits = hits.groupBy("query_id", "key").agg(F.first("best").alias("best"))
+    # a rank filter is a group limit: each task passes on at most k names of a query
+    w = Window.partitionBy("query_id").orderBy("best.pool", "best.pos", "key")
+    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("best.name").alias("name"))
 
 
 def people_keywords_sync(keywords: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
