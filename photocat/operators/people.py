@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from photocat.functions import boxes, text
 from photocat.functions import fixed_values as fixed
+from photocat.session import cut_lineage
 from photocat.functions.groups import HOT_ROWS, ordered_positions, ordered_scan, overlap_pairs, with_group_values
 
 BOX = ["x", "y", "w", "h"]
@@ -438,28 +439,39 @@ def rematch_candidates(faces: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def rematch_faces(faces: DataFrame, edits: DataFrame) -> DataFrame:
-    """Each edit's face in a new version of the file; an edit without one is dropped.
-
-    The order-dependent rule (edits in turn: the face of the same key if it still matches and is
-    free, else the first free match) runs per group of edits that compete for faces. Those groups
-    are (photo, name), since a match needs an equal name, and only candidate rows enter them."""
-    cand = rematch_candidates(faces, edits).join(edits.select("photo_id", "edit_no", F.col("was_name").alias("name")), ["photo_id", "edit_no"])
-    return cand.groupBy("photo_id", "name").applyInPandas(_assign_in_turn, "photo_id long, edit_no long, face_key string")
-
-
-def _assign_in_turn(rows):
-    """Edits in order, each taking its own face, or the first one free."""
-    taken, out = set(), []
-    rows = rows.sort_values(["edit_no", "face_no"])
-    for edit, options in rows.groupby("edit_no", sort=True):
-        own = options[options["same"]]
-        # an edit whose own face still matches waits for no other: taken means dropped
-        choices = own["face_key"] if len(own) else options["face_key"]
-        free = [k for k in choices if k not in taken]
-        if free:
-            taken.add(free[0])
-            out.append((options["photo_id"].iloc[0], edit, free[0]))
-    return type(rows)(out, columns=["photo_id", "edit_no", "face_key"])
+    """(photo_id, edit_no, face_key): each edit's face in a new version of the file. Edits take
+    turns by edit_no: the face of the same key if it still matches, else the first match not taken;
+    an edit left without one is dropped.
+
+    Taking turns equals proposing in rounds where a face always keeps the earliest edit, so every
+    round is one join and one aggregate over all photos, and edits nobody competes with are settled
+    in the first. Rounds end when no edit was turned down."""
+    cand = rematch_candidates(faces, edits)
+    own = cand.where("same").select("photo_id", "edit_no", F.lit(True).alias("has_own"))
+    cand = cand.join(own, ["photo_id", "edit_no"], "left").where(F.col("has_own").isNull() | F.col("same"))
+    cand = ordered_positions(cand, ["photo_id", "edit_no"], [F.col("face_no")], "choice")
+    cand = cut_lineage(cand.select("photo_id", "edit_no", "face_key", "choice"))
+    held = cand.where("choice = 1")
+    while True:
+        first = held.groupBy("photo_id", "face_key").agg(F.min("edit_no").alias("keeps"))
+        asked = cut_lineage(
+            held.join(first, ["photo_id", "face_key"]).withColumn("refused", F.col("edit_no") != F.col("keeps")).drop("keeps")
+        )
+        refused = asked.where("refused")
+        if refused.isEmpty():
+            return asked.select("photo_id", "edit_no", "face_key")
+        again = refused.select("photo_id", "edit_no", (F.col("choice") + 1).alias("choice"))
+        held = asked.where("NOT refused").select(*cand.columns).unionByName(
+            cand.join(again, ["photo_id", "edit_no", "choice"]).select(*cand.columns)
+        )
+
+
+def new_faces_to_keep(faces: DataFrame, added: DataFrame) -> DataFrame:
+    """Added faces the file does not have yet: none there with the same name and nearly the same box."""
+    e = added.where("x IS NOT NULL").select("photo_id", F.coalesce("name", F.lit("")).alias("name"), "face_key", *BOX)
+    f = faces.select("photo_id", "name", *[F.col(c).alias("r" + c) for c in BOX])
+    written = overlap_pairs(e, f, ["photo_id", "name"], boxes.iou(), 0.8).select("photo_id", "face_key").distinct()
+    return added.join(written, ["photo_id", "face_key"], "left_anti")
 
 
 def match_names(queries: DataFrame, people: DataFrame, k: int = 6) -> DataFrame:

@@ -383,13 +383,37 @@ def _(spark, sf):
     return people.match_edited_faces(_keyed_faces(spark, sf), load(spark, sf, "face_edits"))
 
 
-@query("f22_rematch_faces")
+@query(
+    "f22_rematch_faces",
+    "regions face_edits",
+    f""", cand AS (SELECT e.photo_id, cast(e.face_key AS bigint) AS edit_no, r.region_no, e.was_name AS name, e.face_key = cast(r.region_no AS varchar) AS same
+   FROM face_edits e JOIN regions r ON r.photo_id = e.photo_id AND r.name = e.was_name AND e.face_key NOT LIKE 'new:%'
+   AND ((e.was_x IS NULL AND r.x IS NULL) OR {sql_iou('r', 'e', '', 'was_')} > 0.8)),
+ opts AS (SELECT photo_id, name, edit_no, CASE WHEN bool_or(same) THEN list(region_no) FILTER (WHERE same) ELSE list(region_no ORDER BY region_no) END AS options
+   FROM cand GROUP BY photo_id, name, edit_no),
+ turn AS (SELECT *, row_number() OVER (PARTITION BY photo_id, name ORDER BY edit_no) AS i FROM opts),
+ run AS (SELECT photo_id, name, edit_no, i, options[1] AS pick, [options[1]] AS taken FROM turn WHERE i = 1
+   UNION ALL SELECT t.photo_id, t.name, t.edit_no, t.i, list_filter(t.options, lambda o: NOT list_contains(r.taken, o))[1],
+     list_append(r.taken, list_filter(t.options, lambda o: NOT list_contains(r.taken, o))[1])
+   FROM run r JOIN turn t ON t.photo_id = r.photo_id AND t.name = r.name AND t.i = r.i + 1)
+ SELECT photo_id, edit_no, cast(pick AS varchar) AS face_key FROM run WHERE pick IS NOT NULL""",
+)
 def _(spark, sf):
     faces = _keyed_faces(spark, sf).withColumn("face_no", F.col("region_no"))
     edits = load(spark, sf, "face_edits").where("face_key NOT LIKE 'new:%'").withColumn("edit_no", F.col("face_key").cast("long"))
     return people.rematch_faces(faces, edits)
 
 
+@query(
+    "f22_new_faces_to_keep",
+    "face_edits",
+    "SELECT photo_id, face_key FROM face_edits WHERE face_key LIKE 'new:%' AND NOT deleted",
+)
+def _(spark, sf):
+    added = load(spark, sf, "face_edits").where("face_key LIKE 'new:%' AND NOT deleted")
+    return people.new_faces_to_keep(_keyed_faces(spark, sf), added).select("photo_id", "face_key")
+
+
 @query(
     "f23_match_names",
     "",

@@ -140,7 +140,7 @@ SELECT o_custkey AS photo_id, o_orderkey AS edit_seq, o_orderdate AS edited_at,
 FROM {orders}""",
     # edited keyword lists, one row per keyword
     "keyword_edits": """
-SELECT o_custkey AS photo_id, o_orderkey AS item,
+SELECT o_custkey AS photo_id, o_orderkey AS item, o_custkey % 2 = 0 AS edited,
        CASE o_orderkey % 4 WHEN 0 THEN 'Family' WHEN 1 THEN 'family' WHEN 2 THEN o_orderpriority
             ELSE 'DATE: Y!' END AS keyword
 FROM {orders}""",
@@ -320,7 +320,6 @@ def oracle(names: list[str], body: str) -> str:
     entries = [f"{n} AS ({_fill(_text(n, 'duckdb'), {t: t for t in TABLES})})" for n in names]
     body = body.strip()
     if body.startswith(","):
-        if not entries:
-            return "WITH " + body[1:].strip()
-        return "WITH " + ",\n".join(entries) + "\n" + body
+        entries.append(body[1:].strip())
+        return ("WITH RECURSIVE " if " JOIN turn t " in body else "WITH ") + ",\n".join(entries)
     return ("WITH " + ",\n".join(entries) + "\n" if entries else "") + body
