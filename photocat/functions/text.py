@@ -189,9 +189,10 @@ def safe_file_name(c: Column, stem: Column) -> Column:
     dropped, at most 200 bytes, reserved device names prefixed, never empty."""
     one_line = F.translate(c, "\n", " ")
     name = _trim_name(F.regexp_replace(F.regexp_replace(one_line, _STRIPPED, ""), r'[<>:"/\\|?*\x00-\x1f]', "_"))
-    # whole characters that fit: each character's size added up only where the name is too long
+    # whole characters that fit. A character takes at least one byte, so no more than the first
+    # FILE_NAME_BYTES characters can; their sizes are added up only where the name is too long
     fits = F.aggregate(
-        F.split(name, ""),
+        F.split(F.substring(name, 1, fixed.FILE_NAME_BYTES), ""),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("kept")),
         lambda s, ch: F.struct(
             (s["n"] + F.octet_length(ch)).alias("n"),
