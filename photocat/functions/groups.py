@@ -1,11 +1,13 @@
 """Ordering and matching inside groups that may be very uneven.
 
 One photo, folder or batch can hold a large share of all rows. A plain window would sort such a
-group in one task. The helpers here cut every group above a row limit into consecutive parts at
-sampled bounds, run the window per part, and add what the earlier parts contribute. Only the
-bounds and the per-part totals are broadcast; both are bounded by ``MAX_HOT_KEYS * PARTS`` rows
-whatever the input size (a group outside the largest ``MAX_HOT_KEYS`` holds less than
-1/``MAX_HOT_KEYS`` of the rows, so one task can take it).
+group in one task. ``ordered_scan`` first counts rows per key (a map-side combined count over the
+key columns only). When no group is above the limit, which is the usual case, it is one window. The
+large groups, at most ``MAX_HOT_KEYS`` keys, are cut into consecutive parts at sampled bounds: the
+window runs per part, and what the earlier parts contribute is added. Only the keys, the bounds and
+the per-part totals are broadcast, at most ``MAX_HOT_KEYS * PARTS`` rows whatever the input size. A
+group outside the largest ``MAX_HOT_KEYS`` holds less than 1/``MAX_HOT_KEYS`` of the rows, so one
+task can take it.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from photocat.session import cut_lineage
+
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 1_000
 PARTS = 64
@@ -33,14 +37,23 @@ def hot_keys(df: DataFrame, keys: Sequence[str], above: int = HOT_ROWS) -> DataF
     )
 
 
-def split_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column], above: int = HOT_ROWS) -> DataFrame:
+def find_hot(df: DataFrame, keys: Sequence[str], above: int | None = HOT_ROWS) -> DataFrame | None:
+    """The large groups as a small table, or None when there are none. Runs one count; the result
+    can be passed on to every scan over the same groups."""
+    if above is None:
+        return None
+    hot = hot_keys(df, keys, above)
+    rows = hot.collect()  # at most MAX_HOT_KEYS keys
+    return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
+def split_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column], hot: DataFrame) -> DataFrame:
     """Add ``_part``: 0 for ordinary groups, consecutive ranges of ``order`` for large ones.
 
     ``order`` is ascending and unique inside a group. The sample is picked by a hash of the order
     values, so a task that runs again picks the same rows.
     """
     o = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    hot = hot_keys(df, keys, above)
     want = PARTS * SAMPLES_PER_PART
     sample = (
         df.select(*keys, o.alias("_o"))
@@ -75,15 +88,18 @@ def ordered_scan(
     lag: dict[str, str] | None = None,
     running: dict[str, str] | None = None,
     above: int | None = HOT_ROWS,
+    hot: DataFrame | None | str = "check",
 ) -> DataFrame:
     """Row position, previous-row values and running sums inside each group.
 
     ``lag`` and ``running`` map a new column to the column it reads. ``above=None`` is for groups
-    whose size is already bounded: one plain window.
+    whose size is already bounded; ``hot`` passes on the result of an earlier ``find_hot``.
     """
     lag, running = lag or {}, running or {}
     order = list(order)
-    if above is None:
+    if isinstance(hot, str):
+        hot = find_hot(df, keys, above)
+    if hot is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         new = {out: F.lag(src).over(w) for out, src in lag.items()}
         new |= {out: F.sum(src).over(w.rowsBetween(Window.unboundedPreceding, 0)) for out, src in running.items()}
@@ -91,7 +107,8 @@ def ordered_scan(
             new[position] = F.row_number().over(w).cast("long")
         return df.withColumns(new)
 
-    parts = split_groups(df, keys, order, above)
+    # the rows are read several times below, so they are written once
+    parts = cut_lineage(split_groups(cut_lineage(df), keys, order, hot))
     by_part = [*keys, "_part"]
     totals = [F.count(F.lit(1)).alias("_cnt")]
     totals += [F.max_by(F.struct(src), F.col("_o")).alias(f"_last_{out}") for out, src in lag.items()]
@@ -126,9 +143,9 @@ def ordered_scan(
     return out.select(*keep, *[c.alias(n) for n, c in fix.items()])
 
 
-def ordered_positions(df, keys, order, name: str = "pos", above: int | None = HOT_ROWS) -> DataFrame:
+def ordered_positions(df, keys, order, name: str = "pos", above: int | None = HOT_ROWS, hot="check") -> DataFrame:
     """1-based position of each row in its group."""
-    return ordered_scan(df, keys, order, position=name, above=above)
+    return ordered_scan(df, keys, order, position=name, above=above, hot=hot)
 
 
 def with_group_values(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from photocat.functions import captions, text
 from photocat.functions import fixed_values as fixed
-from photocat.functions.groups import ordered_positions
+from photocat.functions.groups import HOT_ROWS, ordered_positions, ordered_scan
 from photocat.operators.normalize import route_output_format
+from photocat.session import cut_lineage
 
 
 def render_captions(fields: DataFrame, template: dict) -> DataFrame:
@@ -69,62 +70,46 @@ def _key(df: DataFrame) -> DataFrame:
     return df.withColumn("_base", F.lower(F.concat("folder", F.lit("/"), "name"))).withColumn("_ext", F.lower("ext"))
 
 
-def resolve_name_collisions(wanted: DataFrame, taken: DataFrame, above: int | None = None) -> DataFrame:
+def resolve_name_collisions(wanted: DataFrame, taken: DataFrame, above: int | None = HOT_ROWS) -> DataFrame:
     """(photo_id, dest): names in batch order (idx). The first photo keeps its name if it is free;
     the rest count up from 2, skipping numbers that are taken on disk or are another photo's own
     name. Equality ignores case.
 
-    For a name wanted n times, the free numbers are the row positions shifted past the taken ones:
-    position k takes the k-th free number. Both sides are ranked with the splitting scan, so one
-    name that a third of all photos want is not sorted in one task."""
-    split = {} if above is None else {"above": above}
+    The k-th photo in need takes the k-th free number. A taken number n with r taken ones up to it
+    leaves n - 1 - r free numbers below, so the k-th free number is k + 1 plus the taken numbers
+    that have fewer than k free ones below: a running sum over both lists merged. The scans split
+    large groups, so one name that a third of all photos want is not sorted in one task."""
+    group = ["_base", "_ext"]
     own = _key(wanted)
     on_disk = taken.select(F.lower("path").alias("_path")).distinct()
-    group = ["_base", "_ext"]
-    own = ordered_positions(own, group, [F.col("idx")], "k", **split)
     plain_taken = on_disk.select(F.col("_path").alias("_plain"), F.lit(True).alias("plain_taken"))
     own = own.withColumn("_plain", F.concat("_base", "_ext")).join(plain_taken, "_plain", "left")
-    # numbered names already in use: files on disk, and names other photos have of their own
+    # read five times below: written once
+    own = cut_lineage(ordered_positions(own, group, [F.col("idx")], "k", above))
     number = r"^(.*)-([1-9]\d{0,8})(\.[^./]*)$"
     first_names = own.where("k = 1 AND plain_taken IS NULL").select(F.col("_plain").alias("_path"))
-    used = on_disk.unionByName(first_names).distinct().where(F.col("_path").rlike(number)).select(
+    numbered = on_disk.unionByName(first_names).distinct().where(F.col("_path").rlike(number)).select(
         F.regexp_extract("_path", number, 1).alias("_base"), F.regexp_extract("_path", number, 3).alias("_ext"),
         F.regexp_extract("_path", number, 2).cast("long").alias("n"),
-    ).where("n >= 2")
-    used = used.join(own.select(*group).distinct(), group, "left_semi")
-    # a used number n with r used numbers below it leaves n-2-r free ones below: so the k-th free
-    # number is k+1 plus the count of used numbers whose free rank is below k
-    used = ordered_positions(used, group, [F.col("n")], "r", **split)
-    used = used.select(*group, (F.col("n") - F.col("r") - 1).alias("k"), F.lit(0).alias("_kind"), F.col("r"))
-    need = own.withColumn("want", F.when(F.col("plain_taken").isNull(), F.col("k") - 1).otherwise(F.col("k")))
-    marks = used.groupBy(*group, "k").agg(F.max("r").alias("shift"))
-    # count of used numbers at or before each wanted rank: merge both on one order and carry forward
-    both = need.select(*group, F.col("want").alias("at"), F.lit(1).alias("_kind"), "photo_id", "idx", F.lit(0).cast("long").alias("step"))
-    steps = marks.join(need.select(*group).distinct(), group, "left_semi")
-    first = ordered_positions(steps, group, [F.col("k")], "_i", **split)
-    prev = first.select(*group, (F.col("_i") + 1).alias("_i"), F.col("shift").alias("before"))
-    steps = first.join(prev, [*group, "_i"], "left").select(
-        *group, (F.col("k") + 1).alias("at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("photo_id"),
-        F.lit(None).cast("long").alias("idx"), (F.col("shift") - F.coalesce("before", F.lit(0))).alias("step"),
     )
-    return _shifted(both.unionByName(steps), group, split).join(
-        own.select("photo_id", "folder", "name", "ext"), "photo_id"
-    ).select(
-        "photo_id",
-        F.concat(
-            "folder", F.lit("/"), "name",
-            F.when(F.col("want") > 0, F.concat(F.lit("-"), (F.col("want") + 1 + F.col("shift")).cast("string"))).otherwise(""), "ext",
-        ).alias("dest"),
+    used = numbered.where("n >= 2").join(own.select(*group).distinct(), group, "left_semi")
+    used = ordered_positions(used, group, [F.col("n")], "r", above)
+    none = F.lit(None).cast("long")
+    events = own.select(
+        *group, F.when(F.col("plain_taken").isNull(), F.col("k") - 1).otherwise(F.col("k")).alias("at"), F.lit(1).alias("kind"),
+        F.col("idx").alias("tie"), "photo_id", F.lit(0).alias("step"),
+    ).unionByName(
+        # counts from the first rank that has this number below it
+        used.select(*group, (F.col("n") - F.col("r")).alias("at"), F.lit(0).alias("kind"), F.col("n").alias("tie"), none.alias("photo_id"), F.lit(1).alias("step"))
+    )
+    shifted = ordered_scan(events, group, [F.col("at"), F.col("kind"), F.col("tie")], running={"shift": "step"}, above=above)
+    numbered_name = F.when(F.col("at") > 0, F.concat(F.lit("-"), (F.col("at") + 1 + F.col("shift")).cast("string"))).otherwise("")
+    return (
+        shifted.where("kind = 1")
+        .select("photo_id", numbered_name.alias("suffix"))
+        .join(own.select("photo_id", "folder", "name", "ext"), "photo_id")
+        .select("photo_id", F.concat("folder", F.lit("/"), "name", "suffix", "ext").alias("dest"))
     )
-
-
-def _shifted(events: DataFrame, group: list, split: dict) -> DataFrame:
-    """For each wanted rank, how many used numbers lie below it (running sum of the steps)."""
-    from photocat.functions.groups import ordered_scan
-
-    order = [F.col("at"), F.col("_kind"), F.coalesce("idx", F.lit(-1))]
-    df = ordered_scan(events, group, order, running={"shift": "step"}, **split)
-    return df.where("_kind = 1").select("photo_id", F.col("at").alias("want"), "shift")
 
 
 def overwrite_policy(planned: DataFrame, taken: DataFrame, policy: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from photocat.functions import boxes, text
 from photocat.functions import fixed_values as fixed
 from photocat.session import cut_lineage
-from photocat.functions.groups import HOT_ROWS, ordered_positions, ordered_scan, overlap_pairs, with_group_values
+from photocat.functions.groups import HOT_ROWS, find_hot, ordered_positions, ordered_scan, overlap_pairs, with_group_values
 
 BOX = ["x", "y", "w", "h"]
 
@@ -244,12 +244,13 @@ def cluster_rows(faces: DataFrame, factor: float = 0.6, above: int | None = HOT_
     """Add ``row_no`` (1 is the front row): faces from the bottom up, cut where the step is large
     for this photo's face heights and steps."""
     df, down = _front_to_back(faces)
-    df = ordered_scan(df, ["photo_id"], down, lag={"_prev": "cy"}, above=above)
+    hot = find_hot(df, ["photo_id"], above)
+    df = ordered_scan(df, ["photo_id"], down, lag={"_prev": "cy"}, hot=hot)
     df = df.withColumn("_gap", F.col("_prev") - F.col("cy"))
     df = with_group_values(df, ["photo_id"], _mh=F.median("h"), _mg=F.median("_gap"))
     limit = F.greatest(factor * F.col("_mh"), F.least(1.2 * F.col("_mh"), 2.5 * F.col("_mg")))
     df = df.withColumn("_cut", F.when(F.col("_gap") >= limit, 1).otherwise(0))
-    df = ordered_scan(df, ["photo_id"], down, running={"_row": "_cut"}, above=above)
+    df = ordered_scan(df, ["photo_id"], down, running={"_row": "_cut"}, hot=hot)
     return df.withColumn("row_no", F.col("_row") + 1).drop("_down", "_prev", "_gap", "_mh", "_mg", "_cut", "_row")
 
 
