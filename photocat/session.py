@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,12 @@ def local_session(app: str = "photocat", cpus: str = "*", shuffle: int = 8) -> S
     return spark
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A new folder for stream output and progress, inside the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/photocat-{uuid.uuid4().hex}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared checkpoint folder. Only where none is set (tests, one machine)
     is a temporary one made."""
