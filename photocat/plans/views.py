@@ -13,7 +13,54 @@ TABLES = (
     " conversations"
 ).split()
 
+# tags each customer row gives: tag, value expression (NULL or blank where the photo has none)
+CUSTOMER_TAGS = [
+    ("XMP-dc:Title", """CASE WHEN c_custkey % 3 = 0 THEN c_name END"""),
+    ("XMP-dc:Title-de", """CASE WHEN c_custkey % 4 = 1 THEN 'Bild ' || c_name END"""),
+    ("IPTC:ObjectName", """CASE WHEN c_custkey % 2 = 0 THEN 'Object ' || cast(c_custkey AS string) END"""),
+    ("XMP-photoshop:Headline", """CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE c_mktsegment END"""),
+    ("IFD0:ImageDescription", """CASE WHEN c_custkey % 3 = 0 THEN '{"shape": [' || cast(c_custkey AS string) || ', 90, 3]}' ELSE 'Print ' || c_mktsegment END"""),
+    ("IFD0:XPComment", """'Comment ' || cast(c_nationkey AS string)"""),
+    ("ExifIFD:UserComment", """CASE WHEN c_custkey % 4 <> 3 THEN ' Notes on ' || c_name || ' in the ' || c_mktsegment || ' box ' END"""),
+    ("XMP-iptcCore:Location", """CASE WHEN c_custkey % 6 = 0 THEN 'Dock ' || c_nationkey END"""),
+    ("XMP-photoshop:City", """CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END"""),
+    ("IPTC:City", """'City ' || cast(c_nationkey AS string)"""),
+    ("IPTC:CodedCharacterSet", """CASE WHEN c_custkey % 2 = 0 THEN 'UTF8' END"""),
+    ("File:FileSize", """cast(c_custkey AS string)"""),
+    ("XMP-photoshop:DateCreated", """CASE WHEN c_custkey % 7 <> 0 THEN CASE c_custkey % 12 WHEN 0 THEN y || ':' || m || ':' || d || ' 00:00:00' WHEN 1 THEN y || '-' || m WHEN 2 THEN y WHEN 3 THEN substr(y, 1, 3) || '0s' WHEN 4 THEN 'circa ' || y WHEN 5 THEN m || '/' || d || '/' || y WHEN 6 THEN mon || '. ' || d || ', ' || y WHEN 7 THEN d || ' ' || mon || ' ' || y WHEN 8 THEN y || ':' || m || ':00 00:00:00' WHEN 9 THEN '0000:00:00 00:00:00' WHEN 10 THEN 'Summer ' || y ELSE y || m || d END END"""),
+    ("ExifIFD:DateTimeOriginal", """CASE WHEN c_custkey % 3 <> 1 THEN cast(1900 + c_custkey % 120 AS string) || ':' || lpad(cast(1 + c_custkey % 12 AS string), 2, '0') || ':' || lpad(cast(1 + c_custkey % 28 AS string), 2, '0') || CASE WHEN c_custkey % 5 = 2 THEN ' 17:01:07' ELSE ' 00:00:00' END END"""),
+]
+# tags each order row gives: tag expression, value expression
+ORDER_TAGS = [
+    ("""CASE WHEN o_orderkey % 3 = 0 THEN 'IPTC:Keywords' ELSE 'XMP-dc:Subject' END""", """CASE o_orderkey % 8 WHEN 0 THEN 'DATE: Y!M~' WHEN 1 THEN 'Vision Analyzed' WHEN 2 THEN 'back' WHEN 3 THEN 'Scan 2024' WHEN 4 THEN 'Scandinavia' WHEN 5 THEN upper(o_orderpriority) ELSE o_orderpriority END"""),
+    ("""CASE WHEN o_custkey % 5 = 0 THEN 'IPTC:By-line' ELSE 'XMP-dc:Creator' END""", """CASE o_orderkey % 6 WHEN 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 'Smith, John' ELSE 'John Smith' END WHEN 1 THEN ' ' ELSE 'Clerk ' || cast(o_orderkey % 10 AS string) END"""),
+]
+_CUSTOMER_PARTS = """(SELECT *, cast(1900 + c_custkey % 120 AS string) AS y, lpad(cast(1 + c_custkey % 12 AS string), 2, '0') AS m,
+  lpad(cast(1 + c_custkey % 28 AS string), 2, '0') AS d,
+  substr('JanFebMarAprMayJunJulAugSepOctNovDec', cast(1 + 3 * (c_custkey % 12) AS int), 3) AS mon FROM {customer}) AS b"""
+
+
+def _tags_spark() -> str:
+    """The tag dump from one scan of each table."""
+    entry = "struct({0} AS tag, cast({1} AS bigint) AS item, {2} AS value)"
+    c = ", ".join(entry.format(f"'{tag}'", 0, v) for tag, v in CUSTOMER_TAGS)
+    o = ", ".join(entry.format(tag, "o_orderkey", v) for tag, v in ORDER_TAGS)
+    return (
+        f"SELECT c_custkey AS photo_id, inline(array({c})) FROM {_CUSTOMER_PARTS}"
+        f" UNION ALL SELECT o_custkey, inline(array({o})) FROM {{orders}}"
+    )
+
+
+def _tags_duckdb() -> str:
+    parts = [f"SELECT c_custkey AS photo_id, '{tag}' AS tag, cast(0 AS bigint) AS item, {v} AS value FROM {_CUSTOMER_PARTS}" for tag, v in CUSTOMER_TAGS]
+    parts += [f"SELECT o_custkey, {tag}, o_orderkey, {v} FROM {{orders}}" for tag, v in ORDER_TAGS]
+    return " UNION ALL ".join(parts)
+
+
 VIEWS = {
+    # metadata dump, one row per tag value
+    "tags_spark": _tags_spark(),
+    "tags_duckdb": _tags_duckdb(),
     # file inventory: repeated contents, an unsupported format, managed folders, several pages
     "photos": """
 SELECT c_custkey AS photo_id,
@@ -33,54 +80,6 @@ SELECT c_custkey AS photo_id,
        cast(c_custkey * 7 AS bigint) AS file_id,
        'h' || lpad(cast(c_custkey % 60 AS string), 5, '0') AS content_hash
 FROM {customer}""",
-    # metadata dump, one row per tag value; a tag a photo does not have is NULL or blank
-    "tags": """
-SELECT photo_id, tag, item, value FROM (
-  SELECT c_custkey AS photo_id, 'XMP-dc:Title' AS tag, cast(0 AS bigint) AS item,
-         CASE WHEN c_custkey % 3 = 0 THEN c_name END AS value FROM {customer}
-  UNION ALL SELECT c_custkey, 'XMP-dc:Title-de', 0, CASE WHEN c_custkey % 4 = 1 THEN 'Bild ' || c_name END FROM {customer}
-  UNION ALL SELECT c_custkey, 'IPTC:ObjectName', 0,
-                   CASE WHEN c_custkey % 2 = 0 THEN 'Object ' || cast(c_custkey AS string) END FROM {customer}
-  UNION ALL SELECT c_custkey, 'XMP-photoshop:Headline', 0, CASE WHEN c_custkey % 5 = 0 THEN '   ' ELSE c_mktsegment END
-            FROM {customer}
-  UNION ALL SELECT c_custkey, 'IFD0:ImageDescription', 0,
-                   CASE WHEN c_custkey % 3 = 0 THEN '{"shape": [' || cast(c_custkey AS string) || ', 90, 3]}'
-                        ELSE 'Print ' || c_mktsegment END FROM {customer}
-  UNION ALL SELECT c_custkey, 'IFD0:XPComment', 0, 'Comment ' || cast(c_nationkey AS string) FROM {customer}
-  UNION ALL SELECT c_custkey, 'ExifIFD:UserComment', 0,
-                   CASE WHEN c_custkey % 4 <> 3 THEN ' Notes on ' || c_name || ' in the ' || c_mktsegment || ' box ' END
-            FROM {customer}
-  UNION ALL SELECT c_custkey, 'XMP-iptcCore:Location', 0, CASE WHEN c_custkey % 6 = 0 THEN 'Dock ' || c_nationkey END
-            FROM {customer}
-  UNION ALL SELECT c_custkey, 'XMP-photoshop:City', 0, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END FROM {customer}
-  UNION ALL SELECT c_custkey, 'IPTC:City', 0, 'City ' || cast(c_nationkey AS string) FROM {customer}
-  UNION ALL SELECT c_custkey, 'IPTC:CodedCharacterSet', 0, CASE WHEN c_custkey % 2 = 0 THEN 'UTF8' END FROM {customer}
-  UNION ALL SELECT c_custkey, 'File:FileSize', 0, cast(c_custkey AS string) FROM {customer}
-  UNION ALL SELECT c_custkey, 'XMP-photoshop:DateCreated', 0,
-    CASE WHEN c_custkey % 7 <> 0 THEN CASE c_custkey % 12
-      WHEN 0 THEN y || ':' || m || ':' || d || ' 00:00:00'  WHEN 1 THEN y || '-' || m
-      WHEN 2 THEN y                                         WHEN 3 THEN substr(y, 1, 3) || '0s'
-      WHEN 4 THEN 'circa ' || y                             WHEN 5 THEN m || '/' || d || '/' || y
-      WHEN 6 THEN mon || '. ' || d || ', ' || y             WHEN 7 THEN d || ' ' || mon || ' ' || y
-      WHEN 8 THEN y || ':' || m || ':00 00:00:00'           WHEN 9 THEN '0000:00:00 00:00:00'
-      WHEN 10 THEN 'Summer ' || y                           ELSE y || m || d END END
-    FROM (SELECT c_custkey, cast(1900 + c_custkey % 120 AS string) AS y,
-                 lpad(cast(1 + c_custkey % 12 AS string), 2, '0') AS m,
-                 lpad(cast(1 + c_custkey % 28 AS string), 2, '0') AS d,
-                 substr('JanFebMarAprMayJunJulAugSepOctNovDec', cast(1 + 3 * (c_custkey % 12) AS int), 3) AS mon
-          FROM {customer}) AS b
-  UNION ALL SELECT c_custkey, 'ExifIFD:DateTimeOriginal', 0,
-    CASE WHEN c_custkey % 3 <> 1 THEN cast(1900 + c_custkey % 120 AS string) || ':'
-      || lpad(cast(1 + c_custkey % 12 AS string), 2, '0') || ':' || lpad(cast(1 + c_custkey % 28 AS string), 2, '0')
-      || CASE WHEN c_custkey % 5 = 2 THEN ' 17:01:07' ELSE ' 00:00:00' END END FROM {customer}
-  UNION ALL SELECT o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'IPTC:Keywords' ELSE 'XMP-dc:Subject' END, o_orderkey,
-    CASE o_orderkey % 8 WHEN 0 THEN 'DATE: Y!M~' WHEN 1 THEN 'Vision Analyzed' WHEN 2 THEN 'back'
-         WHEN 3 THEN 'Scan 2024' WHEN 4 THEN 'Scandinavia' WHEN 5 THEN upper(o_orderpriority)
-         ELSE o_orderpriority END FROM {orders}
-  UNION ALL SELECT o_custkey, CASE WHEN o_custkey % 5 = 0 THEN 'IPTC:By-line' ELSE 'XMP-dc:Creator' END, o_orderkey,
-    CASE o_orderkey % 6 WHEN 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 'Smith, John' ELSE 'John Smith' END
-         WHEN 1 THEN '  ' ELSE 'Clerk ' || cast(o_orderkey % 10 AS string) END FROM {orders}
-) AS t""",
     # dates as people and programs write them
     "date_texts": """
 SELECT k AS text_no, CASE k % 26
