@@ -164,7 +164,8 @@ def overlap_pairs(
     """Pairs of boxes in the same group with IoU > ``threshold`` (at least 0.5).
 
     ``left`` has box columns x, y, w, h and ``right`` has rx, ry, rw, rh. Groups up to ``above``
-    boxes join on the group keys. In larger groups each left box has one grid cell for its size
+    boxes join on the group keys, and when a count finds no larger group that is the whole plan. In
+    larger groups each left box has one grid cell for its size
     class, and each right box offers only the cells a box overlapping it by half can have: sizes
     differ by less than a factor of two and centres by at most half the smaller size. So near
     misses are not paired, and no pair is lost or repeated.
@@ -177,6 +178,9 @@ def overlap_pairs(
     dense = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > above).select(
         *keys, F.lit(True).alias("_dense")
     )
+    if dense.isEmpty():
+        return left.join(right, keys).where(iou > threshold)
+    dense = cut_lineage(dense)
     no_cell = F.lit(0).cast("long")
     left = (
         left.join(dense, keys, "left")
