@@ -386,7 +386,7 @@ def _(spark, sf):
 @query(
     "f22_rematch_faces",
     "regions face_edits",
-    f""", cand AS (SELECT e.photo_id, cast(e.face_key AS bigint) AS edit_no, r.region_no, e.was_name AS name, e.face_key = cast(r.region_no AS varchar) AS same
+    f""", cand AS (SELECT e.photo_id, e.edit_no, r.region_no, e.was_name AS name, e.face_key = cast(r.region_no AS varchar) AS same
    FROM face_edits e JOIN regions r ON r.photo_id = e.photo_id AND r.name = e.was_name AND e.face_key NOT LIKE 'new:%'
    AND ((e.was_x IS NULL AND r.x IS NULL) OR {sql_iou('r', 'e', '', 'was_')} > 0.8)),
  opts AS (SELECT photo_id, name, edit_no, CASE WHEN bool_or(same) THEN list(region_no) FILTER (WHERE same) ELSE list(region_no ORDER BY region_no) END AS options
@@ -400,7 +400,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     faces = _keyed_faces(spark, sf).withColumn("face_no", F.col("region_no"))
-    edits = load(spark, sf, "face_edits").where("face_key NOT LIKE 'new:%'").withColumn("edit_no", F.col("face_key").cast("long"))
+    edits = load(spark, sf, "face_edits").where("face_key NOT LIKE 'new:%'")
     return people.rematch_faces(faces, edits)
 
 

@@ -145,7 +145,7 @@ SELECT o_custkey AS photo_id, o_orderkey AS item, o_custkey % 2 = 0 AS edited,
 FROM {orders}""",
     # face edits keyed by region number; a negative key is a new face
     "face_edits": """
-SELECT o_custkey AS photo_id,
+SELECT o_custkey AS photo_id, o_orderkey AS edit_no,
        CASE WHEN o_orderkey % 13 = 0 THEN 'new:' || cast(o_orderkey AS string)
             ELSE cast(o_orderkey + CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END AS string) END AS face_key,
        o_orderkey % 3 <> 0 AS has_name,
