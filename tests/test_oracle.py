@@ -9,6 +9,8 @@ pytest.importorskip("duckdb")
 import __spark_entry__ as entry  # noqa: E402
 import compare  # noqa: E402
 
+from photocat.plans import registry  # noqa: E402
+
 SF = os.environ.get("PHOTOCAT_TEST_SF", "/root/testdata/sf0.001")
 
 
@@ -17,7 +19,7 @@ def con():
     return compare.connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
     rows, problem = compare.compare(spark, con, SF, name, entry.queries()[name], entry.oracle_sql().get(name))
     assert problem is None
