@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from photocat.llm import quality
+from photocat.llm import bpe, quality
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -14,4 +14,5 @@ def _add(fn, sql: str | None = None) -> None:
         ORACLE[fn.__name__] = sql
 
 
+_add(bpe.op4_byte_bpe)
 _add(quality.op6_quality_rules)
