@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from photocat.llm import bpe, quality
+from photocat.llm import bpe, line_dedup, mixing, quality
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -16,3 +16,5 @@ def _add(fn, sql: str | None = None) -> None:
 
 _add(bpe.op4_byte_bpe)
 _add(quality.op6_quality_rules)
+_add(line_dedup.op8_line_dedup, line_dedup.OP8_SQL)
+_add(mixing.op9_mixing, mixing.sql())
