@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from photocat.llm import bpe, line_dedup, mixing, quality
+from photocat.llm import bpe, line_dedup, mixing, near_dup, quality
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -18,3 +18,4 @@ _add(bpe.op4_byte_bpe)
 _add(quality.op6_quality_rules)
 _add(line_dedup.op8_line_dedup, line_dedup.OP8_SQL)
 _add(mixing.op9_mixing, mixing.sql())
+_add(near_dup.op10_near_dup)
