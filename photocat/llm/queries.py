@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from photocat.llm import bpe, line_dedup, mixing, near_dup, quality
 
-QUERIES: dict = {}
+QUERIES: dict = {"pipeline": corpus_pipeline.run}
 ORACLE: dict = {}
 
 
