@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from photocat.llm import bpe, line_dedup, mixing, near_dup, quality, warc
+from photocat.llm import bpe, line_dedup, lm, mixing, near_dup, quality, warc
 
 QUERIES: dict = {"pipeline": corpus_pipeline.run}
 ORACLE: dict = {}
@@ -21,3 +21,4 @@ _add(line_dedup.op8_line_dedup, line_dedup.OP8_SQL)
 _add(mixing.op9_mixing, mixing.sql())
 _add(near_dup.op10_near_dup)
 _add(warc.op5_warc, warc.OP5_SQL)
+_add(lm.op3_lm_score)
