@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +43,28 @@ def in_blocks(rows: DataFrame, key: str, node: str, limit: int) -> DataFrame:
     out = rows.join(sizes.select(key, "nb"), key).withColumn("block", F.pmod(F.xxhash64(node), F.col("nb")).cast("int"))
     out = out.withColumn("other", F.explode(F.when(F.col("nb") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))))
     return out.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")}).drop("nb", "other")
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows with those of equal keys next to each other in one partition, for ``sorted_groups``."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys)
+
+
+def sorted_groups(batches, keys):
+    """(key, rows) for runs of equal keys in a sorted stream; only the last run of a batch is carried on."""
+    carried = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if carried is None else pa.concat_tables([carried, t])
+        if not t.num_rows:
+            continue
+        cols = [t.column(k).to_numpy() for k in keys]
+        edge = np.flatnonzero(functools.reduce(np.logical_or, [c[1:] != c[:-1] for c in cols])) + 1
+        bounds = [0, *edge.tolist()]
+        for x, y in zip(bounds, bounds[1:], strict=False):
+            if y - x > 1:
+                yield tuple(c[x] for c in cols), t.slice(x, y - x)
+        carried = t.slice(bounds[-1])
+    if carried is not None and carried.num_rows > 1:
+        yield tuple(carried.column(k)[0].as_py() for k in keys), carried

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from photocat.llm import bpe, line_dedup, lm, mixing, near_dup, pii, quality, warc
+from photocat.llm import bpe, embed_dup, line_dedup, lm, mixing, near_dup, pii, quality, warc
 
 QUERIES: dict = {"pipeline": corpus_pipeline.run}
 ORACLE: dict = {}
@@ -23,3 +23,4 @@ _add(near_dup.op10_near_dup)
 _add(warc.op5_warc, warc.OP5_SQL)
 _add(lm.op3_lm_score)
 _add(pii.op1_pii)
+_add(embed_dup.op2_embedding_dup)
