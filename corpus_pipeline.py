@@ -37,11 +37,7 @@ def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the digest of what they decode to."""
-    path = bpe.vocabulary_path()
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path)
-    n = (F.octet_length("ids") / 4).cast("long")
-    out = bpe.decode(ids.select("doc_id", "lang", "source", n.alias("n_tokens"), F.col("ids").alias("token_ids"), "ids", "ends"), path)
-    return out.select("doc_id", "lang", "source", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), bpe.vocabulary_path()).withColumnRenamed("ids", "token_ids")
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_spread), ("near dedup", near_copies), ("mixing", target_weights), ("byte BPE", byte_bpe)]

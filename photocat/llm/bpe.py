@@ -17,19 +17,22 @@ from __future__ import annotations
 
 import base64
 import functools
-import struct
+import hashlib
+import heapq
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from photocat.llm.common import table, text_slices, utf8, with_columns
 
-#: Merged pieces a worker remembers twice over; the cache changes no result.
-CACHE_PIECES = 500_000
-NO_RANK = 1 << 40
+#: Merged pieces a worker remembers, and those of one slice more; the cache changes no result.
+CACHE_PIECES = 250_000
+#: Pieces of more bytes are merged one by one.
+LONG_PIECE = 100
+NO_RANK = np.uint64(1 << 40)
+NO_KEY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 # Classes of a position. Blanks are told apart by whether text follows; apostrophes by the letters that follow.
 LETTER, DIGIT, OTHER, BLANK_INNER, SPACE_LAST, BLANK_LAST, APOSTROPHE_1, APOSTROPHE_2, N_CLASSES = range(9)
@@ -123,66 +126,120 @@ def piece_starts(points: np.ndarray, first: np.ndarray, width: int = 64) -> np.n
 
 
 class Ranks:
-    """The vocabulary of a rank file. ``pieces`` maps a piece to its packed ids and is filled on demand."""
+    """The vocabulary of a rank file."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
-        size = max(self.rank.values(), default=-1) + 1
-        self.token = [b""] * size
+        token = [b""] * (max(self.rank.values(), default=-1) + 1)
         for t, r in self.rank.items():
-            self.token[r] = t
-        self.length = np.array([len(t) for t in self.token], dtype=np.int64)
+            token[r] = t
+        self.length = np.array([len(t) for t in token], dtype=np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.length)])
-        self.bytes = np.frombuffer(b"".join(self.token), dtype=np.uint8)
-        self.pieces: dict[bytes, bytes] = _Pieces(self.rank)
-
-
-class _Pieces(dict):
-    """Packed ids by piece. Full, it keeps the pieces of the last round as well, so that frequent ones stay."""
-
-    def __init__(self, rank: dict[bytes, int]):
-        super().__init__()
-        self.rank, self.older = rank, {}
-        self.single = [rank.get(bytes([b])) for b in range(256)]
-        # the merged id of two adjacent ids; ids are below 2**32
-        self.pairs = {(rank[t[:i]] << 32) | rank[t[i:]]: r for t, r in rank.items() for i in range(1, len(t)) if t[:i] in rank and t[i:] in rank}
-
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= CACHE_PIECES:
-            self.older = dict(self)
-            self.clear()
-        packed = self.older.get(piece)
-        if packed is None:
-            whole = self.rank.get(piece)
-            ids = [whole] if whole is not None else self.merged(piece)
-            packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= 64:
-            self[piece] = packed
-        return packed
-
-    def merged(self, piece: bytes) -> list[int]:
-        """Ids of one piece: the adjacent pair of lowest rank is merged, leftmost first, until no pair has a rank.
-        Long pieces keep their pairs in a heap, so that their cost grows little faster than their length."""
-        if len(piece) > 100:
-            return _merged_long(piece, self.rank)
-        get = self.pairs.get
-        ids = [self.single[b] for b in piece]
-        ranks = [get((x << 32) | y, NO_RANK) for x, y in zip(ids, ids[1:], strict=False)]
-        while ranks and (best := min(ranks)) != NO_RANK:
-            at = ranks.index(best)
-            ids[at : at + 2] = [best]
-            del ranks[at]
-            if at < len(ranks):
-                ranks[at] = get((best << 32) | ids[at + 1], NO_RANK)
-            if at:
-                ranks[at - 1] = get((ids[at - 1] << 32) | best, NO_RANK)
-        return ids
+        self.bytes = np.frombuffer(b"".join(token), dtype=np.uint8)
+        self.pieces: dict[bytes, bytes] = {}  # packed ids of pieces seen
+
+    @functools.cached_property
+    def single(self) -> np.ndarray:
+        return np.array([self.rank.get(bytes([b]), 0) for b in range(256)], dtype=np.uint64)
+
+    @functools.cached_property
+    def pairs(self) -> _Lookup:
+        """The merged id of two adjacent ids."""
+        rank = self.rank
+        found = {(rank[t[:i]] << 32) | rank[t[i:]]: r for t, r in rank.items() for i in range(1, len(t)) if t[:i] in rank and t[i:] in rank}
+        return _Lookup(np.array(list(found), dtype=np.uint64), np.array(list(found.values()), dtype=np.uint64))
+
+    def packed(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of every piece, merged once and then remembered."""
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces = {}
+        found = self.pieces
+        short = []
+        for p in set(pieces).difference(found):
+            if (whole := self.rank.get(p)) is not None:
+                found[p] = whole.to_bytes(4, "little")
+            elif len(p) > LONG_PIECE:
+                found[p] = np.array(_merged_long(p, self.rank), dtype="<u4").tobytes()
+            else:
+                short.append(p)
+        if short:
+            found.update(zip(short, merged(short, self), strict=True))
+        return list(map(found.__getitem__, pieces))
+
+
+class _Lookup:
+    """Values of 64-bit keys in an open table, for whole arrays of keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length() + 1)
+        self.keys = np.full(1 << self.bits, NO_KEY)
+        self.values = np.full(1 << self.bits, NO_RANK)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.keys[at] == NO_KEY
+            self.keys[at[free]] = keys[free]
+            mine = self.keys[at] == keys
+            self.values[at[mine]] = values[mine]
+            keys, values, at = keys[~mine], values[~mine], (at[~mine] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        got = self.keys[at]
+        out = np.where(got == keys, self.values[at], NO_RANK)
+        again = np.flatnonzero((got != keys) & (got != NO_KEY))
+        while len(again):
+            at[again] = (at[again] + 1) & ((1 << self.bits) - 1)
+            got = self.keys[at[again]]
+            hit = got == keys[again]
+            out[again[hit]] = self.values[at[again[hit]]]
+            again = again[~hit & (got != NO_KEY)]
+        return out
+
+
+def merged(pieces: list[bytes], vocabulary: Ranks) -> list[bytes]:
+    """Packed ids of pieces, all merged side by side: in each round every piece that still has a pair with a rank
+    merges its pair of lowest rank, the leftmost of equal ones."""
+    out = [b""] * len(pieces)
+    ids = vocabulary.single[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+    size = np.array([len(p) for p in pieces], dtype=np.int64)
+    owner = np.repeat(np.arange(len(pieces)), size)
+    rank = np.full(len(ids), NO_RANK)  # of a position and the next one
+    inner = np.flatnonzero(owner[:-1] == owner[1:])
+    rank[inner] = vocabulary.pairs((ids[inner] << np.uint64(32)) | ids[inner + 1])
+    while len(ids):
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        best = np.minimum.reduceat(rank, first)
+        size = np.diff(np.append(first, len(ids)))
+        if (best == NO_RANK).any():  # these pieces are done
+            done = np.repeat(best == NO_RANK, size)
+            flat = ids[done].astype("<u4").tobytes()
+            ends = np.cumsum(size[best == NO_RANK]).tolist()
+            for k, x, y in zip(owner[first[best == NO_RANK]].tolist(), [0, *ends], ends, strict=False):
+                out[k] = flat[4 * x : 4 * y]
+            ids, owner, rank = ids[~done], owner[~done], rank[~done]
+            size, best = size[best != NO_RANK], best[best != NO_RANK]
+            if not len(ids):
+                break
+        hit = np.flatnonzero(rank == np.repeat(best, size))
+        hit = hit[np.diff(owner[hit], prepend=-1) != 0]
+        ids[hit] = best
+        keep = np.ones(len(ids), dtype=bool)
+        keep[hit + 1] = False
+        ids, owner, rank = ids[keep], owner[keep], rank[keep]
+        at = hit - np.arange(len(hit))  # where the merged ids stand now
+        rank[at] = NO_RANK
+        for left in (at[: len(at) - (len(at) > 0 and at[-1] == len(ids) - 1)], at[at > 0] - 1):
+            left = left[owner[left] == owner[left + 1]]
+            rank[left] = vocabulary.pairs((ids[left] << np.uint64(32)) | ids[left + 1])
+    return out
 
 
 def _merged_long(piece: bytes, rank: dict[bytes, int]) -> list[int]:
-    import heapq
-
+    """Ids of one long piece; its pairs are kept in a heap, so that the cost grows little faster than the length."""
     n = len(piece)
     end, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
 
@@ -228,8 +285,7 @@ def encode_texts(texts: list[bytes], vocabulary: Ranks) -> list[bytes]:
     cuts = piece_starts(points, first[:-1])
     piece_of_text = np.searchsorted(cuts, text_at).tolist()
     at = offset[cuts].tolist() + [len(joined)]
-    found = vocabulary.pieces
-    ids = [found[joined[a:b]] for a, b in zip(at, at[1:], strict=False)]
+    ids = vocabulary.packed([joined[a:b] for a, b in zip(at, at[1:], strict=False)])
     return [b"".join(ids[a:b]) for a, b in zip(piece_of_text, piece_of_text[1:], strict=False)]
 
 
@@ -259,29 +315,44 @@ def _kind(t) -> str:
     return t.simpleString()
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """The rows with ``ids`` and ``ends`` in place of ``text``. ``path``: rank file, present on every worker."""
+def _encode_batches(batches, path: str):
+    v = ranks(path)
+    for part in text_slices(batches):
+        ids = encode_texts(utf8(part.column("text")), v)
+        ends = [token_ends(x, v) for x in ids]
+        yield with_columns(part, ("text",), ids=pa.array(ids, pa.binary()), ends=pa.array(ends, pa.binary()))
+
+
+def _decode_batches(batches, path: str):
+    v = ranks(path)
+    for part in text_slices(batches, "ids"):
+        got = [decode_ids(a or b"", b or b"", v) for a, b in zip(part.column("ids").to_pylist(), part.column("ends").to_pylist(), strict=True)]
+        yield with_columns(part, ("ends",), bytes=pa.array(got, pa.binary()))
+
 
-    def run(batches):
-        v = ranks(path)
-        for part in text_slices(batches):
-            ids = encode_texts(utf8(part.column("text")), v)
-            ends = [token_ends(x, v) for x in ids]
-            yield with_columns(part, ("text",), ids=pa.array(ids, pa.binary()), ends=pa.array(ends, pa.binary()))
+def _digest_batches(batches):
+    sha = lambda c: pa.array([hashlib.sha256(x).hexdigest() for x in c.to_pylist()])
+    for part in batches:
+        ids = part.column("ids")
+        yield with_columns(part, ("bytes",), n_tokens=pa.array([len(x) // 4 for x in ids.to_pylist()], pa.int64()), ids_sha256=sha(ids), decoded_sha256=sha(part.column("bytes")))
 
-    return docs.drop("ids", "ends").mapInArrow(run, _typed(docs, ("text", "ids", "ends"), "ids binary, ends binary"))
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """The rows with ``ids`` and ``ends`` in place of ``text``. ``path``: rank file, present on every worker."""
+    return docs.drop("ids", "ends").mapInArrow(lambda b: _encode_batches(b, path), _typed(docs, ("text", "ids", "ends"), "ids binary, ends binary"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The rows with ``bytes``, decoded from ``ids`` and ``ends``, in their place."""
+    """The rows with ``bytes``, decoded from ``ids`` and ``ends``, in place of ``ends``."""
+    return encoded.drop("bytes").mapInArrow(lambda b: _decode_batches(b, path), _typed(encoded, ("ends", "bytes"), "bytes binary"))
 
-    def run(batches):
-        v = ranks(path)
-        for part in text_slices(batches, "ids"):
-            got = [decode_ids(a or b"", b or b"", v) for a, b in zip(part.column("ids").to_pylist(), part.column("ends").to_pylist(), strict=True)]
-            yield with_columns(part, ("ids", "ends"), bytes=pa.array(got, pa.binary()))
 
-    return encoded.mapInArrow(run, _typed(encoded, ("ids", "ends", "bytes"), "bytes binary"))
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """Encoding and decoding in one pass: the rows with ``ids``, ``n_tokens`` and the digests of the packed ids and of
+    the decoded bytes in place of ``text``."""
+    ours = ("ids", "ends", "bytes", "n_tokens", "ids_sha256", "decoded_sha256")
+    chain = lambda b: _digest_batches(_decode_batches(_encode_batches(b, path), path))
+    return docs.drop(*ours).mapInArrow(chain, _typed(docs, ("text", *ours), "ids binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string"))
 
 
 def vocabulary_path() -> str:
@@ -290,12 +361,6 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Per document: number of tokens, digest of the packed ids, digest of the decoded bytes."""
-    encoded = encode(docs.select("doc_id", "text"), path)
-    out = decode(encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids", "ends"), path)
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
-
-
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), vocabulary_path())
+    """Per document: number of tokens, digest of the packed ids, digest of the decoded bytes."""
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path()).drop("ids")
