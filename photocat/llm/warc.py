@@ -94,7 +94,7 @@ class BadRecord(ValueError):
     pass
 
 
-VERSION = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[01]\r\n|\x1f\x8b\x08")
+VERSION = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
 
 def _one(data: bytes, at: int) -> tuple[dict, int]:
