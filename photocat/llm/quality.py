@@ -236,11 +236,13 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     for k in range(2):
         estimates = fixed(_step(rows, estimates))
     estimates = fixed(_best(estimates))
-    for _ in range(MAX_STEPS):
-        now = fixed(_step(rows, estimates))
-        moved = now.alias("a").join(estimates.alias("b"), GROUP).filter("a.logdet < b.logdet - 1e-9").limit(1).count()
-        estimates = now
-        if not moved:
+    for _ in range(MAX_STEPS):  # a group takes a step's estimate while that makes its determinant smaller
+        now = _step(rows, estimates).select(*GROUP, F.struct("start", "n_all", "m", "w", "logdet").alias("now"))
+        both = small_or_plain(estimates).join(now, GROUP).withColumn("moved", F.col("now.logdet") < F.col("logdet") - 1e-9)
+        pick = lambda c: F.when(F.col("moved"), F.col("now")[c]).otherwise(F.col(c)).alias(c)
+        both = fixed(both.select(*GROUP, "moved", *[pick(c) for c in ("start", "n_all", "m", "w", "logdet")]))
+        estimates = both.drop("moved")
+        if not both.filter("moved").limit(1).count():
             break
     return sizes, estimates
 
