@@ -121,7 +121,7 @@ def identify(rows: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
     labels = F.element_at("host_labels", -1)
     best = lambda scores: F.array_max(F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("i")) for i, s in enumerate(scores)]))
     ll = [F.col("ll")[i] for i in range(k)]
-    rows = rows.withColumn("host_labels", F.split("host", r"\."))
+    rows = rows.withColumn("host", F.nullif(F.col("host"), F.lit(""))).withColumn("host_labels", F.split("host", r"\."))
     rows = rows.withColumns({
         "suffix": F.when(F.size("host_labels") > 1, labels),
         "domain": F.when(F.size("host_labels") > 1, F.concat_ws(".", F.slice("host_labels", -2, 2))).otherwise(F.col("host")),
