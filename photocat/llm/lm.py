@@ -41,7 +41,7 @@ START, END = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WORDS, BIGRAMS = 1, 2
 #: Different words and bigrams a task holds before it sends them.
-HELD_KEYS = 2_000_000
+HELD_KEYS = 1_000_000
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

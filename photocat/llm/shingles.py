@@ -39,13 +39,21 @@ def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return data, starts, ends, np.searchsorted(starts, text_starts)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word, index of the first word of each text and the number of words)"""
+def word_hashes(texts: list[bytes], chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word, index of the first word of each text and the number of words). Worked through in
+    chunks of about so many bytes, as the sums take eight times the memory of the text."""
     data, starts, ends, first = word_spans(texts)
-    size = 1 << max(20, len(data).bit_length())
-    up, down = _powers(size)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * STEP), first
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + chunk, side="right")))
+        a, b = starts[at:upto] - starts[at], ends[at:upto] - starts[at]
+        part = data[starts[at] : ends[upto - 1]].astype(np.uint64) + np.uint64(1)
+        up, down = _powers(max(chunk, 1 << len(part).bit_length()))
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(part * up[: len(part)])])
+        out[at:upto] = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * STEP)
+        at = upto
+    return out, first
 
 
 def labelled(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
