@@ -18,6 +18,9 @@ def _expand(tag: str) -> list[str]:
     return [f"{g}:{name}" for g in fixed.EXIF_GROUPS] if group == "EXIF" else [tag]
 
 
+CHARSET_TAG = "IPTC:CodedCharacterSet"
+
+
 def field_sources(spark: SparkSession, fields: list[str] | None = None) -> DataFrame:
     """The dimension (field, source_tag, rank): a fixed table of a few dozen rows."""
     rows = [
@@ -58,19 +61,25 @@ def expand_tag_candidates(tags: DataFrame, fields: list[str] | None = None) -> D
 def normalize_fields(tags: DataFrame) -> DataFrame:
     """One row per photo: every field's value and the tag it came from (``<field>_tag``).
 
-    Text fields take the first present value; dates the first value with a digit 1-9, else the
-    first present one. Columns nobody selects are pruned from the aggregate.
+    Text fields take the first tag that has a value; dates the first with a digit 1-9, else the first. A tag's items are
+    joined in their order: by ", ", creators by "; " if a name holds a comma. IPTC values that were decoded wrongly are
+    repaired first. Rows are shuffled once, by photo.
     """
-    c = expand_tag_candidates(tags)
+    names = [t for sources in fixed.FIELD_SOURCES.values() for x in sources for t in _expand(x)]
+    c = expand_tag_candidates(repair_iptc(tags.where(_wanted(tags, names) | (F.col("tag") == CHARSET_TAG))))
     shape_note = F.col("tag").endswith(":ImageDescription") & text.is_shape_note(F.col("value"))
-    c = c.where(~((F.col("field") == "caption") & shape_note)).withColumn("value", text.clean(F.col("value")))
-    first = "min(struct(rank, tag, item, value)) FILTER (WHERE field = '{0}')"
-    dated = "min(struct(rank, tag, item, value)) FILTER (WHERE field = '{0}' AND value RLIKE '[1-9]')"
+    c = c.where(~((F.col("field") == "caption") & shape_note)).withColumn("value", text.clean(F.col("value"))).where("value IS NOT NULL")
+    items = F.array_sort(F.collect_list(F.struct("item", "value")))["value"]
+    lists = c.groupBy("photo_id", "field", "rank", "tag").agg(items.alias("items"))
+    sep = F.when((F.col("field") == "creator") & F.exists("items", lambda x: x.contains(",")), "; ").otherwise(", ")
+    lists = lists.select("photo_id", "field", "rank", "tag", F.when(sep == "; ", F.array_join("items", "; ")).otherwise(F.array_join("items", ", ")).alias("value"))
+    first = "min(struct(rank, tag, value)) FILTER (WHERE field = '{0}')"
+    dated = "min(struct(rank, tag, value)) FILTER (WHERE field = '{0}' AND value RLIKE '[1-9]')"
     aggs = [F.expr(first.format(f)).alias(f) for f in fixed.TEXT_FIELDS]
     aggs += [
         F.coalesce(F.expr(dated.format(f)), F.expr(first.format(f))).alias(f) for f in fixed.DATE_FIELDS_READ
     ]
-    best = c.groupBy("photo_id").agg(*aggs)
+    best = lists.groupBy("photo_id").agg(*aggs)
     return best.select(
         "photo_id",
         *[F.col(f)["value"].alias(f) for f in fixed.TEXT_FIELDS + fixed.DATE_FIELDS_READ],
@@ -88,7 +97,7 @@ def fields_long(fields: DataFrame) -> DataFrame:
 def repair_iptc(tags: DataFrame) -> DataFrame:
     """Repair wrongly decoded IPTC values of photos whose character set tag does not say UTF-8."""
     flagged = (
-        tags.where((F.col("tag") == "IPTC:CodedCharacterSet") & F.col("value").rlike("(?i)%G|utf"))
+        tags.where((F.col("tag") == CHARSET_TAG) & F.col("value").rlike("(?i)%G|utf"))
         .select("photo_id", F.lit(True).alias("_utf8"))
         .distinct()
     )
@@ -104,6 +113,7 @@ def merge_keywords(tags: DataFrame) -> DataFrame:
     """Keywords of both lists, one row each: the first spelling and its place (src_rank, item).
     Repeats are removed by a map-side combined aggregate, not by a window."""
     rank = F.when(F.col("tag") == fixed.KEYWORD_TAGS[0], 0).otherwise(1)
+    tags = repair_iptc(tags.where(F.col("tag").isin([*fixed.KEYWORD_TAGS, CHARSET_TAG])))
     return (
         tags.where(F.col("tag").isin(fixed.KEYWORD_TAGS) & text.present(F.col("value")))
         .select("photo_id", rank.alias("src_rank"), "item", text.strip(text.unix_lines(F.col("value"))).alias("keyword"))

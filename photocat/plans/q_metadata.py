@@ -28,10 +28,14 @@ CANDIDATES = f""", src(field, source_tag, rank) AS (VALUES {_SOURCES}),
    WHERE trim(t.value) <> '')"""
 FIELDS = (
     CANDIDATES
-    + f""", first AS (SELECT * FROM (SELECT photo_id, field, tag, {CLEAN} AS value,
+    + f""", listed AS (SELECT photo_id, field, tag, rank,
+     CASE WHEN field = 'creator' AND bool_or(contains(value, ',')) THEN string_agg({CLEAN}, '; ' ORDER BY item)
+       ELSE string_agg({CLEAN}, ', ' ORDER BY item) END AS value
+   FROM cand WHERE NOT (field = 'caption' AND tag LIKE '%:ImageDescription' AND {SHAPE}) GROUP BY photo_id, field, tag, rank),
+ first AS (SELECT * FROM (SELECT photo_id, field, tag, value,
      row_number() OVER (PARTITION BY photo_id, field ORDER BY
-       CASE WHEN field IN ('date', 'digitized') AND NOT regexp_matches(value, '[1-9]') THEN 1 ELSE 0 END, rank, tag, item) AS rn
-   FROM cand WHERE NOT (field = 'caption' AND tag LIKE '%:ImageDescription' AND {SHAPE})) AS x WHERE rn = 1)"""
+       CASE WHEN field IN ('date', 'digitized') AND NOT regexp_matches(value, '[1-9]') THEN 1 ELSE 0 END, rank, tag) AS rn
+   FROM listed) AS x WHERE rn = 1)"""
 )
 
 
