@@ -91,7 +91,25 @@ def _(spark, sf):
     return rows.select("batch_id", stamp("from_ts").alias("from_ts"), "done")
 
 
-@query("t4_stream_eta", "")
+# every report moves the expected end as the stream does, one recursion step a report
+TIME_LEFT = """, numbered AS (
+  SELECT batch_id, floor(epoch(ts)) AS t, idx::BIGINT AS done, 25 AS total, row_number() OVER (PARTITION BY batch_id ORDER BY floor(epoch(ts)), idx) AS n FROM journal WHERE state = 'done'
+), paced AS (
+  WITH RECURSIVE step AS (
+    SELECT batch_id, n, t, done, total, t AS start_t, done AS start_done, done AS most, NULL::DOUBLE AS end_t FROM numbered WHERE n = 1
+    UNION ALL
+    SELECT c.batch_id, c.n, c.t, c.done, c.total, if(c.done < s.start_done, c.t, s.start_t), if(c.done < s.start_done, c.done, s.start_done),
+      if(c.done < s.start_done, c.done, greatest(s.most, c.done)),
+      CASE WHEN c.done < s.start_done THEN NULL WHEN c.done <= s.most OR c.done - s.start_done < 2 THEN s.end_t
+        WHEN s.end_t IS NULL THEN c.t + greatest(0, c.total - c.done) * (c.t - s.start_t) / (c.done - s.start_done)
+        ELSE 0.65 * greatest(c.t, s.end_t) + 0.35 * (c.t + greatest(0, c.total - c.done) * (c.t - s.start_t) / (c.done - s.start_done)) END
+    FROM step s JOIN numbered c ON c.batch_id = s.batch_id AND c.n = s.n + 1
+  ) SELECT * FROM step
+)
+SELECT batch_id, t, done, round(CASE WHEN done >= total THEN 0.0 WHEN end_t IS NOT NULL THEN greatest(0.0, end_t - t) END, 2) AS left_s FROM paced"""
+
+
+@query("t4_stream_eta", "journal", TIME_LEFT)
 def _(spark, sf):
     # progress reports: how many of a batch's photos were done at each completion
     e = _events(spark, sf).where("state = 'done'")
@@ -100,7 +118,7 @@ def _(spark, sf):
     def run():
         return _collected(spark, journal.stream_eta(progress))[0]
 
-    return spark.read.parquet(_with_rocksdb(spark, run)).withColumn("left_s", F.round("left_s", 3))
+    return spark.read.parquet(_with_rocksdb(spark, run)).withColumn("left_s", F.round("left_s", 2))
 
 
 FENCE = """SELECT batch_id, seq, epoch, coalesce(max(epoch) OVER (PARTITION BY batch_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > epoch, false) AS refused FROM journal"""

@@ -7,6 +7,7 @@ storage, so a lost executor or a restart continues where it was.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -73,38 +74,52 @@ def stream_throughput(events: DataFrame, late: str = "10 minutes", width: str =
 
 
 class _TimeLeft(StatefulProcessor):
-    """Smoothed time left of one batch. State: where counting started, the last count, the estimate."""
+    """Expected end of one batch. State: the report from which speed is measured, the highest count, the expected end."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.clock = handle.getValueState("clock", "base long, base_t double, last long, last_t double, eta double")
+        self.kept = handle.getValueState("pace", "start_t double, start_done long, most long, end_t double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = list(self.clock.get()) if self.clock.exists() else None
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["t", "done"]).itertuples():
-            state, left = time_left_step(state, int(r.done), int(r.total), float(r.t))
-            out.append((key[0], float(r.t), int(r.done), left))
-        self.clock.update(tuple(state))
-        yield pd.DataFrame(out, columns=["batch_id", "t", "done", "left_s"])
+        pace = Pace(*self.kept.get()) if self.kept.exists() else None
+        for chunk in rows:
+            chunk = chunk.sort_values(["t", "done"])
+            left = []
+            for t, done, total in zip(chunk.t.tolist(), chunk.done.tolist(), chunk.total.tolist(), strict=True):
+                pace = Pace(t, done, done, None) if pace is None or done < pace.start_done else pace.after(t, done, total)
+                left.append(pace.left(t, done, total))
+            yield pd.DataFrame({"batch_id": key[0], "t": chunk.t.to_numpy(), "done": chunk.done.to_numpy(), "left_s": pd.array(left, dtype="Float64")})
+        if pace is not None:
+            self.kept.update(pace)
 
     def close(self) -> None:
         pass
 
 
-def time_left_step(state, done: int, total: int, now: float):
-    """One progress report: (new state, seconds left or None). Counting starts over when the count
-    drops; each completion blends the fresh estimate with the counted-down old one."""
-    if state is None or done < state[0]:
-        state = [done, now, done, now, None]
-    base, base_t, last, last_t, eta = state
-    if done > last:
-        if done - base >= fixed.ETA_MIN_DONE:
-            fresh = max(0, total - done) * max(0.0, now - base_t) / (done - base)
-            share = fixed.ETA_NEW_SHARE
-            eta = fresh if eta is None else share * fresh + (1 - share) * max(0.0, eta - (now - last_t))
-        last, last_t = done, now
-    left = 0.0 if done >= total else None if eta is None else max(0.0, eta - (now - last_t))
-    return [base, base_t, last, last_t, eta], left
+class Pace(NamedTuple):
+    """Progress of a batch as the moment it is expected to end; measuring starts anew when its count falls below the start's."""
+
+    start_t: float
+    start_done: int
+    most: int
+    end_t: float | None
+
+    def after(self, t: float, done: int, total: int) -> Pace:
+        """With one more report. Only a higher count moves the expected end: partly to where the speed since the start
+        leads, partly it stays (or is now, if it has passed)."""
+        made = done - self.start_done
+        if done <= self.most:
+            return self
+        if made < fixed.ETA_MIN_DONE:
+            return self._replace(most=done)
+        seconds_each = max(0.0, t - self.start_t) / made
+        at_this_speed = t + max(0, total - done) * seconds_each
+        before = at_this_speed if self.end_t is None else max(t, self.end_t)
+        return self._replace(most=done, end_t=before + fixed.ETA_NEW_SHARE * (at_this_speed - before))
+
+    def left(self, t: float, done: int, total: int) -> float | None:
+        if done >= total:
+            return 0.0
+        return None if self.end_t is None else max(0.0, self.end_t - t)
 
 
 def stream_eta(progress: DataFrame) -> DataFrame:
