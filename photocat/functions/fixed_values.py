@@ -98,3 +98,25 @@ DRAFT_DAYS = 60
 STAGING_IDLE = "10 minutes"
 # Fixed: share of the newest estimate in the smoothed time left, and results needed before one.
 ETA_NEW_SHARE, ETA_MIN_DONE = 0.35, 2
+
+# Fixed: why a batch leaves a photo alone or marks it, as users read it.
+BATCH_REASONS = {
+    "multi": "Multi-page TIFF: saving would drop the extra pages",
+    "unsupported": "unsupported file",
+    "copy": "a captioned copy made earlier",
+    "maybe_copy": "may be a captioned copy",
+    "edge": "not sure where the photo ends (check its edge)",
+    "over": "text printed over the photo (left untouched)",
+    "refused": "caption on the scan: overwriting it is off",
+    "own": "already captioned",
+    "existing": "has an existing caption",
+    "names": "no names found",
+    "weak": "some existing caption text was hard to read",
+}
+
+# Fixed: phrases of read errors (lower case) that mean an empty and a damaged file.
+EMPTY_FILE_PHRASES = ["empty file", "file is empty", "zero byte", "zero-byte"]
+DAMAGED_FILE_PHRASES = [
+    "cannot identify", "corrupt", "damaged", "decod", "invalid jpeg", "invalid png", "invalid tiff", "not a supported", "not a valid",
+    "not an image", "premature end", "truncated", "unexpected end", "unsupported file type",
+]
