@@ -3,7 +3,7 @@
 A template is a list of Python objects made with ``tok``, ``lit`` and ``group``. It is turned into
 expressions once, when the plan is built; every photo then runs in one projection.
 
-    [tok("title"), group(lit(", "), tok("date", fmt="yyyy")), lit("\\n"), tok("names")]
+    [tok("title"), group(lit(", "), tok("date", fmt="yyyy", as_of="2026-01-01")), lit("\\n"), tok("names")]
 """
 
 from __future__ import annotations
@@ -13,10 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from photocat.functions import text
+from photocat.functions import dates, text
 
-# Fixed: characters a token is cut to unless the template says otherwise.
-DEFAULT_MAX = {"notes": 200}
+OPTIONS = {"case", "max", "column", "fmt", "as_of"}
 
 
 @dataclass(frozen=True)
@@ -40,7 +39,12 @@ def lit(s: str) -> Lit:
 
 
 def tok(name: str, **options) -> Tok:
-    """A token; options: case, max, and for dates fmt (the column holds the value to print)."""
+    """A token; options: case, max (characters; whole words), column, and for dates fmt with as_of (the column holds
+    the date as it was written, and is printed in this format)."""
+    if unknown := set(options) - OPTIONS:
+        raise ValueError(f"unknown token options: {', '.join(sorted(unknown))}")
+    if "fmt" in options and "as_of" not in options:
+        raise ValueError("a date format needs as_of, the day after which no date is believed")
     return Tok(name, options)
 
 
@@ -50,10 +54,13 @@ def group(*items) -> Group:
 
 def token_text(t: Tok) -> Column:
     """The token's text; empty when the photo has none."""
-    v = text.strip(text.unix_lines(F.coalesce(F.col(t.options.get("column", t.name)).cast("string"), F.lit(""))))
+    v = F.col(t.options.get("column", t.name)).cast("string")
+    if "fmt" in t.options:
+        v = dates.rendered_date(v, t.options["as_of"], t.options["fmt"])
+    v = text.strip(text.unix_lines(F.coalesce(v, F.lit(""))))
     if t.options.get("case"):
         v = text.text_case(v, t.options["case"])
-    limit = t.options.get("max", DEFAULT_MAX.get(t.name, 0))
+    limit = t.options.get("max", 0)
     return text.truncate_words(v, limit) if limit else v
 
 

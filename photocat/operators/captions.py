@@ -86,7 +86,8 @@ def resolve_name_collisions(wanted: DataFrame, taken: DataFrame, above: int | No
     own = own.withColumn("_plain", F.concat("_base", "_ext")).join(plain_taken, "_plain", "left")
     # read five times below: written once
     own = cut_lineage(ordered_positions(own, group, [F.col("idx")], "k", above))
-    number = r"^(.*)-([1-9]\d{0,8})(\.[^./]*)$"
+    # counting up never gets to numbers of more digits, as there are fewer photos
+    number = r"^(.*)-([1-9]\d{0,17})(\.[^./]*)$"
     first_names = own.where("k = 1 AND plain_taken IS NULL").select(F.col("_plain").alias("_path"))
     numbered = on_disk.unionByName(first_names).distinct().where(F.col("_path").rlike(number)).select(
         F.regexp_extract("_path", number, 1).alias("_base"), F.regexp_extract("_path", number, 3).alias("_ext"),
@@ -115,8 +116,10 @@ def resolve_name_collisions(wanted: DataFrame, taken: DataFrame, above: int | No
 def overwrite_policy(planned: DataFrame, taken: DataFrame, policy: str) -> DataFrame:
     """Add ``decision`` for names that exist on disk. ``taken``: path, owner_id (the photo whose
     earlier copy it is, NULL for any other file). ask: a conflict; overwrite: only an earlier copy
-    of the same photo is replaced, anything else counts up; increment: counts up."""
-    t = taken.select(F.lower("path").alias("_d"), "owner_id", F.lit(True).alias("exists"))
+    of the same photo is replaced, anything else counts up; increment: counts up. Files whose names differ only in
+    case are one name, whose owner counts only if all of them have it."""
+    one_owner = (F.min("owner_id") == F.max("owner_id")) & (F.count("owner_id") == F.count(F.lit(1)))
+    t = taken.groupBy(F.lower("path").alias("_d")).agg(F.when(one_owner, F.min("owner_id")).alias("owner_id"), F.lit(True).alias("exists"))
     df = planned.withColumn("_d", F.lower("dest")).join(t, "_d", "left")
     mine = F.col("owner_id") == F.col("photo_id")
     free = F.col("exists").isNull()

@@ -134,16 +134,17 @@ def verify_output(outputs: DataFrame, reads: DataFrame) -> DataFrame:
 
 
 def _block_means(v: Column, f: Column) -> Column:
-    """Means of consecutive blocks of ``f`` samples; a last incomplete block is left out."""
-    n = F.floor(F.size(v) / f).cast("int")
+    """Means of consecutive blocks of ``f`` samples; the last one may be shorter."""
+    n = F.ceil(F.size(v) / f).cast("int")
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     total = lambda i: F.aggregate(F.slice(v, i * f + 1, f), F.lit(0.0), lambda a, x: a + x)
-    return F.transform(starts, lambda i: total(i) / f)
+    return F.transform(starts, lambda i: total(i) / F.least(f, F.size(v) - i * f))
 
 
 def lossy_similarity(df: DataFrame, a: str, b: str, value_range: float) -> DataFrame:
     """Add ``mad`` and ``psnr`` of two sample arrays after block means (at most 512 blocks), and
-    whether the pair passes as the same picture. ``mad`` is in 1/255 of the range."""
+    whether the pair passes as the same picture. ``mad`` is in 1/255 of the range. Arrays of different lengths are
+    different pictures, without measures."""
     f = F.greatest(F.lit(1), F.ceil(F.size(b) / 512)).cast("int")
     scale = 255.0 / value_range
     df = df.withColumns({"_a": _block_means(F.col(a).cast("array<double>"), f), "_b": _block_means(F.col(b).cast("array<double>"), f)})
@@ -155,7 +156,9 @@ def lossy_similarity(df: DataFrame, a: str, b: str, value_range: float) -> DataF
     psnr = F.when(F.col("_mse") == 0, F.lit(float("inf"))).otherwise(10 * F.log10(255.0 * 255.0 / F.col("_mse")))
     df = df.withColumn("psnr", psnr)
     passes = (F.col("mad") < fixed.LOSSY_MAX_MAD) & (F.col("psnr") > fixed.LOSSY_MIN_PSNR)
-    return df.withColumn("same_picture", passes).drop("_a", "_b", "_d", "_mse")
+    alike = F.size(a) == F.size(b)
+    df = df.withColumns({c: F.when(alike, F.col(c)) for c in ("mad", "psnr")})
+    return df.withColumn("same_picture", F.when(alike, passes).otherwise(False)).drop("_a", "_b", "_d", "_mse")
 
 
 VERSION_KEY = ["path", "size_bytes", "mtime_ns", "file_id"]

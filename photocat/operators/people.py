@@ -475,8 +475,8 @@ def new_faces_to_keep(faces: DataFrame, added: DataFrame) -> DataFrame:
     return added.join(written, ["photo_id", "face_key"], "left_anti")
 
 
-def match_names(queries: DataFrame, people: DataFrame, k: int = 6) -> DataFrame:
-    """For each typed text, up to k names in which the whole name or any word starts with it.
+def match_names(queries: DataFrame, people: DataFrame, k: int | None = None) -> DataFrame:
+    """For each typed text, the names (with ``k`` the first k) in which the whole name or any word starts with it.
 
     ``queries`` (query_id, typed); ``people`` (pool, pos, name). Names are first reduced to one row
     each; prefixes are matched on an equi-join key (the first two letters), then checked in full.
@@ -492,7 +492,9 @@ def match_names(queries: DataFrame, people: DataFrame, k: int = 6) -> DataFrame:
     hits = hits.groupBy("query_id", "key").agg(F.first("best").alias("best"))
     # a rank filter is a group limit: each task passes on at most k names of a query
     w = Window.partitionBy("query_id").orderBy("best.pool", "best.pos", "key")
-    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = hits.withColumn("rank", F.row_number().over(w))
+    if k is not None:
+        ranked = ranked.where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("best.name").alias("name"))
 
 

@@ -17,9 +17,10 @@ def natural_sort(df: DataFrame, column: str) -> DataFrame:
     return df.orderBy(text.natural_key(F.col(column)), column)
 
 
-def recent_log(log: DataFrame, limit: int = 500) -> DataFrame:
-    """The newest rows. The limit is the feature: each task keeps its own newest ones."""
-    return log.orderBy(F.desc("time"), F.desc("seq")).limit(limit)
+def recent_log(log: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rows, newest first; with ``limit`` the newest ones, of which each task keeps its own."""
+    newest = log.orderBy(F.desc("time"), F.desc("seq"))
+    return newest if limit is None else newest.limit(limit)
 
 
 def folder_of(path: str = "path"):
@@ -105,11 +106,10 @@ def inventory_diff(before: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def inventory_counts(before: DataFrame, now: DataFrame) -> DataFrame:
-    """Quick totals by set operations on (path, size_bytes): kept, only before, only now."""
-    a, b = before.select("path", "size_bytes"), now.select("path", "size_bytes")
-    parts = {"kept": a.intersect(b), "only before": a.exceptAll(b), "only now": b.exceptAll(a)}
-    out = None
-    for name, df in parts.items():
-        n = df.agg(F.count(F.lit(1)).alias("files")).select(F.lit(name).alias("part"), "files")
-        out = n if out is None else out.unionByName(n)
-    return out
+    """Quick totals of (path, size_bytes) rows, equal ones counted as often as they stand: kept, only before, only now."""
+    side = lambda df, b, n: df.select("path", "size_bytes", F.lit(b).alias("b"), F.lit(n).alias("n"))
+    rows = side(before, 1, 0).unionByName(side(now, 0, 1)).groupBy("path", "size_bytes").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    parts = {"kept": F.least("b", "n"), "only before": F.greatest(F.col("b") - F.col("n"), F.lit(0)), "only now": F.greatest(F.col("n") - F.col("b"), F.lit(0))}
+    out = rows.agg(*[total(c).alias(name) for name, c in parts.items()])
+    return out.select(F.inline(F.array(*[F.struct(F.lit(name).alias("part"), F.col(f"`{name}`").alias("files")) for name in parts])))

@@ -441,7 +441,7 @@ def _(spark, sf):
     typed = typed.unionByName(load(spark, sf, "part").select(
         (F.col("p_partkey") + 100).alias("query_id"), F.expr("substr(p_name, 1, cast(2 + p_partkey % 9 AS int))").alias("typed")
     ))
-    return people.match_names(typed, names)
+    return people.match_names(typed, names, 6)
 
 
 @query(

@@ -39,7 +39,7 @@ def _(spark, sf):
 @query(
     "r2_recent_log",
     "log_rows",
-    f"SELECT seq, {sql_stamp('time')} AS time, ok, source, notes, ms FROM log_rows ORDER BY log_rows.time DESC, seq DESC LIMIT 500",
+    f"SELECT seq, {sql_stamp('time')} AS time, ok, source, notes, ms FROM log_rows",
 )
 def _(spark, sf):
     log = reports.recent_log(load(spark, sf, "log_rows"))
@@ -213,10 +213,10 @@ def _(spark, sf):
    row_number() OVER (PARTITION BY photo_id ORDER BY tag, item) AS n FROM tags WHERE value IS NOT NULL AND tag NOT LIKE 'File:%') AS x WHERE n <= 12""",
 )
 def _(spark, sf):
-    return files.tag_listing(load(spark, sf, "tags"), 12)
+    return files.tag_listing(load(spark, sf, "tags"), 12, 500)
 
 
-@query("s6_read_job_log", "log_rows", f"SELECT seq, {sql_stamp('time')} AS time, source, notes, ms FROM log_rows WHERE ok ORDER BY log_rows.time DESC, seq DESC LIMIT 500")
+@query("s6_read_job_log", "log_rows", f"SELECT seq, {sql_stamp('time')} AS time, source, notes, ms FROM log_rows WHERE ok")
 def _(spark, sf):
     log = load(spark, sf, "log_rows")
     line = F.when(F.col("ok"), F.to_json(F.struct("seq", "time", "ok", "source", "notes", "ms"))).otherwise(F.concat(F.lit('{"seq": '), "seq", F.lit(', "time"')))

@@ -75,15 +75,15 @@ def read_tag_dump(spark: SparkSession, path: str) -> DataFrame:
     return tags_of(docs.where("photo_id IS NOT NULL")).where("tag <> 'SourceFile'")
 
 
-def tag_listing(tags: DataFrame, limit: int = 400) -> DataFrame:
-    """The first ``limit`` tags of each photo as text for showing, without file system groups, long
-    values cut. The rank filter is a group limit: each task passes on at most ``limit`` rows of a photo."""
-    v = F.when(F.length("value") > 500, F.concat(F.substring("value", 1, 500), F.lit("…"))).otherwise(F.col("value"))
+def tag_listing(tags: DataFrame, limit: int | None = None, width: int | None = None) -> DataFrame:
+    """The tags of each photo as numbered text for showing, without file system groups. With ``limit`` the first ones
+    only: a group limit, of which each task passes on at most so many rows of a photo. With ``width`` longer values are cut."""
+    v = F.col("value") if width is None else F.when(F.length("value") > width, F.concat(F.substring("value", 1, width), F.lit("…"))).otherwise(F.col("value"))
     shown = tags.where("value IS NOT NULL AND tag <> 'SourceFile'")
     for group in fixed.LISTING_SKIPPED:
         shown = shown.where(~F.col("tag").startswith(group))
     w = Window.partitionBy("photo_id").orderBy("tag", "item")
-    return shown.select("photo_id", "tag", "item", v.alias("value")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
+    return shown.select("photo_id", "tag", "item", v.alias("value")).withColumn("n", F.row_number().over(w)).where(F.lit(True) if limit is None else F.col("n") <= limit).drop("n")
 
 
 LOG_SCHEMA = (
@@ -92,14 +92,15 @@ LOG_SCHEMA = (
 )
 
 
-def parse_job_log(lines: DataFrame, limit: int = 500) -> DataFrame:
-    """The newest ``limit`` records of log lines (column value); lines that are no JSON are skipped."""
+def parse_job_log(lines: DataFrame, limit: int | None = None) -> DataFrame:
+    """The records of log lines (column value), newest first; with ``limit`` the newest ones. Lines that are no JSON are skipped."""
     r = F.from_json("value", LOG_SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
     rows = lines.select(r.alias("r")).where("r IS NOT NULL AND r._bad IS NULL AND r.time IS NOT NULL").select("r.*").drop("_bad")
-    return rows.orderBy(F.desc("time"), F.desc("seq")).limit(limit)
+    newest = rows.orderBy(F.desc("time"), F.desc("seq"))
+    return newest if limit is None else newest.limit(limit)
 
 
-def read_job_log(spark: SparkSession, path: str, limit: int = 500) -> DataFrame:
+def read_job_log(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     return parse_job_log(spark.read.text(path), limit)
 
 

@@ -1,12 +1,10 @@
 """Files written and read back, and streams against their batch forms."""
 
 import json
-import math
 import tempfile
 
 from pyspark.sql import functions as F
 
-from photocat.functions import fixed_values as fixed
 from photocat.sources import files
 from photocat.streaming import journal
 
@@ -50,22 +48,6 @@ def test_drafts(spark, tmp_path):
     assert [r.path for r in files.read_drafts(spark, str(tmp_path)).collect()] == ["/b", "/a", "/c"]
 
 
-def test_time_left():
-    """Counting starts at the first report, starts over when the count drops, and blends estimates."""
-    state, left = journal.time_left_step(None, 0, 10, 0.0)
-    assert left is None
-    state, left = journal.time_left_step(state, 1, 10, 1.0)
-    assert left is None
-    state, left = journal.time_left_step(state, 2, 10, 2.0)
-    assert left == 8.0
-    state, left = journal.time_left_step(state, 4, 10, 6.0)
-    share = fixed.ETA_NEW_SHARE
-    assert math.isclose(left, share * 9.0 + (1 - share) * 4.0)
-    again, left = journal.time_left_step([5, 0.0, 8, 6.0, 4.0], 3, 10, 7.0)
-    assert left is None and again[0] == 3
-    assert journal.time_left_step(state, 10, 10, 8.0)[1] == 0.0
-
-
 def test_late_rows_are_dropped_and_counted(spark):
     src, base = tempfile.mkdtemp(), tempfile.mkdtemp()
     schema = "batch_id long, ts timestamp, state string"
