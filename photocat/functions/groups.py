@@ -1,13 +1,9 @@
 """Ordering and matching inside groups that may be very uneven.
 
-One photo, folder or batch can hold a large share of all rows. A plain window would sort such a
-group in one task. ``ordered_scan`` first counts rows per key (a map-side combined count over the
-key columns only). When no group is above the limit, which is the usual case, it is one window. The
-large groups, at most ``MAX_HOT_KEYS`` keys, are cut into consecutive parts at sampled bounds: the
-window runs per part, and what the earlier parts contribute is added. Only the keys, the bounds and
-the per-part totals are broadcast, at most ``MAX_HOT_KEYS * PARTS`` rows whatever the input size. A
-group outside the largest ``MAX_HOT_KEYS`` holds less than 1/``MAX_HOT_KEYS`` of the rows, so one
-task can take it.
+One photo, folder or batch can hold a large share of all rows. A plain window would sort such a group in one task.
+``ordered_scan`` deals rows into ranges of (group, order) instead, as many as their size asks for, so a group of any size
+lies in as many ranges as it fills. The window runs per group and range, and what the earlier ranges of a group hold is
+added. Two neighbouring ranges share one group at most, so groups that need this are fewer than ranges.
 """
 
 from __future__ import annotations
@@ -19,65 +15,13 @@ from pyspark.sql import functions as F
 
 from photocat.session import cut_lineage
 
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1_000
-PARTS = 64
-SAMPLES_PER_PART = 16
-DENSE_GROUP = 2_000
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], above: int = HOT_ROWS) -> DataFrame:
-    """The largest groups with more than ``above`` rows: at most MAX_HOT_KEYS rows (keys, _n)."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > F.lit(above))
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT_KEYS)
-    )
-
-
-def find_hot(df: DataFrame, keys: Sequence[str], above: int | None = HOT_ROWS) -> DataFrame | None:
-    """The large groups as a small table, or None when there are none. Runs one count; the result
-    can be passed on to every scan over the same groups."""
-    if above is None:
-        return None
-    hot = hot_keys(df, keys, above)
-    rows = hot.collect()  # at most MAX_HOT_KEYS keys
-    return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
-
 
-def split_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column], hot: DataFrame) -> DataFrame:
-    """Add ``_part``: 0 for ordinary groups, consecutive ranges of ``order`` for large ones.
-
-    ``order`` is ascending and unique inside a group. The sample is picked by a hash of the order
-    values, so a task that runs again picks the same rows.
-    """
-    o = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    want = PARTS * SAMPLES_PER_PART
-    sample = (
-        df.select(*keys, o.alias("_o"))
-        .join(F.broadcast(hot), list(keys))
-        .where(F.expr(f"pmod(xxhash64(_o), greatest(1L, _n div {want})) = 0"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("_o")).alias("_s"))
-    )
-    bounds = sample.select(
-        *keys,
-        F.expr(f"transform(sequence(1, {PARTS - 1}), i -> _s[cast(floor(i * size(_s) / {PARTS}) as int)])").alias(
-            "_bounds"
-        ),
-    )
-    return (
-        df.withColumn("_o", o)
-        .join(F.broadcast(bounds), list(keys), "left")
-        .withColumn(
-            "_part",
-            F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(F.expr("size(filter(_bounds, b -> b < _o))")),
-        )
-        .withColumn("_hot", F.col("_bounds").isNotNull())
-        .drop("_bounds")
-    )
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], parts: int | None = None) -> DataFrame:
+    """Add ``_part``, the number of the row's range of (keys, order). Written once, as a range's bounds come from a
+    sample. Spark chooses how many ranges there are, unless ``parts`` does."""
+    by = [*[F.col(k) for k in keys], *order]
+    dealt = df.repartitionByRange(*by) if parts is None else df.repartitionByRange(parts, *by)
+    return cut_lineage(dealt.withColumn("_part", F.spark_partition_id()))
 
 
 def ordered_scan(
@@ -87,37 +31,26 @@ def ordered_scan(
     position: str | None = None,
     lag: dict[str, str] | None = None,
     running: dict[str, str] | None = None,
-    above: int | None = HOT_ROWS,
-    hot: DataFrame | None | str = "check",
+    parts: int | None = None,
 ) -> DataFrame:
     """Row position, previous-row values and running sums inside each group.
 
-    ``lag`` and ``running`` map a new column to the column it reads. ``above=None`` is for groups
-    whose size is already bounded; ``hot`` passes on the result of an earlier ``find_hot``.
+    ``lag`` and ``running`` map a new column to the column it reads. ``order`` is ascending and unique inside a group.
     """
     lag, running = lag or {}, running or {}
     order = list(order)
-    if isinstance(hot, str):
-        hot = find_hot(df, keys, above)
-    if hot is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        new = {out: F.lag(src).over(w) for out, src in lag.items()}
-        new |= {out: F.sum(src).over(w.rowsBetween(Window.unboundedPreceding, 0)) for out, src in running.items()}
-        if position:
-            new[position] = F.row_number().over(w).cast("long")
-        return df.withColumns(new)
-
-    # the rows are read several times below, so they are written once
-    parts = cut_lineage(split_groups(cut_lineage(df), keys, order, hot))
+    rows = in_ranges(df, keys, order, parts)
     by_part = [*keys, "_part"]
+    # groups in several ranges: fewer than ranges
+    several = rows.groupBy(*keys).agg(F.min("_part").alias("_a"), F.max("_part").alias("_z")).where("_a < _z").select(*keys)
+    o = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     totals = [F.count(F.lit(1)).alias("_cnt")]
-    totals += [F.max_by(F.struct(src), F.col("_o")).alias(f"_last_{out}") for out, src in lag.items()]
+    totals += [F.max_by(F.struct(src), o).alias(f"_last_{out}") for out, src in lag.items()]
     totals += [F.sum(src).alias(f"_sum_{out}") for out, src in running.items()]
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     prior = Window.partitionBy(*keys).orderBy("_part")
-    # at most MAX_HOT_KEYS * PARTS rows: large groups only
     carried = (
-        parts.where("_hot")
+        rows.join(several, list(keys))
         .groupBy(*by_part)
         .agg(*totals)
         .select(
@@ -131,9 +64,9 @@ def ordered_scan(
     new = {"_rn": F.row_number().over(w).cast("long")}
     new |= {out: F.lag(src).over(w) for out, src in lag.items()}
     new |= {out: F.sum(src).over(w.rowsBetween(Window.unboundedPreceding, 0)) for out, src in running.items()}
-    out = parts.withColumns(new).join(F.broadcast(carried), by_part, "left")
+    out = rows.withColumns(new).join(carried, by_part, "left")
     fix = {
-        name: F.when((F.col("_rn") == 1) & F.col("_hot"), F.col(f"_carry_{name}.{src}")).otherwise(F.col(name))
+        name: F.when((F.col("_rn") == 1) & (F.col("_before") > 0), F.col(f"_carry_{name}.{src}")).otherwise(F.col(name))
         for name, src in lag.items()
     }
     fix |= {name: F.col(name) + F.coalesce(F.col(f"_base_{name}"), F.lit(0)) for name in running}
@@ -143,9 +76,9 @@ def ordered_scan(
     return out.select(*keep, *[c.alias(n) for n, c in fix.items()])
 
 
-def ordered_positions(df, keys, order, name: str = "pos", above: int | None = HOT_ROWS, hot="check") -> DataFrame:
+def ordered_positions(df, keys, order, name: str = "pos", parts: int | None = None) -> DataFrame:
     """1-based position of each row in its group."""
-    return ordered_scan(df, keys, order, position=name, above=above, hot=hot)
+    return ordered_scan(df, keys, order, position=name, parts=parts)
 
 
 def with_group_values(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
@@ -158,46 +91,21 @@ def _levels(size: str) -> Column:
     return F.floor(F.log2(F.col(size))).cast("int")
 
 
-def overlap_pairs(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], iou, threshold: float, above: int = DENSE_GROUP
-) -> DataFrame:
+def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], iou, threshold: float) -> DataFrame:
     """Pairs of boxes in the same group with IoU > ``threshold`` (at least 0.5).
 
-    ``left`` has box columns x, y, w, h and ``right`` has rx, ry, rw, rh. Groups up to ``above``
-    boxes join on the group keys, and when a count finds no larger group that is the whole plan. In
-    larger groups each left box has one grid cell for its size
-    class, and each right box offers only the cells a box overlapping it by half can have: sizes
-    differ by less than a factor of two and centres by at most half the smaller size. So near
-    misses are not paired, and no pair is lost or repeated.
+    ``left`` has box columns x, y, w, h and ``right`` has rx, ry, rw, rh. Each left box has one grid cell for its size
+    class, and each right box offers only the cells a box overlapping it by half can have: sizes differ by less than a
+    factor of two and centres by at most half the smaller size. So near misses are not paired, and no pair is lost or
+    repeated.
     """
     if threshold < 0.5:
         raise ValueError("overlap_pairs needs a threshold of at least 0.5")
     keys = list(keys)
-    left = left.where("w > 0 and h > 0")
-    right = right.where("rw > 0 and rh > 0")
-    dense = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > above).select(
-        *keys, F.lit(True).alias("_dense")
-    )
-    if dense.isEmpty():
-        return left.join(right, keys).where(iou > threshold)
-    dense = cut_lineage(dense)
-    no_cell = F.lit(0).cast("long")
-    left = (
-        left.join(dense, keys, "left")
-        .withColumn("_lw", _levels("w"))
-        .withColumn("_lh", _levels("h"))
-        .withColumn(
-            "_cell",
-            F.when(
-                F.col("_dense"),
-                F.expr(
-                    "xxhash64(_lw, _lh, cast(floor((x + w / 2) / pow(2, _lw + 1)) as long),"
-                    " cast(floor((y + h / 2) / pow(2, _lh + 1)) as long))"
-                ),
-            ).otherwise(no_cell),
-        )
-        .drop("_dense", "_lw", "_lh")
+    cell = F.expr(
+        "xxhash64(_lw, _lh, cast(floor((x + w / 2) / pow(2, _lw + 1)) as long), cast(floor((y + h / 2) / pow(2, _lh + 1)) as long))"
     )
+    left = left.where("w > 0 and h > 0").withColumns({"_lw": _levels("w"), "_lh": _levels("h")}).withColumn("_cell", cell).drop("_lw", "_lh")
     cells = """
       array_distinct(flatten(flatten(flatten(transform(array(-1, 0, 1), a -> transform(array(-1, 0, 1), b ->
         transform(sequence(
@@ -208,11 +116,6 @@ def overlap_pairs(
             cast(floor((ry + rh / 2 + 0.5 * least(rh, pow(2, _lh + b + 1))) / pow(2, _lh + b + 1)) as long)), j ->
             xxhash64(_lw + a, _lh + b, i, j)))))))))
     """
-    right = (
-        right.join(dense, keys, "left")
-        .withColumn("_lw", _levels("rw"))
-        .withColumn("_lh", _levels("rh"))
-        .withColumn("_cell", F.explode(F.when(F.col("_dense"), F.expr(cells)).otherwise(F.array(no_cell))))
-        .drop("_dense", "_lw", "_lh")
-    )
+    right = right.where("rw > 0 and rh > 0").withColumns({"_lw": _levels("rw"), "_lh": _levels("rh")})
+    right = right.withColumn("_cell", F.explode(F.expr(cells))).drop("_lw", "_lh")
     return left.join(right, [*keys, "_cell"]).where(iou > threshold).drop("_cell")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from photocat.functions import fixed_values as fixed
 from photocat.functions import text
 from photocat.functions.dates import let
-from photocat.functions.groups import HOT_ROWS, ordered_positions
+from photocat.functions.groups import ordered_positions
 
 # Fixed: what a batch does unless told otherwise.
 POLICY = {
@@ -141,12 +141,12 @@ def held_list(plan: DataFrame, warnings: str = "hold") -> DataFrame:
     return plan.where((F.col("status") == "flagged") & F.lit(warnings == "hold") & ~F.coalesce("reviewed", F.lit(False)))
 
 
-def journal_unsaved(plan: DataFrame, saved: DataFrame, above: int | None = HOT_ROWS) -> DataFrame:
+def journal_unsaved(plan: DataFrame, saved: DataFrame, parts: int | None = None) -> DataFrame:
     """Journal entries of the photos a batch does not save: their state, reasons, and indices after
     the saved ones. ``plan`` (batch_id, plan_no, path, status, reasons), ``saved`` (batch_id, n)."""
     states = F.create_map(*[F.lit(x) for kv in fixed.UNSAVED_STATES.items() for x in kv])
     state = F.coalesce(F.try_element_at(states, F.col("status")), F.lit("skipped"))
-    df = ordered_positions(plan, ["batch_id"], [F.col("plan_no")], "pos", above)
+    df = ordered_positions(plan, ["batch_id"], [F.col("plan_no")], "pos", parts)
     df = df.join(saved.select("batch_id", "n"), "batch_id", "left")
     return df.select(
         "batch_id", (F.coalesce("n", F.lit(0)) + F.col("pos") - 1).alias("idx"), "path", state.alias("state"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from photocat.functions import captions, text
 from photocat.functions import fixed_values as fixed
-from photocat.functions.groups import HOT_ROWS, ordered_positions, ordered_scan
+from photocat.functions.groups import ordered_positions, ordered_scan
 from photocat.operators.normalize import route_output_format
 from photocat.session import cut_lineage
 
@@ -70,7 +70,7 @@ def _key(df: DataFrame) -> DataFrame:
     return df.withColumn("_base", F.lower(F.concat("folder", F.lit("/"), "name"))).withColumn("_ext", F.lower("ext"))
 
 
-def resolve_name_collisions(wanted: DataFrame, taken: DataFrame, above: int | None = HOT_ROWS) -> DataFrame:
+def resolve_name_collisions(wanted: DataFrame, taken: DataFrame, parts: int | None = None) -> DataFrame:
     """(photo_id, dest): names in batch order (idx). The first photo keeps its name if it is free;
     the rest count up from 2, skipping numbers that are taken on disk or are another photo's own
     name. Equality ignores case.
@@ -85,7 +85,7 @@ def resolve_name_collisions(wanted: DataFrame, taken: DataFrame, above: int | No
     plain_taken = on_disk.select(F.col("_path").alias("_plain"), F.lit(True).alias("plain_taken"))
     own = own.withColumn("_plain", F.concat("_base", "_ext")).join(plain_taken, "_plain", "left")
     # read five times below: written once
-    own = cut_lineage(ordered_positions(own, group, [F.col("idx")], "k", above))
+    own = cut_lineage(ordered_positions(own, group, [F.col("idx")], "k", parts))
     # counting up never gets to numbers of more digits, as there are fewer photos
     number = r"^(.*)-([1-9]\d{0,17})(\.[^./]*)$"
     first_names = own.where("k = 1 AND plain_taken IS NULL").select(F.col("_plain").alias("_path"))
@@ -94,7 +94,7 @@ def resolve_name_collisions(wanted: DataFrame, taken: DataFrame, above: int | No
         F.regexp_extract("_path", number, 2).cast("long").alias("n"),
     )
     used = numbered.where("n >= 2").join(own.select(*group).distinct(), group, "left_semi")
-    used = ordered_positions(used, group, [F.col("n")], "r", above)
+    used = ordered_positions(used, group, [F.col("n")], "r", parts)
     none = F.lit(None).cast("long")
     events = own.select(
         *group, F.when(F.col("plain_taken").isNull(), F.col("k") - 1).otherwise(F.col("k")).alias("at"), F.lit(1).alias("kind"),
@@ -103,7 +103,7 @@ def resolve_name_collisions(wanted: DataFrame, taken: DataFrame, above: int | No
         # counts from the first rank that has this number below it
         used.select(*group, (F.col("n") - F.col("r")).alias("at"), F.lit(0).alias("kind"), F.col("n").alias("tie"), none.alias("photo_id"), F.lit(1).alias("step"))
     )
-    shifted = ordered_scan(events, group, [F.col("at"), F.col("kind"), F.col("tie")], running={"shift": "step"}, above=above)
+    shifted = ordered_scan(events, group, [F.col("at"), F.col("kind"), F.col("tie")], running={"shift": "step"}, parts=parts)
     numbered_name = F.when(F.col("at") > 0, F.concat(F.lit("-"), (F.col("at") + 1 + F.col("shift")).cast("string"))).otherwise("")
     return (
         shifted.where("kind = 1")

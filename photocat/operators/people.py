@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from photocat.functions import boxes, text
 from photocat.functions import fixed_values as fixed
 from photocat.session import cut_lineage
-from photocat.functions.groups import HOT_ROWS, find_hot, ordered_positions, ordered_scan, overlap_pairs, with_group_values
+from photocat.functions.groups import ordered_positions, ordered_scan, overlap_pairs, with_group_values
 
 BOX = ["x", "y", "w", "h"]
 
@@ -200,7 +200,7 @@ def _center(df: DataFrame) -> DataFrame:
     return df.withColumns({"cx": F.col("x") + F.col("w") / 2, "cy": F.col("y") + F.col("h") / 2})
 
 
-def order_names(faces: DataFrame, order: str = "lr", above: int | None = HOT_ROWS) -> DataFrame:
+def order_names(faces: DataFrame, order: str = "lr", parts: int | None = None) -> DataFrame:
     """Add ``pos``: left to right by box centre (``rl`` reversed, ``meta`` as stored); faces without
     a place follow in stored order."""
     df = _center(faces).withColumn("_late", F.when(has_box(), 0).otherwise(1))
@@ -215,7 +215,7 @@ def order_names(faces: DataFrame, order: str = "lr", above: int | None = HOT_ROW
             F.coalesce(F.col("cy") * sign, no_place),
             F.when(F.col("_late") == 1, F.col("region_no")).otherwise(F.col("region_no") * sign),
         ]
-    return ordered_positions(df, ["photo_id"], by, "pos", above).drop("_late", "cx", "cy")
+    return ordered_positions(df, ["photo_id"], by, "pos", parts).drop("_late", "cx", "cy")
 
 
 def names_in_order(faces: DataFrame, order: str = "lr") -> DataFrame:
@@ -240,28 +240,27 @@ def _front_to_back(faces: DataFrame) -> tuple[DataFrame, list[Column]]:
     return df, [F.col("_down"), F.col("region_no")]
 
 
-def cluster_rows(faces: DataFrame, factor: float = 0.6, above: int | None = HOT_ROWS) -> DataFrame:
+def cluster_rows(faces: DataFrame, factor: float = 0.6, parts: int | None = None) -> DataFrame:
     """Add ``row_no`` (1 is the front row): faces from the bottom up, cut where the step is large
     for this photo's face heights and steps."""
     df, down = _front_to_back(faces)
-    hot = find_hot(df, ["photo_id"], above)
-    df = ordered_scan(df, ["photo_id"], down, lag={"_prev": "cy"}, hot=hot)
+    df = ordered_scan(df, ["photo_id"], down, lag={"_prev": "cy"}, parts=parts)
     df = df.withColumn("_gap", F.col("_prev") - F.col("cy"))
     df = with_group_values(df, ["photo_id"], _mh=F.median("h"), _mg=F.median("_gap"))
     limit = F.greatest(factor * F.col("_mh"), F.least(1.2 * F.col("_mh"), 2.5 * F.col("_mg")))
     df = df.withColumn("_cut", F.when(F.col("_gap") >= limit, 1).otherwise(0))
-    df = ordered_scan(df, ["photo_id"], down, running={"_row": "_cut"}, hot=hot)
+    df = ordered_scan(df, ["photo_id"], down, running={"_row": "_cut"}, parts=parts)
     return df.withColumn("row_no", F.col("_row") + 1).drop("_down", "_prev", "_gap", "_mh", "_mg", "_cut", "_row")
 
 
-def cluster_rows_k(faces: DataFrame, k: int, above: int | None = HOT_ROWS) -> DataFrame:
+def cluster_rows_k(faces: DataFrame, k: int, parts: int | None = None) -> DataFrame:
     """Add ``row_no`` for exactly min(k, faces) rows: cuts at the k-1 largest steps, the earlier
     step first among equals. The rank filter is a group limit: each task keeps only its own k-1
     largest steps of a photo before the shuffle."""
     if not 1 <= k <= 9:
-        return cluster_rows(faces, above=above)
+        return cluster_rows(faces, parts=parts)
     df, down = _front_to_back(faces)
-    df = ordered_scan(df, ["photo_id"], down, position="_pos", lag={"_prev": "cy"}, above=above)
+    df = ordered_scan(df, ["photo_id"], down, position="_pos", lag={"_prev": "cy"}, parts=parts)
     df = df.withColumn("_gap", F.col("_prev") - F.col("cy"))
     if k == 1:
         return df.withColumn("row_no", F.lit(1).cast("long")).drop("_down", "_pos", "_prev", "_gap")

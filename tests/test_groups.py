@@ -23,23 +23,24 @@ def test_split_scan_equals_window(spark):
         "k", "i", F.row_number().over(w).cast("long").alias("pos"), F.lag("v").over(w).alias("prev"),
         F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"),
     )
-    got = groups.ordered_scan(df, ["k"], order, position="pos", lag={"prev": "v"}, running={"run": "s"}, above=300)
+    got = groups.ordered_scan(df, ["k"], order, position="pos", lag={"prev": "v"}, running={"run": "s"}, parts=23)
     assert sorted(got.select(*want.columns).collect()) == sorted(want.collect(), key=tuple) or set(map(tuple, got.select(*want.columns).collect())) == set(map(tuple, want.collect()))
     assert got.count() == df.count()
 
 
-def test_the_large_group_really_is_split(spark):
-    df = skewed(spark)
-    hot = groups.find_hot(df, ["k"], 300)
-    assert [r.k for r in hot.collect()] == [0]
-    parts = groups.split_groups(df, ["k"], [F.col("v"), F.col("i")], hot).groupBy("k", "_part").count()
+def test_large_groups_really_are_split(spark):
+    parts = groups.in_ranges(skewed(spark), ["k"], [F.col("v"), F.col("i")], 24).groupBy("k", "_part").count()
     sizes = [r["count"] for r in parts.where("k = 0").collect()]
-    assert len(sizes) > 20 and max(sizes) < 400
-    assert parts.where("k <> 0 AND _part <> 0").count() == 0
+    assert len(sizes) >= 10 and max(sizes) < 600
+    assert parts.groupBy("k").count().where("count > 1").count() < 24
 
 
-def test_no_large_group_means_one_window(spark):
-    assert groups.find_hot(skewed(spark), ["k"]) is None
+def test_many_groups_that_are_all_large(spark):
+    df = spark.range(60_000).select((F.col("id") % 2000).alias("k"), F.hash("id").alias("v"), "id")
+    w = Window.partitionBy("k").orderBy("v", "id")
+    got = groups.ordered_positions(df, ["k"], [F.col("v"), F.col("id")], parts=97)
+    assert got.join(df.withColumn("want", F.row_number().over(w)), "id").where("pos <> want").count() == 0
+    assert got.count() == 60_000
 
 
 def naive_iou(a, b):
@@ -59,10 +60,9 @@ def test_grid_join_finds_exactly_the_overlaps(spark):
     rights = [(k, 1000 + i, x + rnd.uniform(-0.01, 0.01), y, w * rnd.uniform(0.8, 1.2), h) for k, i, x, y, w, h in lefts for _ in range(2)]
     left = spark.createDataFrame(lefts, "k int, i int, x double, y double, w double, h double")
     right = spark.createDataFrame(rights, "k int, j int, rx double, ry double, rw double, rh double")
-    for above in (10, 10_000):
-        got = sorted((r.i, r.j, round(r.rx, 9)) for r in groups.overlap_pairs(left, right, ["k"], boxes.iou(), 0.5, above).collect())
-        want = sorted((a[1], b[1], round(b[2], 9)) for a in lefts for b in rights if a[0] == b[0] and naive_iou(a[2:], b[2:]) > 0.5)
-        assert got == want and len(want) > 100
+    got = sorted((r.i, r.j, round(r.rx, 9)) for r in groups.overlap_pairs(left, right, ["k"], boxes.iou(), 0.5).collect())
+    want = sorted((a[1], b[1], round(b[2], 9)) for a in lefts for b in rights if a[0] == b[0] and naive_iou(a[2:], b[2:]) > 0.5)
+    assert got == want and len(want) > 100
 
 
 def test_rows_of_a_crowd_are_the_same_when_split(spark):
@@ -73,14 +73,14 @@ def test_rows_of_a_crowd_are_the_same_when_split(spark):
     def rows_of(df):
         return sorted(map(tuple, df.select("photo_id", "region_no", "row_no").collect()))
 
-    assert rows_of(people.cluster_rows(faces, above=200)) == rows_of(people.cluster_rows(faces, above=None))
-    assert rows_of(people.cluster_rows_k(faces, 4, above=200)) == rows_of(people.cluster_rows_k(faces, 4, above=None))
+    assert rows_of(people.cluster_rows(faces, parts=9)) == rows_of(people.cluster_rows(faces, parts=1))
+    assert rows_of(people.cluster_rows_k(faces, 4, parts=9)) == rows_of(people.cluster_rows_k(faces, 4, parts=1))
 
 
 def test_name_collisions_of_one_popular_name(spark):
     wanted = spark.createDataFrame([(i, i, "/out", "Scan" if i % 3 else "scan", ".tif") for i in range(900)], "photo_id long, idx long, folder string, name string, ext string")
     taken = spark.createDataFrame([(f"/out/SCAN{n}.tif",) for n in ("", "-2", "-3", "-7", "-500", "-02")], "path string")
-    for above in (100, None):
-        got = {r.photo_id: r.dest.lower() for r in captions.resolve_name_collisions(wanted, taken, above).collect()}
+    for parts in (8, None):
+        got = {r.photo_id: r.dest.lower() for r in captions.resolve_name_collisions(wanted, taken, parts).collect()}
         numbers = [n for n in range(2, 1000) if n not in (2, 3, 7, 500)][:900]
         assert got == {i: f"/out/scan-{n}.tif" for i, n in enumerate(numbers)}
