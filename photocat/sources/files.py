@@ -59,13 +59,20 @@ _NUMBER = r'\G((?:[^"0-9\-]++|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+)(-?\d+(?:\.\d+)?(?:
 
 
 def tags_of(docs: DataFrame) -> DataFrame:
-    """Metadata documents (photo_id, doc: a JSON object of Group:Tag to scalar, list or struct) as
-    the long tag table. Number text is kept as it is ("1.50" stays "1.50"): numbers are quoted
-    before the JSON is read. Structs stay JSON text."""
+    """Metadata documents (photo_id, doc: a JSON object of Group:Tag to scalar, list or struct) as the long tag table.
+    A list gives a row per item; text that looks like a list stays text. Number text is kept as it is ("1.50" stays
+    "1.50"): numbers are quoted before the JSON is read. Structs stay JSON text, with their numbers as text. A name that
+    stands twice gives both values."""
     quoted = F.regexp_replace("doc", _NUMBER, '$1"$2"')
-    kv = docs.select("photo_id", F.explode(F.from_json(quoted, "map<string,string>")).alias("tag", "v"))
-    items = F.when(F.col("v").startswith("["), F.from_json("v", "array<string>"))
-    items = F.coalesce(items, F.array("v"))
+    entries = lambda c: F.try_parse_json(c).cast("map<string,variant>")
+    twice = F.transform_values(F.from_json(quoted, "map<string,string>"), lambda k, v: v.cast("variant"))
+    kv = docs.select("photo_id", F.explode(F.coalesce(entries(quoted), twice)).alias("tag", "v"))
+    is_list = lambda v: F.schema_of_variant(v).startswith("ARRAY")
+    is_struct = lambda v: F.schema_of_variant(v).startswith("OBJECT")
+    lists = F.when(is_list(F.col("v")), F.try_variant_get("v", "$", "array<variant>"))
+    items = F.transform(lists, lambda x: F.try_variant_get(x, "$", "string"))
+    items = F.when(is_list(F.col("v")), items).when(is_struct(F.col("v")), F.array(F.to_json("v")))
+    items = items.otherwise(F.array(F.try_variant_get("v", "$", "string")))
     return kv.select("photo_id", "tag", F.posexplode(items).alias("item", "value")).withColumn("item", F.col("item").cast("long"))
 
 

@@ -67,3 +67,13 @@ def test_late_rows_are_dropped_and_counted(spark):
     assert journal.late_rows_dropped(run()) == 1
     rows = spark.read.parquet(base + "/rows").groupBy("from_ts").agg(F.max("done").alias("n")).collect()
     assert sorted(r.n for r in rows) == [1, 2]
+
+
+def test_text_that_looks_like_a_list_stays_text(spark):
+    doc = json.dumps({"A:x": "[1]", "A:q": '["x"]', "A:l": ["a", "b"], "A:s": {"k": 3}, "A:t": True, "A:z": None, "A:e": [], "A:m": ["1", {"k": 2}]})[:-1] + ', "A:n": 1.50, "A:r": [1.0, 20]}'
+    docs = spark.createDataFrame([(1, doc), (2, "no json"), (3, '{"A:x": 1, "A:x": 2}'), (4, None)], "photo_id long, doc string")
+    got = sorted((r.photo_id, r.tag, r.item, r.value) for r in files.tags_of(docs).where("value is not null").collect())
+    assert got == sorted([
+        (1, "A:x", 0, "[1]"), (1, "A:q", 0, '["x"]'), (1, "A:l", 0, "a"), (1, "A:l", 1, "b"), (1, "A:s", 0, '{"k":"3"}'), (1, "A:t", 0, "true"),
+        (1, "A:n", 0, "1.50"), (1, "A:r", 0, "1.0"), (1, "A:r", 1, "20"), (1, "A:m", 0, "1"), (1, "A:m", 1, '{"k":"2"}'), (3, "A:x", 0, "1"), (3, "A:x", 0, "2"),
+    ])
