@@ -21,7 +21,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
-    rows, problem = compare.compare(spark, con, SF, name, entry.queries()[name], entry.oracle_sql().get(name))
+    rows, problem = compare.compare(spark, con, SF, name, entry.queries()[name], entry.oracle_sql()[name])
     assert problem is None
     assert rows > 0
 
