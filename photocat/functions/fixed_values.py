@@ -50,8 +50,7 @@ DATE_CLEARED_TAGS = [
 # Fixed: months, weekdays and words in written dates.
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
           "November", "December"]
-MONTH_STEMS = "janfebmaraprmayjunjulaugsepoctnovdec"
-WEEKDAY_STEMS = "montuewedthufrisatsun"
+WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 YEAR_PART_WORDS = ["early", "mid", "late", "spring", "summer", "autumn", "fall", "winter"]
 DATE_FORMAT_FIELDS = ["yyyy", "mmmm", "mmm", "yy", "mm", "dd", "m", "d"]
 FIRST_YEAR = 1000
@@ -60,7 +59,7 @@ LEVEL_PATTERNS = {"day": "Y!M!D!", "month": "Y!M!", "year": "Y!", "circa": "Y~"}
 ESTIMATED_PATTERNS = {"day": "Y!M!D~", "month": "Y!M~", "year": "Y~", "circa": "Y~"}
 
 # Fixed: limits of an edit set.
-MAX_TEXT, MAX_LINE, MAX_KEYWORDS, MAX_KEYWORD, MAX_FACES, MAX_CREATORS = 65536, 2000, 500, 200, 500, 50
+MAX_TEXT, MAX_LINE, MAX_KEYWORDS, MAX_KEYWORD = 65536, 2000, 500, 200
 
 # Fixed: supported file extensions and the extension of each format.
 SUPPORTED_EXTENSIONS = [".tif", ".tiff", ".jpg", ".jpeg", ".png"]

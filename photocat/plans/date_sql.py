@@ -25,7 +25,7 @@ def parsed(name: str, source: str, columns: str, value: str, as_of: str = AS_OF)
 {name}_p AS (SELECT *, try_cast(split_part(head, '|', 1) AS int) AS y0, split_part(head, '|', 2) AS p1,
    try_cast(nullif(split_part(head, '|', 2), '') AS int) AS a, try_cast(nullif(split_part(head, '|', 3), '') AS int) AS b,
    split_part(head, '|', 4) AS kind, lower(substr(split_part(head, '|', 5), 1, 3)) AS wd FROM {name}_h),
-{name}_q AS (SELECT *, CASE WHEN kind = 'named' THEN cast((instr('{fixed.MONTH_STEMS}', lower(substr(p1, 1, 3))) + 2) / 3 AS int)
+{name}_q AS (SELECT *, CASE WHEN kind = 'named' THEN cast((instr('janfebmaraprmayjunjulaugsepoctnovdec', lower(substr(p1, 1, 3))) + 2) / 3 AS int)
      WHEN kind = 'order' THEN CASE WHEN a > 12 AND b <= 12 THEN b WHEN (b > 12 AND a <= 12) OR a = b THEN a END ELSE a END AS m1,
    CASE WHEN kind = 'order' THEN CASE WHEN a > 12 AND b <= 12 THEN a WHEN (b > 12 AND a <= 12) OR a = b THEN b END ELSE b END AS d1
    FROM {name}_p),
@@ -36,7 +36,7 @@ def parsed(name: str, source: str, columns: str, value: str, as_of: str = AS_OF)
    AND coalesce(m2, 1) BETWEEN 1 AND 12 AND coalesce(d2, 1) >= 1
    AND (d2 IS NULL OR try_cast(printf('%04d-%02d-%02d', y0, m2, d2) AS date) IS NOT NULL) AS good FROM {name}_r),
 {name} AS MATERIALIZED (SELECT {columns}, CASE WHEN ok THEN y0 END AS y, CASE WHEN ok THEN m2 END AS m, CASE WHEN ok THEN d2 END AS d
-   FROM (SELECT *, coalesce(good, false) AND (wd = '' OR wd = substr('{fixed.WEEKDAY_STEMS}',
+   FROM (SELECT *, coalesce(good, false) AND (wd = '' OR wd = substr('montuewedthufrisatsun',
            3 * (isodow(try_cast(printf('%04d-%02d-%02d', y0, m2, d2) AS date)) - 1) + 1, 3)) AS ok FROM {name}_s) AS t)"""
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from photocat.operators import batches  # noqa: F401
 from photocat.plans.q_reports import sql_stamp, stamp
 from photocat.plans.registry import query
 from photocat.plans.views import load
