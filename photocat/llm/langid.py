@@ -103,6 +103,11 @@ def host_of(url):
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
+def document_in(url):
+    """The number that the path of a page's address ends in, up to an extension."""
+    return F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1).try_cast("bigint")
+
+
 def declared_in(html):
     return F.lower(F.nullif(F.regexp_extract(html, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]{2,3})", 1), F.lit("")))
 
@@ -156,11 +161,12 @@ def identify(rows: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every document and every page. Documents have no markup and no address; their source is their host."""
+    """The language of every document and every page (those have a page_id, and the doc_id that their address ends in).
+    Documents have no markup and no address; their source is their host."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     langs, logs = train(docs)
     none = F.lit(None)
     rows = docs.select("doc_id", none.cast("bigint").alias("page_id"), "text", none.cast("string").alias("declared"), F.col("source").alias("host"))
-    rows = rows.unionByName(pages.select(none.cast("bigint").alias("doc_id"), "page_id", visible(F.col("html")).alias("text"), declared_in(F.col("html")).alias("declared"), host_of(F.col("url")).alias("host")))
+    rows = rows.unionByName(pages.select(document_in(F.col("url")).alias("doc_id"), "page_id", visible(F.col("html")).alias("text"), declared_in(F.col("html")).alias("declared"), host_of(F.col("url")).alias("host")))
     out = identify(rows, langs, logs)
     return out.select("doc_id", "page_id", "lang", "posterior", "text_lang", F.coalesce(F.col("posterior") >= LEAST, F.lit(False)).alias("kept"))

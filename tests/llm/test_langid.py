@@ -65,3 +65,9 @@ def test_markup_and_address(spark):
     got = row.select(langid.declared_in(F.col("html")), F.trim(langid.visible(F.col("html"))), langid.host_of(F.col("url"))).collect()
     assert got[0][0] == "de" and got[0][1].split() == ["Hallo", "Welt"] and got[0][2] == "www.example.org"
     assert tuple(got[1]) == (None, None, None) and tuple(got[2]) == (None, "plain", None)
+
+
+def test_number_of_the_document(spark):
+    urls = [("http://a.example/en/12/", 12), ("http://a.example/en/7.html?p=3#x", 7), ("https://a.example/5/about", None), ("x", None), (None, None)]
+    df = spark.createDataFrame(urls, "url string, want bigint")
+    assert all(r[0] == r[1] for r in df.select(langid.document_in(F.col("url")), "want").collect())
