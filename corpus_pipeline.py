@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photocat.llm import bpe, line_dedup, mixing, near_dup, quality
-from photocat.llm.common import table
+from photocat.llm.common import remove, table
 from photocat.session import work_dir
 
 #: The mix hands out so much of the tokens that are left, and takes no document twice.
@@ -47,9 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again; what the next one has read goes."""
     docs, folder = table(spark, sf_dir, "documents"), work_dir(spark)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs

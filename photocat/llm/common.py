@@ -54,3 +54,9 @@ def with_columns(batch: pa.RecordBatch, drop: tuple[str, ...] = (), **columns) -
     """The batch without ``drop`` and with further columns."""
     keep = [(n, batch.column(n)) for n in batch.schema.names if n not in drop and n not in columns]
     return pa.RecordBatch.from_arrays([c for _, c in keep] + list(columns.values()), names=[n for n, _ in keep] + list(columns))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, in whatever store it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
