@@ -321,6 +321,7 @@ def _encode_batches(batches, path: str):
         ids = encode_texts(utf8(part.column("text")), v)
         ends = [token_ends(x, v) for x in ids]
         yield with_columns(part, ("text",), ids=pa.array(ids, pa.binary()), ends=pa.array(ends, pa.binary()))
+    v.pieces = {}  # workers live on after a task
 
 
 def _decode_batches(batches, path: str):

@@ -140,12 +140,18 @@ def _candidates(rows: pa.Table, bucket: int, p: int, q: int) -> tuple[np.ndarray
     minima = np.frombuffer(b"".join(rows.column("minima").to_pylist()), dtype=np.uint8).reshape(-1, RANGES)
     free = node != lead
     open_ = ((block == p) & free)[:, None] & ((block == q) & free)[None, :] & (root[:, None] != root[None, :])
-    x, y = np.nonzero(np.triu(open_, 1) if p == q else open_)
-    same = bands[x] == bands[y]
-    here = (same.sum(1) >= 2) & (bands[x, same.argmax(1)] == bucket)
-    x, y = x[here], y[here]
-    estimate = ((minima[x] == minima[y]) & (minima[x] > 0)).sum(1) / np.maximum(1, ((minima[x] | minima[y]) > 0).sum(1))
-    order = np.argsort(-estimate, kind="stable")[: int((estimate >= LEAST_ESTIMATE).sum())]
+    found = []
+    for i in np.flatnonzero(open_.any(1)):  # a row at a time, to hold little
+        j = np.flatnonzero(open_[i, i + 1 :]) + i + 1 if p == q else np.flatnonzero(open_[i])
+        same = bands[j] == bands[i]
+        j = j[(same.sum(1) >= 2) & (bands[i, same.argmax(1)] == bucket)]
+        estimate = ((minima[j] == minima[i]) & (minima[i] > 0)).sum(1) / np.maximum(1, ((minima[j] | minima[i]) > 0).sum(1))
+        likely = estimate >= LEAST_ESTIMATE
+        found.append((np.full(int(likely.sum()), i), j[likely], estimate[likely]))
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    x, y, estimate = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(-estimate, kind="stable")
     return x[order], y[order]
 
 
