@@ -1,8 +1,11 @@
 """Near-dedup of embeddings with a pivot-permutation index.
 
-Reference points (pivots) are vectors of the data, a sample by hash of at most ``MAX_PIVOTS`` and about 2 sqrt(n). A
-vector is described by the ordered list of its ``PREFIX`` nearest pivots. The inverted lists hold, for every pair of
-pivots, the vectors that have both in their list: vectors that meet there share two pivots or more. Inside a list all
+Reference points (pivots) are normal random vectors with a fixed seed, at most ``MAX_PIVOTS`` and about 2 sqrt(n). A
+vector is described by the list of its ``PREFIX`` nearest pivots, by scalar product. The products of two unit vectors
+with a pivot are normal and correlated by their cosine, so how likely a pair shares pivots depends on its cosine and
+the number of pivots only, not on the other rows or the length (pivots taken from the data lie close together inside a
+large group, and lose its links). The inverted lists hold, for every pair of pivots, the vectors that have both in
+their list: vectors that meet there share two pivots or more. Inside a list all
 pairs are compared exactly (in blocks of bounded size, by matrix products in double precision); a link counts in the
 list of the two smallest pivots that both vectors share, so once. A list gives one row per linked vector: its links
 and the smallest vector it is connected with there. Pairs of vectors never become rows.
@@ -18,6 +21,7 @@ rows; further columns are left out.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -32,6 +36,8 @@ COSINE = 0.9
 PREFIX = 7
 MIN_PIVOTS, MAX_PIVOTS = 32, 16_384
 BLOCK = 512
+#: Scalar products held at a time.
+PRODUCTS = 1 << 22
 
 
 def _vectors(batches, kind: str):
@@ -54,9 +60,24 @@ def unit(raw: list[bytes], kind: str) -> np.ndarray:
 
 
 def nearest(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The prefix of each vector's pivot permutation."""
+    """The pivots in the prefix of each vector's pivot permutation."""
     k = min(PREFIX, len(pivots))
-    return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :k]
+    rows = max(1, PRODUCTS // len(pivots))
+    return np.concatenate([np.argpartition(-(vectors[a : a + rows] @ pivots.T), k - 1, axis=1)[:, :k] for a in range(0, len(vectors), rows)])
+
+
+@functools.lru_cache(maxsize=2)
+def random_pivots(m: int, size: int) -> np.ndarray:
+    """The same in every task."""
+    return np.random.default_rng(0).standard_normal((m, size))
+
+
+def owned(a: np.ndarray, b: np.ndarray, first: int, second: int) -> np.ndarray:
+    """For rows of sorted pivots: are these the two smallest that row k of ``a`` and row k of ``b`` share?"""
+    both = (a[:, :, None] == b[:, None, :]).any(2)
+    rank = np.cumsum(both, axis=1) * both
+    at = np.arange(len(a))
+    return (a[at, (rank == 1).argmax(1)] == first) & (a[at, (rank == 2).argmax(1)] == second)
 
 
 def linked(vectors: np.ndarray, block: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -91,13 +112,16 @@ def _links(batches, kind: str, m: int):
         near = near[np.ix_(order, order)]
         root = smallest_reached(near)
         pivots = np.frombuffer(b"".join(rows.column("pivots").to_pylist()), dtype="<i4").reshape(rows.num_rows, -1)[order]
+        # each pair counts in the list of the two smallest pivots that both have; rows of a large group often have equal pivots
+        kinds, of = np.unique(pivots, axis=0, return_inverse=True)
+        of = of.ravel()
+        meet = np.zeros((len(kinds), len(kinds)), dtype=bool)
         i, j = np.nonzero(near)
-        # the two smallest pivots that both have; each pair counts in their list only
-        both = (pivots[i][:, :, None] == pivots[j][:, None, :]).any(2)
-        rank = np.cumsum(both, axis=1) * both
-        own = pivots[i][np.arange(len(i)), (rank == 1).argmax(1)].astype(np.int64) * m + pivots[i][np.arange(len(i)), (rank == 2).argmax(1)] == bucket
+        meet[of[i], of[j]] = True
+        i, j = np.nonzero(meet)
+        meet[i, j] = owned(kinds[i], kinds[j], bucket // m, bucket % m)
         weight = rows.column("weight").to_numpy()[order]
-        links = np.bincount(i, weights=own * weight[j], minlength=len(order)).astype(np.int64)
+        links = (near & meet[np.ix_(of, of)]).astype(np.int64) @ weight
         yield pa.RecordBatch.from_arrays([pa.array([node[k] for k in order], pa.binary()), pa.array([node[order[r]] for r in root], pa.binary()), pa.array(links)], names=["a", "b", "links"])
 
 
@@ -110,21 +134,18 @@ def near_duplicates(rows: DataFrame, vectors: str = "embedding", max_pivots: int
     v = v.withColumn("raw", F.when(F.col("size") == size, F.col("raw"))).drop("size").withColumn("node", F.unhex(F.md5("raw")))
     nodes = fixed(v.filter("node is not null").groupBy("node").agg(F.any_value("raw").alias("raw"), F.count("*").alias("weight"), F.min("vec_id").alias("first_id")))
     m = min(max_pivots, max(MIN_PIVOTS, 2 * math.isqrt(nodes.count())))
-    sample = [r[0] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(m).select("raw").collect()]
-    shared = rows.sparkSession.sparkContext.broadcast(unit(sample, kind) if sample else np.zeros((0, 1)))
-    width = len(sample)
 
     def index(batches):
         for batch in batches:
             if batch.num_rows:
-                top = np.sort(nearest(unit(batch.column("raw").to_pylist(), kind), shared.value), axis=1).astype("<i4")
+                top = np.sort(nearest(unit(batch.column("raw").to_pylist(), kind), random_pivots(m, size)), axis=1).astype("<i4")
                 pairs = [(x, y) for x in range(top.shape[1]) for y in range(x + 1, top.shape[1])]
-                keys = np.stack([top[:, x].astype(np.int64) * width + top[:, y] for x, y in pairs], axis=1) if pairs else np.zeros((len(top), 0), np.int64)
+                keys = np.stack([top[:, x].astype(np.int64) * m + top[:, y] for x, y in pairs], axis=1)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "raw", "weight")), pa.array([t.tobytes() for t in top], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int64()))], names=["node", "raw", "weight", "pivots", "buckets"])
 
     lists = nodes.select("node", "raw", "weight").mapInArrow(index, "node binary, raw binary, weight bigint, pivots binary, buckets array<bigint>")
     lists = lists.select("node", "raw", "weight", "pivots", F.explode("buckets").alias("bucket"))
-    found = fixed(dealt(in_blocks(lists, "bucket", "node", BLOCK), "bucket", "p", "q").mapInArrow(lambda b: _links(b, kind, width), "a binary, b binary, links bigint"))
+    found = fixed(dealt(in_blocks(lists, "bucket", "node", BLOCK), "bucket", "p", "q").mapInArrow(lambda b: _links(b, kind, m), "a binary, b binary, links bigint"))
     roots = components(found.select("a", "b"))
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     named = nodes.select("node", "weight", "first_id").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))

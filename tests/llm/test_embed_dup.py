@@ -66,3 +66,19 @@ def test_recall_at_the_threshold(m):
     pivots /= np.linalg.norm(pivots, axis=1)[:, None]
     a, b = embed_dup.nearest(x, pivots), embed_dup.nearest(y, pivots)
     assert np.mean([len(set(p) & set(q)) >= 2 for p, q in zip(a, b, strict=True)]) >= 0.92
+
+
+@pytest.mark.parametrize("cosine", [0.75, 0.92, 0.99])
+def test_links_inside_a_large_group(spark, cosine):
+    """A third of the rows are different near copies of one vector. At 0.75 most of them are not linked, but each has a partner."""
+    rng = np.random.default_rng(7)
+    unit = lambda a: a / np.linalg.norm(a, axis=1)[:, None]
+    g = 700
+    c, own, other = unit(vectors(1, seed=6)), unit(vectors(g, seed=8)), unit(vectors(g, seed=9))
+    near = math.sqrt(cosine) * c + math.sqrt(1 - cosine) * own
+    v = np.concatenate([vectors(2 * g), near, unit(near) + 0.35 * other if cosine < 0.9 else vectors(0)])
+    rows = [(int(i), [float(x) for x in v[i].astype(np.float32)]) for i in rng.permutation(len(v))]
+    want = brute(rows)
+    got = result(spark, rows)
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(n for n, _ in got.values()) >= 0.95 * sum(n for n, _ in want.values()) > 0
