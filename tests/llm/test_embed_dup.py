@@ -82,3 +82,16 @@ def test_links_inside_a_large_group(spark, cosine):
     got = result(spark, rows)
     assert all(got[i][0] <= want[i][0] for i in want)
     assert sum(n for n, _ in got.values()) >= 0.95 * sum(n for n, _ in want.values()) > 0
+
+
+@pytest.mark.parametrize("m", [4096, 8192, embed_dup.MAX_PIVOTS])
+def test_recall_with_the_most_pivots(m):
+    rng = np.random.default_rng(10)
+    unit = lambda a: a / np.linalg.norm(a, axis=1)[:, None]
+    x = unit(vectors(2000, seed=11).astype(np.float64))
+    n = rng.standard_normal((2000, 64))
+    n = unit(n - (n * x).sum(1)[:, None] * x)
+    pivots = embed_dup.random_pivots(m, 64)
+    a, b = embed_dup.nearest(x, pivots), embed_dup.nearest(0.9 * x + math.sqrt(1 - 0.81) * n, pivots)
+    got = np.mean([len(set(p) & set(q)) >= 2 for p, q in zip(a, b, strict=True)])
+    assert got >= 0.93
