@@ -14,8 +14,9 @@ Equal vectors are one node with a weight, so a large group of copies costs one r
 at the least cosine of 0.9 share two pivots in 95 % of cases at 2,048 pivots and more with fewer; from there on the list
 grows by one with each doubling, up to 10 of 16,384 pivots, which keeps it at 95 %. Nearer vectors share more.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing, nor do vectors
-whose length is not the most common one (the shorter of two); a null id is reported with its row and never names a
+Vectors of different lengths never link; each length has its own pivots and lists.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing; a null id is reported with its row and never names a
 component that holds another id; repeated rows are vectors of their own, linked as copies; an empty table gives no
 rows; further columns are left out.
 """
@@ -27,6 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,8 @@ from photocat.llm.graph import components, dealt, in_blocks, sorted_groups
 
 COSINE = 0.9
 PREFIX = 7
-MIN_PIVOTS, MAX_PIVOTS = 32, 16_384
+PIVOT_BITS = 14
+MIN_PIVOTS, MAX_PIVOTS = 32, 1 << PIVOT_BITS
 BLOCK = 512
 #: Scalar products held at a time.
 PRODUCTS = 1 << 22
@@ -106,7 +109,7 @@ def smallest_reached(near: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _links(batches, kind: str, m: int):
+def _links(batches, kind: str):
     for (bucket, p, q), rows in sorted_groups(batches, ("bucket", "p", "q")):
         block = rows.column("block").to_numpy()
         near = linked(unit(rows.column("raw").to_pylist(), kind), block, p, q)
@@ -125,7 +128,7 @@ def _links(batches, kind: str, m: int):
         i, j = np.nonzero(near)
         meet[of[i], of[j]] = True
         i, j = np.nonzero(meet)
-        meet[i, j] = owned(kinds[i], kinds[j], bucket // m, bucket % m)
+        meet[i, j] = owned(kinds[i], kinds[j], bucket >> PIVOT_BITS & MAX_PIVOTS - 1, bucket & MAX_PIVOTS - 1)
         weight = rows.column("weight").to_numpy()[order]
         links = (near & meet[np.ix_(of, of)]).astype(np.int64) @ weight
         yield pa.RecordBatch.from_arrays([pa.array([node[k] for k in order], pa.binary()), pa.array([node[order[r]] for r in root], pa.binary()), pa.array(links)], names=["a", "b", "links"])
@@ -135,23 +138,23 @@ def near_duplicates(rows: DataFrame, vectors: str = "embedding", max_pivots: int
     """vec_id, n_links, component_id and kept for every row."""
     kind = "<f4" if "float" in rows.schema[vectors].dataType.simpleString() else "<f8"
     v = fixed(rows.select("vec_id", F.col(vectors).alias("embedding")).mapInArrow(lambda b: _vectors(b, kind), "vec_id bigint, raw binary, size int"))
-    common = v.filter("size is not null").groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").select("size").head(1)
-    size = common[0][0] if common else 0
-    v = v.withColumn("raw", F.when(F.col("size") == size, F.col("raw"))).drop("size").withColumn("node", F.unhex(F.md5("raw")))
-    nodes = fixed(v.filter("node is not null").groupBy("node").agg(F.any_value("raw").alias("raw"), F.count("*").alias("weight"), F.min("vec_id").alias("first_id")))
-    m = min(max_pivots, max(MIN_PIVOTS, 2 * math.isqrt(nodes.count())))
+    v = v.withColumn("node", F.unhex(F.md5("raw")))
+    nodes = fixed(v.filter("node is not null").groupBy("node").agg(F.any_value("raw").alias("raw"), F.any_value("size").alias("size"), F.count("*").alias("weight"), F.min("vec_id").alias("first_id")))
+    pivots = {r[0]: min(max_pivots, max(MIN_PIVOTS, 2 * math.isqrt(r[1]))) for r in nodes.groupBy("size").count().collect()}
 
     def index(batches):
         for batch in batches:
-            if batch.num_rows:
-                top = np.sort(nearest(unit(batch.column("raw").to_pylist(), kind), random_pivots(m, size)), axis=1).astype("<i4")
+            for size in pc.unique(batch.column("size")).to_pylist():
+                part = batch.filter(pc.equal(batch.column("size"), size))
+                top = np.sort(nearest(unit(part.column("raw").to_pylist(), kind), random_pivots(pivots[size], size)), axis=1).astype("<i4")
                 pairs = [(x, y) for x in range(top.shape[1]) for y in range(x + 1, top.shape[1])]
-                keys = np.stack([top[:, x].astype(np.int64) * m + top[:, y] for x, y in pairs], axis=1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "raw", "weight")), pa.array([t.tobytes() for t in top], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int64()))], names=["node", "raw", "weight", "pivots", "buckets"])
+                # the length, then the two pivots
+                keys = np.stack([(size << 2 * PIVOT_BITS) + (top[:, x].astype(np.int64) << PIVOT_BITS) + top[:, y] for x, y in pairs], axis=1)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "raw", "weight")), pa.array([t.tobytes() for t in top], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int64()))], names=["node", "raw", "weight", "pivots", "buckets"])
 
-    lists = nodes.select("node", "raw", "weight").mapInArrow(index, "node binary, raw binary, weight bigint, pivots binary, buckets array<bigint>")
+    lists = nodes.select("node", "raw", "size", "weight").mapInArrow(index, "node binary, raw binary, weight bigint, pivots binary, buckets array<bigint>")
     lists = lists.select("node", "raw", "weight", "pivots", F.explode("buckets").alias("bucket"))
-    found = fixed(dealt(in_blocks(lists, "bucket", "node", BLOCK), "bucket", "p", "q").mapInArrow(lambda b: _links(b, kind, m), "a binary, b binary, links bigint"))
+    found = fixed(dealt(in_blocks(lists, "bucket", "node", BLOCK), "bucket", "p", "q").mapInArrow(lambda b: _links(b, kind), "a binary, b binary, links bigint"))
     roots = components(found.select("a", "b"))
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     named = nodes.select("node", "weight", "first_id").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))

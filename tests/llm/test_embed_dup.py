@@ -95,3 +95,15 @@ def test_recall_with_the_most_pivots(m):
     a, b = embed_dup.nearest(x, pivots), embed_dup.nearest(0.9 * x + math.sqrt(1 - 0.81) * n, pivots)
     got = np.mean([len(set(p) & set(q)) >= 2 for p, q in zip(a, b, strict=True)])
     assert got >= 0.93
+
+
+def test_two_lengths(spark):
+    """Rows of every length link among themselves."""
+    tall = vectors(120, seed=12)
+    flat = vectors(60, d=24, seed=13)
+    rng = np.random.default_rng(14)
+    parts = [tall, np.concatenate([flat, flat[:30] + 0.1 * rng.standard_normal((30, 24)), flat[:5]])]
+    rows = [[(1000 * p + k, [float(x) for x in v]) for k, v in enumerate(part.astype(np.float32))] for p, part in enumerate(parts)]
+    want = brute(rows[0]) | brute(rows[1])
+    assert sum(n for n, _ in want.values()) > 70
+    assert result(spark, rows[0] + rows[1]) == want
