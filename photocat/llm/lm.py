@@ -1,19 +1,19 @@
 """Language model scoring with a log-frequency Bloom filter.
 
 Tokens are lower-cased words and one end per text. Word counts are exact; bigram counts live in a Bloom filter: a
-bigram seen c >= 2 times is inserted once per level 1 .. floor(log2 c), and a reader probes level after level until
-one is missing, which gives the count rounded down to a power of two (or, rarely, a larger one). The filter has
-``FILTER_BITS`` bits whatever the corpus, so it can be broadcast; if the bigrams need more, the lowest levels of all
-are left out, by a rule that looks at the counts of all data. Its bits lie in segments by hash, so each task of the
-counting builds its own segment.
+bigram seen c times is inserted once per level 0 .. floor(log2 c), and a reader probes level after level until one is
+missing, which gives the count rounded down to a power of two (or, rarely, a larger one). The filter lies in segments
+by hash, one for each part of the counting; a segment has ``BITS_PER_ENTRY`` bits for each of its entries (together
+``FILTER_BITS`` at least), so the filter grows with the corpus and no level is left out. It is never gathered: its parts
+answer for it.
 
 P(w | h) = SHARE * count(h w) / count(h) + (1 - SHARE) * P(w), P(w) = (c + 0.1) / (N + 0.1 (V + 1)); for an unseen h
 it is P(w).
 
 Counting: each task counts the words and bigrams of its texts and sends them, packed, to the part of the hash range
 they belong to. Scoring: texts are dealt into blocks of about ``BLOCK_BYTES``; a block asks the parts for the counts
-of its different words and gets them in the same order. So a frequent word costs one request a block, and no task
-holds more than a block or a part. Words are told apart by 64-bit hashes.
+of its different words and bigrams and gets them in the same order. So a frequent word or bigram costs one request a
+block, and no task holds more than a block or a part. Words are told apart by 64-bit hashes.
 
 Defined results: a null text is the empty text (one token, the end); a null id is the text "" for the choice of
 training rows and so held out; repeated rows count and are scored as often as they stand; with no training row
@@ -100,8 +100,19 @@ class _Tally:
 COUNT_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
+def _short(keys: np.ndarray, bits: int) -> bytes:
+    """The 40 bits of each key after those of its part."""
+    return ((keys << np.uint64(bits)) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    wide[:, :5] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
 def _packed(kind: int, keys: np.ndarray, counts: np.ndarray, bits: int):
-    """Rows of COUNT_SCHEMA. A bigram keeps the 40 bits after those of its part, and counts of a byte."""
+    """Rows of COUNT_SCHEMA. A bigram is short and has counts of a byte."""
     if kind == BIGRAMS:
         times = -(-counts // 255)
         keys = np.repeat(keys, times)
@@ -111,8 +122,7 @@ def _packed(kind: int, keys: np.ndarray, counts: np.ndarray, bits: int):
     rows = []
     for p, a, b in _parts(keys, bits):
         if kind == BIGRAMS:
-            k = ((keys[a:b] << np.uint64(bits)) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-            rows.append((kind, p, k, counts[a:b].astype(np.uint8).tobytes()))
+            rows.append((kind, p, _short(keys[a:b], bits), counts[a:b].astype(np.uint8).tobytes()))
         else:
             rows.append((kind, p, keys[a:b].astype("<u8").tobytes(), counts[a:b].astype("<u4").tobytes()))
     for k in range(0, len(rows), 64):
@@ -133,26 +143,38 @@ def _count_batches(batches, bits: int):
 
 
 def _merge_part(rows: pa.Table) -> pa.Table:
-    """All counts of one kind and part. Bigrams seen once are left out."""
+    """All counts of one kind and part."""
     kind, part = rows.column("kind")[0].as_py(), rows.column("part")[0].as_py()
     raw = b"".join(rows.column("keys").to_pylist())
     if kind == BIGRAMS:
-        wide = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
-        wide[:, :5] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
-        keys, counts = wide.view("<u8").ravel(), np.frombuffer(b"".join(rows.column("counts").to_pylist()), dtype=np.uint8)
+        keys, counts = _long(raw), np.frombuffer(b"".join(rows.column("counts").to_pylist()), dtype=np.uint8)
     else:
         keys, counts = np.frombuffer(raw, dtype="<u8"), np.frombuffer(b"".join(rows.column("counts").to_pylist()), dtype="<u4")
     keys, counts = _summed(keys.astype(np.uint64), counts.astype(np.int64))
     total, types = int(counts.sum()), len(keys)
-    levels = np.zeros(0, dtype=np.int64)
-    if kind == BIGRAMS:
-        keys, counts = keys[counts > 1], counts[counts > 1]
-        levels = np.bincount(level(counts), minlength=1)
-    return pa.table([[kind], [part], [keys.astype("<u8").tobytes()], [counts.astype("<u8").tobytes()], [total], [types], [levels.tolist()]], schema=MERGED_SCHEMA)
+    return pa.table([[kind], [part], [keys.astype("<u8").tobytes()], [counts.astype("<u8").tobytes()], [total], [types]], schema=MERGED_SCHEMA)
+
+
+MERGED_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("types", pa.int64())])
 
 
-MERGED_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("types", pa.int64()), ("levels", pa.list_(pa.int64()))])
-MERGED = "kind int, part int, keys binary, counts binary, total bigint, types bigint, levels array<bigint>"
+def _merge_kind(rows: pa.Table, least: int) -> pa.Table:
+    """The counts of the words, or the filter's segment for the bigrams, of one part."""
+    merged = _merge_part(rows)
+    if merged.column("kind")[0].as_py() == WORDS:
+        return pa.table([*merged.columns, pa.array([None], pa.binary())], names=[*MERGED_SCHEMA.names, "bits"])
+    entries = int((level(np.frombuffer(merged.column("counts")[0].as_py(), dtype="<u8")) + 1).sum())
+    (segment,) = _segments(merged.to_batches(), segment_bits(entries, least), 0)
+    kept = merged.set_column(2, "keys", pa.array([None], pa.binary())).set_column(3, "counts", pa.array([None], pa.binary()))
+    return pa.table([*kept.columns, segment.column("bits")], names=[*MERGED_SCHEMA.names, "bits"])
+
+
+MERGED = "kind int, part int, keys binary, counts binary, total bigint, types bigint, bits binary"
+
+
+def segment_bits(entries: int, least: int) -> int:
+    """Bits of a segment, whole bytes."""
+    return -(-max(64, least, entries * BITS_PER_ENTRY) // 8) * 8
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -202,50 +224,47 @@ def probe(filter_bits: np.ndarray, hashes: np.ndarray, part_bits: int, size: int
 
 
 class Model:
-    """What scoring needs: totals, the broadcast filter and the exact word counts by part."""
+    """What scoring needs: totals, and by part the exact word counts and the filter's segments."""
 
-    def __init__(self, spark: SparkSession, merged: DataFrame, part_bits: int):
-        self.spark, self.part_bits = spark, part_bits
-        self.words = merged.filter(F.col("kind") == WORDS).select("part", "keys", "counts")
-        total = merged.filter(F.col("kind") == WORDS).agg(F.sum("total"), F.sum("types")).first()
+    def __init__(self, merged: DataFrame, part_bits: int):
+        self.part_bits = part_bits
+        words = F.col("kind") == WORDS
+        total = merged.filter(words).agg(F.sum("total"), F.sum("types")).first()
         self.n, self.v = int(total[0] or 0), int(total[1] or 0)
-        big = merged.filter(F.col("kind") == BIGRAMS)
-        levels = {r[0]: r[1] for r in big.select(F.posexplode("levels")).groupBy("pos").agg(F.sum("col")).collect()}
-        self.lowest = 1
-        while sum(k * (lv - self.lowest + 1) for lv, k in levels.items() if lv >= self.lowest) * BITS_PER_ENTRY > FILTER_BITS:
-            self.lowest += 1
-        self.size = max(8, FILTER_BITS >> part_bits)
-        size, lowest = self.size, self.lowest
-        bits = np.zeros((1 << part_bits, size // 8), dtype=np.uint8)
-        for part, b in big.select("part", "keys", "counts").mapInArrow(lambda x: _segments(x, size, lowest), "part int, bits binary").toLocalIterator():
-            bits[part] = np.frombuffer(b, dtype=np.uint8)
-        self.filter = spark.sparkContext.broadcast(bits.ravel())
-
-
-def train(docs: DataFrame, text_bytes: int) -> Model:
+        self.parts = merged.select("part", "keys", "counts", "bits")
+
+
+def train(docs: DataFrame, text_bytes: int, filter_bits: int = FILTER_BITS) -> Model:
     """Count words and bigrams of all rows of ``docs`` and build the filter."""
     bits = max(3, (text_bytes // PART_BYTES).bit_length())
     rows = docs.select("text").mapInArrow(lambda b: _count_batches(b, bits), "kind int, part int, keys binary, counts binary")
-    return Model(docs.sparkSession, fixed(rows.groupBy("kind", "part").applyInArrow(_merge_part, MERGED)), bits)
+    return Model(fixed(rows.groupBy("kind", "part").applyInArrow(lambda t: _merge_kind(t, filter_bits >> bits), MERGED)), bits)
 
 
 def _requests(rows: pa.Table, bits: int) -> pa.Table:
-    tok, _ = tokens(utf8(rows.column("text").combine_chunks()))
-    keys = np.unique(tok)
-    cut = _parts(keys, bits)
+    tok, first = tokens(utf8(rows.column("text").combine_chunks()))
     block = rows.column("block")[0].as_py()
-    return pa.table([pa.array([p for p, _, _ in cut], pa.int32()), pa.array([block] * len(cut), pa.int64()), pa.array([keys[a:b].astype("<u8").tobytes() for _, a, b in cut], pa.binary())], names=["part", "block", "asked"])
+    keys, pairs = np.unique(tok), np.unique(bigrams(tok, first))
+    words = {p: keys[a:b].astype("<u8").tobytes() for p, a, b in _parts(keys, bits)}
+    twos = {p: _short(pairs[a:b], bits) for p, a, b in _parts(pairs, bits)}
+    parts = sorted(words.keys() | twos.keys())
+    columns = [pa.array(parts, pa.int32()), pa.array([block] * len(parts), pa.int64()), *(pa.array([x.get(p, b"") for p in parts], pa.binary()) for x in (words, twos))]
+    return pa.table(columns, names=["part", "block", "words", "bigrams"])
 
 
 def _answers(asked: pa.Table, known: pa.Table) -> pa.Table:
-    keys = np.frombuffer(b"".join(known.column("keys").to_pylist()), dtype="<u8")
-    counts = np.frombuffer(b"".join(known.column("counts").to_pylist()), dtype="<u8")
-    out = []
-    for raw in asked.column("asked").to_pylist():
+    """For each request the counts of its words, and for its bigrams a byte each: 0, or one more than the highest level."""
+    joined = lambda c: b"".join(x or b"" for x in known.column(c).to_pylist())
+    keys, counts, bits = np.frombuffer(joined("keys"), dtype="<u8"), np.frombuffer(joined("counts"), dtype="<u8"), np.frombuffer(joined("bits"), dtype=np.uint8)
+    of_words, of_bigrams = [], []
+    for raw, short in zip(asked.column("words").to_pylist(), asked.column("bigrams").to_pylist(), strict=True):
         want = np.frombuffer(raw, dtype="<u8")
         at = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
-        out.append((np.where(keys[at] == want, counts[at], 0) if len(keys) else np.zeros(len(want))).astype("<u8").tobytes())
-    return pa.table([asked.column("block"), asked.column("part"), pa.array(out, pa.binary())], names=["block", "part", "counts"])
+        of_words.append((np.where(keys[at] == want, counts[at], 0) if len(keys) else np.zeros(len(want))).astype("<u8").tobytes())
+        pairs = _long(short) << np.uint64(24)
+        found = probe(bits, pairs, 0, len(bits) * 8, 0) if len(bits) else np.zeros(len(pairs))
+        of_bigrams.append(np.frexp(found)[1].astype(np.uint8).tobytes())
+    return pa.table([asked.column("block"), asked.column("part"), pa.array(of_words, pa.binary()), pa.array(of_bigrams, pa.binary())], names=["block", "part", "counts", "levels"])
 
 
 SCORE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -264,21 +283,23 @@ def score_tokens(tok: np.ndarray, first: np.ndarray, c: np.ndarray, n: int, v: i
 
 def score(docs: DataFrame, model: Model, text_bytes: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    bits, size, lowest, n, v, shared = model.part_bits, model.size, model.lowest, model.n, model.v, model.filter
+    bits, n, v = model.part_bits, model.n, model.v
     blocks = max(1, -(-text_bytes // BLOCK_BYTES))
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    asked = rows.groupBy("block").applyInArrow(lambda t: _requests(t, bits), "part int, block bigint, asked binary")
-    told = asked.groupBy("part").cogroup(model.words.groupBy("part")).applyInArrow(_answers, "block bigint, part int, counts binary")
+    asked = rows.groupBy("block").applyInArrow(lambda t: _requests(t, bits), "part int, block bigint, words binary, bigrams binary")
+    told = asked.groupBy("part").cogroup(model.parts.groupBy("part")).applyInArrow(_answers, "block bigint, part int, counts binary, levels binary")
 
     def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:
         tok, first = tokens(utf8(texts.column("text").combine_chunks()))
         keys, at = np.unique(tok, return_inverse=True)
         counts = counts.sort_by("part")
         c = np.frombuffer(b"".join(counts.column("counts").to_pylist()), dtype="<u8").astype(np.int64)
-        if len(c) != len(keys):
+        pairs, pair_at = np.unique(bigrams(tok, first), return_inverse=True)
+        levels = np.frombuffer(b"".join(counts.column("levels").to_pylist()), dtype=np.uint8)
+        if len(c) != len(keys) or len(levels) != len(pairs):
             raise ValueError("the answers do not fit the block")
-        found = probe(shared.value, bigrams(tok, first), bits, size, lowest)
-        got = score_tokens(tok, first, c[at], n, v, found)
+        found = np.where(levels > 0, 2.0 ** (levels.astype(np.int64) - 1), 0)
+        got = score_tokens(tok, first, c[at], n, v, found[pair_at])
         return pa.table([texts.column("doc_id"), texts.column("held_out"), *(pa.array(x) for x in got)], schema=SCORE_SCHEMA)
 
     out = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")

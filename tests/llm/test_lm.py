@@ -59,3 +59,29 @@ def test_filter_rounds_counts_down_and_rarely_invents():
     assert (got >= true).all() and (got == true).mean() > 0.9
     strange = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     assert (lm.probe(out.ravel(), strange, bits, size, 1) > 0).mean() < 0.05
+
+
+def exact(rows):
+    """{id: score} with bigram counts rounded down to powers of two."""
+    pairs = lambda t: list(zip([None, *words(t)], words(t), strict=False))
+    c = Counter(w for _, t in rows for w in words(t))
+    two = Counter(p for _, t in rows for p in pairs(t))
+    n, v = sum(c.values()), len(c)
+    p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+    level = lambda k: 2 ** (k.bit_length() - 1) if k else 0
+    return {d: sum(math.log10(lm.SHARE * min(level(two[a, w]), c[a]) / c[a] + (1 - lm.SHARE) * p(w)) for a, w in pairs(t)) for d, t in rows}
+
+
+def test_the_filter_grows_and_keeps_bigrams_seen_once(spark):
+    rng = np.random.default_rng(2)
+    # once as few texts and once as many; most bigrams are seen once
+    for texts in (20, 2000):
+        rows = [(k, " ".join(f"w{x}" for x in rng.zipf(1.2, 60) % 5000)) for k in range(texts)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        model = lm.train(docs, 1, 1)
+        bits = sum(8 * len(r.bits) for r in model.parts.collect() if r.bits)
+        two = Counter(p for _, t in rows for p in zip([None, *words(t)], words(t), strict=False))
+        entries = sum(k.bit_length() for k in two.values())
+        assert entries * lm.BITS_PER_ENTRY <= bits <= entries * lm.BITS_PER_ENTRY + 8 * 64
+        got, want = {r.doc_id: r.score for r in lm.score(docs, model, 1).collect()}, exact(rows)
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=0.02) for k in want)
