@@ -6,9 +6,13 @@ storage, so a lost executor or a restart continues where it was.
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import tempfile
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +77,30 @@ def stream_throughput(events: DataFrame, late: str = "10 minutes", width: str =
     return throughput(events.where("state = 'done'").withWatermark("ts", late), width)
 
 
+REPORT = np.dtype([("t", "<f8"), ("done", "<i8"), ("total", "<i8")])
+OUT_ROWS = 10_000
+#: Rows of each sorted run held while runs are merged.
+RUN_ROWS = 64
+
+
+def in_order(chunks: Iterator[pd.DataFrame], file) -> Iterator[tuple[float, int, int]]:
+    """(t, done, total) of all chunks by t and done. Spark hands over a micro-batch in chunks of any order; each is sorted
+    and put into ``file``, and the runs are merged from there, so a batch of any size needs little memory."""
+    ends = [0]
+    for chunk in chunks:
+        run = np.zeros(len(chunk), dtype=REPORT)
+        for name in REPORT.names:
+            run[name] = chunk[name].to_numpy()
+        file.write(run[np.lexsort((run["total"], run["done"], run["t"]))].tobytes())
+        ends.append(ends[-1] + len(run))
+    file.flush()
+    if not ends[-1]:
+        return
+    stored = np.memmap(file, dtype=REPORT, mode="r")
+    rows = lambda a, b: (r for k in range(a, b, RUN_ROWS) for r in stored[k : min(b, k + RUN_ROWS)].tolist())
+    yield from heapq.merge(*(rows(a, b) for a, b in itertools.pairwise(ends)))
+
+
 class _TimeLeft(StatefulProcessor):
     """Expected end of one batch. State: the report from which speed is measured, the highest count, the expected end."""
 
@@ -81,13 +109,14 @@ class _TimeLeft(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pace = Pace(*self.kept.get()) if self.kept.exists() else None
-        for chunk in rows:
-            chunk = chunk.sort_values(["t", "done"])
-            left = []
-            for t, done, total in zip(chunk.t.tolist(), chunk.done.tolist(), chunk.total.tolist(), strict=True):
-                pace = Pace(t, done, done, None) if pace is None or done < pace.start_done else pace.after(t, done, total)
-                left.append(pace.left(t, done, total))
-            yield pd.DataFrame({"batch_id": key[0], "t": chunk.t.to_numpy(), "done": chunk.done.to_numpy(), "left_s": pd.array(left, dtype="Float64")})
+        with tempfile.TemporaryFile() as file:
+            reports = in_order(rows, file)
+            while some := list(itertools.islice(reports, OUT_ROWS)):
+                left = []
+                for t, done, total in some:
+                    pace = Pace(t, done, done, None) if pace is None or done < pace.start_done else pace.after(t, done, total)
+                    left.append(pace.left(t, done, total))
+                yield pd.DataFrame({"batch_id": key[0], "t": [r[0] for r in some], "done": [r[1] for r in some], "left_s": pd.array(left, dtype="Float64")})
         if pace is not None:
             self.kept.update(pace)
 
