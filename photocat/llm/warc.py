@@ -35,7 +35,6 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NO_ID = "ffffffff-ffff-8fff-bfff-ffffffffffff"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-MAX_HEADER = 1 << 16
 
 
 def digest(payload: Column) -> Column:
@@ -95,15 +94,18 @@ class BadRecord(ValueError):
 
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+#: An empty line, or the version line of another record before one.
+HEADER_END = re.compile(rb"\r\n(?:(\r\n)|WARC/1\.[01]\r\n)")
 
 
 def _one(data: bytes, at: int) -> tuple[dict, int]:
     """The plain record at ``at`` and where it ends."""
-    end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
     if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
         raise BadRecord("no version line")
-    if end < 0:
+    found = HEADER_END.search(data, at)
+    if not found or not found[1]:
         raise BadRecord("header does not end")
+    end = found.start()
     fields = {}
     for x in data[at:end].split(b"\r\n")[1:]:
         name, colon, value = x.partition(b":")

@@ -95,3 +95,11 @@ def test_damaged_file_through_spark(spark, tmp_path):
     rows = warc.read(spark, str(tmp_path)).orderBy("start").collect()
     assert [(r.gap is None, r.payload and bytes(r.payload)) for r in rows] == [(True, b"n0"), (False, None), (True, b"n2"), (True, b"n3")]
     assert rows[1].start == len(good[0]) and rows[1].end == len(good[0]) + len(good[1]) - 7
+
+
+def test_a_long_address_is_no_damage():
+    long = record(b"long", number=1).replace(b"Content-Type: app", b"WARC-Target-URI: http://a/" + b"x" * 200_000 + b"WARC/1.1\r\nContent-Type: app", 1)
+    data = record(b"one") + long + record(b"three", number=3)
+    assert [x for x, _, _ in parsed(data)] == [b"one", b"long", b"three"]
+    # a header that does not end hides no record after it
+    assert [x for x, _, _ in parsed(record(b"one") + b"WARC/1.1\r\nWARC-Type: response\r\n" + long)] == [b"one", "gap", b"long"]
