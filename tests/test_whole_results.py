@@ -42,3 +42,12 @@ def test_tokens(spark):
 def test_whole_log(spark):
     log = spark.range(700).select(F.col("id").alias("seq"), F.timestamp_seconds(F.col("id") * 60).alias("time"))
     assert reports.recent_log(log).count() == 700 and [r.seq for r in reports.recent_log(log, 2).collect()] == [699, 698]
+
+
+def test_the_registered_tag_listing_has_all_tags_and_whole_values(spark, monkeypatch):
+    from photocat.plans import q_reports, registry
+
+    tags = spark.createDataFrame([(1, f"XMP:T{k:02}", 0, "v" * 900) for k in range(30)], "photo_id long, tag string, item long, value string")
+    monkeypatch.setattr(q_reports, "load", lambda spark, sf, name: tags)
+    got = registry.QUERIES["s5_tag_listing_whole"](spark, "").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, tags.collect()))
