@@ -1,14 +1,16 @@
 """Ordering and matching inside groups that may be very uneven.
 
 One photo, folder or batch can hold a large share of all rows. A plain window would sort such a group in one task.
-``ordered_scan`` deals rows into ranges of (group, order) instead, as many as their size asks for, so a group of any size
-lies in as many ranges as it fills. The window runs per group and range, and what the earlier ranges of a group hold is
-added. Two neighbouring ranges share one group at most, so groups that need this are fewer than ranges.
+``ordered_scan`` deals rows into ranges of (group, order) instead: as many as ``spark.sql.shuffle.partitions`` says (or
+``parts``), each about the same share of all rows, so a group with a third of the rows lies in a third of the ranges. The
+window runs per group and range, and what the earlier ranges of a group hold is carried in. Two neighbouring ranges
+share one group at most, so groups that need this are fewer than ranges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,20 +26,42 @@ def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], parts
     return cut_lineage(dealt.withColumn("_part", F.spark_partition_id()))
 
 
+class Running(NamedTuple):
+    """A value carried along a group's order: ``how`` combines the rows up to this one (or before it, not ``inclusive``).
+
+    ``how`` is any of COMBINE: an associative function with its aggregate, so that each range is reduced on its own."""
+
+    src: str
+    how: str = "sum"
+    inclusive: bool = True
+
+
+#: how -> (aggregate over rows or ranges in order, what an earlier and a later part give together). Nulls count for nothing.
+COMBINE = {
+    "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
+    "max": (F.max, F.greatest),
+    "min": (F.min, F.least),
+    "bit_xor": (F.bit_xor, lambda a, b: F.coalesce(a.bitwiseXOR(b), a, b)),
+    "last": (lambda c: F.last(c, ignorenulls=True), lambda a, b: F.coalesce(b, a)),
+}
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
     position: str | None = None,
     lag: dict[str, str] | None = None,
-    running: dict[str, str] | None = None,
+    running: dict[str, str | Running] | None = None,
     parts: int | None = None,
 ) -> DataFrame:
-    """Row position, previous-row values and running sums inside each group.
+    """Row position, previous-row values and running values inside each group.
 
-    ``lag`` and ``running`` map a new column to the column it reads. ``order`` is ascending and unique inside a group.
+    ``lag`` maps a new column to the column it reads, ``running`` to a column to sum or to a ``Running``. ``order`` is
+    ascending and unique inside a group (rows that tie may be taken in any order). Keys are not null.
     """
-    lag, running = lag or {}, running or {}
+    lag = lag or {}
+    running = {out: Running(r) if isinstance(r, str) else r for out, r in (running or {}).items()}
     order = list(order)
     rows = in_ranges(df, keys, order, parts)
     by_part = [*keys, "_part"]
@@ -46,7 +70,9 @@ def ordered_scan(
     o = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     totals = [F.count(F.lit(1)).alias("_cnt")]
     totals += [F.max_by(F.struct(src), o).alias(f"_last_{out}") for out, src in lag.items()]
-    totals += [F.sum(src).alias(f"_sum_{out}") for out, src in running.items()]
+    for out, r in running.items():
+        whole = F.max_by(r.src, F.when(F.col(r.src).isNotNull(), o)) if r.how == "last" else COMBINE[r.how][0](r.src)
+        totals.append(whole.alias(f"_all_{out}"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     prior = Window.partitionBy(*keys).orderBy("_part")
     carried = (
@@ -57,19 +83,19 @@ def ordered_scan(
             *by_part,
             F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_before"),
             *[F.lag(f"_last_{out}").over(prior).alias(f"_carry_{out}") for out in lag],
-            *[F.sum(f"_sum_{out}").over(before).alias(f"_base_{out}") for out in running],
+            *[COMBINE[r.how][0](F.col(f"_all_{out}")).over(before).alias(f"_base_{out}") for out, r in running.items()],
         )
     )
     w = Window.partitionBy(*by_part).orderBy(*order)
     new = {"_rn": F.row_number().over(w).cast("long")}
     new |= {out: F.lag(src).over(w) for out, src in lag.items()}
-    new |= {out: F.sum(src).over(w.rowsBetween(Window.unboundedPreceding, 0)) for out, src in running.items()}
+    new |= {out: COMBINE[r.how][0](F.col(r.src)).over(w.rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1)) for out, r in running.items()}
     out = rows.withColumns(new).join(carried, by_part, "left")
     fix = {
         name: F.when((F.col("_rn") == 1) & (F.col("_before") > 0), F.col(f"_carry_{name}.{src}")).otherwise(F.col(name))
         for name, src in lag.items()
     }
-    fix |= {name: F.col(name) + F.coalesce(F.col(f"_base_{name}"), F.lit(0)) for name in running}
+    fix |= {name: COMBINE[r.how][1](F.col(f"_base_{name}"), F.col(name)) for name, r in running.items()}
     if position:
         fix[position] = F.col("_rn") + F.coalesce(F.col("_before"), F.lit(0))
     keep = [c for c in df.columns if c not in fix]

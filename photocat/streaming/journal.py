@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from photocat.functions import fixed_values as fixed
+from photocat.functions.groups import Running, ordered_scan
 from photocat.operators.identity import VERSION_KEY, pending_analysis
 
 
@@ -188,12 +189,11 @@ def stream_stop_fence(requests: DataFrame) -> DataFrame:
 
 
 def stop_fence(requests: DataFrame) -> DataFrame:
-    """The same on a stored journal. A request is refused when a newer epoch was seen before it, so
-    only the first time of each (batch, epoch) matters: one small row each, joined back."""
-    first = requests.groupBy("batch_id", "epoch").agg(F.min("seq").alias("first_seq"))
-    stops = first.groupBy("batch_id").agg(F.collect_list(F.struct("epoch", "first_seq")).alias("stops"))
-    newer = F.exists("stops", lambda s: (s["epoch"] > F.col("epoch")) & (s["first_seq"] < F.col("seq")))
-    return requests.join(stops, "batch_id").select("batch_id", "seq", "epoch", newer.alias("refused"))
+    """The same on a stored journal: a request is refused when a newer epoch was seen before it. The highest epoch so far is
+    carried along each batch's order, so a batch of any size is cut into ranges."""
+    rows = requests.select("batch_id", "seq", "epoch")
+    seen = ordered_scan(rows, ["batch_id"], [F.col("seq")], running={"seen": Running("epoch", "max", inclusive=False)})
+    return seen.select("batch_id", "seq", "epoch", F.coalesce(F.col("seen") > F.col("epoch"), F.lit(False)).alias("refused"))
 
 
 def idle_sessions(events: DataFrame, gap: str = fixed.STAGING_IDLE) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from photocat.functions import boxes, groups
 from photocat.operators import captions, people
+from photocat.streaming import journal
 
 
 def skewed(spark, n=4000):
@@ -28,6 +30,29 @@ def test_split_scan_equals_window(spark):
     assert got.count() == df.count()
 
 
+@pytest.mark.parametrize("how", ["max", "min", "bit_xor", "last"])
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_any_associative_function_is_carried_between_ranges(spark, how, inclusive):
+    df = skewed(spark).withColumn("x", F.when(F.col("s") > 0, F.col("i")))
+    order = [F.col("v"), F.col("i")]
+    w = Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    plain = {"max": F.max("x"), "min": F.min("x"), "bit_xor": F.bit_xor("x"), "last": F.last("x", ignorenulls=True)}[how]
+    want = df.select("k", "i", plain.over(w).alias("run"))
+    got = groups.ordered_scan(df, ["k"], order, running={"run": groups.Running("x", how, inclusive)}, parts=23)
+    assert set(map(tuple, got.select("k", "i", "run").collect())) == set(map(tuple, want.collect()))
+
+
+def test_stop_fence_with_a_third_of_all_rows_in_one_batch(spark):
+    rnd = random.Random(3)
+    rows = [(0 if i % 3 == 0 else i, i, min(9, i // 400) - rnd.randrange(2)) for i in range(4000)]
+    seen, want = {}, set()
+    for b, seq, epoch in rows:
+        want.add((b, seq, epoch, seen.get(b, epoch) > epoch))
+        seen[b] = max(seen.get(b, epoch), epoch)
+    got = journal.stop_fence(spark.createDataFrame(rows, "batch_id long, seq long, epoch long"))
+    assert set(map(tuple, got.collect())) == want and any(r[3] for r in want)
+
+
 def test_large_groups_really_are_split(spark):
     parts = groups.in_ranges(skewed(spark), ["k"], [F.col("v"), F.col("i")], 24).groupBy("k", "_part").count()
     sizes = [r["count"] for r in parts.where("k = 0").collect()]
