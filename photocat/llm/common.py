@@ -60,3 +60,10 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing reads any more, in whatever store it lies."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB: the unsigned CRC-32 of a text of ASCII characters, bit by bit (for oracles)."""
+    bit = "list_reduce([{}, 0, 0, 0, 0, 0, 0, 0, 0], lambda r, unused: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    byte = bit.format("xor(c, x)")
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda t: ord(t)::BIGINT)), lambda c, x: {byte}))"
