@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from photocat.llm import bpe, embed_dup, langid, line_dedup, lm, merkle, mixing, near_dup, pii, quality, warc
+from photocat.llm import bpe, embed_dup, langid, line_dedup, lm, merkle, mixing, near_dup, piecewise, pii, quality, trie, warc
 
 QUERIES: dict = {"pipeline": corpus_pipeline.run}
 ORACLE: dict = {}
@@ -25,4 +25,6 @@ _add(lm.op3_lm_score)
 _add(pii.op1_pii)
 _add(embed_dup.op2_embedding_dup)
 _add(langid.op7_language_id)
+_add(piecewise.op11_piecewise_hash)
 _add(merkle.op12_merkle, merkle.sql())
+_add(trie.op13_prefix_trie, trie.sql())
