@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photocat.functions.groups import ordered_positions
-from photocat.llm.common import crc32_sql, fixed, table
+from photocat.llm.common import crc32_sql, fixed, small_or_plain, table
 
 #: A superblock has 2 ** BLOCK_LEVELS leaves.
 BLOCK_LEVELS = 12
@@ -164,14 +164,15 @@ def manifest(rows: DataFrame) -> DataFrame:
     """Proofs for ``rows`` (doc_id, tree, leaf, other): doc_id, leaf, subroot, root, proof_sha256, folded_root, where ``other``
     takes the leaf's place in folding if it is not null."""
     numbered = fixed(_numbered(rows, [F.col("doc_id").asc_nulls_first(), F.col("leaf")]).withColumnRenamed("leaf", "digest"))
-    sizes = fixed(numbered.groupBy("tree").agg(F.count("*").alias("n")))
-    most = sizes.agg(F.max("n")).first()[0] or 0
+    counts = fixed(numbered.groupBy("tree").agg(F.count("*").alias("n")))
+    sizes = small_or_plain(counts)  # a row per language
+    most = counts.agg(F.max("n")).first()[0] or 0
     languages = _climb(numbered, sizes, most)
 
     # the tree over the subroots: one tree, numbered by language
     top = languages[-1].select(F.lit("").alias("tree"), F.col("tree").alias("of"), "digest")
     top = fixed(_numbered(top, [F.col("of")]))
-    count = sizes.agg(F.count("*").alias("n")).select(F.lit("").alias("tree"), "n")
+    count = counts.agg(F.count("*").alias("n")).select(F.lit("").alias("tree"), "n")
     whole = _climb(top, count, top.count())
     root = whole[-1].select("tree", "at", F.lit(0).alias("step"), F.lit("root").alias("side"), "digest")
     above = _descend(whole, count, root, 0)
