@@ -1,12 +1,10 @@
 """Files written and read back, and streams against their batch forms."""
 
 import json
-import tempfile
 
 from pyspark.sql import functions as F
 
 from photocat.sources import files
-from photocat.streaming import journal
 
 
 def test_inventory(spark, tmp_path):
@@ -48,27 +46,6 @@ def test_drafts(spark, tmp_path):
     assert [r.path for r in files.read_drafts(spark, str(tmp_path)).collect()] == ["/b", "/a", "/c"]
 
 
-def test_late_rows_are_dropped_and_counted(spark):
-    src, base = tempfile.mkdtemp(), tempfile.mkdtemp()
-    schema = "batch_id long, ts timestamp, state string"
-
-    def add(n, rows):
-        spark.createDataFrame(rows, "batch_id long, t string, state string").select("batch_id", F.to_timestamp("t").alias("ts"), "state").coalesce(1).write.parquet(f"{src}/{n}")
-
-    def run():
-        s = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
-        q = journal.write_epochs(journal.stream_throughput(s), base + "/rows", base + "/progress", "update")
-        q.awaitTermination()
-        return q
-
-    add(1, [(1, "2024-01-01 10:00:30", "done"), (1, "2024-01-01 12:00:00", "done")])
-    run()
-    add(2, [(1, "2024-01-01 10:00:40", "done"), (1, "2024-01-01 12:00:10", "done"), (1, "2024-01-01 12:00:20", "failed")])
-    assert journal.late_rows_dropped(run()) == 1
-    rows = spark.read.parquet(base + "/rows").groupBy("from_ts").agg(F.max("done").alias("n")).collect()
-    assert sorted(r.n for r in rows) == [1, 2]
-
-
 def test_text_that_looks_like_a_list_stays_text(spark):
     doc = json.dumps({"A:x": "[1]", "A:q": '["x"]', "A:l": ["a", "b"], "A:s": {"k": 3}, "A:t": True, "A:z": None, "A:e": [], "A:m": ["1", {"k": 2}]})[:-1] + ', "A:n": 1.50, "A:r": [1.0, 20]}'
     docs = spark.createDataFrame([(1, doc), (2, "no json"), (3, '{"A:x": 1, "A:x": 2}'), (4, None)], "photo_id long, doc string")
