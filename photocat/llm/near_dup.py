@@ -9,14 +9,16 @@ or more. Since labelled runs are different, the longest alignment is a longest i
 
 No group is gathered. Equal texts are one node. In a bucket of equal tuples every node is first verified against the
 bucket's smallest node only; links make classes. Then buckets that still hold several classes are looked at again, in
-blocks of bounded size: pairs of different classes that share two buckets or more, and whose estimated similarity
-(from the smallest hash in each of 128 ranges) is not four standard errors below the wanted one, are aligned inside
+blocks of bounded size: pairs of different classes that share a bucket and whose estimated similarity
+(from the smallest hash in each of 128 ranges) is not four standard errors below the wanted one (of pairs at 0.8 itself 3 in 100,000 are) are aligned inside
 the task, which gives one link for each two classes that it finds connected. So links inside a class are not looked
 for, pairs never become rows, and hardly any link between classes is lost that the sketches find.
 
 Defined results: a null text is the empty text; texts without a word are equal only to the same text; texts of one to
-four words are near copies if their words are equal; rows that share an id are judged by their text, and their class
-is that of their text; the class is named by the smallest id in it (null where all its ids are null); an empty table
+four words are near copies if their words are equal; rows that share an id, or have none, are judged by their text: a class
+is its ``root``, a digest no other class has, and ``class_id`` is the smallest id in it (null where all its ids are null;
+classes may share one where an id has several texts); ``one_of_each`` keeps one row of each class whatever the ids,
+that with the smallest id, then the smallest digest, and of rows with equal id and text one; an empty table
 gives no rows; further columns are kept by ``one_of_each``.
 """
 
@@ -144,7 +146,7 @@ def _candidates(rows: pa.Table, bucket: int, p: int, q: int) -> tuple[np.ndarray
     for i in np.flatnonzero(open_.any(1)):  # a row at a time, to hold little
         j = np.flatnonzero(open_[i, i + 1 :]) + i + 1 if p == q else np.flatnonzero(open_[i])
         same = bands[j] == bands[i]
-        j = j[(same.sum(1) >= 2) & (bands[i, same.argmax(1)] == bucket)]
+        j = j[same.any(1) & (bands[i, same.argmax(1)] == bucket)]
         estimate = ((minima[j] == minima[i]) & (minima[i] > 0)).sum(1) / np.maximum(1, ((minima[j] | minima[i]) > 0).sum(1))
         likely = estimate >= LEAST_ESTIMATE
         found.append((np.full(int(likely.sum()), i), j[likely], estimate[likely]))
@@ -182,7 +184,7 @@ def _links_between(batches):
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, class_id) for every row; ``node`` is the digest of the text."""
+    """(doc_id, node, root, class_id) for every row; ``node`` is the digest of the text, ``root`` the smallest one in its class."""
     rows = fixed(docs.select("doc_id", "text").mapInArrow(_sketch_batches, "doc_id bigint, node binary, bands array<bigint>, minima binary"))
     nodes = fixed(rows.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.any_value("bands").alias("bands"), F.any_value("minima").alias("minima")))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -202,17 +204,17 @@ def classes(docs: DataFrame) -> DataFrame:
     roots = components(links)
     named = nodes.select("node", "first_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("first_doc").alias("class_id"))
-    return rows.select("doc_id", "node").join(named.join(smallest, "root").select("node", "class_id"), "node")
+    return rows.select("doc_id", "node").join(named.join(smallest, "root").select("node", "root", "class_id"), "node")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id names their class, and of rows that share an id and a class one; with their columns."""
-    keep = classes(docs).filter("doc_id = class_id or doc_id is null and class_id is null").select(F.col("doc_id").alias("keep_id"), F.col("node").alias("keep_node"))
-    keep = keep.groupBy("keep_id").agg(F.min("keep_node").alias("keep_node"))
-    row = docs.select(F.struct("*").alias("row"))
-    node = F.unhex(F.md5(F.coalesce(F.col("row.text"), F.lit(""))))
-    kept = row.join(keep, F.col("row.doc_id").eqNullSafe(F.col("keep_id")) & (node == F.col("keep_node")))
-    return kept.select("row.*")
+    """One document of each class, with its columns: that with the smallest id (rows without one come last), then the
+    smallest digest; of rows with this id and text the one whose columns have the smallest hash."""
+    id_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    keep = classes(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("k"))
+    keep = keep.select(F.col("k.node").alias("node"), id_text("k.doc_id").alias("id"))
+    rows = docs.select(F.struct("*").alias("row")).withColumns({"node": F.unhex(F.md5(F.coalesce(F.col("row.text"), F.lit("")))), "id": id_text("row.doc_id")})
+    return rows.join(keep, ["node", "id"]).groupBy("node", "id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,37 @@ def test_odd_rows(spark, odd):
     assert result(docs) == sorted([(None, None) if r[0] is None else (r[0], want[r[0]]) for r in rows], key=str)
     out = near_dup.one_of_each(docs)
     assert out.columns == docs.columns
-    assert sorted((r.doc_id for r in out.collect()), key=str) == sorted([1, 1, 2, 4, 5, 7, 8, None], key=str)
+    assert sorted((r.doc_id for r in out.collect()), key=str) == sorted([1, 2, 4, 5, 7, 8, None], key=str)
+
+
+def test_different_texts_without_an_id_or_with_one_id_all_stay(spark):
+    texts = [f"a text about matter {k} and nothing else, number {k * 31}" for k in range(6)]
+    rows = [(None, texts[0], "a"), (None, texts[1], "b"), (None, texts[2], "c"), (5, texts[3], "a"), (5, texts[4], "b"), (5, texts[4], "b"), (6, texts[4], "c"), (None, texts[3], "d"), (7, texts[5], "e")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, node string")
+    kept = [tuple(r) for r in near_dup.one_of_each(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(None, texts[0], "a"), (None, texts[1], "b"), (None, texts[2], "c"), (5, texts[3], "a"), (5, texts[4], "b"), (7, texts[5], "e")], key=str)
+    found = near_dup.classes(docs)
+    assert found.select("root").distinct().count() == 6 == len(kept)
+    assert {(r.doc_id, r.class_id) for r in found.collect()} == {(None, None), (5, 5), (6, 5), (None, 5), (7, 7)}
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Pairs alone in their group, whose similarity lies just above 0.8: at least 98 of 100 are found."""
+    rng = random.Random(21)
+    rows, pairs = [], 0
+    while pairs < 300:
+        n = rng.choice([30, 60, 120, 250])
+        a = [f"p{pairs}x{rng.randrange(10**6)}" for _ in range(n)]
+        b = list(a)
+        for at in rng.sample(range(n), max(1, round(n * 0.02))):
+            b[at] = "changed"
+        while similarity(" ".join(a), " ".join(b)) > 0.83:
+            b.append(f"more{len(b)}")
+        if similarity(" ".join(a), " ".join(b)) >= 0.8:
+            rows += [(2 * pairs, " ".join(a)), (2 * pairs + 1, " ".join(b))]
+            pairs += 1
+    found = near_dup.classes(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert found.where("class_id <> doc_id").count() >= 0.98 * pairs
 
 
 def test_large_groups_of_copies(spark):
