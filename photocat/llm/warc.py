@@ -98,68 +98,118 @@ VERSION = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 HEADER_END = re.compile(rb"\r\n(?:(\r\n)|WARC/1\.[01]\r\n)")
 
 
-def _one(data: bytes, at: int) -> tuple[dict, int]:
-    """The plain record at ``at`` and where it ends."""
-    if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
-        raise BadRecord("no version line")
-    found = HEADER_END.search(data, at)
-    if not found or not found[1]:
-        raise BadRecord("header does not end")
-    end = found.start()
-    fields = {}
-    for x in data[at:end].split(b"\r\n")[1:]:
-        name, colon, value = x.partition(b":")
-        if not colon:
+#: Bytes of a gzip member that are inflated at once: few at first, as most places to try are none.
+INFLATE_FIRST, INFLATE_MOST = 1 << 10, 1 << 20
+
+
+class _Header:
+    """The fields before one header end, read once: the last line of each name counts."""
+
+    def __init__(self, data: bytes, at: int, end: int):
+        self.end, self.start = end, end + 4
+        self.last, self.bad, self.digests = {}, -1, {}
+        line = data.find(b"\r\n", at, end)
+        while line >= 0:
+            stop = data.find(b"\r\n", line + 2, end)
+            name, colon, value = data[line + 2 : end if stop < 0 else stop].partition(b":")
+            if colon:
+                self.last[name.strip().lower()] = line, value.strip().decode("utf-8", "replace")
+            else:
+                self.bad = line
+            line = stop
+
+    def get(self, name: bytes, at: int) -> str | None:
+        line, value = self.last.get(name, (-1, None))
+        return value if line > at else None
+
+
+class Records:
+    """The records in one run of bytes. Places to try come in ascending order; those before the same header end share its
+    fields and its block, so each end is looked for and read once, and a damaged file takes time in proportion to its size."""
+
+    def __init__(self, data: bytes):
+        self.data, self.header = data, None
+        self.since, self.next_end = len(data) + 1, None  # the first header end behind ``since``
+
+    def _header(self, at: int) -> _Header:
+        if at < self.since or self.next_end and self.next_end.start() < at:
+            self.since, self.next_end = at, HEADER_END.search(self.data, at)
+        if not self.next_end or not self.next_end[1]:
+            raise BadRecord("header does not end")
+        if not self.header or self.header.end != self.next_end.start() or at < self.since:
+            self.header = _Header(self.data, at, self.next_end.start())
+        return self.header
+
+    def one(self, at: int) -> tuple[dict, int]:
+        """The plain record at ``at`` and where it ends."""
+        data = self.data
+        if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
+            raise BadRecord("no version line")
+        header = self._header(at)
+        if header.bad > at:
             raise BadRecord("header line without a colon")
-        fields[name.strip().lower().decode("ascii", "replace")] = value.strip().decode("utf-8", "replace")
-    if not fields.get("content-length", "").isdecimal():
-        raise BadRecord("no length")
-    start = end + 4
-    stop = start + int(fields["content-length"])
-    if stop + 4 > len(data):
-        raise BadRecord("cut short")
-    if data[stop : stop + 4] != b"\r\n\r\n":
-        raise BadRecord("length does not fit")
-    block = data[start:stop]
-    payload, http = block, {}
-    if fields.get("content-type", "").startswith("application/http"):
-        head, _, payload = block.partition(b"\r\n\r\n")
-        http = {a.strip().lower(): b.strip() for a, _, b in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
-    kind = fields.get("warc-type", "")
-    stated = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind != "revisit" and stated and stated != base64.b32encode(hashlib.sha1(payload).digest()).decode():
-        raise BadRecord("payload digest differs")
-    length = http.get(b"content-length", b"")
-    size = len(payload) if kind != "revisit" else int(length) if length.isdigit() else None
-    found = {"record_type": kind, "record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "payload_digest": stated, "payload_bytes": size, "refers_to": fields.get("warc-refers-to"), "payload": None if kind == "revisit" else payload}
-    return found, stop + 4
-
-
-def _at(data: bytes, at: int) -> tuple[list[dict], int]:
-    """The record, or the records of the gzip member, at ``at`` and where they end."""
-    if data[at : at + 2] != b"\x1f\x8b":
-        found, end = _one(data, at)
-        return [found], end
-    member = zlib.decompressobj(31)
-    try:
-        plain = member.decompress(data[at:])
-    except zlib.error as e:
-        raise BadRecord("bad gzip member") from e
-    if not member.eof:
-        raise BadRecord("gzip member cut short")
-    out, k = [], 0
-    while k < len(plain):
-        found, k = _one(plain, k)
-        out.append(found)
-    return out, len(data) - len(member.unused_data)
+        length = header.get(b"content-length", at) or ""
+        if not length.isdecimal():
+            raise BadRecord("no length")
+        stop = header.start + int(length)
+        if stop + 4 > len(data):
+            raise BadRecord("cut short")
+        if data[stop : stop + 4] != b"\r\n\r\n":
+            raise BadRecord("length does not fit")
+        kind = header.get(b"warc-type", at) or ""
+        stated = (header.get(b"warc-payload-digest", at) or "").removeprefix("sha1:")
+        http = (header.get(b"content-type", at) or "").startswith("application/http")
+        split = data.find(b"\r\n\r\n", header.start, stop) if http else header.start - 4
+        head_end, body = (stop, stop) if split < 0 else (split, split + 4)
+        if kind != "revisit" and stated:
+            if body not in header.digests:
+                header.digests[body] = base64.b32encode(hashlib.sha1(memoryview(data)[body:stop]).digest()).decode()
+            if stated != header.digests[body]:
+                raise BadRecord("payload digest differs")
+        size = stop - body
+        if kind == "revisit":
+            fields = {a.strip().lower(): b.strip() for a, _, b in (x.partition(b":") for x in data[header.start : head_end].split(b"\r\n")[1:])} if http else {}
+            told = fields.get(b"content-length", b"")
+            size = int(told) if told.isdigit() else None
+        found = {
+            "record_type": kind, "record_id": header.get(b"warc-record-id", at), "target_uri": header.get(b"warc-target-uri", at), "payload_digest": stated,
+            "payload_bytes": size, "refers_to": header.get(b"warc-refers-to", at), "payload": None if kind == "revisit" else data[body:stop],
+        }
+        return found, stop + 4
+
+    def at(self, at: int) -> tuple[list[dict], int]:
+        """The record, or the records of the gzip member, at ``at`` and where they end."""
+        if self.data[at : at + 2] != b"\x1f\x8b":
+            found, end = self.one(at)
+            return [found], end
+        plain, end = _inflated(self.data, at)
+        inner, out, k = Records(plain), [], 0
+        while k < len(plain):
+            found, k = inner.one(k)
+            out.append(found)
+        return out, end
+
+
+def _inflated(data: bytes, at: int) -> tuple[bytes, int]:
+    """The content of the gzip member at ``at`` and where it ends; no more of the data is read than the member has."""
+    member, out, size = zlib.decompressobj(31), [], INFLATE_FIRST
+    while not member.eof:
+        if at >= len(data):
+            raise BadRecord("gzip member cut short")
+        try:
+            out.append(member.decompress(data[at : at + size]))
+        except zlib.error as e:
+            raise BadRecord("bad gzip member") from e
+        at, size = at + size, min(4 * size, INFLATE_MOST)
+    return b"".join(out), min(at, len(data)) - len(member.unused_data)
 
 
 def salvage(data: bytes):
     """(record or None, start, end, reason) for every record, and for every gap between records that pass."""
-    at = 0
+    at, records = 0, Records(data)
     while at < len(data):
         try:
-            found, end = _at(data, at)
+            found, end = records.at(at)
             yield from ((x, at, end, None) for x in found)
             at = end
             continue
@@ -168,7 +218,7 @@ def salvage(data: bytes):
         at = len(data)
         for m in VERSION.finditer(data, gap + 1):
             try:
-                _at(data, m.start())
+                records.at(m.start())
             except BadRecord:
                 continue
             at = m.start()

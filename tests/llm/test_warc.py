@@ -2,8 +2,11 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 import uuid
 
+import pytest
+
 from photocat.llm import warc
 
 
@@ -103,3 +106,19 @@ def test_a_long_address_is_no_damage():
     assert [x for x, _, _ in parsed(data)] == [b"one", b"long", b"three"]
     # a header that does not end hides no record after it
     assert [x for x, _, _ in parsed(record(b"one") + b"WARC/1.1\r\nWARC-Type: response\r\n" + long)] == [b"one", "gap", b"long"]
+
+
+@pytest.mark.parametrize("piece", [b"WARC/1.1\r\nA", b"WARC/1.1\r\nA:", b"WARC/1.1\r\nContent-Length: 0\r\nA", b"\x1f\x8b\x08ab"])
+def test_eight_damaged_megabytes_take_seconds(piece):
+    data, good = piece * ((8 << 20) // len(piece)), record(b"sound")
+    began = time.monotonic()
+    assert [x[0] for x in parsed(data + b"\r\n\r\n" + good)] == ["gap", b"sound"]
+    assert parsed(data)[-1][2] == len(data)
+    assert time.monotonic() - began < 60
+
+
+def test_many_gzip_members_are_read_in_one_pass():
+    data = gzip.compress(record(b"one of many" * 50)) * 20_000
+    began = time.monotonic()
+    assert len(parsed(data)) == 20_000
+    assert time.monotonic() - began < 20
