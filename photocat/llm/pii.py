@@ -123,6 +123,7 @@ def features(t: str, words: list[tuple[int, int]], i: int, j: int) -> list[str]:
     d, low = _digits(s), s.lower()
     letters = any(c.isalpha() for c in s)
     names = [f"n{j - i}", f"d{min(len(d), 20)}", f"l{letters}", f"s{shape(s)}", f"d{min(len(d), 20)}l{letters}", f"c{s[:1] if not s[:1].isalnum() else 'w'}"]
+    low = re.sub(r"\s+", " ", low)  # a search for blanks before a bracket would start at every one of a long run
     bare = re.sub(r"\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*", ".", re.sub(r"\s*[\[({]\s*(?:at|@)\s*[\])}]\s*", "@", low))
     if re.fullmatch(r"[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+", bare):
         names.append("as-address")

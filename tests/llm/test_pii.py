@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from photocat.llm import pii
 
@@ -59,3 +60,11 @@ def test_query_against_plain_patterns(spark, real, odd):
 def test_texts_without_anything(spark):
     docs = spark.createDataFrame([(1, "no digits here"), (2, None)], "doc_id bigint, text string")
     assert [r.spans for r in pii.find_all(docs, pii.train(docs)).collect()] == ["", ""]
+
+
+def test_the_field_takes_linear_time_over_blanks():
+    field = pii.Field()
+    for t in ("1" + " " * 1_000_000 + "2", "1 " + "\n" * 500_000 + "[at]" + "\t" * 500_000 + " x", "a@b.cd" + "( " * 1000):
+        began = time.monotonic()
+        pii.find(t, field)
+        assert time.monotonic() - began < 10, t[:20]
