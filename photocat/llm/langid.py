@@ -109,11 +109,13 @@ def document_in(url):
 
 
 def declared_in(html):
-    return F.lower(F.nullif(F.regexp_extract(html, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]{2,3})", 1), F.lit("")))
+    return F.lower(F.nullif(F.regexp_extract(html, r"(?i)<html[^<>]*\slang\s*=\s*[\"']?([a-z]{2,3})", 1), F.lit("")))
 
 
 def visible(html):
-    return F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<[^>]*>", " ")
+    """The text outside of markup. A script or style that nothing closes goes to the end, and a tag ends before the next one
+    starts, so every match moves on and a page takes linear time."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\z)|<[^<>]*>", " ")
 
 
 def identify(rows: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -71,3 +73,19 @@ def test_number_of_the_document(spark):
     urls = [("http://a.example/en/12/", 12), ("http://a.example/en/7.html?p=3#x", 7), ("https://a.example/5/about", None), ("x", None), (None, None)]
     df = spark.createDataFrame(urls, "url string, want bigint")
     assert all(r[0] == r[1] for r in df.select(langid.document_in(F.col("url")), "want").collect())
+
+
+def test_markup_of_a_megabyte_takes_linear_time(spark):
+    pages = ["<" * 1_000_000, "<script " * 120_000, "<script>" * 120_000, "<html " * 160_000, "<html" + " " * 1_000_000, "<p>word</p>" * 90_000]
+    began = time.monotonic()
+    got = spark.createDataFrame([(p,) for p in pages], "html string").select(langid.visible(F.col("html")), langid.declared_in(F.col("html"))).collect()
+    assert time.monotonic() - began < 30
+    assert got[0][0] == pages[0] and got[2][0].strip() == "" and got[5][0].split() == ["word"] * 90_000
+
+
+def test_columns_of_the_same_names_and_odd_rows(spark, odd, real):
+    docs = odd[0].withColumns({"lang_": F.lit(1), "posterior": F.lit("theirs"), "ll": F.lit("theirs"), "host_labels": F.lit(2)})
+    rows = docs.select("doc_id", "text", F.lit(None).cast("string").alias("declared"), F.col("source").alias("host"))
+    langs, logs = langid.train(real[0])
+    got = langid.identify(rows, langs, logs).collect()
+    assert len(got) == len(odd[1]) and all(r.lang in langs for r in got)
