@@ -87,9 +87,14 @@ def fold(node: str, steps) -> str:
     return node
 
 
+def _subtree(rows: pd.DataFrame) -> list[list[str]]:
+    """The levels over a superblock's nodes, which are in order."""
+    return levels_above(rows["digest"].tolist(), None if rows["alone"].iloc[0] else int(rows["height"].iloc[0]))
+
+
 def _reduce(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("at")
-    top = levels_above(rows["digest"].tolist(), None if rows["alone"].iloc[0] else BLOCK_LEVELS)[-1][0]
+    top = _subtree(rows)[-1][0]
     return pd.DataFrame({"tree": [rows["tree"].iloc[0]], "at": [rows["block"].iloc[0]], "digest": [top]})
 
 
@@ -103,7 +108,7 @@ def _pass_down(rows: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
     if rows.empty:
         return pd.DataFrame(columns=["tree", "at", "step", "side", "digest"])
     rows = rows.sort_values("at")
-    levels = levels_above(rows["digest"].tolist(), None if rows["alone"].iloc[0] else BLOCK_LEVELS)
+    levels = _subtree(rows)
     outer = _outer(steps)
     out = []
     for k, (tree, at) in enumerate(zip(rows["tree"], rows["at"], strict=True)):
@@ -118,7 +123,7 @@ def _prove(rows: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
     if rows.empty:
         return pd.DataFrame(columns=names)
     rows = rows.sort_values("at")
-    levels = levels_above(rows["digest"].tolist(), None if rows["alone"].iloc[0] else BLOCK_LEVELS)
+    levels = _subtree(rows)
     outer = _outer(steps)
     root = outer[-1][1]
     subroot = next(d for side, d in outer if side == "subroot")
@@ -136,52 +141,53 @@ def _numbered(rows: DataFrame, order) -> DataFrame:
     return ordered_positions(rows, ["tree"], order, "at").withColumn("at", F.col("at") - 1)
 
 
-def _blocks(nodes: DataFrame, sizes: DataFrame, height: int) -> DataFrame:
-    """``block`` of each node, and whether its tree has no other. ``sizes``: tree, n leaves; ``height`` counts rounds of superblocks."""
-    joined = nodes.join(sizes, "tree").withColumn("block", F.shiftright("at", BLOCK_LEVELS))
-    return joined.withColumn("alone", F.col("n") <= 1 << BLOCK_LEVELS * (height + 1)).drop("n")
+def _blocks(nodes: DataFrame, sizes: DataFrame, height: int, levels: int) -> DataFrame:
+    """``block`` of each node, the levels to climb in it, and whether its tree has no other block. ``sizes``: tree, n leaves;
+    ``height``: rounds of superblocks below these nodes."""
+    joined = nodes.join(sizes, "tree").withColumns({"block": F.shiftright("at", levels), "height": F.lit(levels)})
+    return joined.withColumn("alone", F.col("n") <= 1 << levels * (height + 1)).drop("n")
 
 
-def _climb(nodes: DataFrame, sizes: DataFrame, most: int) -> list[DataFrame]:
+def _climb(nodes: DataFrame, sizes: DataFrame, most: int, levels: int) -> list[DataFrame]:
     """The numbered nodes of each round (tree, at, digest), the trees' tops last."""
     rounds, height = [nodes.select("tree", "at", "digest")], 0
-    while height == 0 or most > 1 << BLOCK_LEVELS * height:
-        grouped = _blocks(rounds[-1], sizes, height).groupBy("tree", "block")
+    while height == 0 or most > 1 << levels * height:
+        grouped = _blocks(rounds[-1], sizes, height, levels).groupBy("tree", "block")
         rounds.append(fixed(grouped.applyInPandas(_reduce, NODES)))
         height += 1
     return rounds
 
 
-def _descend(rounds: list[DataFrame], sizes: DataFrame, outer: DataFrame, end: int) -> DataFrame:
+def _descend(rounds: list[DataFrame], sizes: DataFrame, outer: DataFrame, end: int, levels: int) -> DataFrame:
     """Steps to the root for the nodes of round ``end``; ``outer`` has those of the trees' tops."""
     for height in range(len(rounds) - 2, end - 1, -1):
-        below = _blocks(rounds[height], sizes, height).groupBy("tree", "block")
+        below = _blocks(rounds[height], sizes, height, levels).groupBy("tree", "block")
         outer = below.cogroup(outer.withColumnRenamed("at", "block").groupBy("tree", "block")).applyInPandas(_pass_down, STEPS)
     return outer
 
 
-def manifest(rows: DataFrame) -> DataFrame:
+def manifest(rows: DataFrame, levels: int = BLOCK_LEVELS) -> DataFrame:
     """Proofs for ``rows`` (doc_id, tree, leaf, other): doc_id, leaf, subroot, root, proof_sha256, folded_root, where ``other``
-    takes the leaf's place in folding if it is not null."""
+    takes the leaf's place in folding if it is not null. Superblocks have 2 ** ``levels`` leaves."""
     numbered = fixed(_numbered(rows, [F.col("doc_id").asc_nulls_first(), F.col("leaf")]).withColumnRenamed("leaf", "digest"))
     counts = fixed(numbered.groupBy("tree").agg(F.count("*").alias("n")))
     sizes = small_or_plain(counts)  # a row per language
     most = counts.agg(F.max("n")).first()[0] or 0
-    languages = _climb(numbered, sizes, most)
+    languages = _climb(numbered, sizes, most, levels)
 
     # the tree over the subroots: one tree, numbered by language
     top = languages[-1].select(F.lit("").alias("tree"), F.col("tree").alias("of"), "digest")
     top = fixed(_numbered(top, [F.col("of")]))
     count = counts.agg(F.count("*").alias("n")).select(F.lit("").alias("tree"), "n")
-    whole = _climb(top, count, top.count())
+    whole = _climb(top, count, top.count(), levels)
     root = whole[-1].select("tree", "at", F.lit(0).alias("step"), F.lit("root").alias("side"), "digest")
-    above = _descend(whole, count, root, 0)
+    above = _descend(whole, count, root, 0, levels)
     own = top.select("tree", "at", "of", F.col("digest").alias("subroot"))
     above = above.join(own, ["tree", "at"]).select(F.col("of").alias("tree"), F.lit(0).cast("long").alias("at"), (F.col("step") + 1).alias("step"), "side", "digest")
     start = own.select(F.col("of").alias("tree"), F.lit(0).cast("long").alias("at"), F.lit(0).alias("step"), F.lit("subroot").alias("side"), F.col("subroot").alias("digest"))
 
-    outer = fixed(_descend(languages, sizes, start.union(above), 1))
-    below = _blocks(numbered, sizes, 0).groupBy("tree", "block")
+    outer = fixed(_descend(languages, sizes, start.union(above), 1, levels))
+    below = _blocks(numbered, sizes, 0, levels).groupBy("tree", "block")
     proofs = below.cogroup(outer.withColumnRenamed("at", "block").groupBy("tree", "block")).applyInPandas(_prove, PROOFS)
     return numbered.select("tree", "at", "doc_id").join(proofs, ["tree", "at"]).drop("tree", "at")
 
