@@ -60,10 +60,22 @@ def ordered_scan(
     ``lag`` maps a new column to the column it reads, ``running`` to a column to sum or to a ``Running``. ``order`` is
     ascending and unique inside a group (rows that tie may be taken in any order). Keys are not null.
     """
+    return scan_ranges(in_ranges(df, keys, list(order), parts), keys, order, position, lag, running).drop("_part")
+
+
+def scan_ranges(
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    position: str | None = None,
+    lag: dict[str, str] | None = None,
+    running: dict[str, str | Running] | None = None,
+) -> DataFrame:
+    """``ordered_scan`` over rows that ``in_ranges`` dealt by the same keys and order; they keep their ``_part``, so another
+    scan of the same order needs no new ranges."""
     lag = lag or {}
     running = {out: Running(r) if isinstance(r, str) else r for out, r in (running or {}).items()}
     order = list(order)
-    rows = in_ranges(df, keys, order, parts)
     by_part = [*keys, "_part"]
     # groups in several ranges: fewer than ranges
     several = rows.groupBy(*keys).agg(F.min("_part").alias("_a"), F.max("_part").alias("_z")).where("_a < _z").select(*keys)
@@ -98,7 +110,7 @@ def ordered_scan(
     fix |= {name: COMBINE[r.how][1](F.col(f"_base_{name}"), F.col(name)) for name, r in running.items()}
     if position:
         fix[position] = F.col("_rn") + F.coalesce(F.col("_before"), F.lit(0))
-    keep = [c for c in df.columns if c not in fix]
+    keep = [c for c in rows.columns if c not in fix]
     return out.select(*keep, *[c.alias(n) for n, c in fix.items()])
 
 
@@ -128,20 +140,20 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], iou, t
     if threshold < 0.5:
         raise ValueError("overlap_pairs needs a threshold of at least 0.5")
     keys = list(keys)
-    cell = F.expr(
-        "xxhash64(_lw, _lh, cast(floor((x + w / 2) / pow(2, _lw + 1)) as long), cast(floor((y + h / 2) / pow(2, _lh + 1)) as long))"
-    )
-    left = left.where("w > 0 and h > 0").withColumns({"_lw": _levels("w"), "_lh": _levels("h")}).withColumn("_cell", cell).drop("_lw", "_lh")
-    cells = """
-      array_distinct(flatten(flatten(flatten(transform(array(-1, 0, 1), a -> transform(array(-1, 0, 1), b ->
-        transform(sequence(
-            cast(floor((rx + rw / 2 - 0.5 * least(rw, pow(2, _lw + a + 1))) / pow(2, _lw + a + 1)) as long),
-            cast(floor((rx + rw / 2 + 0.5 * least(rw, pow(2, _lw + a + 1))) / pow(2, _lw + a + 1)) as long)), i ->
-          transform(sequence(
-            cast(floor((ry + rh / 2 - 0.5 * least(rh, pow(2, _lh + b + 1))) / pow(2, _lh + b + 1)) as long),
-            cast(floor((ry + rh / 2 + 0.5 * least(rh, pow(2, _lh + b + 1))) / pow(2, _lh + b + 1)) as long)), j ->
-            xxhash64(_lw + a, _lh + b, i, j)))))))))
-    """
-    right = right.where("rw > 0 and rh > 0").withColumns({"_lw": _levels("rw"), "_lh": _levels("rh")})
-    right = right.withColumn("_cell", F.explode(F.expr(cells))).drop("_lw", "_lh")
+    cell = F.xxhash64("_lw", "_lh", "_i", "_j")
+    at = lambda centre, level, shift=0.0: F.floor((centre + shift) / F.pow(F.lit(2.0), F.col(level) + 1)).cast("long")
+    left = left.where("w > 0 and h > 0").withColumns({"_lw": _levels("w"), "_lh": _levels("h")})
+    left = left.withColumns({"_i": at(F.col("x") + F.col("w") / 2, "_lw"), "_j": at(F.col("y") + F.col("h") / 2, "_lh")})
+    left = left.withColumn("_cell", cell).drop("_lw", "_lh", "_i", "_j")
+
+    right = right.where("rw > 0 and rh > 0").withColumns({"_rlw": _levels("rw"), "_rlh": _levels("rh")})
+    near = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    right = right.withColumn("_near", F.explode(F.array(*near))).withColumns({"_lw": F.col("_rlw") + F.col("_near.a"), "_lh": F.col("_rlh") + F.col("_near.b")})
+    # a centre of the other box is at most half the smaller side away: one cell or two neighbours each way
+    for n, (c, size, level) in {"i": ("rx", "rw", "_lw"), "j": ("ry", "rh", "_lh")}.items():
+        reach = 0.5 * F.least(F.col(size), F.pow(F.lit(2.0), F.col(level) + 1))
+        first, last = (at(F.col(c) + F.col(size) / 2, level, sign * reach) for sign in (-1, 1))
+        right = right.withColumns({"_first": first, "_last": last})
+        right = right.withColumn(f"_{n}", F.explode(F.when(F.col("_first") == F.col("_last"), F.array("_first")).otherwise(F.array("_first", "_last"))))
+    right = right.withColumn("_cell", cell).drop("_rlw", "_rlh", "_near", "_lw", "_lh", "_first", "_last", "_i", "_j")
     return left.join(right, [*keys, "_cell"]).where(iou > threshold).drop("_cell")

@@ -6,13 +6,14 @@ the name. All matches ride on photo_id.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photocat.functions import boxes, text
 from photocat.functions import fixed_values as fixed
 from photocat.session import cut_lineage
-from photocat.functions.groups import ordered_positions, ordered_scan, overlap_pairs, with_group_values
+from photocat.functions.groups import in_ranges, ordered_positions, ordered_scan, overlap_pairs, scan_ranges
 
 BOX = ["x", "y", "w", "h"]
 
@@ -75,64 +76,79 @@ def explode_regions(docs: DataFrame) -> DataFrame:
 # -- folding ---------------------------------------------------------------------------------------
 
 
-def _as_right(df: DataFrame, *extra: str) -> DataFrame:
-    return df.select("photo_id", *[F.col(c).alias("r" + c) for c in BOX], F.col("region_no").alias("r_no"), *extra)
+def _list_order(source: str = "source") -> Column:
+    """Place in the reader's list: the first standard's regions, then the second's."""
+    return F.when(F.col(source) == "MWG", 0).otherwise(1)
 
 
-def fold_sources(regions: DataFrame) -> DataFrame:
-    """(photo_id, region_no, into_no): second-standard regions that repeat one of the first standard.
+def _overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(photo_id, region_no, key, source, r_no, r_key, r_source): regions of ``left`` lying on one of ``right``. Only numbers and
+    boxes go into the join."""
+    part = lambda df: df.select("photo_id", "region_no", "source", F.lower("name").alias("key"), *BOX)
+    r = part(right).select("photo_id", F.col("region_no").alias("r_no"), F.col("source").alias("r_source"), F.col("key").alias("r_key"), *[F.col(c).alias("r" + c) for c in BOX])
+    return overlap_pairs(part(left), r, ["photo_id"], boxes.iou(), 0.5).where("region_no <> r_no").select("photo_id", "region_no", "key", "source", "r_no", "r_key", "r_source")
 
-    Named ones match on name and either box missing or IoU above one half; unnamed ones on IoU.
-    The first region that matches takes them in. Missing boxes are settled by one aggregate per
-    name, overlaps by the grid join, so no group's pairs are listed."""
-    r = regions.withColumn("_key", F.lower("name"))
-    mp, mwg = r.where("source = 'MP'"), r.where("source = 'MWG'")
+
+def _folds(regions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Second-standard regions that repeat one of the first. Missing boxes are settled by one aggregate per name."""
+    r = regions.select("photo_id", "region_no", "source", F.lower("name").alias("key"), has_box().alias("placed"))
     per_name = (
-        mwg.where("name <> ''")
-        .groupBy("photo_id", "_key")
-        .agg(F.min("region_no").alias("first_any"), F.min(F.when(~has_box(), F.col("region_no"))).alias("first_boxless"))
-    )
-    near = (
-        overlap_pairs(mp, _as_right(mwg, "_key"), ["photo_id", "_key"], boxes.iou(), 0.5)
-        .groupBy("photo_id", "region_no")
-        .agg(F.min("r_no").alias("first_near"))
-    )
-    named_mp = mp.where("name <> ''").join(per_name, ["photo_id", "_key"], "left")
-    by_name = F.when(has_box(), F.col("first_boxless")).otherwise(F.col("first_any"))
-    settled = named_mp.select("photo_id", "region_no", by_name.alias("into_no")).where("into_no IS NOT NULL")
-    return (
-        settled.unionByName(near.select("photo_id", "region_no", F.col("first_near").alias("into_no")))
-        .groupBy("photo_id", "region_no")
-        .agg(F.min("into_no").alias("into_no"))
+        r.where("source = 'MWG' and key <> ''")
+        .groupBy("photo_id", "key")
+        .agg(F.min("region_no").alias("first_any"), F.min(F.when(~F.col("placed"), F.col("region_no"))).alias("first_boxless"))
     )
+    named = r.where("source = 'MP' and key <> ''").join(per_name, ["photo_id", "key"])
+    by_name = F.when(F.col("placed"), F.col("first_boxless")).otherwise(F.col("first_any"))
+    settled = named.select("photo_id", "region_no", by_name.alias("into_no")).where("into_no IS NOT NULL")
+    near = pairs.where("source = 'MP' and r_source = 'MWG' and key = r_key").select("photo_id", "region_no", F.col("r_no").alias("into_no"))
+    return settled.unionByName(near).groupBy("photo_id", "region_no").agg(F.min("into_no").alias("into_no"))
 
 
-def dedup_regions_across_sources(regions: DataFrame) -> DataFrame:
-    """Regions left once repeats across standards are folded."""
-    return regions.join(fold_sources(regions), ["photo_id", "region_no"], "left_anti")
+def _onto(pairs: DataFrame) -> DataFrame:
+    """Unnamed regions lying on a named one, the first in list order."""
+    on = pairs.where("key = '' and r_key <> ''").groupBy("photo_id", "region_no").agg(F.min(F.struct(_list_order("r_source").alias("rank"), "r_no")).alias("m"))
+    return on.select("photo_id", "region_no", F.col("m.r_no").alias("into_no"))
 
 
-def _list_order() -> Column:
-    """Place in the reader's list: the first standard's regions, then the second's."""
-    return F.when(F.col("source") == "MWG", 0).otherwise(1)
+def fold_sources(regions: DataFrame) -> DataFrame:
+    """(photo_id, region_no, into_no): second-standard regions that repeat one of the first standard.
+
+    Named ones match on name and either box missing or IoU above one half; unnamed ones on IoU.
+    The first region that matches takes them in; no group's pairs are listed."""
+    return _folds(regions, _overlaps(regions.where("source = 'MP'"), regions.where("source = 'MWG'")))
 
 
 def unnamed_on_named(kept: DataFrame) -> DataFrame:
     """(photo_id, region_no, into_no): unnamed regions lying on a named one, first in list order."""
-    r = kept.withColumn("_rank", _list_order())
-    right = _as_right(r.where("name <> ''"), "_rank").withColumnRenamed("_rank", "r_rank")
-    return (
-        overlap_pairs(r.where("name = ''"), right, ["photo_id"], boxes.iou(), 0.5)
-        .groupBy("photo_id", "region_no")
-        .agg(F.min(F.struct("r_rank", "r_no")).alias("m"))
-        .select("photo_id", "region_no", F.col("m.r_no").alias("into_no"))
-    )
+    return _onto(_overlaps(kept.where("name = ''"), kept.where("name <> ''")))
+
+
+def region_homes(regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``fold_sources`` gives, and what ``unnamed_on_named`` gives for the regions then left, from one pass over the
+    overlaps, which is written once."""
+    pairs = cut_lineage(_overlaps(regions.where("source = 'MP' or name = ''"), regions.where("source = 'MWG' or name <> ''")))
+    fold = cut_lineage(_folds(regions, pairs))
+    gone = fold.select("photo_id", "region_no")
+    left = pairs.where("key = '' and r_key <> ''").join(gone, ["photo_id", "region_no"], "left_anti")
+    return fold, _onto(left.join(gone.withColumnRenamed("region_no", "r_no"), ["photo_id", "r_no"], "left_anti"))
+
+
+def dedup_regions_across_sources(regions: DataFrame) -> DataFrame:
+    """Regions left once repeats across standards are folded."""
+    return regions.join(fold_sources(regions), ["photo_id", "region_no"], "left_anti")
 
 
 def suppress_unnamed_on_named(kept: DataFrame) -> DataFrame:
+    """Of regions without repeats, those that are not unnamed ones lying on a named one."""
     return kept.join(unnamed_on_named(kept), ["photo_id", "region_no"], "left_anti")
 
 
+def settled_faces(regions: DataFrame) -> DataFrame:
+    """Both steps at once: the faces left of all regions."""
+    fold, onto = region_homes(regions)
+    return regions.join(fold.union(onto).select("photo_id", "region_no"), ["photo_id", "region_no"], "left_anti")
+
+
 def append_listed_people(kept: DataFrame, listed: DataFrame) -> DataFrame:
     """Add people listed without a region, once each, unless a region names them already."""
     cols = ["photo_id", "region_no", "source", "name", *BOX]
@@ -154,9 +170,7 @@ def append_listed_people(kept: DataFrame, listed: DataFrame) -> DataFrame:
 def face_keys(regions: DataFrame) -> DataFrame:
     """(photo_id, region_no, face_key): each kept face with the ids of all regions folded into it:
     its own, its repeats in the second standard, then unnamed regions lying on it."""
-    fold = fold_sources(regions)
-    kept = regions.join(fold, ["photo_id", "region_no"], "left_anti")
-    onto = unnamed_on_named(kept)
+    fold, onto = region_homes(regions)
     order = _list_order()
     first = regions.select("photo_id", "region_no", "source", F.concat(F.lower("source"), F.lit(":"), F.col("region_no")).alias("id"))
     # where each region ends up: through the fold, then through the unnamed-on-named step
@@ -200,21 +214,25 @@ def _center(df: DataFrame) -> DataFrame:
     return df.withColumns({"cx": F.col("x") + F.col("w") / 2, "cy": F.col("y") + F.col("h") / 2})
 
 
-def order_names(faces: DataFrame, order: str = "lr", parts: int | None = None) -> DataFrame:
-    """Add ``pos``: left to right by box centre (``rl`` reversed, ``meta`` as stored); faces without
-    a place follow in stored order."""
+def in_order(faces: DataFrame, order: str = "lr") -> tuple[DataFrame, list[Column]]:
+    """The faces with what ``order`` needs, and the columns to sort a photo's faces by."""
     df = _center(faces).withColumn("_late", F.when(has_box(), 0).otherwise(1))
+    if order == "meta":
+        return df, [F.col("region_no")]
     sign = -1 if order == "rl" else 1
     no_place = F.lit(0.0)
-    if order == "meta":
-        by = [F.col("region_no")]
-    else:
-        by = [
-            F.col("_late"),
-            F.coalesce(F.col("cx") * sign, no_place),
-            F.coalesce(F.col("cy") * sign, no_place),
-            F.when(F.col("_late") == 1, F.col("region_no")).otherwise(F.col("region_no") * sign),
-        ]
+    return df, [
+        F.col("_late"),
+        F.coalesce(F.col("cx") * sign, no_place),
+        F.coalesce(F.col("cy") * sign, no_place),
+        F.when(F.col("_late") == 1, F.col("region_no")).otherwise(F.col("region_no") * sign),
+    ]
+
+
+def order_names(faces: DataFrame, order: str = "lr", parts: int | None = None) -> DataFrame:
+    """Add ``pos``: left to right by box centre (``rl`` reversed, ``meta`` as stored); faces without
+    a place follow in stored order."""
+    df, by = in_order(faces, order)
     return ordered_positions(df, ["photo_id"], by, "pos", parts).drop("_late", "cx", "cy")
 
 
@@ -240,17 +258,28 @@ def _front_to_back(faces: DataFrame) -> tuple[DataFrame, list[Column]]:
     return df, [F.col("_down"), F.col("region_no")]
 
 
+def _middle(values: DataFrame, key: str, *columns: str, parts: int | None = None) -> DataFrame:
+    """(key, the median of each column): values get their rank in ranges of (key, column, value), and the middle one or two of
+    a group are kept, so no task holds a group."""
+    long = values.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("c"))
+    long = long.select(key, "c.column", "c.v").where("v is not null")
+    ranked = ordered_positions(long, [key, "column"], [F.col("v")], "pos", parts)
+    sizes = long.groupBy(key, "column").agg(F.count(F.lit(1)).alias("n"))
+    mid = ranked.join(sizes, [key, "column"]).where("pos between (n + 1) div 2 and n div 2 + 1")
+    return mid.groupBy(key).agg(*[F.avg(F.when(F.col("column") == c, F.col("v"))).alias(f"_mid_{c}") for c in columns])
+
+
 def cluster_rows(faces: DataFrame, factor: float = 0.6, parts: int | None = None) -> DataFrame:
     """Add ``row_no`` (1 is the front row): faces from the bottom up, cut where the step is large
-    for this photo's face heights and steps."""
+    for this photo's face heights and steps. Steps and rows come from the same ranges."""
     df, down = _front_to_back(faces)
-    df = ordered_scan(df, ["photo_id"], down, lag={"_prev": "cy"}, parts=parts)
+    df = scan_ranges(in_ranges(df, ["photo_id"], down, parts), ["photo_id"], down, lag={"_prev": "cy"})
     df = df.withColumn("_gap", F.col("_prev") - F.col("cy"))
-    df = with_group_values(df, ["photo_id"], _mh=F.median("h"), _mg=F.median("_gap"))
-    limit = F.greatest(factor * F.col("_mh"), F.least(1.2 * F.col("_mh"), 2.5 * F.col("_mg")))
+    df = df.join(_middle(df, "photo_id", "h", "_gap", parts=parts), "photo_id")
+    limit = F.greatest(factor * F.col("_mid_h"), F.least(1.2 * F.col("_mid_h"), 2.5 * F.col("_mid__gap")))
     df = df.withColumn("_cut", F.when(F.col("_gap") >= limit, 1).otherwise(0))
-    df = ordered_scan(df, ["photo_id"], down, running={"_row": "_cut"}, parts=parts)
-    return df.withColumn("row_no", F.col("_row") + 1).drop("_down", "_prev", "_gap", "_mh", "_mg", "_cut", "_row")
+    df = scan_ranges(df, ["photo_id"], down, running={"_row": "_cut"})
+    return df.withColumn("row_no", F.col("_row") + 1).drop("_down", "_prev", "_gap", "_mid_h", "_mid__gap", "_cut", "_row", "_part")
 
 
 def cluster_rows_k(faces: DataFrame, k: int, parts: int | None = None) -> DataFrame:
@@ -424,28 +453,71 @@ def match_edited_faces(faces: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def rematch_candidates(faces: DataFrame, edits: DataFrame) -> DataFrame:
-    """(photo_id, edit_no, face_key, face_no, same): faces an edit may belong to in a new version of
-    the file: same name and nearly the same box, or both without one."""
-    e = edits.select(
+    """(photo_id, edit_no, face_key, face_no, same): faces an edit on a box may belong to in a new version of the file:
+    same name and nearly the same box."""
+    e = edits.where("was_x IS NOT NULL").select(
         "photo_id", "edit_no", F.col("face_key").alias("edit_key"), F.col("was_name").alias("name"),
         *[F.col("was_" + c).alias(c) for c in BOX],
     )
     f = faces.select("photo_id", F.col("face_key"), F.col("face_no"), "name", *[F.col(c).alias("r" + c) for c in BOX])
-    near = overlap_pairs(e.where("x IS NOT NULL"), f, ["photo_id", "name"], boxes.iou(), 0.8)
-    boxless = e.where("x IS NULL").join(f.where("rx IS NULL"), ["photo_id", "name"])
-    return near.unionByName(boxless).select(
+    return overlap_pairs(e, f, ["photo_id", "name"], boxes.iou(), 0.8).select(
         "photo_id", "edit_no", "face_key", "face_no", (F.col("edit_key") == F.col("face_key")).alias("same")
     )
 
 
+def _taken_in_turn(batches):
+    """Faces in order of (photo_id, name, face_no), each with the edit of its own key (``own``) and how many free edits come
+    before that (``before``): who gets the face, ``own`` or the next free edit (``turn``, from 1). All that is held is how many
+    free edits of the name have a face."""
+    held, given = None, 0
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in ("photo_id", "name", "face_key", "own", "before", "free")]
+        out = []
+        for photo, name, face, own, before, free in zip(*cols, strict=True):
+            if (photo, name) != held:
+                held, given = (photo, name), 0
+            if own is not None and given >= before:
+                out.append((photo, name, face, own, None))
+            elif given < free:
+                given += 1
+                out.append((photo, name, face, None, given))
+        if out:
+            names = ["photo_id", "name", "face_key", "own", "turn"]
+            types = [batch.schema.field(c).type for c in names[:4]] + [batch.schema.field("before").type]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+
+def rematch_without_boxes(faces: DataFrame, edits: DataFrame) -> DataFrame:
+    """(photo_id, edit_no, face_key) for edits and faces without a box, which go by name alone, so all faces of a name suit
+    all its edits. Edits are not paired with faces: a free edit (no face has its key) is matched by its rank, and one pass
+    over a name's faces finds which of them their own edits reach first."""
+    name = ["photo_id", "name"]
+    e = edits.where("was_x IS NULL").select("photo_id", F.col("was_name").alias("name"), "edit_no", F.col("face_key").alias("edit_key"))
+    f = faces.where("x IS NULL").select("photo_id", "name", "face_no", "face_key")
+    keyed = e.join(f.select(*name, F.col("face_key").alias("edit_key"), F.lit(1).alias("has_own")), [*name, "edit_key"], "left").withColumn("free", F.when(F.col("has_own").isNull(), 1).otherwise(0))
+    ranked = cut_lineage(ordered_scan(keyed, name, [F.col("edit_no")], running={"rank": "free"}))
+    sizes = ranked.groupBy(*name).agg(F.max("rank").alias("free"))
+    # of several edits with one key the first one has the face
+    own = ranked.where("free = 0").groupBy(*name, F.col("edit_key").alias("face_key")).agg(F.min(F.struct("edit_no", "rank")).alias("o"))
+    own = own.select(*name, "face_key", F.col("o.edit_no").alias("own"), F.col("o.rank").alias("before"))
+    rows = f.join(sizes, name).join(own, [*name, "face_key"], "left").select(*name, "face_no", "face_key", "own", "before", "free")
+    types = {x.name: x.dataType.simpleString() for x in rows.schema}
+    out = ", ".join(f"{c} {types[c]}" for c in (*name, "face_key", "own")) + ", turn bigint"
+    dealt = rows.repartition(*name).sortWithinPartitions(*name, "face_no", "face_key")
+    taken = cut_lineage(dealt.mapInArrow(_taken_in_turn, out))
+    free = ranked.where("free = 1").select(*name, "edit_no", F.col("rank").alias("turn"))
+    by_rank = taken.where("turn IS NOT NULL").join(free, [*name, "turn"]).select("photo_id", "edit_no", "face_key")
+    return taken.where("own IS NOT NULL").select("photo_id", F.col("own").alias("edit_no"), "face_key").unionByName(by_rank)
+
+
 def rematch_faces(faces: DataFrame, edits: DataFrame) -> DataFrame:
     """(photo_id, edit_no, face_key): each edit's face in a new version of the file. Edits take
     turns by edit_no: the face of the same key if it still matches, else the first match not taken;
     an edit left without one is dropped.
 
-    Taking turns equals proposing in rounds where a face always keeps the earliest edit, so every
-    round is one join and one aggregate over all photos, and edits nobody competes with are settled
-    in the first. Rounds end when no edit was turned down."""
+    Edits without a box are matched by rank. For the others taking turns equals proposing in rounds where a face
+    always keeps the earliest edit, so every round is one join and one aggregate over all photos, and edits nobody
+    competes with are settled in the first. Rounds end when no edit was turned down."""
     cand = rematch_candidates(faces, edits)
     own = cand.where("same").select("photo_id", "edit_no", F.lit(True).alias("has_own"))
     cand = cand.join(own, ["photo_id", "edit_no"], "left").where(F.col("has_own").isNull() | F.col("same"))
@@ -459,7 +531,7 @@ def rematch_faces(faces: DataFrame, edits: DataFrame) -> DataFrame:
         )
         refused = asked.where("refused")
         if refused.isEmpty():
-            return asked.select("photo_id", "edit_no", "face_key")
+            return asked.select("photo_id", "edit_no", "face_key").unionByName(rematch_without_boxes(faces, edits))
         again = refused.select("photo_id", "edit_no", (F.col("choice") + 1).alias("choice"))
         held = asked.where("NOT refused").select(*cand.columns).unionByName(
             cand.join(again, ["photo_id", "edit_no", "choice"]).select(*cand.columns)
@@ -474,27 +546,32 @@ def new_faces_to_keep(faces: DataFrame, added: DataFrame) -> DataFrame:
     return added.join(written, ["photo_id", "face_key"], "left_anti")
 
 
+def name_prefixes(people: DataFrame) -> DataFrame:
+    """(prefix, key, pool, pos, name): each name under every prefix of itself and of its words, but not under the whole name.
+    Of names that differ in case only the first one counts."""
+    p = people.where(text.present(F.col("name"))).select(F.lower(F.trim("name")).alias("key"), "pool", "pos", F.trim("name").alias("name"))
+    p = p.groupBy("key").agg(F.min(F.struct("pool", "pos", "name")).alias("best"))
+    words = F.filter(F.array_append(F.split("key", r"[\s\-'’.]+"), F.col("key")), lambda w: w != "")
+    starts = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda n: F.substring(w, F.lit(1), n))))
+    return p.select(F.explode(F.array_distinct(starts)).alias("prefix"), "key", "best.*").where("prefix <> key")
+
+
 def match_names(queries: DataFrame, people: DataFrame, k: int | None = None) -> DataFrame:
     """For each typed text, the names (with ``k`` the first k) in which the whole name or any word starts with it.
 
-    ``queries`` (query_id, typed); ``people`` (pool, pos, name). Names are first reduced to one row
-    each; prefixes are matched on an equi-join key (the first two letters), then checked in full.
+    ``queries`` (query_id, typed); ``people`` (pool, pos, name). Names are ranked once per typed prefix, whoever typed it: with
+    ``k`` every task passes on at most k names of a prefix, else prefixes are dealt into ranges. Queries then meet their prefix's
+    list by one equality join.
     """
-    p = people.where(text.present(F.col("name"))).select(F.lower(F.trim("name")).alias("key"), "pool", "pos", F.trim("name").alias("name"))
-    p = p.groupBy("key").agg(F.min(F.struct("pool", "pos", "name")).alias("best"))
-    words = F.filter(F.array_append(F.split("key", r"[\s\-'’.]+"), F.col("key")), lambda w: w != "")
-    index = p.select("key", "best", F.explode(F.array_distinct(words)).alias("word"))
-    one, two = F.substring("word", 1, 1), F.substring("word", 1, 2)
-    index = index.select("key", "best", "word", F.explode(F.array_distinct(F.array(one, two))).alias("start"))
-    q = queries.select("query_id", F.lower(F.trim("typed")).alias("q")).where("q <> ''").withColumn("start", F.substring("q", 1, 2))
-    hits = q.join(index, "start").where(F.col("word").startswith(F.col("q")) & (F.col("key") != F.col("q")))
-    hits = hits.groupBy("query_id", "key").agg(F.first("best").alias("best"))
-    # a rank filter is a group limit: each task passes on at most k names of a query
-    w = Window.partitionBy("query_id").orderBy("best.pool", "best.pos", "key")
-    ranked = hits.withColumn("rank", F.row_number().over(w))
-    if k is not None:
-        ranked = ranked.where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("best.name").alias("name"))
+    q = queries.select("query_id", F.lower(F.trim("typed")).alias("prefix")).where("prefix <> ''")
+    index = name_prefixes(people).join(q.select("prefix").distinct(), "prefix", "left_semi")
+    order = [F.col("pool"), F.col("pos"), F.col("key")]
+    if k is None:
+        ranked = ordered_positions(index, ["prefix"], order, "rank")
+    else:
+        w = Window.partitionBy("prefix").orderBy(*order)
+        ranked = index.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return q.join(ranked, "prefix").select("query_id", "rank", "name")
 
 
 def people_keywords_sync(keywords: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from photocat.functions import dates, text
 from photocat.functions import fixed_values as fixed
+from photocat.functions.groups import ordered_scan
 from photocat.operators import identity, normalize, people
 from photocat.operators.edits import stat_change
 
@@ -54,10 +55,10 @@ def people_index(regions: DataFrame, used: DataFrame) -> DataFrame:
 def neighbours(regions: DataFrame, parts: int | None = None) -> DataFrame:
     """How often two people stand next to each other in the left-to-right order of a photo.
 
-    Only adjacent faces are paired, so a photo with n faces gives n - 1 pairs, never all of them."""
-    n = people.order_names(people.named(regions), "lr", parts).select("photo_id", "pos", F.lower(F.trim("name")).alias("a"))
-    right = n.select("photo_id", (F.col("pos") - 1).alias("pos"), F.col("a").alias("b"))
-    pairs = n.join(right, ["photo_id", "pos"]).where("a <> b")
+    Only adjacent faces are paired, by one pass along the order, so a photo with n faces gives n - 1 pairs, never all of
+    them."""
+    named, order = people.in_order(people.named(regions).withColumn("a", F.lower(F.trim("name"))), "lr")
+    pairs = ordered_scan(named, ["photo_id"], order, lag={"b": "a"}, parts=parts).where("a <> b")
     return pairs.groupBy(F.least("a", "b").alias("person_1"), F.greatest("a", "b").alias("person_2")).agg(F.count(F.lit(1)).alias("times"))
 
 

@@ -158,8 +158,7 @@ def _(spark, sf):
 
 @query("f8_suppress_unnamed_on_named", "regions", FOLD + " SELECT photo_id, region_no, name FROM faces")
 def _(spark, sf):
-    kept = people.dedup_regions_across_sources(load(spark, sf, "regions"))
-    return people.suppress_unnamed_on_named(kept).select("photo_id", "region_no", "name")
+    return people.settled_faces(load(spark, sf, "regions")).select("photo_id", "region_no", "name")
 
 
 PII = """, pii AS (SELECT photo_id, item, trim(name) AS name, row_number() OVER (PARTITION BY photo_id, lower(trim(name)) ORDER BY item) AS rn
@@ -169,7 +168,7 @@ PII = """, pii AS (SELECT photo_id, item, trim(name) AS name, row_number() OVER
 
 
 def _everyone(spark, sf):
-    kept = people.suppress_unnamed_on_named(people.dedup_regions_across_sources(load(spark, sf, "regions")))
+    kept = people.settled_faces(load(spark, sf, "regions"))
     return people.append_listed_people(kept, load(spark, sf, "listed"))
 
 
