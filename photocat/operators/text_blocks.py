@@ -48,59 +48,77 @@ def filter_lines(lines: DataFrame) -> DataFrame:
 # -- lines to blocks ---------------------------------------------------------------------------------
 
 
+#: Size classes are powers of two of a height in pixels, up to this one.
+LARGEST = 40
+#: A line reaches so many heights sideways; a cell is so many sides wide.
+REACH, CELL = 3.75, 4
+
+
+def _cell(at: str, level: str, wide: int = 1) -> Column:
+    return F.expr(f"cast(floor(({at}) / ({wide} * pow(2.0D, {level} + 1))) as long)")
+
+
 def line_links(lines: DataFrame) -> DataFrame:
     """(photo_id, a, b): lines that belong together, stacked or side by side on one baseline.
 
-    Lines are matched through horizontal strips as high as the taller line's size class: the taller
-    one looks in the strips it can reach, the other is filed once per size class that occurs. So a
-    page with very many lines is not paired line by line."""
-    b = lines.select("photo_id", "line_no", "x", "y", "w", "h").where("h > 0").withColumn("lv", F.floor(F.log2("h")).cast("int"))
-    # size classes are powers of two of a pixel height: a few rows
-    classes = sorted(r[0] for r in b.select("lv").distinct().collect())
-    side = "pow(2, {lv} + 1)"
-    taller = b.select("*", F.explode(F.expr(
-        f"sequence(cast(floor((y - h) / {side.format(lv='lv')}) as long), cast(floor((y + 2 * h) / {side.format(lv='lv')}) as long))"
-    )).alias("strip"))
-    levels = F.filter(F.array(*[F.lit(c) for c in classes]).cast("array<int>"), lambda c: c >= F.col("lv"))
-    other = b.select(
-        "photo_id", F.col("line_no").alias("line_2"), *[F.col(c).alias(c + "2") for c in ("x", "y", "w", "h")],
-        F.explode(levels).alias("lv2"),
-    ).withColumn("strip", F.explode(F.expr(
-        f"sequence(cast(floor(y2 / {side.format(lv='lv2')}) as long), cast(floor((y2 + h2) / {side.format(lv='lv2')}) as long))"
-    ))).withColumnRenamed("lv2", "lv")
-    p = taller.join(other, ["photo_id", "lv", "strip"]).where("line_no <> line_2 AND h >= h2")
+    Lines meet in cells of the plane, as high as the taller line's size class and four times as wide: the taller one
+    looks in the cells it can reach, the other lies in the cells it covers, filed once for each larger size class on its
+    photo. A pair counts in the first cell both have, so it is found once, and neither a page nor a baseline with very
+    many lines is paired line by line."""
+    level = F.least(F.greatest(F.floor(F.log2("h")), F.lit(0)), F.lit(LARGEST)).cast("int")
+    b = lines.select("photo_id", "line_no", "x", "y", "w", "h").where("h > 0").withColumn("lv", level)
+    taller = b.withColumns({
+        "r0": _cell("y - h", "lv"), "r1": _cell("y + 2 * h", "lv"),
+        "c0": _cell(f"x - {REACH} * h", "lv", CELL), "c1": _cell(f"x + w + {REACH} * h", "lv", CELL),
+    })
+    taller = taller.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1"))).drop("r1", "c1")
+    classes = b.groupBy("photo_id").agg(F.bit_or(F.expr("shiftleft(1L, lv)")).alias("classes"))
+    other = b.select("photo_id", F.col("line_no").alias("line_2"), *[F.col(c).alias(c + "2") for c in ("x", "y", "w", "h")], F.col("lv").alias("own"))
+    other = other.join(classes, "photo_id").withColumn("lv", F.explode(F.sequence(F.col("own"), F.floor(F.log2("classes")).cast("int"))))
+    other = other.where("(shiftright(classes, lv) & 1) = 1").withColumns({
+        "q0": _cell("y2", "lv"), "q1": _cell("y2 + h2", "lv"), "d0": _cell("x2", "lv", CELL), "d1": _cell("x2 + w2", "lv", CELL),
+    })
+    other = other.withColumn("row", F.explode(F.sequence("q0", "q1"))).withColumn("col", F.explode(F.sequence("d0", "d1"))).drop("own", "classes", "q1", "d1")
+    p = taller.join(other, ["photo_id", "lv", "row", "col"]).where("h > h2 OR (h = h2 AND line_no > line_2)")
+    p = p.where("row = greatest(r0, q0) AND col = greatest(c0, d0)")
     v = F.greatest("y", "y2") - F.least(F.col("y") + F.col("h"), F.col("y2") + F.col("h2"))
     hz = F.greatest("x", "x2") - F.least(F.col("x") + F.col("w"), F.col("x2") + F.col("w2"))
     tall, low = F.greatest("h", "h2"), F.least("h", "h2")
     stacked = (v <= tall) & (hz <= 2 * tall) & (v > -0.5 * low)
     foot = F.abs((F.col("y") + F.col("h")) - (F.col("y2") + F.col("h2")))
-    same_base = (-v >= 0.5 * low) & (foot <= 0.2 * tall) & (hz <= 3.75 * low)
-    return p.where(stacked | same_base).select("photo_id", F.greatest("line_no", "line_2").alias("a"), F.least("line_no", "line_2").alias("b")).distinct()
+    same_base = (-v >= 0.5 * low) & (foot <= 0.2 * tall) & (hz <= REACH * low)
+    return p.where(stacked | same_base).select("photo_id", F.greatest("line_no", "line_2").alias("a"), F.least("line_no", "line_2").alias("b"))
 
 
 def connected(links: DataFrame) -> DataFrame:
     """(photo_id, node, root): each linked node with the smallest node it reaches.
 
-    Alternating star steps (every node hands its neighbours the smallest one it sees) halve the
-    distance to the root, so long chains need few rounds. Each round is aggregates and joins over
-    all photos, cut off by a written checkpoint."""
-    edges = cut_lineage(links)
-
-    def signature(e):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.hash("photo_id", "a", "b").cast("long"))).first())
-
-    before = None
-    while (now := signature(edges)) != before:
-        before = now
-        both = edges.unionByName(edges.select("photo_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    Alternating star steps (every node hands its neighbours the smallest one it sees) halve the distance to the root, so
+    long chains need few rounds. After each round the components that have become stars (no child has two roots, no
+    root hangs below another) are set aside, and only the rest is looked at again, until nothing is left."""
+    rest, done = cut_lineage(links.select("photo_id", "a", "b").distinct()), []
+    while not rest.isEmpty():
+        both = rest.unionByName(rest.select("photo_id", F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("photo_id", "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        edges = (
-            both.where("b > a").join(low, ["photo_id", "a"]).select("photo_id", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        )
-        low = edges.groupBy("photo_id", "a").agg(F.min("b").alias("m"))
-        hung = edges.join(low, ["photo_id", "a"]).where("b <> m").select("photo_id", F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut_lineage(hung.unionByName(low.select("photo_id", "a", F.col("m").alias("b"))).distinct())
-    return edges.select("photo_id", F.col("a").alias("node"), F.col("b").alias("root"))
+        hung = both.where("b > a").join(low, ["photo_id", "a"]).select("photo_id", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = hung.groupBy("photo_id", "a").agg(F.min("b").alias("m"))
+        up = hung.join(low, ["photo_id", "a"]).where("b <> m").select("photo_id", F.col("b").alias("a"), F.col("m").alias("b"))
+        stars = cut_lineage(up.unionByName(low.select("photo_id", "a", F.col("m").alias("b"))).distinct())
+        # roots that are not settled: those that share a child, hang below another, or have a root below them
+        per_child = stars.groupBy("photo_id", "a").agg(F.count(F.lit(1)).alias("n"))
+        roots = stars.select("photo_id", F.col("b").alias("a")).distinct()
+        shared = stars.join(per_child.where("n > 1"), ["photo_id", "a"], "left_semi").select("photo_id", "b")
+        below = stars.join(roots, ["photo_id", "a"], "left_semi")
+        moving = cut_lineage(shared.union(below.select("photo_id", "b")).union(below.select("photo_id", F.col("a").alias("b"))).distinct())
+        if moving.isEmpty():
+            done.append(stars)
+            break
+        done.append(stars.join(moving, ["photo_id", "b"], "left_anti"))
+        rest = stars.join(moving, ["photo_id", "b"], "left_semi").select("photo_id", "a", "b")
+    out = links.sparkSession.createDataFrame([], links.select("photo_id", "a", "b").schema) if not done else done[0].select("photo_id", "a", "b")
+    for d in done[1:]:
+        out = out.unionByName(d.select("photo_id", "a", "b"))
+    return out.select("photo_id", F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def group_text_blocks(lines: DataFrame) -> DataFrame:

@@ -138,6 +138,15 @@ SELECT o_custkey AS photo_id, o_orderkey AS edit_seq, o_orderdate AS edited_at,
             ELSE 'edit  ' || cast(o_orderkey AS string) END AS value
 FROM {orders}""",
     # edited keyword lists, one row per keyword
+    "typed_edits": """
+SELECT c_custkey AS photo_id, 'creator' AS field, CASE c_custkey % 7 WHEN 0 THEN '["Smith, John","Jones, Mary","Lee, Ann"]' WHEN 1 THEN '["ACME; Inc."," Jane "," "]'
+  WHEN 2 THEN '"One, Name"' WHEN 3 THEN '[]' WHEN 4 THEN '["a' || chr(92) || 'nb"]' WHEN 5 THEN 'null' ELSE '["a",3]' END AS value, cast(1 AS bigint) AS edited_at, 4 * c_custkey AS edit_seq FROM {customer}
+UNION ALL SELECT c_custkey, 'date', CASE c_custkey % 8 WHEN 0 THEN '{"iso":"1952-06","level":"month"}' WHEN 1 THEN '{"iso":" 1952","level":"circa"}' WHEN 2 THEN '{"iso":"1952-06-14","level":"day","estimate":true}'
+  WHEN 3 THEN '{"iso":"1952","level":"day"}' WHEN 4 THEN 'null' WHEN 5 THEN '{"iso":"1952-13","level":"month"}' WHEN 6 THEN '{"iso":"1960-05-06","level":"day","pattern":"y!m!d~"}' ELSE '{"level":"month"}' END, 1, 4 * c_custkey + 1
+  FROM {customer} WHERE c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey, 'title', '" Title ' || c_custkey || '"', 2, 4 * c_custkey + 2 FROM {customer} WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, 'title', '"old"', 1, 4 * c_custkey + 3 FROM {customer} WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, 'keywords', '["Sea","sea"," ","Boat "]', 1, 4 * c_custkey FROM {customer} WHERE c_custkey % 5 = 0""",
     "keyword_edits": """
 SELECT o_custkey AS photo_id, o_orderkey AS item, o_custkey % 2 = 0 AS edited,
        CASE o_orderkey % 4 WHEN 0 THEN 'Family' WHEN 1 THEN 'family' WHEN 2 THEN o_orderpriority
