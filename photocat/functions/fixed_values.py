@@ -58,6 +58,9 @@ FIRST_YEAR = 1000
 LEVEL_PATTERNS = {"day": "Y!M!D!", "month": "Y!M!", "year": "Y!", "circa": "Y~"}
 ESTIMATED_PATTERNS = {"day": "Y!M!D~", "month": "Y!M~", "year": "Y~", "circa": "Y~"}
 
+# Fixed: a log file is full at this size.
+LOG_ROLL_BYTES = 10 * 1024 * 1024
+
 # Fixed: limits of an edit set.
 MAX_TEXT, MAX_LINE, MAX_KEYWORDS, MAX_KEYWORD, MAX_FACES, MAX_CREATORS = 65536, 2000, 500, 200, 500, 50
 

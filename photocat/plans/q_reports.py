@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from photocat.functions import text
@@ -11,6 +13,7 @@ from photocat.plans.q_batches import ENTRIES, PLAN, _entries, _plan
 from photocat.plans.q_metadata import CERTAINTY, FIELDS, KEYWORDS, MARKER
 from photocat.plans.registry import query
 from photocat.plans.views import load
+from photocat.session import work_dir
 from photocat.sources import files
 
 AS_OF = ds.AS_OF
@@ -155,15 +158,15 @@ def _(spark, sf):
 # -- files ---------------------------------------------------------------------------------------------
 
 
-@query("s1_scan_inventory", "photos", "SELECT DISTINCT 'format=' || format AS folder FROM photos")
+@query("s1_scan_inventory", "photos", "SELECT 'format=' || format AS folder, sum(strlen(path) + 1)::BIGINT AS size_bytes, true AS named, true AS fresh FROM photos GROUP BY format")
 def _(spark, sf):
-    from photocat.session import work_dir
-
-    # an archive written from the inventory, then listed as files
-    out = work_dir(spark) + "/archive"
-    load(spark, sf, "photos").write.partitionBy("format").parquet(out)
-    found = files.scan_inventory(spark, out, recursive=True, extensions=[".parquet"])
-    return found.where("size_bytes > 0").select(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("folder")).distinct()
+    # a file per format, with the paths of its photos as lines, then listed as files
+    out, began = work_dir(spark) + "/archive", datetime.now()
+    load(spark, sf, "photos").select("format", "path").repartition("format").write.partitionBy("format").text(out)
+    found = files.scan_inventory(spark, out, recursive=True, extensions=[".txt"])
+    named = F.col("path").endswith(F.col("name")) & F.col("name").rlike(r"^format=[A-Z]+/part-[^/]*[.]txt$")
+    fresh = F.col("mtime") >= F.lit(began.replace(microsecond=0)) - F.expr("INTERVAL 2 SECONDS")
+    return found.select(F.substring_index("name", "/", 1).alias("folder"), "size_bytes", named.alias("named"), fresh.alias("fresh"))
 
 
 @query(
@@ -209,16 +212,6 @@ def _(spark, sf):
 @query(
     "s5_tag_listing",
     "tags",
-    """SELECT photo_id, tag, item, value FROM (SELECT photo_id, tag, item, CASE WHEN length(value) > 500 THEN substr(value, 1, 500) || '…' ELSE value END AS value,
-   row_number() OVER (PARTITION BY photo_id ORDER BY tag, item) AS n FROM tags WHERE value IS NOT NULL AND tag NOT LIKE 'File:%') AS x WHERE n <= 12""",
-)
-def _(spark, sf):
-    return files.tag_listing(load(spark, sf, "tags"), 12, 500)
-
-
-@query(
-    "s5_tag_listing_whole",
-    "tags",
     "SELECT photo_id, tag, item, value FROM tags WHERE value IS NOT NULL AND tag NOT LIKE 'File:%'",
 )
 def _(spark, sf):
@@ -227,29 +220,47 @@ def _(spark, sf):
 
 @query("s6_read_job_log", "log_rows", f"SELECT seq, {sql_stamp('time')} AS time, source, notes, ms FROM log_rows WHERE ok")
 def _(spark, sf):
-    log = load(spark, sf, "log_rows")
+    # log files whose lines for failed jobs break off
+    out, log = work_dir(spark) + "/log", load(spark, sf, "log_rows")
     line = F.when(F.col("ok"), F.to_json(F.struct("seq", "time", "ok", "source", "notes", "ms"))).otherwise(F.concat(F.lit('{"seq": '), "seq", F.lit(', "time"')))
-    return files.parse_job_log(log.select(line.alias("value"))).select("seq", stamp("time").alias("time"), "source", "notes", "ms")
+    log.select(line).write.text(out)
+    return files.read_job_log(spark, out).select("seq", stamp("time").alias("time"), "source", "notes", "ms")
 
 
-@query("s7_write_job_log", "log_rows", "SELECT cast(cast(time AS date) AS varchar) AS day, count(*) AS records FROM log_rows GROUP BY 1")
+@query("s7_write_job_log", "log_rows", f"SELECT seq, {sql_stamp('time')} AS time, ok, source, notes, ms, true AS fits FROM log_rows")
 def _(spark, sf):
-    from photocat.session import work_dir
-
-    out = work_dir(spark) + "/log"
-    files.write_job_log(load(spark, sf, "log_rows"), out)
-    return spark.read.json(out).groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("records"))
+    # small rolls, in two appends; what is read back tells whether its roll stayed within its size and one record
+    out, log = work_dir(spark) + "/log", load(spark, sf, "log_rows")
+    for half in (0, 1):
+        files.write_job_log(log.where(F.col("seq") % 2 == half), out, 20_000)
+    fits = files.log_rolls(spark, out).agg((F.max("bytes") < 20_000 + 300).alias("fits"))
+    read = files.read_job_log(spark, out).select("seq", stamp("time").alias("time"), "ok", "source", "notes", "ms")
+    return read.withColumn("fits", F.lit(fits.first()[0]))
 
 
 @query(
     "s8_export_report_csv",
     "log_rows",
-    """SELECT seq, source, CASE WHEN regexp_matches(notes, '^[=+@-]') THEN '''' || notes ELSE notes END AS notes FROM log_rows""",
+    """SELECT seq, source, CASE WHEN regexp_matches(notes, '^[=+@-]') THEN '''' || notes ELSE notes END AS notes,
+   CASE WHEN seq % 3 = 0 THEN NULL WHEN seq % 3 = 1 THEN '' ELSE 'say "' || notes || '",' || chr(10) || 'and more' END AS cell, ms FROM log_rows""",
 )
 def _(spark, sf):
-    return files.csv_report(load(spark, sf, "log_rows").select("seq", "source", "notes"))
+    rows = load(spark, sf, "log_rows")
+    cell = F.when(F.col("seq") % 3 == 0, None).when(F.col("seq") % 3 == 1, "").otherwise(F.concat(F.lit('say "'), "notes", F.lit('",\nand more')))
+    report, out = rows.select("seq", "source", "notes", cell.alias("cell"), "ms"), work_dir(spark) + "/report"
+    files.export_report_csv(report, out)
+    return files.read_report_csv(spark, out, report.schema)
 
 
-@query("s9_read_drafts", "drafts", f"SELECT draft_no, path, {sql_stamp('updated')} AS updated FROM drafts")
+@query(
+    "s9_read_drafts",
+    "drafts",
+    """SELECT path, size_bytes AS size, cast(mtime_ns AS varchar) AS mtime_ns, quick_hash AS hash, '{"n":' || draft_no || '}' AS state, epoch(updated)::DOUBLE AS updated FROM drafts""",
+)
 def _(spark, sf):
-    return files.newest_first(load(spark, sf, "drafts")).select("draft_no", "path", stamp("updated").alias("updated"))
+    d, out = load(spark, sf, "drafts"), work_dir(spark) + "/drafts"
+    stat = F.struct(F.col("size_bytes").alias("size"), F.col("mtime_ns").cast("string").alias("mtime_ns"))
+    ident = F.struct(F.col("size_bytes").alias("size"), F.col("quick_hash").alias("hash"))
+    state, updated = F.struct(F.col("draft_no").alias("n")), F.unix_timestamp(F.col("updated").cast("timestamp")).cast("double")
+    d.select("path", stat.alias("stat"), ident.alias("ident"), state.alias("state"), updated.alias("updated")).write.json(out)
+    return files.read_drafts(spark, out).select("path", "stat.size", "stat.mtime_ns", "ident.hash", "state", "updated")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from photocat.functions import fixed_values as fixed
 from photocat.functions import text
+from photocat.functions.groups import Running, ordered_scan
 
 # Fixed: the name that marks a folder as holding backups; a catalogue can use its own.
 BACKUP_MARKER = ".backups-here"
@@ -108,12 +111,40 @@ def parse_job_log(lines: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def read_job_log(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    return parse_job_log(spark.read.text(path), limit)
+    return parse_job_log(spark.read.text(path).select("value"), limit)
+
+
+def write_job_log(log: DataFrame, path: str, max_bytes: int = fixed.LOG_ROLL_BYTES) -> None:
+    """Append log records as lines of JSON: a folder per day, and in it one per ``roll``, which is full when it holds
+    ``max_bytes``. The records before one in its day are added up along the order of time, so a day of any size is written
+    by as many tasks as it has rolls; an append starts rolls of its own."""
+    line = F.to_json(F.struct("*"))
+    rows = log.select(F.coalesce(F.to_date("time").cast("string"), F.lit("none")).alias("day"), "time", "seq", line.alias("value"))
+    rows = rows.withColumn("bytes", F.octet_length("value").cast("long") + 1)
+    scan = ordered_scan(rows, ["day"], [F.col("time"), F.col("seq")], running={"before": Running("bytes", inclusive=False)})
+    rolled = scan.withColumn("roll", F.concat(F.lit(uuid.uuid4().hex[:8] + "-"), F.lpad(F.expr(f"coalesce(before, 0) div {int(max_bytes)}").cast("string"), 6, "0")))
+    placed = rolled.repartition("day", "roll").sortWithinPartitions("day", "roll", "time", "seq")
+    placed.select("day", "roll", "value").write.mode("append").partitionBy("day", "roll").text(path)
+
+
+def log_rolls(spark: SparkSession, path: str) -> DataFrame:
+    """(day, roll, bytes) of a written log, from the listing alone."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    part = lambda n: F.regexp_extract("path", f"/{n}=([^/]*)/", 1).alias(n)
+    return found.select(part("day"), part("roll"), "length").groupBy("day", "roll").agg(F.sum("length").alias("bytes"))
 
 
-def write_job_log(log: DataFrame, path: str) -> None:
-    """Append log records, a folder per day: old days can be dropped as whole folders."""
-    log.withColumn("day", F.to_date("time")).write.mode("append").partitionBy("day").json(path)
+def drop_old_rolls(spark: SparkSession, path: str, keep_bytes: int = 2 * fixed.LOG_ROLL_BYTES) -> int:
+    """Remove the oldest rolls of a log beyond ``keep_bytes``; how many went. One small row a roll comes to the driver."""
+    from photocat.streaming.store import Folder
+
+    folder, kept, gone = Folder(spark, path), 0, 0
+    for r in log_rolls(spark, path).orderBy(F.desc("day"), F.desc("roll")).toLocalIterator():
+        kept += r.bytes
+        if kept > keep_bytes and kept > r.bytes:
+            folder.remove(f"day={r.day}/roll={r.roll}")
+            gone += 1
+    return gone
 
 
 def csv_report(report: DataFrame) -> DataFrame:
@@ -121,8 +152,18 @@ def csv_report(report: DataFrame) -> DataFrame:
     return report.select(*[text.csv_safe(F.col(n)).alias(n) if t == "string" else F.col(n) for n, t in report.dtypes])
 
 
+#: Quotes are doubled, blanks stay, and an empty text is not the same as none.
+CSV = {"header": "true", "escape": "\"", "emptyValue": "\"\"", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def export_report_csv(report: DataFrame, path: str) -> None:
-    csv_report(report).write.mode("overwrite").option("header", True).csv(path)
+    csv_report(report).write.mode("overwrite").options(**CSV).csv(path)
+
+
+def read_report_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """An exported report with its types; cells may hold quotes and line ends."""
+    # a cell without quotes and text is null; what stands for it is a text that no cell has
+    return spark.read.schema(schema).options(**CSV | {"emptyValue": "", "nullValue": "\0", "multiLine": "true"}).csv(path)
 
 
 DRAFT_SCHEMA = "path string, stat struct<size:bigint, mtime_ns:string>, ident struct<size:bigint, hash:string>, state string, updated double"

@@ -54,3 +54,34 @@ def test_text_that_looks_like_a_list_stays_text(spark):
         (1, "A:x", 0, "[1]"), (1, "A:q", 0, '["x"]'), (1, "A:l", 0, "a"), (1, "A:l", 1, "b"), (1, "A:s", 0, '{"k":"3"}'), (1, "A:t", 0, "true"),
         (1, "A:n", 0, "1.50"), (1, "A:r", 0, "1.0"), (1, "A:r", 1, "20"), (1, "A:m", 0, "1"), (1, "A:m", 1, '{"k":"2"}'), (3, "A:x", 0, "1"), (3, "A:x", 0, "2"),
     ])
+
+
+def test_log_rolls_by_size_and_reads_back(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = [(k, f"2024-01-0{1 + k % 3} 10:{k // 60 % 60:02}:{k % 60:02}", k % 5 != 0, f"/a/{k}.tif", "n" * (k % 40)) for k in range(900)] + [(900, None, True, "/a/none.tif", "")]
+    log = spark.createDataFrame(rows, "seq long, t string, ok boolean, source string, notes string").select("seq", F.to_timestamp_ntz("t").alias("time"), "ok", "source", "notes")
+    files.write_job_log(log.where("seq < 600 or seq = 900"), path, 4000)
+    files.write_job_log(log.where("seq between 600 and 899"), path, 4000)
+    rolls = {(r.day, r.roll): r.bytes for r in files.log_rolls(spark, path).collect()}
+    assert max(rolls.values()) < 4000 + 200 and len(rolls) > 15 and {d for d, _ in rolls} == {"2024-01-01", "2024-01-02", "2024-01-03", "none"}
+    # rolls follow the order of time inside a day
+    seqs = {}
+    for r in spark.read.text(path).select("day", "roll", F.get_json_object("value", "$.seq").cast("long").alias("seq")).collect():
+        seqs.setdefault((str(r.day), r.roll), []).append(r.seq)
+    for (day, roll), mine in seqs.items():
+        later = [min(v) for (d, n), v in seqs.items() if d == day and n[:8] == roll[:8] and n > roll]
+        assert all(max(mine) < x for x in later)
+    got = files.read_job_log(spark, path).select("seq", "ok", "source", "notes").collect()
+    assert sorted(map(tuple, got)) == sorted((s, ok, src, n) for s, t, ok, src, n in rows if t)
+    assert files.read_job_log(spark, path, 2).count() == 2
+    gone = files.drop_old_rolls(spark, path, 12_000)
+    left = {r.day: r.bytes for r in files.log_rolls(spark, path).collect()}
+    assert gone > 5 and sum(left.values()) <= 12_000
+
+
+def test_report_round_trip(spark, tmp_path):
+    rows = [(1, "", 'say "x",\nand y', None), (2, None, "=sum(1)", 4), (3, " a ", "'", 5)]
+    df = spark.createDataFrame(rows, "k int, a string, b string, n int")
+    files.export_report_csv(df, str(tmp_path / "r"))
+    back = files.read_report_csv(spark, str(tmp_path / "r"), df.schema)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted([(1, "", 'say "x",\nand y', None), (2, None, "'=sum(1)", 4), (3, " a ", "'", 5)], key=str)
