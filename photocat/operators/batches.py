@@ -206,16 +206,17 @@ def incomplete_batches(entries: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def batch_report(entries: DataFrame, plan: DataFrame, folder: str) -> DataFrame:
-    """Every photo of a batch with its relative path, state, planned action, output, backup and
-    error. ``plan`` (batch_id, path, action)."""
+    """Every photo of a batch with its relative path, state, planned action, output, backup,
+    error and notes. ``plan`` (batch_id, path, action); ``notes`` of an entry is a list of texts (none where entries have none)."""
     a = plan.groupBy("batch_id", "path").agg(F.max("action").alias("action"))
     prefix = folder.rstrip("/") + "/"
     rel = F.when(F.col("path").startswith(prefix), F.substr("path", F.lit(len(prefix) + 1))).otherwise(F.col("path"))
     blank = F.lit("")
+    notes = F.array_join("notes", " | ") if "notes" in entries.columns else blank
     return entries.join(a, ["batch_id", "path"], "left").select(
         "batch_id", "idx", F.coalesce("path", blank).alias("file"), F.coalesce(rel, blank).alias("relative"), "state",
         F.coalesce("action", blank).alias("action"), F.coalesce("out_path", blank).alias("output"),
-        F.coalesce("backup", blank).alias("backup"), F.coalesce("error", blank).alias("error"),
+        F.coalesce("backup", blank).alias("backup"), F.coalesce("error", blank).alias("error"), F.coalesce(notes, blank).alias("notes"),
     )
 
 

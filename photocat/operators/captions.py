@@ -2,34 +2,106 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photocat.functions import captions, text
 from photocat.functions import fixed_values as fixed
 from photocat.functions.groups import ordered_positions, ordered_scan
+from photocat.operators import normalize, people
 from photocat.operators.normalize import route_output_format
 from photocat.session import cut_lineage
 
 
-def render_captions(fields: DataFrame, template: dict) -> DataFrame:
-    """(photo_id, block, caption) for a template {block: items}: one projection, then its blocks as
-    rows. Empty captions are kept, so a block that takes no space shows as such."""
-    blocks = [F.struct(F.lit(n).alias("block"), captions.caption(items).alias("caption")) for n, items in template.items()]
-    return fields.select("photo_id", F.inline(F.array(*blocks)))
-
-
-def caption_coverage(fields: DataFrame, template: dict) -> DataFrame:
+class Sources(NamedTuple):
+    """What tokens read: one row of fields per photo, and the rows of its faces, keywords and keyword paths."""
+
+    fields: DataFrame
+    faces: DataFrame | None = None
+    keywords: DataFrame | None = None
+    paths: DataFrame | None = None
+
+
+NAMES = {"order": "lr", "sep": ", ", "last": " and ", "rows": False, "row_sep": "; ", "labels": None}
+
+
+def _names(df: DataFrame, faces: DataFrame, toks: list[captions.Tok]) -> tuple[DataFrame, dict]:
+    """Lists of names join once per order, texts by rows once per way to write them."""
+    raw, orders = {}, {}
+    for t in toks:
+        o = NAMES | {k: v for k, v in t.options.items() if k in NAMES}
+        if o.pop("rows"):
+            column = f"_rows{len(raw)}"
+            by_rows = people.names_rows_text(faces, o["sep"], o["last"], o["row_sep"], o["labels"], o["order"])
+            df = df.join(by_rows.withColumnRenamed("names", column), "photo_id", "left")
+            raw[t.key] = F.col(column)
+            continue
+        if o["order"] not in orders:
+            orders[o["order"]] = column = f"_names_{o['order']}"
+            df = df.join(people.names_in_order(people.named(faces), o["order"]).withColumnRenamed("names", column), "photo_id", "left")
+        listed = F.coalesce(F.col(orders[o["order"]]), F.array().cast("array<string>"))
+        raw[t.key] = F.nullif(F.size(listed).cast("string"), F.lit("0")) if t.name == "names.count" else text.join_names(listed, o["sep"], o["last"])
+    return df, raw
+
+
+def _keywords(df: DataFrame, sources: Sources, toks: list[captions.Tok]) -> tuple[DataFrame, dict]:
+    """A list of keywords joins once per choice of markers and exclusions."""
+    raw, lists = {}, {}
+    for t in toks:
+        chosen = t.options.get("markers") == "show", tuple(t.options.get("exclude", ()))
+        if chosen not in lists:
+            kept = sources.keywords if chosen[0] else normalize.drop_marker_keywords(sources.keywords)
+            if chosen[1]:
+                kept = normalize.exclude_keywords(kept, sources.paths, list(chosen[1]))
+            lists[chosen] = column = f"_keywords{len(lists)}"
+            listed = F.array_sort(F.collect_list(F.struct("src_rank", "item", "keyword")))["keyword"]
+            df = df.join(kept.groupBy("photo_id").agg(listed.alias(column)), "photo_id", "left")
+        raw[t.key] = F.array_join(F.coalesce(F.col(lists[chosen]), F.array().cast("array<string>")), t.options.get("sep", ", "))
+    return df, raw
+
+
+def bind(sources: Sources, templates: list) -> tuple[DataFrame, captions.At]:
+    """Compile templates: every different token of them becomes one column, computed once, however often and wherever it
+    stands. Returns the photos with these columns, and where each token's text is found."""
+    toks = {t.key: t for items in templates for t in captions.tokens(items)}
+    of = lambda *names: [t for t in toks.values() if t.name in names and "column" not in t.options]
+    df, raw = sources.fields, {}
+    if sources.faces is not None:
+        df, found = _names(df, sources.faces, of("names", "names.count"))
+        raw |= found
+    if sources.keywords is not None:
+        df, found = _keywords(df, sources, of("keywords"))
+        raw |= found
+    for t in of("location"):
+        if "location" not in df.columns:
+            raw[t.key] = F.concat_ws(", ", *[F.nullif(text.strip(F.col(c)), F.lit("")) for c in ("sublocation", "city", "state", "country") if c in df.columns])
+    column = {key: f"_tok{n}" for n, key in enumerate(toks)}
+    df = df.withColumns({column[key]: captions.token_text(t, raw.get(key)) for key, t in toks.items()})
+    return df, lambda t: F.col(column[t.key])
+
+
+def render_captions(fields: DataFrame | Sources, template: dict) -> DataFrame:
+    """(photo_id, block, caption) for a template {block: items}: tokens are bound once, then the blocks become rows. Empty
+    captions are kept, so a block that takes no space shows as such."""
+    df, at = bind(fields if isinstance(fields, Sources) else Sources(fields), list(template.values()))
+    blocks = [F.struct(F.lit(n).alias("block"), captions.caption(items, at).alias("caption")) for n, items in template.items()]
+    return df.select("photo_id", F.inline(F.array(*blocks)))
+
+
+def caption_coverage(fields: DataFrame | Sources, template: dict) -> DataFrame:
     """(photo_id, block, token, expected): every token that came out empty; ``expected`` where the
     template only uses it inside optional groups."""
+    df, at = bind(fields if isinstance(fields, Sources) else Sources(fields), list(template.values()))
     blocks = []
     for n, items in template.items():
         optional = sorted({t.name for t in captions.tokens(items) if captions.only_optional(items, t.name)})
         blocks.append(F.struct(
-            F.lit(n).alias("block"), captions.empty_tokens(items).alias("empty"),
+            F.lit(n).alias("block"), captions.empty_tokens(items, at).alias("empty"),
             F.array(*[F.lit(x) for x in optional]).cast("array<string>").alias("optional"),
         ))
-    rows = fields.select("photo_id", F.inline(F.array(*blocks)))
+    rows = df.select("photo_id", F.inline(F.array(*blocks)))
     return rows.select("photo_id", "block", F.explode("empty").alias("token"), "optional").select(
         "photo_id", "block", "token", F.array_contains("optional", F.col("token")).alias("expected")
     )

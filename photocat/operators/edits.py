@@ -275,8 +275,7 @@ def date_tag_updates(date_edits: DataFrame, tags: DataFrame, as_of) -> DataFrame
     t = {name: F.col(f"t{i}") for i, name in enumerate(_DATE_TAGS)}
 
     def same_day(c):
-        d = dates.partial_date(c, as_of)
-        return F.coalesce(dates.let(d, lambda x: F.when(x["day"].isNotNull(), dates.fill_date(x))) == F.col("_fill"), F.lit(False))
+        return dates.same_day(c, F.col("_fill"), as_of)
 
     exif, xmp = t["ExifIFD:DateTimeOriginal"], t["XMP-exif:DateTimeOriginal"]
     df = df.withColumns({"_e": same_day(exif), "_x": same_day(xmp), "_i": same_day(t["IPTC:DateCreated"])})

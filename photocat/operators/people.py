@@ -319,16 +319,20 @@ def row_label(row_no: Column, rows: Column, labels: list[str] | None = None) ->
     return out.when(fits, F.try_element_at(middle, (row_no - 1).cast("int"))).otherwise(numbered)
 
 
-def names_rows_text(faces: DataFrame, sep: str = ", ", last: str = " and ", row_sep: str = "; ") -> DataFrame:
-    """Names row by row with labels; plain left-to-right names when anyone has no place."""
+def names_rows_text(
+    faces: DataFrame, sep: str = ", ", last: str = " and ", row_sep: str = "; ", labels: list[str] | None = None, order: str = "lr"
+) -> DataFrame:
+    """Names row by row with labels; plain names in order when anyone has no place. ``order`` rl turns each row around."""
+    labels = [x.lstrip() for x in labels or [] if x.strip()] or (None if labels is None else ["Row 1: "])
     n = named(faces)
-    plain = names_in_order(n).select("photo_id", text.join_names(F.col("names"), sep, last).alias("plain"))
+    in_row = F.reverse("l.name") if order == "rl" else F.col("l.name")
+    plain = names_in_order(n, order).select("photo_id", text.join_names(F.col("names"), sep, last).alias("plain"))
     # row order ties keep the front-to-back order
     by_row = (
         cluster_rows(n)
         .groupBy("photo_id", "row_no")
         .agg(F.array_sort(F.collect_list(F.struct("cx", (-F.col("cy")).alias("d"), "region_no", "name"))).alias("l"))
-        .select("photo_id", "row_no", text.join_names(F.col("l.name"), sep, last).alias("row_text"))
+        .select("photo_id", "row_no", text.join_names(in_row, sep, last).alias("row_text"))
     )
     listed = by_row.groupBy("photo_id").agg(
         F.array_sort(F.collect_list(F.struct("row_no", "row_text"))).alias("l"), F.max("row_no").alias("rows")
@@ -336,7 +340,7 @@ def names_rows_text(faces: DataFrame, sep: str = ", ", last: str = " and ", row_
     rows = listed.select(
         "photo_id", "rows",
         F.array_join(
-            F.transform("l", lambda r: F.concat(row_label(r["row_no"], F.col("rows")), r["row_text"])), row_sep
+            F.transform("l", lambda r: F.concat(row_label(r["row_no"], F.col("rows"), labels), r["row_text"])), row_sep
         ).alias("by_rows"),
     )
     placed = n.groupBy("photo_id").agg(F.bool_and(has_box()).alias("placed"))

@@ -63,16 +63,21 @@ def neighbours(regions: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def photos_by_period(fields: DataFrame, certainty: DataFrame, as_of) -> DataFrame:
-    """Photos per decade and whether any part of the date is a guess, with all totals (cube)."""
+    """Photos per decade, year and month, each also by whether any part of the date is a guess, with all totals. ``level`` is
+    the grouping id: which of decade, year, month and guessed a row adds up."""
     f = fields.select("photo_id", "date").join(certainty, "photo_id", "left")
     cut = dates.apply_certainty(dates.partial_date(F.col("date"), as_of), F.col("certainty"))
     read = dates.let(cut, lambda c: F.struct(
         F.when(~c["no_year"], F.floor(c["year"] / 10) * 10).cast("long").alias("decade"),
+        F.when(~c["no_year"], c["year"]).cast("long").alias("year"),
+        F.when(~c["no_year"], c["month"]).cast("long").alias("month"),
         F.coalesce(c["guess_year"] | c["guess_month"] | c["guess_day"] | c["no_year"], F.lit(False)).alias("guessed"),
     ))
-    none = F.struct(F.lit(None).cast("long").alias("decade"), F.lit(False).alias("guessed"))
+    none = F.struct(*[F.lit(None).cast("long").alias(c) for c in ("decade", "year", "month")], F.lit(False).alias("guessed"))
     f = f.select(F.inline(F.array(F.coalesce(read, none))))
-    return f.cube("decade", "guessed").agg(F.count(F.lit(1)).alias("photos"), F.grouping_id().cast("long").alias("level"))
+    periods = [[], ["decade"], ["decade", "year"], ["decade", "year", "month"]]
+    sets = [[F.col(c) for c in p + g] for p in periods for g in ([], ["guessed"])]
+    return f.groupingSets(sets, "decade", "year", "month", "guessed").agg(F.count(F.lit(1)).alias("photos"), F.grouping_id().cast("long").alias("level"))
 
 
 def source_coverage(fields: DataFrame) -> DataFrame:

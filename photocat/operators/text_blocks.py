@@ -150,8 +150,10 @@ def main_block(blocks: DataFrame) -> DataFrame:
 
 
 def scan_evidence(df: DataFrame) -> DataFrame:
-    """Add ``score`` and ``cues``: how strongly a band looks like paper on a scan."""
-    scanner = F.lower("model").rlike("|".join(fixed.SCANNER_WORDS))
+    """Add ``score`` and ``cues``: how strongly a band looks like paper on a scan. A scanner shows in any of make, model and
+    software that ``df`` has."""
+    device = F.lower(F.concat_ws(" ", *[F.col(c) for c in ("make", "model", "software") if c in df.columns]))
+    scanner = device.rlike("|".join(fixed.SCANNER_WORDS))
     high_dpi = ~scanner & (F.col("dpi") >= fixed.HIGH_DPI) & ~F.col("has_camera_tags")
     cues = [
         (F.abs("angle") >= fixed.TILT, 2.0, "tilted"),

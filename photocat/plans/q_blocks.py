@@ -100,7 +100,7 @@ def _(spark, sf):
     return text_blocks.main_block(blocks).select("photo_id", "block", "role")
 
 
-SCORE = """, sc AS (SELECT *, regexp_matches(lower(model), 'scan|perfection|plustek|coolscan|v600') AS scanner FROM analysis),
+SCORE = """, sc AS (SELECT *, coalesce(lower(make) = 'plustek', false) OR coalesce(software LIKE '%Scan %', false) OR model LIKE 'Perfection%' AS scanner FROM analysis),
  ev AS (SELECT *, CASE WHEN NOT band_found THEN 0.0 ELSE CASE WHEN abs(angle) >= 0.12 THEN 2.0 ELSE 0.0 END + CASE WHEN edge_blur >= 1.5 THEN 1.0 ELSE 0.0 END
     + CASE WHEN color_drift >= 2.0 THEN 1.0 ELSE 0.0 END + CASE WHEN noise >= 1.5 THEN 1.5 WHEN noise >= 0.3 THEN 1.0 ELSE 0.0 END
     + CASE WHEN scanner THEN 2.0 WHEN dpi >= 300 AND NOT has_camera_tags THEN 0.5 ELSE 0.0 END END AS score FROM sc),

@@ -9,7 +9,8 @@ from photocat.functions import dates, text
 from photocat.functions.captions import group, lit, tok
 from photocat.operators import captions, normalize, people
 from photocat.plans import date_sql as ds
-from photocat.plans.q_metadata import FIELDS
+from photocat.plans.q_metadata import FIELDS, KEYWORDS, MARKER
+from photocat.plans.q_people import LABELS, ROWS
 from photocat.plans.registry import query
 from photocat.plans.views import load
 
@@ -63,6 +64,43 @@ def _(spark, sf):
     return captions.render_captions(_fields(spark, sf), TEMPLATE)
 
 
+OPTIONS_SQL = (
+    KEYWORDS
+    + ROWS
+    + LABELS.replace("Front row, L–R: ", "Front: ").replace("Back row, L–R: ", "Back: ").replace("Middle row, L–R: ", "Middle: ")
+    + """, line AS (SELECT r.photo_id, r.row_no, list(name ORDER BY cx DESC, -cy DESC, region_no DESC) AS l FROM rowed r GROUP BY r.photo_id, r.row_no),
+ said AS (SELECT l.photo_id, max(n_rows) AS n_rows, string_agg(label || CASE WHEN len(l) = 1 THEN l[1] ELSE array_to_string(l[1:len(l) - 1], '; ') || ' & ' || l[-1] END,
+     ' / ' ORDER BY l.row_no) AS by_rows FROM line l JOIN labelled b ON b.photo_id = l.photo_id AND b.row_no = l.row_no GROUP BY l.photo_id),
+ flat AS (SELECT photo_id, bool_and(x IS NOT NULL) AS placed, list(name ORDER BY CASE WHEN x IS NULL THEN 1 ELSE 0 END, -(x + w / 2), -(y + h / 2), CASE WHEN x IS NULL THEN region_no ELSE -region_no END) AS l
+   FROM regions WHERE name <> '' GROUP BY photo_id),
+ who AS (SELECT f.photo_id, len(l) AS n, CASE WHEN placed AND n_rows > 1 THEN by_rows WHEN len(l) = 1 THEN l[1] ELSE array_to_string(l[1:len(l) - 1], '; ') || ' & ' || l[-1] END AS names
+   FROM flat f LEFT JOIN said s ON s.photo_id = f.photo_id),
+ few AS (SELECT photo_id, string_agg(keyword, ' + ' ORDER BY src_rank, item) AS words FROM keywords k WHERE NOT regexp_matches(keyword_key, '^(scan|people)([^\\pL\\pN\\pM]|$)')
+   AND NOT """
+    + MARKER
+    + """ AND NOT EXISTS (SELECT 1 FROM paths p WHERE p.photo_id = k.photo_id AND regexp_matches(lower(p.path), '^(scan|people)([^\\pL\\pN\\pM]|$)')
+     AND lower(trim(list_extract(string_split(p.path, '|'), -1))) = k.keyword_key) GROUP BY photo_id),
+ dt AS (SELECT c_custkey AS photo_id, c_custkey % 5 AS k FROM customer)
+ SELECT dt.photo_id, 'all' AS block, concat_ws(chr(10), nullif(coalesce(names, '') || CASE WHEN n IS NOT NULL THEN ' (' || n || ')' ELSE '' END, ''), words,
+   CASE k WHEN 0 THEN 'around June 14, 1952' WHEN 1 THEN 'June 1952' WHEN 2 THEN 'around 1952' WHEN 3 THEN 'June 14' ELSE 'June 14, 1952' END || ', 1952-06-14') AS caption
+ FROM dt LEFT JOIN who USING (photo_id) LEFT JOIN few USING (photo_id)"""
+)
+
+
+@query("c1_caption_options", "tags regions paths", OPTIONS_SQL)
+def _(spark, sf):
+    k = F.col("c_custkey") % 5
+    rating = F.when(k == 0, "Y!M!D~").when(k == 1, "Y!M!D?").when(k == 2, "Y~").when(k == 3, "Y?M!D!")
+    fields = load(spark, sf, "customer").select(F.col("c_custkey").alias("photo_id"), F.lit("1952:06:14").alias("date"), rating.alias("rated"))
+    who = tok("names", rows=True, order="rl", sep="; ", last=" & ", row_sep=" / ", labels=["Front: ", " Middle: ", "", "Back: "])
+    items = [
+        who, group(lit(" ("), tok("names.count"), lit(")")), lit("\n"), tok("keywords", sep=" + ", exclude=["scan", "people"]), lit("\n"),
+        tok("date", as_of=AS_OF, certainty="rated", circa="around "), lit(", "), tok("date", as_of=AS_OF, fmt="yyyy-mm-dd"),
+    ]
+    sources = captions.Sources(fields, load(spark, sf, "regions"), normalize.merge_keywords(load(spark, sf, "tags")), load(spark, sf, "paths"))
+    return captions.render_captions(sources, {"all": items})
+
+
 @query(
     "c2_optional_group",
     "tags regions",

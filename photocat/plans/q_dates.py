@@ -138,18 +138,23 @@ def _(spark, sf):
 @query(
     "d10_date_quality_profile",
     "tags photos",
-    """, v AS (SELECT t.photo_id, t.value, regexp_extract(p.path, '^(.*)/[^/]*$', 1) AS folder FROM tags t JOIN photos p
-      ON t.photo_id = p.photo_id WHERE t.tag = 'XMP-photoshop:DateCreated'), """
-    + ds.parsed("p", "v", "folder, value", "value")
-    + """, k AS (SELECT folder, y, CASE WHEN d IS NOT NULL THEN 'day' WHEN m IS NOT NULL THEN 'month' WHEN y IS NOT NULL THEN 'year'
-       WHEN regexp_matches(coalesce(value, ''), '[1-9]') THEN 'approximate' ELSE 'none' END AS kind FROM p)
- SELECT folder, kind, count(*) AS photos, cast(min(y) AS bigint) AS first_year, cast(max(y) AS bigint) AS last_year,
+    """, v AS (SELECT t.photo_id, t.value, regexp_extract(p.path, '^(.*)/[^/]*$', 1) AS folder, CASE t.photo_id % 4 WHEN 0 THEN 'Y~' WHEN 1 THEN 'Y!M~' WHEN 2 THEN 'Y?M!D!' END AS certainty
+      FROM tags t JOIN photos p ON t.photo_id = p.photo_id WHERE t.tag = 'XMP-photoshop:DateCreated'), """
+    + ds.parsed("p", "v", "folder, value, certainty", "value")
+    + """, kinds AS (SELECT *, CASE WHEN d IS NOT NULL THEN 'day' WHEN m IS NOT NULL THEN 'month' WHEN y IS NOT NULL THEN 'year'
+       WHEN regexp_matches(coalesce(value, ''), '[1-9]') THEN 'approximate' ELSE 'none' END AS kind FROM p)"""
+    + ", "
+    + ds.cut("c2", "p", "folder, kind, y AS year", "certainty").replace("FROM p)", "FROM kinds)", 1)
+    + """, k AS (SELECT folder, kind, year AS y, known AND (gy OR gm OR gd OR no_year) AS guessed FROM c2)
+ SELECT folder, kind, count(*) AS photos, count(*) FILTER (guessed) AS guessed, round(count(*) FILTER (guessed) / count(*), 6) AS guessed_share, cast(min(y) AS bigint) AS first_year, cast(max(y) AS bigint) AS last_year,
    cast(grouping(folder, kind) AS bigint) AS level FROM k GROUP BY ROLLUP (folder, kind)""",
 )
 def _(spark, sf):
     created = load(spark, sf, "tags").where("tag = 'XMP-photoshop:DateCreated'")
     photos = load(spark, sf, "photos").select("photo_id", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"))
-    return partial_dates.date_quality_profile(created.join(photos, "photo_id"), "value", "folder", AS_OF)
+    k = F.col("photo_id") % 4
+    rated = created.join(photos, "photo_id").withColumn("certainty", F.when(k == 0, "Y~").when(k == 1, "Y!M~").when(k == 2, "Y?M!D!"))
+    return partial_dates.date_quality_profile(rated, "value", "folder", AS_OF, "certainty")
 
 
 @query(
@@ -165,3 +170,17 @@ def _(spark, sf):
 def _(spark, sf):
     t = load(spark, sf, "date_texts").select("text_no", dates.moment(F.col("value")).alias("moment"))
     return t.withColumn("midnight", F.col("moment").endswith("00:00:00"))
+
+
+@query(
+    "d11_same_day",
+    "date_texts",
+    ", "
+    + ds.parsed("q", "date_texts", "text_no, value", "value")
+    + " SELECT text_no, coalesce(d = 1 + text_no % 31 AND m IN (1 + text_no % 13, 1 + text_no % 12) AND y = 1900 + text_no % 130 AND m = CASE WHEN text_no % 2 = 0 THEN 1 + text_no % 12 ELSE 1 + text_no % 13 END, false) AS same FROM q",
+)
+def _(spark, sf):
+    # the day each text was made from: spelled months run to 12, numbers to 13
+    n = F.col("text_no")
+    day = F.try_to_date(F.format_string("%04d-%02d-%02d", 1900 + n % 130, F.when(n % 2 == 0, 1 + n % 12).otherwise(1 + n % 13), 1 + n % 31), "yyyy-MM-dd")
+    return load(spark, sf, "date_texts").select("text_no", dates.same_day(F.col("value"), day, AS_OF).alias("same"))

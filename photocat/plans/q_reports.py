@@ -100,8 +100,9 @@ def _(spark, sf):
     + ds.parsed("q", "alld", "photo_id, value, certainty", "value")
     + ", "
     + ds.cut("c2", "q", "photo_id", "certainty")
-    + """, d AS (SELECT CASE WHEN known AND NOT no_year THEN y // 10 * 10 END AS decade, known AND (gy OR gm OR gd OR no_year) AS guessed FROM c2)
- SELECT cast(decade AS bigint) AS decade, guessed, count(*) AS photos, cast(grouping(decade, guessed) AS bigint) AS level FROM d GROUP BY CUBE (decade, guessed)""",
+    + """, d AS (SELECT CASE WHEN known AND NOT no_year THEN y // 10 * 10 END AS decade, CASE WHEN known AND NOT no_year THEN y END AS year, CASE WHEN known AND NOT no_year THEN m END AS month, known AND (gy OR gm OR gd OR no_year) AS guessed FROM c2)
+ SELECT cast(decade AS bigint) AS decade, cast(year AS bigint) AS year, cast(month AS bigint) AS month, guessed, count(*) AS photos, cast(grouping(decade, year, month, guessed) AS bigint) AS level
+ FROM d GROUP BY GROUPING SETS ((), (decade), (decade, year), (decade, year, month), (guessed), (decade, guessed), (decade, year, guessed), (decade, year, month, guessed))""",
 )
 def _(spark, sf):
     tags = load(spark, sf, "tags")

@@ -203,6 +203,8 @@ SELECT p_partkey AS photo_id,
        cast(p_partkey % 30 AS double) / 100 AS angle, cast(p_partkey % 25 AS double) / 10 AS edge_blur,
        cast(p_partkey % 40 AS double) / 10 AS color_drift, cast(p_partkey % 22 AS double) / 10 AS noise,
        CASE WHEN p_partkey % 9 = 0 THEN 'Perfection V600' ELSE p_brand END AS model,
+       CASE WHEN p_partkey % 14 = 3 THEN 'Plustek' WHEN p_partkey % 3 = 0 THEN 'Canon' END AS make,
+       CASE WHEN p_partkey % 15 = 4 THEN 'EPSON Scan 2' WHEN p_partkey % 2 = 0 THEN 'Editor 5' END AS software,
        cast(p_partkey % 12 * 50 AS bigint) AS dpi, p_partkey % 4 = 1 AS has_camera_tags,
        p_partkey % 3 <> 0 AS reads_text, p_partkey % 5 = 0 AS looks_written, p_partkey % 13 = 0 AS text_over_photo,
        cast(p_partkey % 100 AS double) / 100 AS edge_confidence, cast(p_partkey % 80 AS double) / 80 AS min_line_confidence,
