@@ -1,14 +1,14 @@
 """Near-dedup of embeddings with a pivot-permutation index.
 
 Reference points (pivots) are normal random vectors with a fixed seed, at most ``MAX_PIVOTS`` and about 2 sqrt(n). A
-vector is described by the list of its nearest pivots (``prefix`` of them), by scalar product. The products of two unit vectors
-with a pivot are normal and correlated by their cosine, so how likely a pair shares pivots depends on its cosine and
-the number of pivots only, not on the other rows or the length (pivots taken from the data lie close together inside a
-large group, and lose its links). The inverted lists hold, for every pair of pivots, the vectors that have both in
-their list: vectors that meet there share two pivots or more. Inside a list all
-pairs are compared exactly (in blocks of bounded size, by matrix products in double precision); a link counts in the
-list of the two smallest pivots that both vectors share, so once. A list gives one row per linked vector: its links
-and the smallest vector it is connected with there. Pairs of vectors never become rows.
+vector is described by its nearest pivots in their order, the first ``prefix`` places of its pivot permutation. The products of
+two unit vectors with a pivot are normal and correlated by their cosine, so how likely a pair shares pivots depends on its
+cosine and the number of pivots only, not on the other rows or the length (pivots taken from the data lie close together
+inside a large group, and lose its links). There is one inverted list per pivot, of the vectors that have it in their prefix.
+Inside a list (in blocks of bounded size) the pivots that each two vectors share are counted; pairs that share
+``SHARED`` or more are verified by their exact cosine in double precision. A link counts in one list only, that of the shared
+pivot that stands foremost in both permutations. A list gives one row per linked vector: its links and the smallest
+vector it is connected with there. Pairs of vectors never become rows.
 
 Equal vectors are one node with a weight, so a large group of copies costs one row. Every node is indexed. Two vectors
 at the least cosine of 0.9 share two pivots in 95 % of cases at 2,048 pivots and more with fewer; from there on the list
@@ -37,6 +37,8 @@ from photocat.llm.graph import components, dealt, in_blocks, sorted_groups
 
 COSINE = 0.9
 PREFIX = 7
+#: Pivots that two vectors must share to be compared.
+SHARED = 2
 PIVOT_BITS = 14
 MIN_PIVOTS, MAX_PIVOTS = 32, 1 << PIVOT_BITS
 BLOCK = 512
@@ -69,10 +71,15 @@ def prefix(m: int) -> int:
 
 
 def nearest(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The pivots in the prefix of each vector's pivot permutation."""
+    """The prefix of each vector's pivot permutation, nearest first."""
     k = prefix(len(pivots))
     rows = max(1, PRODUCTS // len(pivots))
-    return np.concatenate([np.argpartition(-(vectors[a : a + rows] @ pivots.T), k - 1, axis=1)[:, :k] for a in range(0, len(vectors), rows)])
+    out = []
+    for a in range(0, len(vectors), rows):
+        product = -(vectors[a : a + rows] @ pivots.T)
+        few = np.argpartition(product, k - 1, axis=1)[:, :k]
+        out.append(np.take_along_axis(few, np.argsort(np.take_along_axis(product, few, axis=1), axis=1, kind="stable"), axis=1))
+    return np.concatenate(out)
 
 
 @functools.lru_cache(maxsize=2)
@@ -81,20 +88,32 @@ def random_pivots(m: int, size: int) -> np.ndarray:
     return np.random.default_rng(0).standard_normal((m, size))
 
 
-def owned(a: np.ndarray, b: np.ndarray, first: int, second: int) -> np.ndarray:
-    """For rows of sorted pivots: are these the two smallest that row k of ``a`` and row k of ``b`` share?"""
-    both = (a[:, :, None] == b[:, None, :]).any(2)
-    rank = np.cumsum(both, axis=1) * both
-    at = np.arange(len(a))
-    return (a[at, (rank == 1).argmax(1)] == first) & (a[at, (rank == 2).argmax(1)] == second)
-
-
-def linked(vectors: np.ndarray, block: np.ndarray, p: int, q: int) -> np.ndarray:
-    """Which rows of block p are linked with which of block q (each pair in both directions)."""
-    near = vectors @ vectors.T >= COSINE
-    np.fill_diagonal(near, False)
-    if p != q:
-        near &= block[:, None] != block[None, :]
+def shared_counts(prefixes: np.ndarray) -> np.ndarray:
+    """How many pivots each two prefixes share."""
+    pivots, at = np.unique(prefixes, return_inverse=True)
+    has = np.zeros((len(prefixes), len(pivots)), dtype=np.float32)
+    np.put_along_axis(has, at.reshape(prefixes.shape), 1, axis=1)
+    return has @ has.T
+
+
+def foremost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each two prefixes the shared pivot with the smallest sum of places (of equal ones the smaller pivot)."""
+    place = np.arange(a.shape[1])
+    score = (place[:, None] + place[None, :]).astype(np.int64) << PIVOT_BITS
+    score = np.where(a[:, :, None] == b[:, None, :], score[None] + a[:, :, None], np.int64(1) << 62)
+    return score.reshape(len(a), -1).min(1) & MAX_PIVOTS - 1
+
+
+def linked(vectors: np.ndarray, block: np.ndarray, kind_of: np.ndarray, compare: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Which rows of block p are linked with which of block q (each pair in both directions), of the pairs whose kinds are
+    to be compared."""
+    near = np.zeros((len(vectors), len(vectors)), dtype=bool)
+    for i in np.flatnonzero(block == p):
+        other = compare[kind_of[i], kind_of] & (block == q)
+        other[i] = False
+        j = np.flatnonzero(other)
+        j = j[vectors[j] @ vectors[i] >= COSINE]
+        near[i, j] = near[j, i] = True
     return near
 
 
@@ -112,23 +131,23 @@ def smallest_reached(near: np.ndarray) -> np.ndarray:
 def _links(batches, kind: str):
     for (bucket, p, q), rows in sorted_groups(batches, ("bucket", "p", "q")):
         block = rows.column("block").to_numpy()
-        near = linked(unit(rows.column("raw").to_pylist(), kind), block, p, q)
+        prefixes = np.frombuffer(b"".join(rows.column("pivots").to_pylist()), dtype="<i4").reshape(rows.num_rows, -1)
+        # rows of a large group often have equal prefixes
+        kinds, of = np.unique(prefixes, axis=0, return_inverse=True)
+        of = of.ravel()
+        near = linked(unit(rows.column("raw").to_pylist(), kind), block, of, shared_counts(kinds) >= SHARED, p, q)
         some = np.flatnonzero(near.any(1))
         if not len(some):
             continue
         node = rows.column("node").to_pylist()
         order = np.array(sorted(some, key=lambda k: node[k]))
-        near = near[np.ix_(order, order)]
+        near, of = near[np.ix_(order, order)], of[order]
         root = smallest_reached(near)
-        pivots = np.frombuffer(b"".join(rows.column("pivots").to_pylist()), dtype="<i4").reshape(rows.num_rows, -1)[order]
-        # each pair counts in the list of the two smallest pivots that both have; rows of a large group often have equal pivots
-        kinds, of = np.unique(pivots, axis=0, return_inverse=True)
-        of = of.ravel()
         meet = np.zeros((len(kinds), len(kinds)), dtype=bool)
         i, j = np.nonzero(near)
         meet[of[i], of[j]] = True
         i, j = np.nonzero(meet)
-        meet[i, j] = owned(kinds[i], kinds[j], bucket >> PIVOT_BITS & MAX_PIVOTS - 1, bucket & MAX_PIVOTS - 1)
+        meet[i, j] = foremost(kinds[i], kinds[j]) == (bucket & MAX_PIVOTS - 1)
         weight = rows.column("weight").to_numpy()[order]
         links = (near & meet[np.ix_(of, of)]).astype(np.int64) @ weight
         yield pa.RecordBatch.from_arrays([pa.array([node[k] for k in order], pa.binary()), pa.array([node[order[r]] for r in root], pa.binary()), pa.array(links)], names=["a", "b", "links"])
@@ -146,10 +165,8 @@ def near_duplicates(rows: DataFrame, vectors: str = "embedding", max_pivots: int
         for batch in batches:
             for size in pc.unique(batch.column("size")).to_pylist():
                 part = batch.filter(pc.equal(batch.column("size"), size))
-                top = np.sort(nearest(unit(part.column("raw").to_pylist(), kind), random_pivots(pivots[size], size)), axis=1).astype("<i4")
-                pairs = [(x, y) for x in range(top.shape[1]) for y in range(x + 1, top.shape[1])]
-                # the length, then the two pivots
-                keys = np.stack([(size << 2 * PIVOT_BITS) + (top[:, x].astype(np.int64) << PIVOT_BITS) + top[:, y] for x, y in pairs], axis=1)
+                top = nearest(unit(part.column("raw").to_pylist(), kind), random_pivots(pivots[size], size)).astype("<i4")
+                keys = (np.int64(size) << PIVOT_BITS) + top  # the length, then the pivot
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "raw", "weight")), pa.array([t.tobytes() for t in top], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int64()))], names=["node", "raw", "weight", "pivots", "buckets"])
 
     lists = nodes.select("node", "raw", "size", "weight").mapInArrow(index, "node binary, raw binary, weight bigint, pivots binary, buckets array<bigint>")
@@ -167,3 +184,17 @@ def near_duplicates(rows: DataFrame, vectors: str = "embedding", max_pivots: int
 def op2_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+), c AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON a = vec_id
+"""

@@ -23,7 +23,7 @@ _add(near_dup.op10_near_dup)
 _add(warc.op5_warc, warc.OP5_SQL)
 _add(lm.op3_lm_score)
 _add(pii.op1_pii)
-_add(embed_dup.op2_embedding_dup)
+_add(embed_dup.op2_embedding_dup, embed_dup.OP2_SQL)
 _add(langid.op7_language_id)
 _add(piecewise.op11_piecewise_hash)
 _add(merkle.op12_merkle, merkle.sql())

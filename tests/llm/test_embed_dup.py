@@ -107,3 +107,38 @@ def test_two_lengths(spark):
     want = brute(rows[0]) | brute(rows[1])
     assert sum(n for n, _ in want.values()) > 70
     assert result(spark, rows[0] + rows[1]) == want
+
+
+def test_prefixes_keep_their_order_and_pairs_have_one_list():
+    rng = np.random.default_rng(15)
+    v, pivots = vectors(50).astype(np.float64), embed_dup.random_pivots(128, 64)
+    got = embed_dup.nearest(v, pivots)
+    assert (got == np.argsort(-(v @ pivots.T), axis=1, kind="stable")[:, : embed_dup.PREFIX]).all()
+    a, b = (np.array([rng.permutation(12)[:7] for _ in range(200)]) for _ in range(2))
+    counts = embed_dup.shared_counts(np.concatenate([a, b]))[:200, 200:]
+    for k in range(200):
+        both = set(a[k]) & set(b[k])
+        assert counts[k, k] == len(both)
+        want = min(both, key=lambda p: (a[k].tolist().index(p) + b[k].tolist().index(p), p))
+        assert embed_dup.foremost(a[k : k + 1], b[k : k + 1])[0] == embed_dup.foremost(b[k : k + 1], a[k : k + 1])[0] == want
+
+
+def test_sql_with_planted_links(spark, tmp_path):
+    """The oracle's SQL over the given vectors with near copies, odd vectors and equal ones among them."""
+    import duckdb
+
+    given = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").limit(150).collect()
+    rng = np.random.default_rng(16)
+    rows = [(r.vec_id, list(r.embedding)) for r in given]
+    top = max(i for i, _ in rows)
+    rows += [(top + 1 + k, [float(np.float32(x)) for x in np.array(v) + 0.25 * np.std(v) * rng.standard_normal(len(v))]) for k, (_, v) in enumerate(rows[:60])]
+    rows += [(top + 100 + k, rows[k % 7][1]) for k in range(20)] + [(top + 200, [0.0] * 64), (top + 201, None), (top + 202, [float("nan")] * 64)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    df.coalesce(1).write.parquet(f"{tmp_path}/e")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    res = con.execute(embed_dup.OP2_SQL)
+    names = [d[0] for d in res.description]
+    want = {tuple(dict(zip(names, r))[c] for c in ("vec_id", "n_links", "component_id", "kept")) for r in res.fetchall()}
+    got = {tuple(r) for r in embed_dup.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect()}
+    assert got == want and sum(r[1] > 0 for r in got) > 80
