@@ -3,12 +3,16 @@
 Tokens are lower-cased words and one end per text. Word counts are exact; bigram counts live in a Bloom filter: a
 bigram seen c times is inserted once per level 0 .. floor(log2 c), and a reader probes level after level until one is
 missing, which gives the count rounded down to a power of two (or, rarely, a larger one). The filter lies in segments
-by hash, one for each part of the counting; a segment has ``BITS_PER_ENTRY`` bits for each of its entries (together
-``FILTER_BITS`` at least), so the filter grows with the corpus and no level is left out. It is never gathered: its parts
-answer for it.
+by hash, one for each part of the counting, and grows with the corpus: no level is left out. Its load follows the corpus
+too. A false answer gives a word SHARE / count(h) that no count backs, and any word of the vocabulary may get one, so false
+answers have to become rarer as the vocabulary grows: ``hashes_for`` takes one more hash function with each doubling of the
+vocabulary, and an entry has as many bits as this needs (34 at 170 MB of text), all segments together ``FILTER_BITS`` at least.
+The filter is never gathered: its parts answer for it.
 
-P(w | h) = SHARE * count(h w) / count(h) + (1 - SHARE) * P(w), P(w) = (c + 0.1) / (N + 0.1 (V + 1)); for an unseen h
-it is P(w).
+P(w | h) = (SHARE * count(h w) / count(h) + (1 - SHARE) * P(w)) / Z(h), P(w) = (c + 0.1) / (N + 0.1 (V + 1)); for an unseen
+h it is P(w). Z(h) = 1 + SHARE * V * f / count(h) takes away what false answers add over all words together; f is the
+rate of false answers, known from how full the segments are. So the words after h weigh 1 at most, in expectation (less by
+what counts lose when they are rounded down).
 
 Counting: each task counts the words and bigrams of its texts and sends them, packed, to the part of the hash range
 they belong to. Scoring: texts are dealt into blocks of about ``BLOCK_BYTES``; a block asks the parts for the counts
@@ -33,7 +37,8 @@ from photocat.llm.shingles import MIX_1, STEP, mixed, word_hashes
 FOLDS = 10
 FILTER_BITS = 1 << 27
 HASHES = 5
-BITS_PER_ENTRY = 8
+#: Bits of a bigram's hash that the filter knows it by.
+KEY_BITS = 40
 SHARE = 0.1
 BLOCK_BYTES = 8 << 20
 PART_BYTES = 16 << 20
@@ -44,6 +49,18 @@ WORDS, BIGRAMS = 1, 2
 HELD_KEYS = 1_000_000
 
 
+def hashes_for(text_bytes: int) -> int:
+    """Hash functions for a corpus, so that false answers are ten times rarer than one in its different words. A text of so
+    many bytes has about 60 times the square root of that, and not more than one in six bytes."""
+    vocabulary = max(1.0, min(text_bytes / 6, 60 * text_bytes**0.5))
+    return max(HASHES, min(KEY_BITS, int(np.ceil(np.log2(10 * vocabulary)))))
+
+
+def bits_per_entry(hashes: int) -> int:
+    """The load at which so many hash functions do best: half of all bits are set."""
+    return -(-hashes * 100 // 69)
+
+
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every token, index of the first token of each text and the number of tokens)"""
     words, first = word_hashes([t.translate(LOWER) for t in texts])
@@ -158,23 +175,27 @@ def _merge_part(rows: pa.Table) -> pa.Table:
 MERGED_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("types", pa.int64())])
 
 
-def _merge_kind(rows: pa.Table, least: int) -> pa.Table:
-    """The counts of the words, or the filter's segment for the bigrams, of one part."""
+def _merge_kind(rows: pa.Table, least: int, hashes: int) -> pa.Table:
+    """The counts of the words, or the filter's segment for the bigrams and its rate of false answers, of one part."""
     merged = _merge_part(rows)
+    names = [*MERGED_SCHEMA.names, "bits", "false_rate"]
     if merged.column("kind")[0].as_py() == WORDS:
-        return pa.table([*merged.columns, pa.array([None], pa.binary())], names=[*MERGED_SCHEMA.names, "bits"])
+        return pa.table([*merged.columns, pa.array([None], pa.binary()), pa.array([None], pa.float64())], names=names)
     entries = int((level(np.frombuffer(merged.column("counts")[0].as_py(), dtype="<u8")) + 1).sum())
-    (segment,) = _segments(merged.to_batches(), segment_bits(entries, least), 0)
+    (segment,) = _segments(merged.to_batches(), segment_bits(entries, least, hashes), 0, hashes)
+    bits = np.frombuffer(segment.column("bits")[0].as_py(), dtype=np.uint8)
+    full = float(np.bitwise_count(bits).sum()) / (8 * len(bits))
+    rate = full**hashes + merged.column("types")[0].as_py() / 2**KEY_BITS
     kept = merged.set_column(2, "keys", pa.array([None], pa.binary())).set_column(3, "counts", pa.array([None], pa.binary()))
-    return pa.table([*kept.columns, segment.column("bits")], names=[*MERGED_SCHEMA.names, "bits"])
+    return pa.table([*kept.columns, segment.column("bits"), pa.array([rate])], names=names)
 
 
-MERGED = "kind int, part int, keys binary, counts binary, total bigint, types bigint, bits binary"
+MERGED = "kind int, part int, keys binary, counts binary, total bigint, types bigint, bits binary, false_rate double"
 
 
-def segment_bits(entries: int, least: int) -> int:
+def segment_bits(entries: int, least: int, hashes: int = HASHES) -> int:
     """Bits of a segment, whole bytes."""
-    return -(-max(64, least, entries * BITS_PER_ENTRY) // 8) * 8
+    return -(-max(64, least, entries * bits_per_entry(hashes)) // 8) * 8
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -182,16 +203,16 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1] - 1
 
 
-def _slots(keys: np.ndarray, at: np.ndarray | int, size: int):
+def _slots(keys: np.ndarray, at: np.ndarray | int, size: int, hashes: int = HASHES):
     """The positions of each key's bits for a level, one array per hash function."""
     base = mixed(keys + np.asarray(at, dtype=np.uint64) * STEP)
     other = mixed(base) | np.uint64(1)
-    for _ in range(HASHES):
+    for _ in range(hashes):
         yield (base % np.uint64(size)).astype(np.int64)
         base = base + other
 
 
-def _segments(batches, size: int, lowest: int):
+def _segments(batches, size: int, lowest: int, hashes: int = HASHES):
     """The filter's segment of each part."""
     for batch in batches:
         for part, raw, counts in zip(batch.column("part").to_pylist(), batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
@@ -200,24 +221,29 @@ def _segments(batches, size: int, lowest: int):
             at = lowest
             while len(keys := keys[top >= at]):
                 top = top[top >= at]
-                for slot in _slots(keys, at, size):
+                for slot in _slots(keys, at, size, hashes):
                     bits[slot] = True
                 at += 1
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["part", "bits"])
 
 
-def probe(filter_bits: np.ndarray, hashes: np.ndarray, part_bits: int, size: int, lowest: int) -> np.ndarray:
+def probe(filter_bits: np.ndarray, hashes: np.ndarray, part_bits: int, size: int, lowest: int, functions: int = HASHES) -> np.ndarray:
     """Counts of bigrams as powers of two, 0 where the lowest level is missing."""
     part = (hashes >> np.uint64(64 - part_bits)).astype(np.int64) if part_bits else np.zeros(len(hashes), dtype=np.int64)
     keys = (hashes << np.uint64(part_bits)) >> np.uint64(24)
     out = np.zeros(len(hashes))
     open_at, at = np.arange(len(hashes)), lowest
     while len(open_at):
-        for j, slot in enumerate(_slots(keys[open_at], at, size)):
-            if not j:
-                has, base = np.ones(len(open_at), dtype=bool), part[open_at] * (size // 8)
-            has &= (filter_bits[base + (slot >> 3)] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
-        open_at = open_at[has]
+        # those that miss a bit go at once, so that absent ones cost few probes
+        slot = mixed(keys[open_at] + np.array([at], dtype=np.uint64) * STEP)
+        step, base = mixed(slot) | np.uint64(1), part[open_at] * (size // 8)
+        for _ in range(functions):
+            place = (slot % np.uint64(size)).astype(np.int64)
+            has = (filter_bits[base + (place >> 3)] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+            if has.all():
+                slot = slot + step
+            else:
+                open_at, step, base, slot = open_at[has], step[has], base[has], slot[has] + step[has]
         out[open_at] = 2.0**at
         at += 1
     return out
@@ -226,19 +252,20 @@ def probe(filter_bits: np.ndarray, hashes: np.ndarray, part_bits: int, size: int
 class Model:
     """What scoring needs: totals, and by part the exact word counts and the filter's segments."""
 
-    def __init__(self, merged: DataFrame, part_bits: int):
-        self.part_bits = part_bits
+    def __init__(self, merged: DataFrame, part_bits: int, hashes: int):
+        self.part_bits, self.hashes = part_bits, hashes
         words = F.col("kind") == WORDS
         total = merged.filter(words).agg(F.sum("total"), F.sum("types")).first()
         self.n, self.v = int(total[0] or 0), int(total[1] or 0)
+        self.false_rate = merged.agg(F.avg("false_rate")).first()[0] or 0.0
         self.parts = merged.select("part", "keys", "counts", "bits")
 
 
 def train(docs: DataFrame, text_bytes: int, filter_bits: int = FILTER_BITS) -> Model:
     """Count words and bigrams of all rows of ``docs`` and build the filter."""
-    bits = max(3, (text_bytes // PART_BYTES).bit_length())
+    bits, hashes = max(3, (text_bytes // PART_BYTES).bit_length()), hashes_for(text_bytes)
     rows = docs.select("text").mapInArrow(lambda b: _count_batches(b, bits), "kind int, part int, keys binary, counts binary")
-    return Model(fixed(rows.groupBy("kind", "part").applyInArrow(lambda t: _merge_kind(t, filter_bits >> bits), MERGED)), bits)
+    return Model(fixed(rows.groupBy("kind", "part").applyInArrow(lambda t: _merge_kind(t, filter_bits >> bits, hashes), MERGED)), bits, hashes)
 
 
 def _requests(rows: pa.Table, bits: int) -> pa.Table:
@@ -252,54 +279,60 @@ def _requests(rows: pa.Table, bits: int) -> pa.Table:
     return pa.table(columns, names=["part", "block", "words", "bigrams"])
 
 
-def _answers(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """For each request the counts of its words, and for its bigrams a byte each: 0, or one more than the highest level."""
+def _answers(asked: pa.Table, known: pa.Table, hashes: int) -> pa.Table:
+    """For each request the counts of its words (in four bytes each where they fit), and for its bigrams a byte each: 0, or one
+    more than the highest level."""
     joined = lambda c: b"".join(x or b"" for x in known.column(c).to_pylist())
     keys, counts, bits = np.frombuffer(joined("keys"), dtype="<u8"), np.frombuffer(joined("counts"), dtype="<u8"), np.frombuffer(joined("bits"), dtype=np.uint8)
-    of_words, of_bigrams = [], []
+    of_words, of_bigrams, wide = [], [], []
     for raw, short in zip(asked.column("words").to_pylist(), asked.column("bigrams").to_pylist(), strict=True):
         want = np.frombuffer(raw, dtype="<u8")
         at = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
-        of_words.append((np.where(keys[at] == want, counts[at], 0) if len(keys) else np.zeros(len(want))).astype("<u8").tobytes())
+        told = np.where(keys[at] == want, counts[at], 0) if len(keys) else np.zeros(len(want))
+        wide.append(bool(told.max(initial=0) >= 1 << 32))
+        of_words.append(told.astype("<u8" if wide[-1] else "<u4").tobytes())
         pairs = _long(short) << np.uint64(24)
-        found = probe(bits, pairs, 0, len(bits) * 8, 0) if len(bits) else np.zeros(len(pairs))
+        found = probe(bits, pairs, 0, len(bits) * 8, 0, hashes) if len(bits) else np.zeros(len(pairs))
         of_bigrams.append(np.frexp(found)[1].astype(np.uint8).tobytes())
-    return pa.table([asked.column("block"), asked.column("part"), pa.array(of_words, pa.binary()), pa.array(of_bigrams, pa.binary())], names=["block", "part", "counts", "levels"])
+    return pa.table([asked.column("block"), asked.column("part"), pa.array(of_words, pa.binary()), pa.array(of_bigrams, pa.binary()), pa.array(wide)], names=["block", "part", "counts", "levels", "wide"])
 
 
 SCORE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def score_tokens(tok: np.ndarray, first: np.ndarray, c: np.ndarray, n: int, v: int, bigram_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, known tokens, base score, score) of each text; ``c``: count of each token."""
+def score_tokens(tok: np.ndarray, first: np.ndarray, c: np.ndarray, n: int, v: int, bigram_counts: np.ndarray, false_rate: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, known tokens, base score, score) of each text; ``c``: count of each token; ``false_rate``: how often the filter
+    answers for a bigram that it does not hold."""
     sums = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)
     p = (c + 0.1) / (n + 0.1 * (v + 1))
     before = np.concatenate([[0], c[:-1]]) if len(c) else c
     before[first[:-1]] = c[first[1:] - 1]  # a text's start has been seen as often as the end
     joint = np.minimum(bigram_counts, before)
-    mixed_p = np.where(before > 0, SHARE * joint / np.maximum(before, 1) + (1 - SHARE) * p, p)
+    seen = np.maximum(before, 1)
+    mixed_p = np.where(before > 0, (SHARE * joint / seen + (1 - SHARE) * p) / (1 + SHARE * v * false_rate / seen), p)
     return np.diff(first), sums((c > 0).astype(np.int64)), sums(np.log10(p)), sums(np.log10(mixed_p))
 
 
 def score(docs: DataFrame, model: Model, text_bytes: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    bits, n, v = model.part_bits, model.n, model.v
+    bits, n, v, hashes, false_rate = model.part_bits, model.n, model.v, model.hashes, model.false_rate
     blocks = max(1, -(-text_bytes // BLOCK_BYTES))
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     asked = rows.groupBy("block").applyInArrow(lambda t: _requests(t, bits), "part int, block bigint, words binary, bigrams binary")
-    told = asked.groupBy("part").cogroup(model.parts.groupBy("part")).applyInArrow(_answers, "block bigint, part int, counts binary, levels binary")
+    told = asked.groupBy("part").cogroup(model.parts.groupBy("part")).applyInArrow(lambda a, b: _answers(a, b, hashes), "block bigint, part int, counts binary, levels binary, wide boolean")
 
     def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:
         tok, first = tokens(utf8(texts.column("text").combine_chunks()))
         keys, at = np.unique(tok, return_inverse=True)
         counts = counts.sort_by("part")
-        c = np.frombuffer(b"".join(counts.column("counts").to_pylist()), dtype="<u8").astype(np.int64)
+        each = zip(counts.column("counts").to_pylist(), counts.column("wide").to_pylist(), strict=True)
+        c = np.concatenate([np.zeros(0, dtype=np.int64), *(np.frombuffer(raw, dtype="<u8" if w else "<u4").astype(np.int64) for raw, w in each)])
         pairs, pair_at = np.unique(bigrams(tok, first), return_inverse=True)
         levels = np.frombuffer(b"".join(counts.column("levels").to_pylist()), dtype=np.uint8)
         if len(c) != len(keys) or len(levels) != len(pairs):
             raise ValueError("the answers do not fit the block")
         found = np.where(levels > 0, 2.0 ** (levels.astype(np.int64) - 1), 0)
-        got = score_tokens(tok, first, c[at], n, v, found[pair_at])
+        got = score_tokens(tok, first, c[at], n, v, found[pair_at], false_rate)
         return pa.table([texts.column("doc_id"), texts.column("held_out"), *(pa.array(x) for x in got)], schema=SCORE_SCHEMA)
 
     out = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")

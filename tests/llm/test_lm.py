@@ -78,10 +78,45 @@ def test_the_filter_grows_and_keeps_bigrams_seen_once(spark):
     for texts in (20, 2000):
         rows = [(k, " ".join(f"w{x}" for x in rng.zipf(1.2, 60) % 5000)) for k in range(texts)]
         docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-        model = lm.train(docs, 1, 1)
+        size = sum(len(t) for _, t in rows)
+        model, each = lm.train(docs, size, 1), lm.bits_per_entry(lm.hashes_for(size))
         bits = sum(8 * len(r.bits) for r in model.parts.collect() if r.bits)
         two = Counter(p for _, t in rows for p in zip([None, *words(t)], words(t), strict=False))
         entries = sum(k.bit_length() for k in two.values())
-        assert entries * lm.BITS_PER_ENTRY <= bits <= entries * lm.BITS_PER_ENTRY + 8 * 64
+        assert entries * each <= bits <= entries * each + 8 * 64
         got, want = {r.doc_id: r.score for r in lm.score(docs, model, 1).collect()}, exact(rows)
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=0.02) for k in want)
+
+
+def test_words_after_a_history_weigh_one_at_most_at_production_load(spark, real):
+    """The filter as full as on a large corpus. Over all words together false answers add nothing, so held-out texts do not
+    look better than with exact counts."""
+    train = [(r["doc_id"], r["text"] or "") for r in real[1] if r["doc_id"] % 10]
+    held = [(r["doc_id"], r["text"] or "") for r in real[1] if r["doc_id"] % 10 == 0]
+    size = sum(len(t.encode()) for _, t in train + held)
+    docs = spark.createDataFrame(train, "doc_id bigint, text string")
+    model = lm.train(docs, size, 1)
+    c = Counter(w for _, t in train for w in words(t))
+    p = lambda w: (c[w] + 0.1) / (model.n + 0.1 * (model.v + 1))
+    assert 0 < model.false_rate < 1e-3
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(held, "doc_id bigint, text string"), model, size).collect()}
+    roomy = {r.doc_id: r for r in lm.score(spark.createDataFrame(held, "doc_id bigint, text string"), lm.train(docs, size), size).collect()}
+    tokens = sum(r.n_tokens for r in got.values())
+    tight, wide = (sum(r.score for r in x.values()) / tokens for x in (got, roomy))
+    assert abs(tight - wide) < 0.002 and tight > sum(r.base_score for r in got.values()) / tokens
+    # all words after words seen once, from the filter itself
+    segments = {r.part: np.frombuffer(bytes(r.bits), dtype=np.uint8) for r in model.parts.collect() if r.bits is not None}
+    vocabulary = sorted(c, key=str)
+    tok = np.array([lm.END if w is None else lm.tokens([w.encode()])[0][0] for w in vocabulary], dtype=np.uint64)
+    once = [w for w in vocabulary if w is not None and c[w] == 1][:40]
+    weights = []
+    for w in once:
+        pairs = lm.mixed(lm.tokens([w.encode()])[0][0] * lm.STEP + tok * lm.MIX_1)
+        found = np.zeros(len(pairs))
+        part = (pairs >> np.uint64(64 - model.part_bits)).astype(np.int64)
+        for k, bits in segments.items():
+            here = part == k
+            found[here] = lm.probe(bits, (pairs[here] << np.uint64(model.part_bits)), 0, len(bits) * 8, 0, model.hashes)
+        z = 1 + lm.SHARE * model.v * model.false_rate
+        weights.append(sum((lm.SHARE * np.minimum(found, 1) + (1 - lm.SHARE) * np.array([p(x) for x in vocabulary])) / z))
+    assert 0.9 < np.mean(weights) <= 1.02
