@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,17 @@ _BREAK = "[\n\u0085\u2028\u2029]"
 # -- checking --------------------------------------------------------------------------------------
 
 
+class Limits(NamedTuple):
+    """How long and how many an edit's values may be."""
+
+    text: int = fixed.MAX_TEXT
+    line: int = fixed.MAX_LINE
+    creators: int = fixed.MAX_CREATORS
+    keywords: int = fixed.MAX_KEYWORDS
+    keyword: int = fixed.MAX_KEYWORD
+    faces: int = fixed.MAX_FACES
+
+
 def text_problems(v: Column, multiline: Column, limit: Column) -> list:
     """(condition, reason) pairs for one text value."""
     return [
@@ -30,11 +43,11 @@ def text_problems(v: Column, multiline: Column, limit: Column) -> list:
     ]
 
 
-def validate_edits(edits: DataFrame, as_of) -> DataFrame:
+def validate_edits(edits: DataFrame, as_of, limits: Limits = Limits()) -> DataFrame:
     """Add ``errors``: why an edit can't be taken (empty when it can), and normalize its value."""
     field, v = F.col("field"), text.unix_lines(F.col("value"))
     multiline = field.isin(fixed.MULTILINE_FIELDS)
-    limit = F.when(multiline, fixed.MAX_TEXT).otherwise(fixed.MAX_LINE)
+    limit = F.when(multiline, limits.text).otherwise(limits.line)
     is_date = field == "date"
     whole = v.rlike(r"^\s*\d{4}(?:-\d{2}(?:-\d{2})?)?\s*$")
     real = dates.partial_date(F.trim(v), as_of).isNotNull()
@@ -70,15 +83,15 @@ def validate_date_edits(edits: DataFrame, as_of) -> DataFrame:
     })
 
 
-def validate_keyword_edits(keyword_edits: DataFrame) -> DataFrame:
+def validate_keyword_edits(keyword_edits: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Cleaned keyword lists: blank ones, repeats and date markers go; a photo's whole list is
     refused (``errors``) when a keyword is unusable or there are too many."""
     v = text.unix_lines(F.col("keyword"))
-    bad = text.any_of(*[c for c, _ in text_problems(v, F.lit(False), F.lit(fixed.MAX_KEYWORD))])
+    bad = text.any_of(*[c for c, _ in text_problems(v, F.lit(False), F.lit(limits.keyword))])
     k = keyword_edits.withColumns({"keyword": text.strip(v), "_bad": F.coalesce(bad, F.lit(False))})
     per_photo = k.groupBy("photo_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("_bad").alias("bad"))
     per_photo = per_photo.select(
-        "photo_id", text.reasons((F.col("bad"), "unusable keyword"), (F.col("n") > fixed.MAX_KEYWORDS, "too many keywords")).alias("errors")
+        "photo_id", text.reasons((F.col("bad"), "unusable keyword"), (F.col("n") > limits.keywords, "too many keywords")).alias("errors")
     )
     unique = (
         k.where((F.col("keyword") != "") & ~text.is_date_marker(F.col("keyword")))
@@ -89,19 +102,23 @@ def validate_keyword_edits(keyword_edits: DataFrame) -> DataFrame:
     return unique.join(per_photo, "photo_id")
 
 
-def validate_face_edits(face_edits: DataFrame) -> DataFrame:
-    """Add ``errors`` and clamp boxes; a new face that is deleted, or has neither name nor box, goes."""
+def validate_face_edits(face_edits: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Add ``errors`` and clamp boxes; a new face that is deleted, or has neither name nor box, goes. All of a photo's edits
+    are refused when there are too many."""
     x, y, w, h = (F.col(c) for c in BOX)
     slack = 1e-6
     outside = (w <= 0) | (h <= 0) | (x < -slack) | (y < -slack) | (x + w > 1 + slack) | (y + h > 1 + slack)
     is_new = F.col("face_key").startswith("new:")
     nothing = is_new & (F.col("deleted") | (F.coalesce(F.trim("name"), F.lit("")) == "") & x.isNull())
-    problems = [(c, why) for c, why in text_problems(F.col("name"), F.lit(False), F.lit(fixed.MAX_KEYWORD))]
+    problems = [(c, why) for c, why in text_problems(F.col("name"), F.lit(False), F.lit(limits.keyword))]
     clamp = {c: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)) for c in BOX}
+    many = face_edits.groupBy("photo_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limits.faces).select("photo_id", F.lit(True).alias("_many"))
     return (
         face_edits.where(~F.coalesce(nothing, F.lit(False)))
-        .withColumn("errors", text.reasons((F.coalesce(outside, F.lit(False)), "the box is outside the photo"), *problems))
+        .join(many, "photo_id", "left")
+        .withColumn("errors", text.reasons((F.coalesce("_many", F.lit(False)), "too many faces"), (F.coalesce(outside, F.lit(False)), "the box is outside the photo"), *problems))
         .withColumns(clamp)
+        .drop("_many")
     )
 
 

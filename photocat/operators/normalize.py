@@ -241,6 +241,33 @@ def image_facts(photos: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed: where a fact stands in a tag dump, first choice first.
+FACT_TAGS = {
+    "channels": ["IFD0:SamplesPerPixel", "File:ColorComponents"],
+    "bits": ["IFD0:BitsPerSample", "File:BitsPerSample", "PNG:BitDepth"],
+    "resolution": ["IFD0:XResolution", "JFIF:XResolution", "PNG:PixelsPerUnitX"],
+    "unit": ["IFD0:ResolutionUnit", "JFIF:ResolutionUnit", "PNG:PixelUnits"],
+    "compression": ["IFD0:Compression", "PNG:Compression"],
+}
+
+
+def facts_from_tags(tags: DataFrame) -> DataFrame:
+    """(photo_id, channels, bits, dpi, compression) from the tag dump, one aggregate per photo. Bits are those of the first
+    channel; resolutions per centimetre or metre are turned into dots per inch; what is not written as a number is null."""
+    wanted = [t for names in FACT_TAGS.values() for t in names]
+    value = text.strip(F.col("value"))
+    rows = tags.where(F.col("tag").isin(wanted) & text.present(F.col("value"))).groupBy("photo_id").agg(
+        *[F.min(F.when(F.col("tag") == t, F.struct("item", value.alias("v"))))["v"].alias(f"_{n}") for n, t in enumerate(wanted)]
+    )
+    at = {t: F.col(f"_{n}") for n, t in enumerate(wanted)}
+    first = {fact: F.coalesce(*[at[t] for t in names]) for fact, names in FACT_TAGS.items()}
+    whole = lambda c: F.regexp_extract(c, r"^(\d+)(?:\D|$)", 1).try_cast("long")
+    unit = F.lower(first["unit"])
+    per_inch = F.when(unit.isin("cm", "3"), 2.54).when(unit.isin("meters", "meter", "1") & at["PNG:PixelsPerUnitX"].isNotNull(), 0.0254).when(unit.isin("none", "unknown"), None).otherwise(1.0)
+    dpi = F.round(F.regexp_extract(first["resolution"], r"^(\d+(?:\.\d+)?)$", 1).try_cast("double") * per_inch).cast("long")
+    return rows.select("photo_id", whole(first["channels"]).alias("channels"), whole(first["bits"]).alias("bits"), F.when(dpi > 0, dpi).alias("dpi"), first["compression"].alias("compression"))
+
+
 def route_output_format(fmt: Column, setting: str, path: Column | None = None) -> tuple[Column, Column]:
     """(format, extension) of the output: the setting's format or the source's own; the source's
     spelling of the extension is kept when the format stays."""

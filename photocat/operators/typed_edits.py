@@ -7,25 +7,12 @@ date keeps its level and its estimate. ``edits``: photo_id, field, value (VARIAN
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photocat.functions import dates, text
 from photocat.functions import fixed_values as fixed
-from photocat.operators.edits import text_problems
-
-
-class Limits(NamedTuple):
-    """How long and how many an edit's values may be."""
-
-    text: int = fixed.MAX_TEXT
-    line: int = fixed.MAX_LINE
-    creators: int = fixed.MAX_CREATORS
-    keywords: int = fixed.MAX_KEYWORDS
-    keyword: int = fixed.MAX_KEYWORD
-
+from photocat.operators.edits import Limits, text_problems
 
 LISTS = ["creator", "keywords"]
 KNOWN = [*fixed.TEXT_FIELDS, "keywords", "date"]

@@ -217,6 +217,27 @@ def _(spark, sf):
     return normalize.image_facts(load(spark, sf, "photos"))
 
 
+@query(
+    "m15_facts_from_tags",
+    "",
+    """SELECT c_custkey AS photo_id, CASE c_custkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 END AS channels, CASE c_custkey % 3 WHEN 0 THEN 16 WHEN 1 THEN 8 ELSE 8 END AS bits,
+   CASE c_custkey % 6 WHEN 0 THEN 300 WHEN 1 THEN 600 WHEN 2 THEN 300 WHEN 3 THEN 305 END AS dpi, CASE c_custkey % 3 WHEN 0 THEN 'LZW' WHEN 2 THEN 'Deflate/Inflate' END AS compression FROM customer""",
+)
+def _(spark, sf):
+    # TIFF, JPEG and PNG dumps; some resolutions per centimetre or metre, some without a unit
+    k = F.col("c_custkey")
+    rows = [
+        (k % 3 == 0, "IFD0:SamplesPerPixel", F.lit("3")), (k % 3 == 1, "File:ColorComponents", F.lit("1")), (k % 3 == 0, "IFD0:BitsPerSample", F.lit("16 16 16")),
+        (k % 3 == 1, "File:BitsPerSample", F.lit(" 8 ")), (k % 3 == 2, "PNG:BitDepth", F.lit("8")), (k % 3 == 0, "IFD0:Compression", F.lit("LZW")), (k % 3 == 2, "PNG:Compression", F.lit("Deflate/Inflate")),
+        (k % 6 == 0, "IFD0:XResolution", F.lit("300")), (k % 6 == 0, "IFD0:ResolutionUnit", F.lit("inches")), (k % 6 == 3, "IFD0:XResolution", F.lit("120")), (k % 6 == 3, "IFD0:ResolutionUnit", F.lit("cm")),
+        (k % 6 == 1, "JFIF:XResolution", F.lit("600")), (k % 6 == 4, "JFIF:XResolution", F.lit("1")), (k % 6 == 4, "JFIF:ResolutionUnit", F.lit("None")),
+        (k % 6 == 2, "PNG:PixelsPerUnitX", F.lit("11811")), (k % 6 == 2, "PNG:PixelUnits", F.lit("meters")), (k % 6 == 5, "PNG:PixelsPerUnitX", F.lit("undef")), (k % 6 == 5, "File:FileSize", F.lit("9")),
+    ]
+    tags = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(t).alias("tag"), v.alias("value"))) for cond, t, v in rows]))
+    dump = load(spark, sf, "customer").select(k.alias("photo_id"), F.inline(tags)).withColumn("item", F.lit(0))
+    return normalize.facts_from_tags(dump)
+
+
 @query(
     "m16_array_shape_note",
     "tags",
