@@ -77,7 +77,8 @@ def scan_ranges(
     running = {out: Running(r) if isinstance(r, str) else r for out, r in (running or {}).items()}
     order = list(order)
     by_part = [*keys, "_part"]
-    # groups in several ranges: fewer than ranges
+    # groups in several ranges: fewer than ranges, so they and their parts are small enough to be handed to every task,
+    # whatever the rows; a shuffle by group would bring a large one together again
     several = rows.groupBy(*keys).agg(F.min("_part").alias("_a"), F.max("_part").alias("_z")).where("_a < _z").select(*keys)
     o = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     totals = [F.count(F.lit(1)).alias("_cnt")]
@@ -88,7 +89,7 @@ def scan_ranges(
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     prior = Window.partitionBy(*keys).orderBy("_part")
     carried = (
-        rows.join(several, list(keys))
+        rows.join(F.broadcast(several), list(keys))
         .groupBy(*by_part)
         .agg(*totals)
         .select(
@@ -102,7 +103,7 @@ def scan_ranges(
     new = {"_rn": F.row_number().over(w).cast("long")}
     new |= {out: F.lag(src).over(w) for out, src in lag.items()}
     new |= {out: COMBINE[r.how][0](F.col(r.src)).over(w.rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1)) for out, r in running.items()}
-    out = rows.withColumns(new).join(carried, by_part, "left")
+    out = rows.withColumns(new).join(F.broadcast(carried), by_part, "left")
     fix = {
         name: F.when((F.col("_rn") == 1) & (F.col("_before") > 0), F.col(f"_carry_{name}.{src}")).otherwise(F.col(name))
         for name, src in lag.items()

@@ -219,6 +219,15 @@ def _(spark, sf):
     return files.tag_listing(load(spark, sf, "tags"))
 
 
+@query(
+    "s5_tag_listing_whole",
+    "tags",
+    "SELECT photo_id, tag, item, value FROM tags WHERE value IS NOT NULL AND tag NOT LIKE 'File:%'",
+)
+def _(spark, sf):
+    return files.tag_listing(load(spark, sf, "tags"))
+
+
 @query("s6_read_job_log", "log_rows", f"SELECT seq, {sql_stamp('time')} AS time, source, notes, ms FROM log_rows WHERE ok")
 def _(spark, sf):
     # log files whose lines for failed jobs break off
