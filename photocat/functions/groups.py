@@ -26,6 +26,12 @@ def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], parts
     return cut_lineage(dealt.withColumn("_part", F.spark_partition_id()))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, dealt evenly over as many tasks as a shuffle has, whatever the files. For steps that cost much more
+    than reading their rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 class Running(NamedTuple):
     """A value carried along a group's order: ``how`` combines the rows up to this one (or before it, not ``inclusive``).
 

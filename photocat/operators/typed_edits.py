@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from photocat.functions import dates, text
 from photocat.functions import fixed_values as fixed
+from photocat.functions.groups import spread
 from photocat.operators.edits import Limits, text_problems
 
 LISTS = ["creator", "keywords"]
@@ -54,7 +55,10 @@ def _first_of_each(items: Column) -> Column:
 def validate_typed_edits(edits: DataFrame, as_of, limits: Limits = Limits()) -> DataFrame:
     """Add ``errors`` (empty when the edit can be taken) and bring ``value`` into the form that is stored: trimmed texts, lists
     without blanks (keywords also without repeats and date markers), dates with their level, estimate and own pattern."""
-    df = edits.withColumn("_kind", _kind()).withColumn("_items", F.when(F.col("_kind") == "list", _items()))
+    # checking costs far more than reading: a small file of very many edits is dealt to all tasks first
+    df = spread(edits).withColumn("_kind", _kind()).withColumn("_items", F.when(F.col("_kind") == "list", _items()))
+    iso, level, own = F.trim(_get("$.iso", "string")), _get("$.level", "string"), F.upper(F.trim(_get("$.pattern", "string")))
+    df = df.withColumns({n: F.when(F.col("_kind") == "object", c) for n, c in {"_iso": iso, "_level": level, "_own": own}.items()})
     df = df.withColumns({"_text": F.when(F.col("_kind") == "string", text.unix_lines(_get("$", "string"))), "_kinds": F.when(F.col("_kind") == "object", F.schema_of_variant(F.try_variant_get("value", "$.estimate", "variant")))})
     field, kind, items, one = (F.col(c) for c in ("field", "_kind", "_items", "_text"))
     is_text = field.isin(fixed.TEXT_FIELDS) & ~((field == "creator") & (kind == "list"))
@@ -69,8 +73,7 @@ def validate_typed_edits(edits: DataFrame, as_of, limits: Limits = Limits()) ->
 
     bad_items = [(is_list & any_item(n), why) for n, (_, why) in enumerate(text_problems(one, F.lit(False), per_item))]
 
-    iso, level, own = F.trim(_get("$.iso", "string")), _get("$.level", "string"), F.upper(F.trim(_get("$.pattern", "string")))
-    iso, level, own = (F.when(kind == "object", c) for c in (iso, level, own))
+    iso, level, own = (F.col(c) for c in ("_iso", "_level", "_own"))
     simple = F.when(level == "circa", "year").otherwise(level)  # an older way to say: an estimated year
     parts, want = F.size(F.split(iso, "-")), F.when(simple == "day", 3).when(simple == "month", 2).otherwise(1)
     shape = iso.rlike(r"^\d{4}(?:-\d{2}(?:-\d{2})?)?$")
@@ -103,7 +106,9 @@ def validate_typed_edits(edits: DataFrame, as_of, limits: Limits = Limits()) ->
     out = F.when(kind == "null", F.parse_json(F.lit("null"))).when(is_text, text.strip(one).cast("variant")).when(is_list, F.to_variant_object(listed)).when(is_date, date)
     keep = [c for c in edits.columns if c not in ("value", "unreadable")]
     checked = df.withColumn("errors", errors)
-    return checked.select(*keep, F.when(F.size("errors") == 0, out).otherwise(F.col("value")).alias("value"), "errors")
+    # a generator: filters on its columns stay above it, so no check is copied into them
+    done = F.struct(F.when(F.size("errors") == 0, out).otherwise(F.col("value")).alias("value"), F.col("errors").alias("errors"))
+    return checked.select(*keep, F.inline(F.array(done)))
 
 
 def latest_values(edits: DataFrame, fields: list[str]) -> DataFrame:

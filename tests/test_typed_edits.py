@@ -94,3 +94,12 @@ def test_overlay_and_comparison(spark):
 @pytest.mark.parametrize("n", [0])
 def test_no_rows(spark, n):
     assert te.validate_typed_edits(edit_rows(spark, (1, "title", "x")).limit(n), AS_OF).count() == 0
+
+
+def test_edits_of_one_file_are_checked_by_all_tasks_and_once(spark):
+    df = spark.range(2000, numPartitions=1).selectExpr("id AS photo_id", "if(id % 2 = 0, 'title', 'date') AS field", "if(id % 2 = 0, concat('\"', id, '\"'), 'null') AS value", "1L AS edited_at", "id AS edit_seq")
+    good = te.validate_typed_edits(te.typed(df), AS_OF).where("size(errors) = 0")
+    dealt = good.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    assert len(dealt) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in dealt) == 2000
+    # a filter on the errors does not check a second time
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("too many creators") == 1
