@@ -140,27 +140,39 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], iou, t
     """Pairs of boxes in the same group with IoU > ``threshold`` (at least 0.5).
 
     ``left`` has box columns x, y, w, h and ``right`` has rx, ry, rw, rh. Each left box has one grid cell for its size
-    class, and each right box offers only the cells a box overlapping it by half can have: sizes differ by less than a
-    factor of two and centres by at most half the smaller size. So near misses are not paired, and no pair is lost or
-    repeated.
+    class, and each right box offers only the cells a box overlapping it by ``threshold`` can have. Along one side the
+    overlap t is no smaller than in the plane, so widths differ by less than a factor of 1 / t and centres by less than
+    (1 - t) / (2 + 2t) of both widths together: the higher the threshold, the fewer cells. So near misses are not paired,
+    and no pair is lost or repeated.
     """
     if threshold < 0.5:
         raise ValueError("overlap_pairs needs a threshold of at least 0.5")
     keys = list(keys)
-    cell = F.xxhash64("_lw", "_lh", "_i", "_j")
-    at = lambda centre, level, shift=0.0: F.floor((centre + shift) / F.pow(F.lit(2.0), F.col(level) + 1)).cast("long")
     left = left.where("w > 0 and h > 0").withColumns({"_lw": _levels("w"), "_lh": _levels("h")})
-    left = left.withColumns({"_i": at(F.col("x") + F.col("w") / 2, "_lw"), "_j": at(F.col("y") + F.col("h") / 2, "_lh")})
-    left = left.withColumn("_cell", cell).drop("_lw", "_lh", "_i", "_j")
+    left = left.withColumns({"_i": _at(F.col("x") + F.col("w") / 2, "_lw"), "_j": _at(F.col("y") + F.col("h") / 2, "_lh")})
+    left = left.withColumn("_cell", _cell_key()).drop("_lw", "_lh", "_i", "_j")
+    return left.join(in_reach(right, threshold), [*keys, "_cell"]).where(iou > threshold).drop("_cell")
 
-    right = right.where("rw > 0 and rh > 0").withColumns({"_rlw": _levels("rw"), "_rlh": _levels("rh")})
-    near = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    right = right.withColumn("_near", F.explode(F.array(*near))).withColumns({"_lw": F.col("_rlw") + F.col("_near.a"), "_lh": F.col("_rlh") + F.col("_near.b")})
-    # a centre of the other box is at most half the smaller side away: one cell or two neighbours each way
+
+def _cell_key() -> Column:
+    return F.xxhash64("_lw", "_lh", "_i", "_j")
+
+
+def _at(centre: Column, level: str) -> Column:
+    return F.floor(centre / F.pow(F.lit(2.0), F.col(level) + 1)).cast("long")
+
+
+def in_reach(right: DataFrame, threshold: float) -> DataFrame:
+    """Boxes (rx, ry, rw, rh), once for each ``_cell`` a box with a larger overlap than ``threshold`` can have."""
+    t = threshold * (1 - 1e-6)  # room for rounding
+    right = right.where("rw > 0 and rh > 0")
+    for level, size in {"_lw": "rw", "_lh": "rh"}.items():
+        lowest, highest = (F.floor(F.log2(F.col(size) * by)).cast("int") for by in (t, 1 / t))
+        right = right.withColumn(level, F.explode(F.sequence(lowest, highest)))
     for n, (c, size, level) in {"i": ("rx", "rw", "_lw"), "j": ("ry", "rh", "_lh")}.items():
-        reach = 0.5 * F.least(F.col(size), F.pow(F.lit(2.0), F.col(level) + 1))
-        first, last = (at(F.col(c) + F.col(size) / 2, level, sign * reach) for sign in (-1, 1))
-        right = right.withColumns({"_first": first, "_last": last})
-        right = right.withColumn(f"_{n}", F.explode(F.when(F.col("_first") == F.col("_last"), F.array("_first")).otherwise(F.array("_first", "_last"))))
-    right = right.withColumn("_cell", cell).drop("_rlw", "_rlh", "_near", "_lw", "_lh", "_first", "_last", "_i", "_j")
-    return left.join(right, [*keys, "_cell"]).where(iou > threshold).drop("_cell")
+        # the largest box of the class that may still overlap enough says how far away its centre is
+        widest = F.least(F.col(size) / t, F.pow(F.lit(2.0), F.col(level) + 1))
+        reach = (1 - t) / (2 + 2 * t) * (F.col(size) + widest)
+        first, last = (_at(F.col(c) + F.col(size) / 2 + sign * reach, level) for sign in (-1, 1))
+        right = right.withColumn(f"_{n}", F.explode(F.sequence(first, last)))
+    return right.withColumn("_cell", _cell_key()).drop("_lw", "_lh", "_i", "_j")

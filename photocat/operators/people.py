@@ -522,7 +522,7 @@ def rematch_faces(faces: DataFrame, edits: DataFrame) -> DataFrame:
     Edits without a box are matched by rank. For the others taking turns equals proposing in rounds where a face
     always keeps the earliest edit, so every round is one join and one aggregate over all photos, and edits nobody
     competes with are settled in the first. Rounds end when no edit was turned down."""
-    cand = rematch_candidates(faces, edits)
+    cand = cut_lineage(rematch_candidates(faces, edits))  # read twice, far smaller than the cells it comes from
     own = cand.where("same").select("photo_id", "edit_no", F.lit(True).alias("has_own"))
     cand = cand.join(own, ["photo_id", "edit_no"], "left").where(F.col("has_own").isNull() | F.col("same"))
     cand = ordered_positions(cand, ["photo_id", "edit_no"], [F.col("face_no")], "choice")

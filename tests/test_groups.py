@@ -90,6 +90,21 @@ def test_grid_join_finds_exactly_the_overlaps(spark):
     assert got == want and len(want) > 100
 
 
+def test_grid_join_with_a_high_threshold_is_exact_and_offers_few_cells(spark):
+    rnd = random.Random(4)
+    lefts = [(i % 3, i, rnd.uniform(0, 0.4), rnd.uniform(0, 0.4), rnd.choice([0.01, 0.125, 0.2]) * rnd.uniform(0.9, 1.1), rnd.choice([0.03, 0.25]) * rnd.uniform(0.9, 1.1)) for i in range(300)]
+    f = [0.8, 0.9, 0.95, 1.0, 1.05, 1.1, 1.25]
+    rights = [(k, 1000 * n + i, x + w * rnd.choice([0, 0.02, -0.1, 0.12]), y + h * rnd.choice([0, 0, -0.02, 0.1]), w * rnd.choice(f), h * rnd.choice(f)) for k, i, x, y, w, h in lefts for n in range(6)]
+    left = spark.createDataFrame(lefts, "k int, i int, x double, y double, w double, h double")
+    right = spark.createDataFrame(rights, "k int, j int, rx double, ry double, rw double, rh double")
+    for threshold, cells in ((0.5, 30), (0.8, 5), (0.95, 2.5)):
+        got = sorted((r.i, r.j) for r in groups.overlap_pairs(left, right, ["k"], boxes.iou(), threshold).collect())
+        want = sorted((a[1], b[1]) for a in lefts for b in rights if a[0] == b[0] and naive_iou(a[2:], b[2:]) > threshold)
+        assert got == want and len(want) > 20
+        # before, each box offered about 25 cells at any threshold, and all were shuffled
+        assert groups.in_reach(right, threshold).count() < cells * len(rights)
+
+
 def test_rows_of_a_crowd_are_the_same_when_split(spark):
     rnd = random.Random(3)
     rows = [(1 + (i % 5 == 0), i, f"P{i}", rnd.randrange(900) / 1000, rnd.randrange(900) / 1000, 0.03, 0.04) for i in range(1500)]
