@@ -111,7 +111,17 @@ def parse_job_log(lines: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def read_job_log(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    return parse_job_log(spark.read.text(path).select("value"), limit)
+    return parse_job_log(spark.read.text(_rolls(spark, path)).select("value"), limit)
+
+
+def _rolls(spark: SparkSession, path: str) -> str:
+    """What to read of a log: all folders of rolls if it is kept in rolls, else the path. Named like this they are listed by
+    one job; below a few days' folders each day would be listed by a job of its own, with a task for each roll."""
+    from photocat.streaming.store import Folder
+
+    folder = Folder(spark, path)
+    days = [n for n in folder.names() if n.startswith("day=")]
+    return f"{path}/day=*/roll=*" if any(folder.holds_any(d) for d in days) else path
 
 
 def write_job_log(log: DataFrame, path: str, max_bytes: int = fixed.LOG_ROLL_BYTES) -> None:
@@ -129,7 +139,7 @@ def write_job_log(log: DataFrame, path: str, max_bytes: int = fixed.LOG_ROLL_BYT
 
 def log_rolls(spark: SparkSession, path: str) -> DataFrame:
     """(day, roll, bytes) of a written log, from the listing alone."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(_rolls(spark, path))
     part = lambda n: F.regexp_extract("path", f"/{n}=([^/]*)/", 1).alias(n)
     return found.select(part("day"), part("roll"), "length").groupBy("day", "roll").agg(F.sum("length").alias("bytes"))
 

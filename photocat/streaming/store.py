@@ -43,6 +43,9 @@ class Folder:
         at = self._path(inside)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
 
+    def holds_any(self, inside: str = "") -> bool:
+        return self.fs.listStatusIterator(self._path(inside)).hasNext()
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self._path(name))
         try:

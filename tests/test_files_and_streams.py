@@ -85,3 +85,16 @@ def test_report_round_trip(spark, tmp_path):
     files.export_report_csv(df, str(tmp_path / "r"))
     back = files.read_report_csv(spark, str(tmp_path / "r"), df.schema)
     assert sorted(map(tuple, back.collect()), key=str) == sorted([(1, "", 'say "x",\nand y', None), (2, None, "'=sum(1)", 4), (3, " a ", "'", 5)], key=str)
+
+
+def test_a_rolled_log_is_listed_by_one_job(spark, tmp_path):
+    path, sc = str(tmp_path / "log"), spark.sparkContext
+    log = spark.range(400).selectExpr("id AS seq", "cast(timestamp_millis(1700000000000 + id * 600000) AS timestamp_ntz) AS time", "true AS ok", "repeat('x', 100) AS source")
+    files.write_job_log(log, path, 300)
+    for read, rows in ((files.log_rolls, 100), (files.read_job_log, 400)):
+        sc.setJobGroup(f"list {read.__name__}", "listing")
+        df = read(spark, path)
+        jobs = sc.statusTracker().getJobIdsForGroup(f"list {read.__name__}")
+        sc.setJobGroup("rest", "rest")
+        # before: a job for each of the days, with a task for each roll
+        assert len(jobs) == 1 and df.count() >= rows
