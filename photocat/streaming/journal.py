@@ -263,7 +263,8 @@ class _Windows(_Expiring):
         return [self.open]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest, starts, counts = self.open.get() if self.open.exists() else (None, [], [])
+        kept = self.open.get()
+        newest, starts, counts = kept or (None, [], [])
         held, touched, high = dict(zip(starts, counts, strict=True)), set(), newest
         for chunk in rows:
             ms = chunk["ts"].to_numpy().astype("datetime64[ms]").astype("int64")
@@ -280,12 +281,22 @@ class _Windows(_Expiring):
             yield self._rows(key, np.array(at), False, None, [held[s] for s in at])
         held = {s: n for s, n in held.items() if s + self.width_ms > high - self.late_ms}
         self.open.update((high, list(held), list(held.values())))
-        self.expire_after(high)
+        # every call to the state takes a round trip: a batch has one timer, set with its state and again when it runs out
+        if kept is None:
+            self.handle.registerTimer(high + self.keep_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        kept = self.open.get()
+        if kept is not None and kept[0] + self.keep_ms > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(kept[0] + self.keep_ms)
+        else:
+            self.open.clear()
+        return iter(())
 
     @staticmethod
     def _rows(key, start, late, seq, done) -> pd.DataFrame:
-        out = pd.DataFrame({"batch_id": key[0], "from_ts": pd.to_datetime(start, unit="ms"), "late": late})
-        return out.assign(seq=pd.array([None] * len(out), dtype="Int64") if seq is None else seq, done=done)
+        seq = pd.array([None] * len(start), dtype="Int64") if seq is None else seq
+        return pd.DataFrame({"batch_id": key[0], "from_ts": start.astype("datetime64[ms]"), "late": late, "seq": seq, "done": done})
 
 
 def stream_counts_and_late(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", keep: str = "7 days") -> DataFrame:

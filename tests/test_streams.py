@@ -1,5 +1,6 @@
 """Streams over several files and triggers: state that expires, late rows, commits, and results read by bucket."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,46 @@ def test_a_trigger_reads_only_the_buckets_of_its_files(spark, tmp_path, monkeypa
     # stored results of a few files for the batch form
     kept = identity.incremental_analysis(files(["p5", "more"]), journal.stored_results(store, files(["p5", "more"])), 7, False, analyze)
     assert sorted(r.path for r in kept.collect()) == ["more", "p5"] and analyzed[-1] == ["more"]
+
+
+class _Calls:
+    """A state handle that counts round trips."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "update":
+                self.value = args[0]
+            elif name == "clear":
+                self.value = None
+            elif name == "registerTimer":
+                self.timers.append(args[0])
+            elif name == "deleteTimer":
+                self.timers.remove(args[0])
+            return {"get": self.value, "exists": self.value is not None, "listTimers": list(self.timers)}.get(name)
+
+        return call
+
+
+def test_a_batch_of_late_windows_costs_few_round_trips_and_expires_after_its_newest_row():
+    calls = _Calls()
+    windows = journal._Windows(3_600_000, 600_000, 1_000_000)
+    windows.init(calls)
+    hours = lambda *at: [pd.DataFrame({"ts": pd.to_datetime([int(h * 3_600_000) for h in at], unit="ms"), "seq": range(len(at))})]
+    first = pd.concat(windows.handleInputRows((1,), iter(hours(5, 5.5)), None))
+    assert calls.calls <= 3 and calls.timers == [int(5.5 * 3_600_000) + 1_000_000]
+    more = pd.concat(windows.handleInputRows((1,), iter(hours(7, 1)), None))
+    assert calls.calls <= 5 and first.done.tolist() == [2] and sorted(more.late) == [False, True]
+    due = calls.timers.pop()
+    fired = type("Fired", (), {"getExpiryTimeInMs": lambda self: due})()
+    list(windows.handleExpiredTimer((1,), None, fired))
+    assert calls.value is not None and calls.timers == [7 * 3_600_000 + 1_000_000]  # rows came meanwhile
+    due = calls.timers.pop()
+    list(windows.handleExpiredTimer((1,), None, fired))
+    assert calls.value is None and not calls.timers
