@@ -14,9 +14,12 @@ from photocat.session import cut_lineage
 
 
 def assemble_lines(words: DataFrame) -> DataFrame:
-    """Words to lines in reading order; confidence is the mean weighted by word length."""
+    """Words to lines in reading order; confidence is the mean weighted by word length.
+
+    Words are dealt to their lines first: lists of so many lines do not fit a map-side table, so combining there only
+    sorted and spilled every word once more."""
     weight = F.greatest(F.lit(1), F.length("word"))
-    return words.groupBy("photo_id", "line_no").agg(
+    return words.repartition("photo_id", "line_no").groupBy("photo_id", "line_no").agg(
         F.expr("listagg(word, ' ') WITHIN GROUP (ORDER BY pos)").alias("text"),
         (F.sum(F.col("conf") * weight) / F.sum(weight)).alias("conf"),
     )

@@ -60,3 +60,17 @@ def test_a_page_of_twenty_thousand_lines_on_one_baseline(spark):
     rows = [(1, k, 20.0 * k, 100.0 + (k % 3) * 0.1, 10.0, 8.0) for k in range(20_000)] + [(1, 20_000, 20.0 * 20_000 + 500, 100.0, 10.0, 8.0)]
     blocks = tb.block_boxes(tb.group_text_blocks(spark.createDataFrame(rows, LINE))).collect()
     assert sorted((r.block, r.n_lines) for r in blocks) == [(0, 20_000), (20_000, 1)]
+
+
+def test_words_meet_in_their_line_before_they_are_combined(spark):
+    words = spark.range(600, numPartitions=3).selectExpr("id % 3 AS photo_id", "id div 30 % 5 AS line_no", "600 - id AS pos", "if(id % 7 = 0, NULL, concat('w', id)) AS word", "0.5D AS conf")
+    lines = tb.assemble_lines(words)
+    got = {(r.photo_id, r.line_no): r.text for r in lines.collect()}
+    want = {}
+    for r in words.orderBy("pos").collect():
+        want.setdefault((r.photo_id, r.line_no), []).extend([r.word] if r.word else [])
+    assert got == {k: " ".join(v) for k, v in want.items()}
+    # before, every map task sorted (and at size spilled) all its words below the shuffle
+    plan = lines._jdf.queryExecution().sparkPlan().toString()
+    above, below = plan.split("Exchange" if "Exchange" in plan else "RepartitionByExpression", 1)
+    assert "Aggregate" in above and "Aggregate" not in below
