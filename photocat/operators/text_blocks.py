@@ -54,7 +54,7 @@ def filter_lines(lines: DataFrame) -> DataFrame:
 #: Size classes are powers of two of a height in pixels, up to this one.
 LARGEST = 40
 #: A line reaches so many heights sideways; a cell is so many sides wide.
-REACH, CELL = 3.75, 4
+REACH, CELL = 3.75, 16
 
 
 def _cell(at: str, level: str, wide: int = 1) -> Column:
@@ -64,7 +64,7 @@ def _cell(at: str, level: str, wide: int = 1) -> Column:
 def line_links(lines: DataFrame) -> DataFrame:
     """(photo_id, a, b): lines that belong together, stacked or side by side on one baseline.
 
-    Lines meet in cells of the plane, as high as the taller line's size class and four times as wide: the taller one
+    Lines meet in cells of the plane, as high as the taller line's size class and sixteen times as wide: the taller one
     looks in the cells it can reach, the other lies in the cells it covers, filed once for each larger size class on its
     photo. A pair counts in the first cell both have, so it is found once, and neither a page nor a baseline with very
     many lines is paired line by line."""
