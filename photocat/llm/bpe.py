@@ -29,6 +29,8 @@ from photocat.llm.common import table, text_slices, utf8, with_columns
 
 #: Merged pieces a worker remembers, and those of one slice more; the cache changes no result.
 CACHE_PIECES = 250_000
+#: Texts are cut into pieces in slices of about so many bytes, as the pieces of a slice take many times its size.
+SLICE = 1 << 20
 #: Pieces of more bytes are merged one by one.
 LONG_PIECE = 100
 NO_RANK = np.uint64(1 << 40)
@@ -317,7 +319,7 @@ def _kind(t) -> str:
 
 def _encode_batches(batches, path: str):
     v = ranks(path)
-    for part in text_slices(batches):
+    for part in text_slices(batches, max_bytes=SLICE):
         ids = encode_texts(utf8(part.column("text")), v)
         ends = [token_ends(x, v) for x in ids]
         yield with_columns(part, ("text",), ids=pa.array(ids, pa.binary()), ends=pa.array(ends, pa.binary()))
@@ -326,7 +328,7 @@ def _encode_batches(batches, path: str):
 
 def _decode_batches(batches, path: str):
     v = ranks(path)
-    for part in text_slices(batches, "ids"):
+    for part in text_slices(batches, "ids", SLICE):
         got = [decode_ids(a or b"", b or b"", v) for a, b in zip(part.column("ids").to_pylist(), part.column("ends").to_pylist(), strict=True)]
         yield with_columns(part, ("ends",), bytes=pa.array(got, pa.binary()))
 

@@ -34,7 +34,8 @@ def small_or_plain(df: DataFrame) -> DataFrame:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows whose texts have about ``max_bytes`` bytes (one row at least)."""
+    """The batches cut into runs of rows whose texts have about ``max_bytes`` bytes (one row at least). A worker lives on
+    after its task, so what Arrow keeps of earlier batches is given back after each."""
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         start = 0
@@ -43,6 +44,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_byt
             end = max(start + 1, int(np.searchsorted(size, before + max_bytes, side="right")))
             yield batch.slice(start, end - start)
             start = end
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def utf8(column: pa.Array) -> list[bytes]:

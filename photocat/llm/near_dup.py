@@ -41,6 +41,8 @@ TUPLE = 3
 SIMILARITY = 0.8
 BLOCK = 300
 RANGES = 128
+#: Texts are hashed in slices of about so many bytes, as the work on a slice takes many times its size.
+SLICE = 1 << 20
 #: Estimates of similarity have a standard error of 0.035 at most where the similarity is 0.8.
 LEAST_ESTIMATE = 0.66
 NOTHING = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -86,7 +88,7 @@ def range_minima(value: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _sketch_batches(batches):
-    for part in text_slices(batches):
+    for part in text_slices(batches, max_bytes=SLICE):
         texts = utf8(part.column("text"))
         value, first = labelled(texts)
         tuples = sketches(value, first).view(np.int64)
@@ -119,7 +121,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 
 
 def _verify_batches(batches):
-    for part in text_slices(batches, "a_text", 1 << 20):
+    for part in text_slices(batches, "a_text", SLICE):
         a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
         texts = dict(zip(a + b, utf8(part.column("a_text")) + utf8(part.column("b_text")), strict=True))
         at = {k: i for i, k in enumerate(texts)}

@@ -1,8 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -58,3 +60,20 @@ def test_offsets_that_do_not_fit_are_refused():
     ids = bpe.encode_texts([b"some words"], v)[0]
     with pytest.raises(ValueError):
         bpe.decode_ids(ids, bpe.token_ends(ids, v)[4:] + b"\0\0\0\0", v)
+
+
+def test_memory_follows_the_slice_and_not_the_batch():
+    text = " ".join(f"w{i % 300}" for i in range(5_000))
+
+    def peak(n):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([text] * n)], names=["doc_id", "text"])
+        tracemalloc.start()
+        rows = sum(out.num_rows for out in bpe._encode_batches(iter([batch]), PATH))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == n
+        return most
+
+    one = bpe.SLICE // len(text)
+    peak(one)  # fixed tables are made
+    assert peak(4 * one) < 1.5 * peak(one)

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from photocat.llm import near_dup
 from photocat.llm.shingles import labelled, word_hashes
@@ -155,3 +157,20 @@ def test_estimate_is_near():
         m = near_dup.range_minima(np.concatenate([a, b]), np.array([0, n, 2 * n]))
         got = (m[0] == m[1]).sum() / ((m[0] | m[1]) > 0).sum()
         assert abs(got - same / (2 * n - same)) < 0.25
+
+
+def test_memory_follows_the_slice_and_not_the_batch():
+    text = " ".join(f"w{i}" for i in range(5_000))
+
+    def peak(n):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([f"{k} {text}" for k in range(n)])], names=["doc_id", "text"])
+        tracemalloc.start()
+        rows = sum(out.num_rows for out in near_dup._sketch_batches(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == n
+        return most
+
+    one = near_dup.SLICE // len(text)
+    peak(one)  # fixed tables are made
+    assert peak(4 * one) < 1.5 * peak(one)
