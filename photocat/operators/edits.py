@@ -134,24 +134,26 @@ def latest_edit(edits: DataFrame) -> DataFrame:
     )
 
 
-def _latest_wide(edits: DataFrame) -> DataFrame:
-    """One row per photo with the last edit of every field as a struct (NULL: not edited)."""
-    names = fixed.TEXT_FIELDS + ["date"]
+def _latest_wide(edits: DataFrame, names: list[str]) -> DataFrame:
+    """One row per photo with the last edit of every named field as a struct (NULL: not edited)."""
     last = "max(struct(edited_at, edit_seq, value)) FILTER (WHERE field = '{0}')"
-    return edits.groupBy("photo_id").agg(*[F.expr(last.format(n)).alias("e_" + n) for n in names])
+    return edits.where(F.col("field").isin(names)).groupBy("photo_id").agg(*[F.expr(last.format(n)).alias("e_" + n) for n in names])
 
 
 def apply_edits(fields: DataFrame, edits: DataFrame) -> DataFrame:
     """Caption fields as they will be: edited text replaces, empty clears, a date edit sets the date
-    and how sure it is (its level taken from how it is written)."""
-    e = _latest_wide(edits)
+    and how sure it is (its level taken from how it is written). Of the caption fields those that ``fields`` has."""
+    names = [n for n in fixed.TEXT_FIELDS + ["date"] if n in fields.columns]
+    e = _latest_wide(edits, names)
     df = fields.join(e, "photo_id", "left")
 
     def after(n):
         new = F.col("e_" + n)
         return F.when(new.isNotNull(), F.nullif(text.strip(new["value"]), F.lit(""))).otherwise(F.col(n))
 
-    out = {n: after(n) for n in fixed.TEXT_FIELDS + ["date"]}
+    out = {n: after(n) for n in names}
+    if "date" not in out:
+        return df.select(*[c for c in fields.columns if c not in out], *[c.alias(n) for n, c in out.items()])
     level = F.element_at(F.array(F.lit("year"), F.lit("month"), F.lit("day")), F.size(F.split(out["date"], "-")))
     certain = dates.level_pattern(level, F.lit(False))
     own = F.col("certainty") if "certainty" in fields.columns else F.lit(None).cast("string")

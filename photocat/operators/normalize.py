@@ -58,33 +58,35 @@ def expand_tag_candidates(tags: DataFrame, fields: list[str] | None = None) -> D
     )
 
 
-def normalize_fields(tags: DataFrame) -> DataFrame:
+def normalize_fields(tags: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """One row per photo: every field's value and the tag it came from (``<field>_tag``).
 
     Text fields take the first tag that has a value; dates the first with a digit 1-9, else the first. A tag's items are
     joined in their order: by ", ", creators by "; " if a name holds a comma. IPTC values that were decoded wrongly are
-    repaired first. Rows are shuffled once, by photo.
+    repaired first. Rows are shuffled once, by photo. With ``fields`` only these are read, for the same photos: of the
+    other fields' values no more is kept than that the photo has one.
     """
-    names = [t for sources in fixed.FIELD_SOURCES.values() for x in sources for t in _expand(x)]
-    c = expand_tag_candidates(repair_iptc(tags.where(_wanted(tags, names) | (F.col("tag") == CHARSET_TAG))))
+    by_field = {f: [t for x in sources for t in _expand(x)] for f, sources in fixed.FIELD_SOURCES.items()}
+    read = [f for f in by_field if fields is None or f in fields]
+    names = [t for f in read for t in by_field[f]]
+    c = expand_tag_candidates(repair_iptc(tags.where(_wanted(tags, names) | (F.col("tag") == CHARSET_TAG))), read)
     shape_note = F.col("tag").endswith(":ImageDescription") & text.is_shape_note(F.col("value"))
     c = c.where(~((F.col("field") == "caption") & shape_note)).withColumn("value", text.clean(F.col("value"))).where("value IS NOT NULL")
     items = F.array_sort(F.collect_list(F.struct("item", "value")))["value"]
     lists = c.groupBy("photo_id", "field", "rank", "tag").agg(items.alias("items"))
     sep = F.when((F.col("field") == "creator") & F.exists("items", lambda x: x.contains(",")), "; ").otherwise(", ")
     lists = lists.select("photo_id", "field", "rank", "tag", F.when(sep == "; ", F.array_join("items", "; ")).otherwise(F.array_join("items", ", ")).alias("value"))
+    others = [t for f in by_field if f not in read for t in by_field[f]]
+    if others:
+        photos = tags.where(_wanted(tags, others) & text.present(F.col("value")) & ~shape_note).select("photo_id").distinct()
+        lists = lists.unionByName(photos, allowMissingColumns=True)
     first = "min(struct(rank, tag, value)) FILTER (WHERE field = '{0}')"
     dated = "min(struct(rank, tag, value)) FILTER (WHERE field = '{0}' AND value RLIKE '[1-9]')"
-    aggs = [F.expr(first.format(f)).alias(f) for f in fixed.TEXT_FIELDS]
-    aggs += [
-        F.coalesce(F.expr(dated.format(f)), F.expr(first.format(f))).alias(f) for f in fixed.DATE_FIELDS_READ
-    ]
+    texts, days = ([f for f in some if f in read] for some in (fixed.TEXT_FIELDS, fixed.DATE_FIELDS_READ))
+    aggs = [F.expr(first.format(f)).alias(f) for f in texts]
+    aggs += [F.coalesce(F.expr(dated.format(f)), F.expr(first.format(f))).alias(f) for f in days]
     best = lists.groupBy("photo_id").agg(*aggs)
-    return best.select(
-        "photo_id",
-        *[F.col(f)["value"].alias(f) for f in fixed.TEXT_FIELDS + fixed.DATE_FIELDS_READ],
-        *[F.col(f)["tag"].alias(f + "_tag") for f in fixed.TEXT_FIELDS + fixed.DATE_FIELDS_READ],
-    )
+    return best.select("photo_id", *[F.col(f)["value"].alias(f) for f in texts + days], *[F.col(f)["tag"].alias(f + "_tag") for f in texts + days])
 
 
 def fields_long(fields: DataFrame) -> DataFrame:

@@ -270,7 +270,7 @@ def _(spark, sf):
     + f""" SELECT photo_id, 'date' AS field FROM g WHERE coalesce(value, '') <> coalesce({ds.iso()}, {SQUEEZE.format('got')})""",
 )
 def _(spark, sf):
-    f = _fields(spark, sf).withColumn("certainty", F.lit(None).cast("string"))
+    f = normalize.normalize_fields(load(spark, sf, "tags"), ["date"]).select("photo_id", "date", F.lit(None).cast("string").alias("certainty"))
     return edits.check_dates(edits.apply_edits(f, load(spark, sf, "edits")), f, _latest(spark, sf), AS_OF)
 
 

@@ -24,3 +24,17 @@ def test_repaired_before_the_pick(spark):
     ], TAGS)
     assert {r.photo_id: r.city for r in normalize.normalize_fields(tags).collect()} == {1: "Orléans", 2: "OrlÃ©ans", 3: "Orléans"}
     assert [r.keyword for r in normalize.merge_keywords(tags).collect()] == ["café"]
+
+
+def test_a_part_of_the_fields_is_read_for_the_same_photos(spark):
+    rows = [
+        (1, "XMP-photoshop:DateCreated", 0, "1952"), (1, "XMP-dc:Title", 0, "a"), (2, "XMP-dc:Title-de", 0, "b"), (3, "IPTC:City", 0, " "),
+        (4, "IFD0:ImageDescription", 0, '{"shape": [3, 4]}'), (5, "IFD0:ImageDescription", 0, '{"shape": [3, 4]}'), (5, "IPTC:DateCreated", 0, "0000"),
+        (5, "ExifIFD:DateTimeOriginal", 0, "1950:06:01"), (6, "IPTC:City", 0, "x"), (7, "IPTC:Keywords", 0, "k"), (8, "IPTC:City", 0, None), (9, "IPTC:CodedCharacterSet", 0, "UTF8"),
+    ]
+    tags = spark.createDataFrame(rows, TAGS)
+    whole = normalize.normalize_fields(tags)
+    for part in (["date"], ["city", "digitized"]):
+        got = normalize.normalize_fields(tags, part)
+        assert set(got.columns) == {"photo_id", *part, *[f + "_tag" for f in part]}
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, whole.select(got.columns).collect()), key=repr)
