@@ -17,7 +17,9 @@ what counts lose when they are rounded down).
 Counting: each task counts the words and bigrams of its texts and sends them, packed, to the part of the hash range
 they belong to. Scoring: texts are dealt into blocks of about ``BLOCK_BYTES``; a block asks the parts for the counts
 of its different words and bigrams and gets them in the same order. So a frequent word or bigram costs one request a
-block, and no task holds more than a block or a part. Words are told apart by 64-bit hashes.
+block, and no task holds more than a block or a part. Words are told apart by 64-bit hashes. Where the texts to be scored
+are also those to learn from, both are one: a block's requests say how often its training rows have what they ask for, a
+part counts, builds its segment and answers from it, and its totals go to every block with the answers.
 
 Defined results: a null text is the empty text (one token, the end); a null id is the text "" for the choice of
 training rows and so held out; repeated rows count and are scored as often as they stand; with no training row
@@ -47,6 +49,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WORDS, BIGRAMS = 1, 2
 #: Different words and bigrams a task holds before it sends them.
 HELD_KEYS = 1_000_000
+#: Bigrams a task looks up at once.
+PROBED_KEYS = 1 << 17
 
 
 def hashes_for(text_bytes: int) -> int:
@@ -167,27 +171,34 @@ def _merge_part(rows: pa.Table) -> pa.Table:
         keys, counts = _long(raw), np.frombuffer(b"".join(rows.column("counts").to_pylist()), dtype=np.uint8)
     else:
         keys, counts = np.frombuffer(raw, dtype="<u8"), np.frombuffer(b"".join(rows.column("counts").to_pylist()), dtype="<u4")
+    return _merged_row(kind, part, keys, counts)
+
+
+MERGED_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("types", pa.int64())])
+KNOWN_SCHEMA = pa.schema([*MERGED_SCHEMA, ("bits", pa.binary()), ("false_rate", pa.float64())])
+
+
+def _merged_row(kind: int, part: int, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
     keys, counts = _summed(keys.astype(np.uint64), counts.astype(np.int64))
     total, types = int(counts.sum()), len(keys)
     return pa.table([[kind], [part], [keys.astype("<u8").tobytes()], [counts.astype("<u8").tobytes()], [total], [types]], schema=MERGED_SCHEMA)
 
 
-MERGED_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("types", pa.int64())])
+def _merge_kind(rows: pa.Table, least: int, hashes: int) -> pa.Table:
+    return _known(_merge_part(rows), least, hashes)
 
 
-def _merge_kind(rows: pa.Table, least: int, hashes: int) -> pa.Table:
+def _known(merged: pa.Table, least: int, hashes: int) -> pa.Table:
     """The counts of the words, or the filter's segment for the bigrams and its rate of false answers, of one part."""
-    merged = _merge_part(rows)
-    names = [*MERGED_SCHEMA.names, "bits", "false_rate"]
     if merged.column("kind")[0].as_py() == WORDS:
-        return pa.table([*merged.columns, pa.array([None], pa.binary()), pa.array([None], pa.float64())], names=names)
+        return pa.table([*merged.columns, pa.array([None], pa.binary()), pa.array([None], pa.float64())], schema=KNOWN_SCHEMA)
     entries = int((level(np.frombuffer(merged.column("counts")[0].as_py(), dtype="<u8")) + 1).sum())
     (segment,) = _segments(merged.to_batches(), segment_bits(entries, least, hashes), 0, hashes)
     bits = np.frombuffer(segment.column("bits")[0].as_py(), dtype=np.uint8)
     full = float(np.bitwise_count(bits).sum()) / (8 * len(bits))
     rate = full**hashes + merged.column("types")[0].as_py() / 2**KEY_BITS
     kept = merged.set_column(2, "keys", pa.array([None], pa.binary())).set_column(3, "counts", pa.array([None], pa.binary()))
-    return pa.table([*kept.columns, segment.column("bits"), pa.array([rate])], names=names)
+    return pa.table([*kept.columns, segment.column("bits"), pa.array([rate])], schema=KNOWN_SCHEMA)
 
 
 MERGED = "kind int, part int, keys binary, counts binary, total bigint, types bigint, bits binary, false_rate double"
@@ -261,9 +272,14 @@ class Model:
         self.parts = merged.select("part", "keys", "counts", "bits")
 
 
+def model_size(text_bytes: int) -> tuple[int, int]:
+    """(leading bits of a hash that name its part, hash functions)"""
+    return max(3, (text_bytes // PART_BYTES).bit_length()), hashes_for(text_bytes)
+
+
 def train(docs: DataFrame, text_bytes: int, filter_bits: int = FILTER_BITS) -> Model:
     """Count words and bigrams of all rows of ``docs`` and build the filter."""
-    bits, hashes = max(3, (text_bytes // PART_BYTES).bit_length()), hashes_for(text_bytes)
+    bits, hashes = model_size(text_bytes)
     rows = docs.select("text").mapInArrow(lambda b: _count_batches(b, bits), "kind int, part int, keys binary, counts binary")
     return Model(fixed(rows.groupBy("kind", "part").applyInArrow(lambda t: _merge_kind(t, filter_bits >> bits, hashes), MERGED)), bits, hashes)
 
@@ -285,19 +301,64 @@ def _answers(asked: pa.Table, known: pa.Table, hashes: int) -> pa.Table:
     joined = lambda c: b"".join(x or b"" for x in known.column(c).to_pylist())
     keys, counts, bits = np.frombuffer(joined("keys"), dtype="<u8"), np.frombuffer(joined("counts"), dtype="<u8"), np.frombuffer(joined("bits"), dtype=np.uint8)
     of_words, of_bigrams, wide = [], [], []
-    for raw, short in zip(asked.column("words").to_pylist(), asked.column("bigrams").to_pylist(), strict=True):
+    # a bigram that several blocks ask for is looked up once
+    shorts = asked.column("bigrams").to_pylist()
+    pairs, at = np.unique(_long(b"".join(shorts)), return_inverse=True)
+    slices = [pairs[k : k + PROBED_KEYS] << np.uint64(24) for k in range(0, len(pairs), PROBED_KEYS)]
+    found = np.concatenate([np.zeros(0), *(probe(bits, x, 0, len(bits) * 8, 0, hashes) if len(bits) else np.zeros(len(x)) for x in slices)])
+    levels = np.frexp(found)[1].astype(np.uint8)[at]
+    ends = np.cumsum([len(short) // 5 for short in shorts])
+    for raw, short, end in zip(asked.column("words").to_pylist(), shorts, ends.tolist(), strict=True):
         want = np.frombuffer(raw, dtype="<u8")
         at = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
         told = np.where(keys[at] == want, counts[at], 0) if len(keys) else np.zeros(len(want))
         wide.append(bool(told.max(initial=0) >= 1 << 32))
         of_words.append(told.astype("<u8" if wide[-1] else "<u4").tobytes())
-        pairs = _long(short) << np.uint64(24)
-        found = probe(bits, pairs, 0, len(bits) * 8, 0, hashes) if len(bits) else np.zeros(len(pairs))
-        of_bigrams.append(np.frexp(found)[1].astype(np.uint8).tobytes())
+        of_bigrams.append(levels[end - len(short) // 5 : end].tobytes())
     return pa.table([asked.column("block"), asked.column("part"), pa.array(of_words, pa.binary()), pa.array(of_bigrams, pa.binary()), pa.array(wide)], names=["block", "part", "counts", "levels", "wide"])
 
 
-SCORE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+def _counts_packed(counts: np.ndarray) -> bytes:
+    """A byte each; those of 255 and more follow in eight."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+
+
+def _counts_read(raw: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(raw[:n], dtype=np.uint8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw[n:], dtype="<u8")
+    return counts
+
+
+def _counted_requests(rows: pa.Table, bits: int) -> pa.Table:
+    """A block's requests to every part, and how often the block's training rows have what it asks for."""
+    tok, first = tokens(utf8(rows.column("text").combine_chunks()))
+    trained = np.repeat(~rows.column("held_out").to_numpy().astype(bool), np.diff(first))
+    parts, block, columns = range(1 << bits), rows.column("block")[0].as_py(), []
+    for keys, packed in ((tok, lambda k: k.astype("<u8").tobytes()), (bigrams(tok, first), lambda k: _short(k, bits))):
+        keys, at = np.unique(keys, return_inverse=True)
+        counts = np.bincount(at[trained], minlength=len(keys))
+        sent = {p: (packed(keys[a:b]), _counts_packed(counts[a:b])) for p, a, b in _parts(keys, bits)}
+        columns += [pa.array([sent.get(p, (b"", b""))[k] for p in parts], pa.binary()) for k in (0, 1)]
+    return pa.table([pa.array(parts, pa.int32()), pa.array([block] * len(parts), pa.int64()), *columns], names=["part", "block", "words", "word_counts", "bigrams", "bigram_counts"])
+
+
+def _learned_answers(asked: pa.Table, least: int, hashes: int) -> pa.Table:
+    """A part's answers, learned from the counts that came with the requests, and its totals."""
+    part, known = asked.column("part")[0].as_py(), {}
+    for kind, column, read in ((WORDS, "word", lambda raw: np.frombuffer(raw, dtype="<u8")), (BIGRAMS, "bigram", _long)):
+        keys = [read(raw) for raw in asked.column(f"{column}s").to_pylist()]
+        counts = np.concatenate([_counts_read(raw, len(k)) for raw, k in zip(asked.column(f"{column}_counts").to_pylist(), keys, strict=True)])
+        if (seen := counts > 0).any():
+            known[kind] = _known(_merged_row(kind, part, np.concatenate(keys)[seen], counts[seen]), least, hashes)
+    told = _answers(asked, pa.concat_tables([KNOWN_SCHEMA.empty_table(), *known.values()]), hashes)
+    said = lambda kind, column, none: known[kind].column(column)[0].as_py() if kind in known else none
+    for name, value, kind in (("total", said(WORDS, "total", 0), pa.int64()), ("types", said(WORDS, "types", 0), pa.int64()), ("false_rate", said(BIGRAMS, "false_rate", None), pa.float64())):
+        told = told.append_column(name, pa.array([value] * told.num_rows, kind))
+    return told
+
+
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+SCORE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def score_tokens(tok: np.ndarray, first: np.ndarray, c: np.ndarray, n: int, v: int, bigram_counts: np.ndarray, false_rate: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -313,34 +374,53 @@ def score_tokens(tok: np.ndarray, first: np.ndarray, c: np.ndarray, n: int, v: i
     return np.diff(first), sums((c > 0).astype(np.int64)), sums(np.log10(p)), sums(np.log10(mixed_p))
 
 
+def _scored(texts: pa.Table, counts: pa.Table, n: int, v: int, false_rate: float) -> pa.Table:
+    """The scores of a block's texts from what the parts told it, in their order."""
+    tok, first = tokens(utf8(texts.column("text").combine_chunks()))
+    keys, at = np.unique(tok, return_inverse=True)
+    each = zip(counts.column("counts").to_pylist(), counts.column("wide").to_pylist(), strict=True)
+    c = np.concatenate([np.zeros(0, dtype=np.int64), *(np.frombuffer(raw, dtype="<u8" if w else "<u4").astype(np.int64) for raw, w in each)])
+    pairs, pair_at = np.unique(bigrams(tok, first), return_inverse=True)
+    levels = np.frombuffer(b"".join(counts.column("levels").to_pylist()), dtype=np.uint8)
+    if len(c) != len(keys) or len(levels) != len(pairs):
+        raise ValueError("the answers do not fit the block")
+    found = np.where(levels > 0, 2.0 ** (levels.astype(np.int64) - 1), 0)
+    n_tokens, n_known, base, got = score_tokens(tok, first, c[at], n, v, found[pair_at], false_rate)
+    return pa.table([texts.column("doc_id"), texts.column("held_out"), *(pa.array(x) for x in (n_tokens, n_known, np.full(len(n_tokens), n), base, got))], schema=SCORE_SCHEMA)
+
+
+def _blocks(docs: DataFrame, text_bytes: int) -> DataFrame:
+    blocks = max(1, -(-text_bytes // BLOCK_BYTES))
+    return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+
+
 def score(docs: DataFrame, model: Model, text_bytes: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     bits, n, v, hashes, false_rate = model.part_bits, model.n, model.v, model.hashes, model.false_rate
-    blocks = max(1, -(-text_bytes // BLOCK_BYTES))
-    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    rows = _blocks(docs, text_bytes)
     asked = rows.groupBy("block").applyInArrow(lambda t: _requests(t, bits), "part int, block bigint, words binary, bigrams binary")
     told = asked.groupBy("part").cogroup(model.parts.groupBy("part")).applyInArrow(lambda a, b: _answers(a, b, hashes), "block bigint, part int, counts binary, levels binary, wide boolean")
+    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda t, c: _scored(t, c.sort_by("part"), n, v, false_rate), SCORED)
+
+
+def train_and_score(docs: DataFrame, text_bytes: int, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """``score`` of all rows under the model that ``train`` makes of those not held out. Every block sends its counts along with
+    its requests, to every part, so bigrams travel once and neither they nor the filter are stored in between."""
+    bits, hashes = model_size(text_bytes)
+    rows = _blocks(docs, text_bytes)
+    asked = rows.groupBy("block").applyInArrow(lambda t: _counted_requests(t, bits), "part int, block bigint, words binary, word_counts binary, bigrams binary, bigram_counts binary")
+    told = asked.groupBy("part").applyInArrow(lambda t: _learned_answers(t, filter_bits >> bits, hashes), "block bigint, part int, counts binary, levels binary, wide boolean, total bigint, types bigint, false_rate double")
 
     def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        tok, first = tokens(utf8(texts.column("text").combine_chunks()))
-        keys, at = np.unique(tok, return_inverse=True)
         counts = counts.sort_by("part")
-        each = zip(counts.column("counts").to_pylist(), counts.column("wide").to_pylist(), strict=True)
-        c = np.concatenate([np.zeros(0, dtype=np.int64), *(np.frombuffer(raw, dtype="<u8" if w else "<u4").astype(np.int64) for raw, w in each)])
-        pairs, pair_at = np.unique(bigrams(tok, first), return_inverse=True)
-        levels = np.frombuffer(b"".join(counts.column("levels").to_pylist()), dtype=np.uint8)
-        if len(c) != len(keys) or len(levels) != len(pairs):
-            raise ValueError("the answers do not fit the block")
-        found = np.where(levels > 0, 2.0 ** (levels.astype(np.int64) - 1), 0)
-        got = score_tokens(tok, first, c[at], n, v, found[pair_at], false_rate)
-        return pa.table([texts.column("doc_id"), texts.column("held_out"), *(pa.array(x) for x in got)], schema=SCORE_SCHEMA)
+        n, v = (int(counts.column(c).to_numpy().sum()) for c in ("total", "types"))
+        rates = counts.column("false_rate").drop_null().to_numpy()
+        return _scored(texts, counts, n, v, float(rates.mean()) if len(rates) else 0.0)
 
-    out = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, SCORED)
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents under a model of nine tenths of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return score(docs, train(docs.filter(~held_out(F.col("doc_id"))), size), size)
+    return train_and_score(docs, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)

@@ -43,6 +43,25 @@ def test_blocks_do_not_matter(real):
     assert one.keys() == many.keys() and all(math.isclose(one[k], many[k], rel_tol=0.02) for k in one)
 
 
+def test_one_pass_scores_like_a_trained_model(real, odd):
+    for docs, size in ((real[0], 100), (odd[0], 100), (real[0], 40 * lm.BLOCK_BYTES), (real[0].filter(lm.held_out(real[0].doc_id)), 100), (real[0].limit(0), 0)):
+        two = lm.score(docs, lm.train(docs.filter(~lm.held_out(docs.doc_id)), size), size).collect()
+        key = lambda r: (str(r.doc_id), r.n_tokens, round(r.base_score, 6))
+        for g, w in zip(sorted(lm.train_and_score(docs, size).collect(), key=key), sorted(two, key=key), strict=True):
+            assert g[:5] == w[:5] and math.isclose(g.base_score, w.base_score, rel_tol=1e-12) and math.isclose(g.score, w.score, rel_tol=1e-12)
+
+
+def test_the_query_sends_bigrams_once_and_stores_no_filter(spark):
+    """Texts by block (written once, read twice), requests with counts by part, answers by block."""
+    plan = lm.op3_lm_score(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(part") == 1 and plan.count("Exchange hashpartitioning(block") == 3 and "ExistingRDD" not in plan
+
+
+def test_counts_of_any_size_travel():
+    counts = np.array([0, 1, 254, 255, 256, 1 << 40, 3])
+    assert (lm._counts_read(lm._counts_packed(counts), len(counts)) == counts).all() and len(lm._counts_packed(counts)) == 7 + 3 * 8
+
+
 def test_filter_rounds_counts_down_and_rarely_invents():
     rng = np.random.default_rng(0)
     hashes = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2))
