@@ -228,15 +228,34 @@ def propagate_hierarchy(paths: DataFrame, before: DataFrame, after: DataFrame, r
 
 
 def mirror_spec(spark: SparkSession) -> DataFrame:
-    """The dimension (field, spec_tag, tag, role, group_no): a fixed table of a few dozen rows."""
-    rows = []
+    """The dimension (field, spec_tag, tag, role, group_no, slot): a fixed table of a few dozen rows. A field's tags have slots
+    from 0."""
+    rows, slots = [], dict.fromkeys(fixed.MIRROR_SPEC, 0)
     for field, (primary, mirrors, fallbacks) in fixed.MIRROR_SPEC.items():
         for role, tags in (("primary", [primary]), ("mirror", mirrors), ("fallback", fallbacks)):
             for t in tags:
                 group, _, name = t.partition(":")
                 names = [f"{g}:{name}" for g in fixed.EXIF_GROUPS] if group == "EXIF" else [t]
-                rows += [(field, t, n, role, i) for i, n in enumerate(names)]
-    return spark.createDataFrame(rows, "field string, spec_tag string, tag string, role string, group_no int")
+                rows += [(field, t, n, role, i, slots[field] + i) for i, n in enumerate(names)]
+                slots[field] += len(names)
+    return spark.createDataFrame(rows, "field string, spec_tag string, tag string, role string, group_no int, slot int")
+
+
+#: The fields whose old text decides what is written: those with fallback tags.
+COMPARED_FIELDS = [n for n, (_, _, fallbacks) in fixed.MIRROR_SPEC.items() if fallbacks]
+_SLOTS = max(sum(len(fixed.EXIF_GROUPS) if t.startswith("EXIF:") else 1 for t in [p, *m, *f]) for p, m, f in fixed.MIRROR_SPEC.values())
+_CHARSET = "IPTC:CodedCharacterSet"
+
+
+def _held_values(tags: DataFrame, spec: DataFrame) -> DataFrame:
+    """(photo_id, field, held, utf8): the first values a photo's tags hold, by slot, and whether its IPTC text is UTF-8. One
+    aggregate, which combines map-side; the character set goes to every field."""
+    slots = spec.select("tag", "field", "slot").unionByName(spec.where("slot = 0").select(F.lit(_CHARSET).alias("tag"), "field", F.lit(-1).alias("slot")))
+    names = [t for p, m, f in fixed.MIRROR_SPEC.values() for x in [p, *m, *f] for t in ([f"{g}:{x[5:]}" for g in fixed.EXIF_GROUPS] if x.startswith("EXIF:") else [x])]
+    wanted = F.col("tag").isin([*names, _CHARSET]) & F.col("value").isNotNull() & ((F.col("tag") != _CHARSET) | F.col("value").rlike("(?i)%G|utf"))
+    first = "min(struct(item, value)) FILTER (WHERE slot = {0})"
+    held = tags.where(wanted).join(F.broadcast(slots), "tag").groupBy("photo_id", "field").agg(F.max(F.col("slot") == -1).alias("utf8"), *[F.expr(first.format(i)).alias(f"v{i}") for i in range(_SLOTS)])
+    return held.select("photo_id", "field", "utf8", F.array(*[F.col(f"v{i}")["value"] for i in range(_SLOTS)]).alias("held"))
 
 
 def mirror_fields(latest: DataFrame, tags: DataFrame, fields: DataFrame, jpeg: bool = True) -> DataFrame:
@@ -244,19 +263,15 @@ def mirror_fields(latest: DataFrame, tags: DataFrame, fields: DataFrame, jpeg: b
 
     A value goes to the primary tag, to mirrors the photo already has, and to fallbacks that held
     the old text; a cleared field deletes every tag that could bring it back. A value a tag can't
-    hold is deleted there with a note."""
+    hold is deleted there with a note. Of ``fields`` those with fallbacks are read (``COMPARED_FIELDS``).
+
+    All is brought together by photo and field; only then edits are spread over their tags, and those rows are not shuffled."""
     spec = mirror_spec(tags.sparkSession)
     e = latest.where(F.col("field").isin(list(fixed.MIRROR_SPEC))).select("photo_id", "field", F.coalesce(text.strip(F.col("value")), F.lit("")).alias("value"))
-    names = sorted({n for p, m, f in fixed.MIRROR_SPEC.values() for t in [p, *m, *f] for n in ([f"{g}:{t[5:]}" for g in fixed.EXIF_GROUPS] if t.startswith("EXIF:") else [t])})
-    have = (
-        tags.where(F.col("tag").isin(names) & F.col("value").isNotNull())
-        .groupBy("photo_id", "tag").agg(F.min(F.struct("item", "value")).alias("v"))
-        .select("photo_id", "tag", F.col("v.value").alias("old"))
-    )
-    flagged = tags.where((F.col("tag") == "IPTC:CodedCharacterSet") & F.col("value").rlike("(?i)%G|utf")).select("photo_id", F.lit(True).alias("utf8")).distinct()
-    was = fields.select("photo_id", F.explode(F.create_map(*[x for n in fixed.TEXT_FIELDS for x in (F.lit(n), F.col(n))])).alias("field", "was"))
-    w = e.join(F.broadcast(spec), "field").join(have, ["photo_id", "tag"], "left")
-    w = w.join(flagged, "photo_id", "left").join(was, ["photo_id", "field"], "left")
+    was = fields.select("photo_id", F.explode(F.create_map(*[x for n in COMPARED_FIELDS for x in (F.lit(n), F.col(n))])).alias("field", "was")).where("was IS NOT NULL")
+    w = e.join(_held_values(tags, spec), ["photo_id", "field"], "left").join(was, ["photo_id", "field"], "left")
+    # a tag that holds nothing is written only if it is the primary one
+    w = w.join(F.broadcast(spec), "field").withColumn("old", F.col("held")[F.col("slot")]).where("old IS NOT NULL OR role = 'primary'")
     v, tag = F.col("value"), F.col("tag")
     held = F.col("old").isNotNull()
     same = text.collapse(F.col("old")) == text.collapse(F.col("was"))

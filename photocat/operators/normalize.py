@@ -58,13 +58,14 @@ def expand_tag_candidates(tags: DataFrame, fields: list[str] | None = None) -> D
     )
 
 
-def normalize_fields(tags: DataFrame, fields: list[str] | None = None) -> DataFrame:
+def normalize_fields(tags: DataFrame, fields: list[str] | None = None, all_photos: bool = True) -> DataFrame:
     """One row per photo: every field's value and the tag it came from (``<field>_tag``).
 
     Text fields take the first tag that has a value; dates the first with a digit 1-9, else the first. A tag's items are
     joined in their order: by ", ", creators by "; " if a name holds a comma. IPTC values that were decoded wrongly are
     repaired first. Rows are shuffled once, by photo. With ``fields`` only these are read, for the same photos: of the
-    other fields' values no more is kept than that the photo has one.
+    other fields' values no more is kept than that the photo has one; without ``all_photos`` they are not read at all, and
+    only photos with a value of these have a row.
     """
     by_field = {f: [t for x in sources for t in _expand(x)] for f, sources in fixed.FIELD_SOURCES.items()}
     read = [f for f in by_field if fields is None or f in fields]
@@ -77,7 +78,7 @@ def normalize_fields(tags: DataFrame, fields: list[str] | None = None) -> DataFr
     sep = F.when((F.col("field") == "creator") & F.exists("items", lambda x: x.contains(",")), "; ").otherwise(", ")
     lists = lists.select("photo_id", "field", "rank", "tag", F.when(sep == "; ", F.array_join("items", "; ")).otherwise(F.array_join("items", ", ")).alias("value"))
     others = [t for f in by_field if f not in read for t in by_field[f]]
-    if others:
+    if others and all_photos:
         photos = tags.where(_wanted(tags, others) & text.present(F.col("value")) & ~shape_note).select("photo_id").distinct()
         lists = lists.unionByName(photos, allowMissingColumns=True)
     first = "min(struct(rank, tag, value)) FILTER (WHERE field = '{0}')"

@@ -198,13 +198,17 @@ PLAN = (
 )
 
 
+def _mirrored(spark, sf, tags):
+    return edits.mirror_fields(_latest(spark, sf), tags, normalize.normalize_fields(tags, edits.COMPARED_FIELDS, all_photos=False))
+
+
 @query(
     "e7_mirror_fields",
     "tags edits",
     FIELDS + LATEST + PLAN + " SELECT photo_id, field, tag, action, CASE WHEN action = 'set' THEN v END AS value, '' AS note FROM plan WHERE action IS NOT NULL",
 )
 def _(spark, sf):
-    return edits.mirror_fields(_latest(spark, sf), load(spark, sf, "tags"), _fields(spark, sf))
+    return _mirrored(spark, sf, load(spark, sf, "tags"))
 
 
 @query(
@@ -312,7 +316,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     tags = load(spark, sf, "tags")
-    return edits.before_image(tags, edits.mirror_fields(_latest(spark, sf), tags, _fields(spark, sf)))
+    return edits.before_image(tags, _mirrored(spark, sf, tags))
 
 
 @query(

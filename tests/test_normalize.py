@@ -38,3 +38,5 @@ def test_a_part_of_the_fields_is_read_for_the_same_photos(spark):
         got = normalize.normalize_fields(tags, part)
         assert set(got.columns) == {"photo_id", *part, *[f + "_tag" for f in part]}
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, whole.select(got.columns).collect()), key=repr)
+        some = [r for r in map(tuple, got.collect()) if any(r[1:])]
+        assert sorted(map(tuple, normalize.normalize_fields(tags, part, all_photos=False).collect()), key=repr) == sorted(some, key=repr)

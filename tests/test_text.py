@@ -72,6 +72,30 @@ def test_a_value_too_long_for_a_tag(spark):
     assert got == {"XMP-photoshop:City": ("set", False), "IPTC:City": ("delete", True)}
 
 
+def test_mirrored_fields_meet_before_they_are_spread_over_tags(spark):
+    tags = spark.createDataFrame(
+        [(1, "IPTC:CodedCharacterSet", 0, "UTF8"), (1, "IPTC:ObjectName", 1, "b"), (1, "IPTC:ObjectName", 0, "a"), (1, "IFD1:XPTitle", 0, ""), (1, "XMP-photoshop:Headline", 0, " Old  title"),
+         (2, "IPTC:ObjectName", 0, "a"), (2, "XMP-photoshop:Headline", 0, "other"), (2, "XMP-dc:Title", 0, None), (3, "XMP-dc:Creator", 0, "x"), (None, "IPTC:City", 0, "y")],
+        "photo_id long, tag string, item long, value string",
+    )
+    latest = spark.createDataFrame([(1, "title", "名"), (2, "title", "名"), (3, "creator", None), (3, "date", "1952"), (None, "city", "z"), (4, "state", " ")], "photo_id long, field string, value string")
+    fields = spark.createDataFrame([(1, "Old title", *[None] * 7), (2, "Old title", *[None] * 7)], "photo_id long, title string, caption string, notes string, creator string, sublocation string, city string, state string, country string")
+    out = edits.mirror_fields(latest, tags, fields)
+    assert {(r.photo_id, r.tag): (r.action, r.value, r.note != "") for r in out.collect()} == {
+        (1, "XMP-dc:Title"): ("set", "名", False), (1, "IPTC:ObjectName"): ("set", "名", False), (1, "IFD1:XPTitle"): ("set", "名", False), (1, "XMP-photoshop:Headline"): ("set", "名", False),
+        (2, "XMP-dc:Title"): ("set", "名", False), (2, "IPTC:ObjectName"): ("delete", None, True),
+        (3, "XMP-dc:Creator"): ("delete", None, False), (None, "XMP-photoshop:City"): ("set", "z", False),
+    }
+    # before, the rows spread over tags were shuffled by photo and tag, by photo, and by photo and field
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = edits.mirror_fields(latest, tags, fields)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = {line.split("hashpartitioning(")[1].split(", ENSURE")[0].count("#") for line in plan.split("\n") if "Exchange hashpartitioning" in line}
+    assert keys == {2} and plan.count("Exchange hashpartitioning") == 3 and plan.index("BroadcastHashJoin") < plan.index("Exchange hashpartitioning")
+
+
 def test_fingerprint_windows(spark):
     import hashlib
 
