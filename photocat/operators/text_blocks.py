@@ -5,6 +5,11 @@ Words are (photo_id, line_no, block_no, pos, word, conf); lines and blocks carry
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,10 +129,132 @@ def connected(links: DataFrame) -> DataFrame:
     return out.select("photo_id", F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+#: A task takes in photos of up to so many lines whole, so many lines at a time, and compares so many pairs at once.
+WHOLE, LOT, PAIRS = 100_000, 50_000, 1 << 19
+#: Size classes within a task are powers of two from this exponent on.
+LOWEST, CLASSES = -20, 2048
+
+
+def _power(size: np.ndarray) -> np.ndarray:
+    """The exponent of the first power of two above each size."""
+    return np.maximum(np.frexp(np.maximum(size, 0))[1], LOWEST).astype(np.int64)
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each index as often as its count says, and 0, 1, 2.. along its copies."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _linked(x, y, w, h, a, b) -> np.ndarray:
+    """Whether lines a and b, a not lower than b, belong together: stacked, or side by side on one baseline."""
+    v = np.maximum(y[a], y[b]) - np.minimum(y[a] + h[a], y[b] + h[b])
+    hz = np.maximum(x[a], x[b]) - np.minimum(x[a] + w[a], x[b] + w[b])
+    stacked = (v <= h[a]) & (hz <= 2 * h[a]) & (v > -0.5 * h[b])
+    foot = np.abs((y[a] + h[a]) - (y[b] + h[b]))
+    return stacked | ((-v >= 0.5 * h[b]) & (foot <= 0.2 * h[a]) & (hz <= REACH * h[b]))
+
+
+def _near(photo, x, y, w, h) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (taller, other) of a photo's lines that can belong together, in lots.
+
+    Lines are filed by rows of the plane, once for their own size class and each larger one of their photo, and along a
+    row by where they begin, those of like width together. The taller line looks through the rows it can reach."""
+    sizes, own = np.unique(photo * CLASSES + _power(h) - LOWEST, return_inverse=True)
+    side = np.ldexp(2.0, sizes % CLASSES + LOWEST)
+    line, size = _spread(np.searchsorted(sizes, (photo + 1) * CLASSES) - own)
+    size += own[line]
+    rows, row = np.unique(np.floor(y[line] / side[size]), return_inverse=True)
+    begins = np.sort(x)
+    filed = (size * len(rows) + row) * (len(x) + 1) + np.searchsorted(begins, x)[line]
+    width = _power(w)[line]
+    # rows the taller line reaches; a little more, as sums are rounded
+    first, last = np.floor((y - 2.01 * h) / side[own]), np.floor((y + 2.01 * h) / side[own])
+    tall, down = _spread((last - first + 1).astype(np.int64))
+    at = np.minimum(np.searchsorted(rows, first[tall] + down), len(rows) - 1)
+    there = rows[at] == first[tall] + down
+    tall = tall[there]
+    at = (own[tall] * len(rows) + at[there]) * (len(x) + 1)
+    until = at + np.searchsorted(begins, x + w + 4 * h, side="right")[tall]
+    for wide in np.unique(width):
+        alike = np.flatnonzero(width == wide)
+        alike = alike[np.argsort(filed[alike], kind="stable")]
+        since = at + np.searchsorted(begins, x - 4 * h - np.ldexp(1.0, wide))[tall]
+        start = np.searchsorted(filed[alike], since)
+        n = np.maximum(np.searchsorted(filed[alike], until) - start, 0)
+        cuts = np.searchsorted(np.cumsum(n), np.arange(PAIRS, n.sum() + PAIRS, PAIRS), side="left") + 1
+        for i, j in zip([0, *cuts], cuts, strict=False):
+            of, step = _spread(n[i:j])
+            yield tall[i:j][of], line[alike[start[i:j][of] + step]]
+
+
+def _first_reached(photo, node, x, y, w, h) -> np.ndarray:
+    """For each node (numbered in order) the first one it reaches by links of its lines."""
+    root = np.arange(node.max(initial=-1) + 1)
+    for a, b in _near(photo, x, y, w, h):
+        new = ((h[a] > h[b]) | ((h[a] == h[b]) & (a > b))) & (root[node[a]] != root[node[b]])
+        a, b = a[new], b[new]
+        new = _linked(x, y, w, h, a, b)
+        a, b = node[a[new]], node[b[new]]
+        while len(a):
+            a, b = root[a], root[b]
+            low = np.minimum(a, b)
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+            while (root[root] != root).any():
+                root = root[root]
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+    return root
+
+
+def _blocks_of_photos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines in order of photos, those of a photo together: the same rows with their block."""
+
+    def blocks(lines: pa.Table) -> pa.Table:
+        photo, number = (lines[c].combine_chunks() for c in ("photo_id", "line_no"))
+        photo = photo.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+        rank = pc.rank(number, tiebreaker="dense").to_numpy().astype(np.int64)
+        _, first, node = np.unique(photo * (len(rank) + 1) + rank, return_index=True, return_inverse=True)
+        box = [lines[c].cast(pa.float64(), safe=False).to_numpy() for c in ("x", "y", "w", "h")]
+        has = np.flatnonzero(np.isfinite(box).all(axis=0) & (box[3] > 0) & number.is_valid().to_numpy(zero_copy_only=False))
+        root = _first_reached(photo[has], node[has], *(c[has] for c in box))
+        root = np.concatenate([root, np.arange(len(root), len(first))])
+        return lines.append_column("block", number.take(pa.array(first[root[node]])))
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= LOT:
+            lines = pa.Table.from_batches(held)
+            photo = lines["photo_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            whole = int(np.searchsorted(photo, photo[-1]))  # the last photo may go on in the next batch
+            if whole:
+                yield from blocks(lines.slice(0, whole)).combine_chunks().to_batches(max_chunksize=10_000)
+            held, n = lines.slice(whole).to_batches(), n - whole
+    if n:
+        yield from blocks(pa.Table.from_batches(held)).combine_chunks().to_batches(max_chunksize=10_000)
+
+
 def group_text_blocks(lines: DataFrame) -> DataFrame:
-    """Lines with ``block`` (its first line) by transitive links."""
-    root = connected(line_links(lines)).withColumnRenamed("node", "line_no")
-    return lines.join(root, ["photo_id", "line_no"], "left").withColumn("block", F.coalesce("root", "line_no")).drop("root")
+    """Lines with ``block`` (its first line) by transitive links.
+
+    Lines are dealt once, to the task that has their photo; neither cells nor links nor rounds are written anywhere. Only
+    photos with more lines than a task takes in meet in cells of the plane and are joined in rounds."""
+    lines = lines.drop("block")
+    out = lines.withColumn("block", F.col("line_no")).schema
+    many = cut_lineage(lines.groupBy(F.col("photo_id").alias("whose")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE).select("whose"))
+    has_many, rest, large = F.col("photo_id").eqNullSafe(F.col("whose")), lines, None
+    if not many.isEmpty():
+        rest = lines.join(F.broadcast(many), has_many, "left_anti")
+        # lines of no photo are those of one photo, as in the sort; a struct is equal to another with the same null
+        large = lines.join(F.broadcast(many), has_many, "left_semi").withColumn("photo_id", F.struct("photo_id"))
+        root = connected(line_links(large)).withColumnRenamed("node", "line_no")
+        large = large.join(root, ["photo_id", "line_no"], "left").withColumn("block", F.coalesce("root", "line_no"))
+        large = large.withColumn("photo_id", F.col("photo_id.photo_id")).select(out.names)
+    grouped = rest.repartition("photo_id").sortWithinPartitions("photo_id").mapInArrow(_blocks_of_photos, out)
+    return grouped.unionByName(large) if large else grouped
 
 
 def block_boxes(grouped: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 import random
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from photocat.operators import text_blocks as tb
 
 LINE = "photo_id long, line_no long, x double, y double, w double, h double"
@@ -74,3 +77,82 @@ def test_words_meet_in_their_line_before_they_are_combined(spark):
     plan = lines._jdf.queryExecution().sparkPlan().toString()
     above, below = plan.split("Exchange" if "Exchange" in plan else "RepartitionByExpression", 1)
     assert "Aggregate" in above and "Aggregate" not in below
+
+
+def first_reached(rows):
+    """(photo, line): block, by all pairs."""
+    top = {}
+
+    def find(n):
+        while top.setdefault(n, n) != n:
+            n = top[n]
+        return n
+
+    for k, (p, n, *a) in enumerate(rows):
+        for q, m, *b in rows[:k]:
+            if p == q and None not in a + b and a[3] > 0 < b[3] and linked(a, b):
+                s, t = find((p, n)), find((p, m))
+                top[max(s, t)] = min(s, t)
+    return {(p, n): find((p, n))[1] for p, n, *_ in rows}
+
+
+def pages(rng, photos, n):
+    """Pages of lines of many sizes, some on a raster so that gaps and widths fall on a limit, some boxes flat or missing."""
+    for photo in range(photos):
+        for k in range(rng.randrange(n)):
+            h = rng.choice([(0.01, 0.5, 3.0, 500.0), (8.0, 8.0, 9.0), (4.0, 8.0, 16.0, 64.0, 0.0)][photo % 3])
+            x, y, w = (4.0 * rng.randrange(a) for a in (150, 150, 40))
+            yield photo, k - (k % 17 == 5), None if k % 23 == 22 else x, y * rng.choice([1, 0.99]), w, h
+
+
+def written_records(spark):
+    """Rows written to shuffles so far, one figure a stage."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    none = spark.sparkContext._gateway.jvm.java.util.ArrayList()
+    stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._gateway.jvm.double, 0), none)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_lines_are_dealt_once_and_nothing_is_paired_on_disk(spark):
+    lines = spark.range(2_000, numPartitions=4).selectExpr(
+        "id % 20 AS photo_id", "id div 20 AS line_no", "id div 20 % 2 * 600D AS x", "id div 40 * 12D AS y", "100D AS w", "10D AS h")
+    before = written_records(spark)
+    blocks = tb.group_text_blocks(lines).groupBy("block").count().collect()
+    assert sorted((r.block, r["count"]) for r in blocks) == [(0, 1_000), (1, 1_000)]
+    after = sum(n for stage, n in written_records(spark).items() if stage not in before)
+    # once whole, and combined for the count of a photo's lines; before, 182,042
+    assert 2_000 <= after <= 2 * 2_000
+
+
+def test_blocks_within_a_task_whatever_the_batches(monkeypatch):
+    rng = random.Random(7)
+    for lot, pairs, batch in ((1, 1, 1), (40, 7, 3), (50_000, 1 << 19, 1_000)):
+        monkeypatch.setattr(tb, "LOT", lot)
+        monkeypatch.setattr(tb, "PAIRS", pairs)
+        rows = list(pages(rng, 12, 80))
+        lines = pa.table({c: pa.array(v, pa.int64() if c.endswith("o") or c.endswith("d") else pa.float64()) for c, v in zip(LINE.replace(",", "").split()[::2], zip(*rows))})
+        got = pa.Table.from_batches(tb._blocks_of_photos(iter(lines.to_batches(max_chunksize=batch))))
+        want = first_reached(rows)
+        assert got.drop_columns("block").equals(lines)
+        assert got["block"].to_pylist() == [want[r[:2]] for r in rows] and len(set(want.items())) > len(set(want.values())) > 20
+
+
+def test_blocks_keep_all_columns_and_lines_of_no_photo(spark):
+    rows = [(None, "b", 0.0, 0.0, 50.0, 10.0, "x"), (None, "a", 0.0, 12.0, 50.0, 10.0, None), ("p", "c", 0.0, 0.0, 50.0, 10.0, "y"), ("p", None, 0.0, 12.0, 50.0, 10.0, "z"), ("q", "d", None, 0.0, 50.0, 10.0, "")]
+    lines = spark.createDataFrame(rows, "photo_id string, line_no string, x double, y double, w double, h double, text string")
+    got = tb.group_text_blocks(lines.withColumn("day", F.lit("2026-01-02").cast("date")))
+    assert got.columns == [*lines.columns, "day", "block"]
+    assert {(r.photo_id, r.line_no, r.text, str(r.day), r.block) for r in got.collect()} == {
+        (None, "b", "x", "2026-01-02", "a"), (None, "a", None, "2026-01-02", "a"), ("p", "c", "y", "2026-01-02", "c"),
+        ("p", None, "z", "2026-01-02", None), ("q", "d", "", "2026-01-02", "d")}
+    assert tb.group_text_blocks(spark.createDataFrame([], LINE)).collect() == []
+
+
+def test_photos_of_more_lines_than_a_task_takes_in(spark, monkeypatch):
+    rows = list(pages(random.Random(9), 6, 90))
+    rows = [(p if p != 3 else None, *r) for p, *r in rows]
+    monkeypatch.setattr(tb, "WHOLE", 20)
+    got = {(r.photo_id, r.line_no): r.block for r in tb.group_text_blocks(spark.createDataFrame(rows, LINE)).collect()}
+    want = first_reached([(3 if p is None else p, *r) for p, *r in rows])
+    assert got == {(None if p == 3 else p, n): b for (p, n), b in want.items()}
