@@ -58,25 +58,25 @@ def filter_lines(lines: DataFrame) -> DataFrame:
 
 #: Size classes are powers of two of a height in pixels, up to this one.
 LARGEST = 40
-#: A line reaches so many heights sideways; a cell is so many sides wide.
-REACH, CELL = 3.75, 16
+#: A line reaches so many heights sideways; a cell is so many sides high and so many wide.
+REACH, ROWS, CELL = 3.75, 4, 64
 
 
-def _cell(at: str, level: str, wide: int = 1) -> Column:
+def _cell(at: str, level: str, wide: int) -> Column:
     return F.expr(f"cast(floor(({at}) / ({wide} * pow(2.0D, {level} + 1))) as long)")
 
 
 def line_links(lines: DataFrame) -> DataFrame:
     """(photo_id, a, b): lines that belong together, stacked or side by side on one baseline.
 
-    Lines meet in cells of the plane, as high as the taller line's size class and sixteen times as wide: the taller one
+    Lines meet in cells of the plane, some times as high and as wide as the taller line's size class: the taller one
     looks in the cells it can reach, the other lies in the cells it covers, filed once for each larger size class on its
     photo. A pair counts in the first cell both have, so it is found once, and neither a page nor a baseline with very
     many lines is paired line by line."""
     level = F.least(F.greatest(F.floor(F.log2("h")), F.lit(0)), F.lit(LARGEST)).cast("int")
     b = lines.select("photo_id", "line_no", "x", "y", "w", "h").where("h > 0").withColumn("lv", level)
     taller = b.withColumns({
-        "r0": _cell("y - h", "lv"), "r1": _cell("y + 2 * h", "lv"),
+        "r0": _cell("y - h", "lv", ROWS), "r1": _cell("y + 2 * h", "lv", ROWS),
         "c0": _cell(f"x - {REACH} * h", "lv", CELL), "c1": _cell(f"x + w + {REACH} * h", "lv", CELL),
     })
     taller = taller.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1"))).drop("r1", "c1")
@@ -84,7 +84,7 @@ def line_links(lines: DataFrame) -> DataFrame:
     other = b.select("photo_id", F.col("line_no").alias("line_2"), *[F.col(c).alias(c + "2") for c in ("x", "y", "w", "h")], F.col("lv").alias("own"))
     other = other.join(classes, "photo_id").withColumn("lv", F.explode(F.sequence(F.col("own"), F.floor(F.log2("classes")).cast("int"))))
     other = other.where("(shiftright(classes, lv) & 1) = 1").withColumns({
-        "q0": _cell("y2", "lv"), "q1": _cell("y2 + h2", "lv"), "d0": _cell("x2", "lv", CELL), "d1": _cell("x2 + w2", "lv", CELL),
+        "q0": _cell("y2", "lv", ROWS), "q1": _cell("y2 + h2", "lv", ROWS), "d0": _cell("x2", "lv", CELL), "d1": _cell("x2 + w2", "lv", CELL),
     })
     other = other.withColumn("row", F.explode(F.sequence("q0", "q1"))).withColumn("col", F.explode(F.sequence("d0", "d1"))).drop("own", "classes", "q1", "d1")
     p = taller.join(other, ["photo_id", "lv", "row", "col"]).where("h > h2 OR (h = h2 AND line_no > line_2)")
@@ -133,6 +133,8 @@ def connected(links: DataFrame) -> DataFrame:
 WHOLE, LOT, PAIRS = 100_000, 50_000, 1 << 19
 #: Size classes within a task are powers of two from this exponent on.
 LOWEST, CLASSES = -20, 2048
+#: A tile of a larger photo is so many times as wide and high as the size class of its lines.
+TILE = 128
 
 
 def _power(size: np.ndarray) -> np.ndarray:
@@ -208,17 +210,22 @@ def _first_reached(photo, node, x, y, w, h) -> np.ndarray:
     return root
 
 
-def _blocks_of_photos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines in order of photos, those of a photo together: the same rows with their block."""
+def _groups(lines: pa.Table, by: tuple[str, ...]) -> np.ndarray:
+    """The groups of rows in order, numbered from 0."""
+    codes = [lines[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for c in by]
+    return np.cumsum(np.any([np.diff(c, prepend=c[:1]) != 0 for c in codes], axis=0))
+
+
+def _blocks_within(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ("photo_id",)) -> Iterator[pa.RecordBatch]:
+    """Lines in order of ``by``: the same rows with their block, as far as it lies within their group."""
 
     def blocks(lines: pa.Table) -> pa.Table:
-        photo, number = (lines[c].combine_chunks() for c in ("photo_id", "line_no"))
-        photo = photo.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+        group, number = _groups(lines, by), lines["line_no"].combine_chunks()
         rank = pc.rank(number, tiebreaker="dense").to_numpy().astype(np.int64)
-        _, first, node = np.unique(photo * (len(rank) + 1) + rank, return_index=True, return_inverse=True)
+        _, first, node = np.unique(group * (len(rank) + 1) + rank, return_index=True, return_inverse=True)
         box = [lines[c].cast(pa.float64(), safe=False).to_numpy() for c in ("x", "y", "w", "h")]
         has = np.flatnonzero(np.isfinite(box).all(axis=0) & (box[3] > 0) & number.is_valid().to_numpy(zero_copy_only=False))
-        root = _first_reached(photo[has], node[has], *(c[has] for c in box))
+        root = _first_reached(group[has], node[has], *(c[has] for c in box))
         root = np.concatenate([root, np.arange(len(root), len(first))])
         return lines.append_column("block", number.take(pa.array(first[root[node]])))
 
@@ -228,8 +235,8 @@ def _blocks_of_photos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         n += batch.num_rows
         if n >= LOT:
             lines = pa.Table.from_batches(held)
-            photo = lines["photo_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-            whole = int(np.searchsorted(photo, photo[-1]))  # the last photo may go on in the next batch
+            group = _groups(lines, by)
+            whole = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
             if whole:
                 yield from blocks(lines.slice(0, whole)).combine_chunks().to_batches(max_chunksize=10_000)
             held, n = lines.slice(whole).to_batches(), n - whole
@@ -237,24 +244,42 @@ def _blocks_of_photos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield from blocks(pa.Table.from_batches(held)).combine_chunks().to_batches(max_chunksize=10_000)
 
 
+def _grouped(lines: DataFrame, *by: str) -> DataFrame:
+    """Lines with their block, as far as it lies within their group; they are dealt once, to the task that has the group."""
+    out = lines.withColumn("block", F.col("line_no")).schema
+    return lines.repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda batches: _blocks_within(batches, by), out)
+
+
+def _grouped_by_all(lines: DataFrame) -> DataFrame:
+    """Lines with their block, however many a photo has: blocks within tiles of the plane, per size class, are found first;
+    then only they, not lines, are joined in rounds where lines in different ones meet."""
+    size = F.greatest(F.floor(F.log2("h")), F.lit(LOWEST)).alias("lv")
+    tile = F.struct(size, *[F.expr(f"floor({c} / ({TILE} * pow(2.0D, greatest(floor(log2(h)), {LOWEST}))))") for c in ("y", "x")])
+    tiles = _grouped(lines.withColumn("tile", F.to_json(tile)), "photo_id", "tile").drop("tile")
+    # lines of no photo are those of one photo, as in the sort; a struct is equal to another with the same null
+    tiles = tiles.withColumn("photo_id", F.struct("photo_id"))
+    links = line_links(tiles.withColumn("line_no", F.struct("block", "line_no"))).select("photo_id", F.col("a.block").alias("a"), F.col("b.block").alias("b"))
+    # a line number that is in several tiles is one line
+    parts = tiles.groupBy("photo_id", "line_no").agg(F.collect_set("block").alias("parts")).where("size(parts) > 1")
+    parts = parts.select("photo_id", F.explode("parts").alias("a"), F.array_min("parts").alias("b"))
+    root = connected(links.unionByName(parts)).withColumnRenamed("node", "block")
+    whole = tiles.join(root, ["photo_id", "block"], "left").withColumn("block", F.coalesce("root", "block"))
+    return whole.withColumn("photo_id", F.col("photo_id.photo_id")).select(*lines.columns, "block")
+
+
 def group_text_blocks(lines: DataFrame) -> DataFrame:
     """Lines with ``block`` (its first line) by transitive links.
 
     Lines are dealt once, to the task that has their photo; neither cells nor links nor rounds are written anywhere. Only
-    photos with more lines than a task takes in meet in cells of the plane and are joined in rounds."""
+    photos with more lines than a task takes in are cut into tiles."""
     lines = lines.drop("block")
-    out = lines.withColumn("block", F.col("line_no")).schema
-    many = cut_lineage(lines.groupBy(F.col("photo_id").alias("whose")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE).select("whose"))
-    has_many, rest, large = F.col("photo_id").eqNullSafe(F.col("whose")), lines, None
-    if not many.isEmpty():
-        rest = lines.join(F.broadcast(many), has_many, "left_anti")
-        # lines of no photo are those of one photo, as in the sort; a struct is equal to another with the same null
-        large = lines.join(F.broadcast(many), has_many, "left_semi").withColumn("photo_id", F.struct("photo_id"))
-        root = connected(line_links(large)).withColumnRenamed("node", "line_no")
-        large = large.join(root, ["photo_id", "line_no"], "left").withColumn("block", F.coalesce("root", "line_no"))
-        large = large.withColumn("photo_id", F.col("photo_id.photo_id")).select(out.names)
-    grouped = rest.repartition("photo_id").sortWithinPartitions("photo_id").mapInArrow(_blocks_of_photos, out)
-    return grouped.unionByName(large) if large else grouped
+    many = lines.groupBy(F.col("photo_id").alias("whose")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE).select("whose")
+    many = cut_lineage(many)
+    if many.isEmpty():
+        return _grouped(lines, "photo_id")
+    has_many = F.col("photo_id").eqNullSafe(F.col("whose"))
+    few = _grouped(lines.join(F.broadcast(many), has_many, "left_anti"), "photo_id")
+    return few.unionByName(_grouped_by_all(lines.join(F.broadcast(many), has_many, "left_semi")))
 
 
 def block_boxes(grouped: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def test_blocks_within_a_task_whatever_the_batches(monkeypatch):
         monkeypatch.setattr(tb, "PAIRS", pairs)
         rows = list(pages(rng, 12, 80))
         lines = pa.table({c: pa.array(v, pa.int64() if c.endswith("o") or c.endswith("d") else pa.float64()) for c, v in zip(LINE.replace(",", "").split()[::2], zip(*rows))})
-        got = pa.Table.from_batches(tb._blocks_of_photos(iter(lines.to_batches(max_chunksize=batch))))
+        got = pa.Table.from_batches(tb._blocks_within(iter(lines.to_batches(max_chunksize=batch))))
         want = first_reached(rows)
         assert got.drop_columns("block").equals(lines)
         assert got["block"].to_pylist() == [want[r[:2]] for r in rows] and len(set(want.items())) > len(set(want.values())) > 20
@@ -156,3 +156,13 @@ def test_photos_of_more_lines_than_a_task_takes_in(spark, monkeypatch):
     got = {(r.photo_id, r.line_no): r.block for r in tb.group_text_blocks(spark.createDataFrame(rows, LINE)).collect()}
     want = first_reached([(3 if p is None else p, *r) for p, *r in rows])
     assert got == {(None if p == 3 else p, n): b for (p, n), b in want.items()}
+
+
+def test_of_a_large_photo_blocks_are_joined_in_rounds_not_lines(spark, monkeypatch):
+    monkeypatch.setattr(tb, "WHOLE", 100)
+    lines = spark.range(6_000, numPartitions=4).selectExpr("1L AS photo_id", "id AS line_no", "id % 2 * 600D AS x", "id div 2 * 12D AS y", "100D AS w", "10D AS h")
+    before = written_records(spark)
+    blocks = tb.group_text_blocks(lines).groupBy("block").count().collect()
+    assert sorted((r.block, r["count"]) for r in blocks) == [(0, 3_000), (1, 3_000)]
+    after = sum(n for stage, n in written_records(spark).items() if stage not in before)
+    assert after <= 20 * 6_000  # before, 1,196,416
